@@ -1,0 +1,4 @@
+"""Registered queries of the sampling engine and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
