@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 
 ADDED = ("ids", "n_tokens", "decoded")
 LEXICON_WORDS = 60_000  # the automaton's size is bounded by this
-MEMO_WORDS = 200_000  # of a worker, dropped as a whole when full
+MEMO_WORDS = 400_000  # of a worker, dropped as a whole when full
 COUNT_WORDS = 300_000  # distinct words that a counting task holds before it passes partial counts on
 OUT_BYTES = 8 << 20  # of an output batch
+GROUP_CHARS = 1 << 20  # texts are encoded in groups of this size, so that their unseen words are merged together
 
 
 def byte_chars() -> list[str]:
@@ -96,6 +98,71 @@ class Vocabulary:
             parts = merged
         return [self.ids[p] for p in parts if p in self.ids]
 
+    @functools.cached_property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """For merging many pieces at once: sorted pair keys with their ranks, the id that each rank makes, and the ids of bytes within and at the end of a piece."""
+        size = max(self.tokens) + 1
+        pairs = sorted((self.ids[a] * size + self.ids[b], r) for (a, b), r in self.ranks.items())
+        made = np.empty(len(self.ranks), np.int64)
+        for (a, b), r in self.ranks.items():
+            made[r] = self.ids[a + b]
+        inner, last = (np.array([self.ids.get(c + e, -1) for c in self.chars]) for e in ("", self.suffix))
+        return np.array([k for k, _ in pairs]), np.array([r for _, r in pairs]), made, inner, last
+
+    def merge_all(self, words: list[str]) -> list[np.ndarray]:
+        """What merge() gives for each word; all words take a step together, each with its own lowest rank."""
+        if (self.tables[3] < 0).any() or (self.tables[4] < 0).any() or any(w[0] == "\0" for w in words):
+            return [np.array(self.merge(w), np.int64) for w in words]
+        keys, order, made, inner, last = self.tables
+        size, none = max(self.tokens) + 1, len(made)
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a * size + b
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, order[at], none)
+
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        count = np.array([len(x) for x in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        part, ends = inner[flat], np.cumsum(count) - 1
+        part[ends] = last[flat[ends]]
+        pair = np.full(len(part), none)
+        pair[:-1] = rank(part[:-1], part[1:])
+        pair[ends] = none
+        name, out = np.arange(len(words)), [np.zeros(0, np.int64)] * len(words)
+        while len(name):
+            starts = np.cumsum(count) - count
+            least = np.minimum.reduceat(pair, starts)
+            over = least == none
+            if over.any():
+                for i, a, n in zip(name[over].tolist(), starts[over].tolist(), count[over].tolist(), strict=True):
+                    out[i] = part[a : a + n]
+                stay = np.repeat(~over, count)
+                part, pair, name, count, least = part[stay], pair[stay], name[~over], count[~over], least[~over]
+                if not len(name):
+                    break
+            chosen = pair == np.repeat(least, count)
+            # of overlapping pairs (aaa) every second one, from the left
+            run = np.flatnonzero(chosen)
+            fresh = np.ones(len(run), bool)
+            fresh[1:] = np.diff(run) > 1
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+            run = run[(np.arange(len(run)) - begin) % 2 == 0]
+            part[run] = made[pair[run]]
+            stay = np.ones(len(part), bool)
+            stay[run + 1] = False
+            word = np.repeat(np.arange(len(name)), count)
+            count = count - np.bincount(word[run], minlength=len(name))
+            pair[run] = pair[run + 1]  # a pair is none where a word ends
+            part, pair = part[stay], pair[stay]
+            at = run - np.arange(len(run))  # where the merged parts are now
+            ends = np.cumsum(count) - 1
+            touched = np.concatenate([at, at[at > 0] - 1])
+            touched = touched[touched < len(part) - 1]
+            pair[touched] = rank(part[touched], part[touched + 1])
+            pair[ends] = none
+        return out
+
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens stand apart by a space."""
         return " ".join([self.tokens[i] for i in ids])
@@ -203,21 +270,28 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         numbers = self.lexicon.numbers(words) if self.lexicon is not None else np.full(len(words), -1)
-        for word, n in zip(words, numbers.tolist(), strict=True):
-            ids = self.lexicon.ids_of(n).tolist() if n >= 0 else self.vocabulary.merge(word)
-            self.memo[word] = (np.array(ids, "<u4").tobytes(), self.vocabulary.decode(ids))
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, their decoded text)."""
-        pieces = self.vocabulary.pieces(text)
-        if new := set(pieces).difference(self.memo):
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        merged = dict(zip(unseen, self.vocabulary.merge_all([words[i] for i in unseen]), strict=True))
+        for i, (word, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
+            ids = self.lexicon.ids_of(n) if n >= 0 else merged[i]
+            self.memo[word] = (ids.astype("<u4").tobytes(), self.vocabulary.decode(ids.tolist()))
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, their decoded text) of each text."""
+        pieces = [self.vocabulary.pieces(t) for t in texts]
+        if new := set().union(*pieces).difference(self.memo):
             if len(self.memo) + len(new) > MEMO_WORDS:
                 self.memo.clear()
-                new = set(pieces)
+                new = set().union(*pieces)
             self._learn(list(new))
-        memo = self.memo
-        found = [memo[p] for p in pieces]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+        memo, out = self.memo, []
+        for own in pieces:
+            found = [memo[p] for p in own]
+            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
@@ -260,6 +334,18 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, words: int =
     return name
 
 
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts together have about GROUP_CHARS bytes, at least one row each."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size > GROUP_CHARS:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers), n_tokens and decoded added."""
     rows = docs.select(*(c for c in docs.columns if c not in ADDED))
@@ -269,18 +355,14 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, lexicon)
         for batch in batches:
-            ids, decoded, size, first = [], [], 0, 0
-            texts = batch.column(at)
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size > OUT_BYTES:
-                    part = batch.slice(first, i - first)
-                    made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *ADDED])
-                    ids, decoded, size, first = [], [], 0, i
-                if i < len(texts):
-                    raw, text = encoder.encode(texts[i].as_py() or "")
-                    ids.append(raw)
-                    decoded.append(text)
-                    size += len(raw) + len(text)
+            texts, first, made, size = batch.column(at), 0, [], 0
+            for i, last in groups(texts):
+                made += encoder.encode_all([texts[k].as_py() or "" for k in range(i, last)])
+                size = sum(len(x) + len(y) for x, y in made)
+                if size > OUT_BYTES or last == len(texts):
+                    part = batch.slice(first, last - first)
+                    added = [pa.array([x for x, _ in made], pa.binary()), pa.array([len(x) // 4 for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *ADDED])
+                    first, made, size = last, [], 0
 
     return rows.mapInArrow(run, schema)
