@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, near_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -32,6 +32,11 @@ FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path
 """
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.link(spark, docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL}
