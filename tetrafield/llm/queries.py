@@ -7,10 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, toxicity, url_filter
 from .common import table
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(spark, docs, mixing.document_levels())
+    return mixed.select("doc_id", "domain", F.col("lang_level").alias("lang"), F.col("source_level").alias("source"), "n_tokens", "copies")
+
+
+def _op4_level(out: str, nodes: str, parents: str) -> str:
+    """SQL of one level of water-filling."""
+    return f"""
+{out}_w AS (
+  SELECT n.parent, n.path, n.capacity, coalesce(w.weight, 1.0) AS weight, p.budget
+  FROM {nodes} n JOIN {parents} p ON n.parent = p.path LEFT JOIN weights w ON n.path = w.path),
+{out}_s AS (
+  SELECT *, coalesce(sum(capacity) OVER (PARTITION BY parent ORDER BY capacity / weight, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(weight) OVER (PARTITION BY parent ORDER BY capacity / weight, path ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_left
+  FROM {out}_w),
+{out}_l AS (
+  SELECT parent, arg_min((budget - filled) / weights_left, capacity / weight) FILTER (capacity * weights_left > (budget - filled) * weight) AS level
+  FROM (SELECT * FROM {out}_s ORDER BY path) GROUP BY parent),
+{out} AS (SELECT s.path, CASE WHEN l.level IS NULL THEN s.capacity ELSE least(s.capacity, l.level * s.weight) END AS budget
+  FROM {out}_s s JOIN {out}_l l ON s.parent = l.parent)"""
+
+
+OP4_SQL = rf"""
+WITH weights(path, weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in mixing.WEIGHTS.items())}),
+rows AS (
+  SELECT doc_id, regexp_extract(coalesce(source, ''), '^[^0-9]*', 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS total, sum(n_tokens)::DOUBLE * {mixing.EPOCHS} AS capacity FROM rows GROUP BY ALL),
+l0 AS (SELECT '' AS path, least(floor(sum(total) * {mixing.SHARE}::DOUBLE), sum(capacity)) AS budget FROM leaves),
+n1 AS (SELECT '' AS parent, domain AS path, sum(capacity) AS capacity FROM leaves GROUP BY ALL),
+n2 AS (SELECT domain AS parent, domain || '/' || lang AS path, sum(capacity) AS capacity FROM leaves GROUP BY ALL),
+n3 AS (SELECT domain || '/' || lang AS parent, domain || '/' || lang || '/' || source AS path, capacity FROM leaves),
+{_op4_level("l1", "n1", "l0")}, {_op4_level("l2", "n2", "l1")}, {_op4_level("l3", "n3", "l2")},
+plan AS (
+  SELECT v.domain, v.lang, v.source, v.total, floor(round(b.budget, 3))::BIGINT AS budget,
+         CASE WHEN v.total > 0 THEN least(floor(round(b.budget, 3))::BIGINT // v.total, {mixing.EPOCHS}) ELSE 0 END AS epochs
+  FROM leaves v JOIN l3 b ON b.path = v.domain || '/' || v.lang || '/' || v.source),
+placed AS (
+  SELECT r.*, p.epochs, p.budget - p.epochs * p.total AS rest,
+         sum(r.n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source
+           ORDER BY md5(concat_ws('|', '{mixing.SEED}', p.epochs::VARCHAR, r.doc_id::VARCHAR)), r.doc_id ROWS UNBOUNDED PRECEDING) AS running
+  FROM rows r JOIN plan p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens,
+       (epochs + CASE WHEN epochs < {mixing.EPOCHS} AND running <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM placed
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -74,10 +125,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
-SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL}
