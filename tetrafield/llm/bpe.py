@@ -266,7 +266,9 @@ class Encoder:
     def __init__(self, path: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
+        self.gaps = bool((self.vocabulary.tables[3] < 0).any() or (self.vocabulary.tables[4] < 0).any())
 
     def _learn(self, words: list[str]) -> None:
         numbers = self.lexicon.numbers(words) if self.lexicon is not None else np.full(len(words), -1)
@@ -274,7 +276,7 @@ class Encoder:
         merged = dict(zip(unseen, self.vocabulary.merge_all([words[i] for i in unseen]), strict=True))
         for i, (word, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
             ids = self.lexicon.ids_of(n) if n >= 0 else merged[i]
-            self.memo[word] = (ids.astype("<u4").tobytes(), self.vocabulary.decode(ids.tolist()))
+            self.memo[word], self.decoded[word] = ids.astype("<u4").tobytes(), self.vocabulary.decode(ids.tolist())
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, their decoded text) of each text."""
@@ -282,13 +284,12 @@ class Encoder:
         if new := set().union(*pieces).difference(self.memo):
             if len(self.memo) + len(new) > MEMO_WORDS:
                 self.memo.clear()
+                self.decoded.clear()
                 new = set().union(*pieces)
             self._learn(list(new))
-        memo, out = self.memo, []
-        for own in pieces:
-            found = [memo[p] for p in own]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
-        return out
+        ids, decoded = self.memo.__getitem__, self.decoded.__getitem__
+        # a piece without ids, where the vocabulary lacks its bytes, leaves no gap
+        return [(b"".join(map(ids, own)), " ".join(filter(None, map(decoded, own)) if self.gaps else map(decoded, own))) for own in pieces]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         return self.encode_all([text])[0]

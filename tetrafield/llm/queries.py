@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, pii, toxicity, url_filter
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_replaced")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mixing.mix(spark, docs, mixing.document_levels())
@@ -124,12 +128,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page (page_id set) and for every document (doc_id set), which has its text as the only evidence."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit(docs.select("text", "lang"))
+    of_pages = language_id.identify(spark, pages.select("page_id", "url", "html"), model, html_col="html", url_col="url")
+    of_docs = language_id.identify(spark, docs.select("doc_id", "text"), model, text_col="text")
+    null = F.lit(None).cast("long")
+    return of_pages.select("page_id", null.alias("doc_id"), "language", "confidence").unionByName(of_docs.select(null.alias("page_id"), "doc_id", "language", "confidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL}
