@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, pii, toxicity, url_filter
+from . import ann, bpe, exact_dedup, html_text, language_id, mixing, near_dedup, pii, toxicity, url_filter
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_replaced")
 
@@ -21,6 +25,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", F.col("lang_level").alias("lang"), F.col("source_level").alias("source"), "n_tokens", "copies")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(spark, pages).select("page_id", "url", "text", "n_chars")
+
+
 def _op4_level(out: str, nodes: str, parents: str) -> str:
     """SQL of one level of water-filling."""
     return f"""
@@ -139,7 +148,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
