@@ -6,7 +6,7 @@ brought into one component need no comparison among themselves, so after each ro
 and further pivots are drawn from outside the bucket's largest component until none remain. That finds the same
 components as comparing all pairs of the bucket. A pair must pass an estimate from the signatures, with a wide margin,
 and is then confirmed on the full shingle sets in integers. A true link is missed only if no band of it agrees
-((1 - 0.85**7)**34 = 2e-6) or the estimate falls 5 standard errors short.
+((1 - 0.85**7)**34 = 2e-6) or the estimate falls 4 standard errors short.
 
 Cases: null or empty text, or white space only, has no shingles and is linked with nothing; a text of fewer than five
 words is one shingle; very long texts are shingled whole; rows that repeat one id share its fate; an empty table
@@ -20,19 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written
+from .common import Written, partitions
 from .components import components
 
 WORDS = 5
 BANDS, ROWS = 34, 7
 PERCENT = 85  # a link: 100 * intersection >= PERCENT * union
-SLACK = 0.13  # an estimate may fall so far short of PERCENT: over 5 standard errors of BANDS * ROWS minima
-PIVOTS = 4  # of a bucket in its second round; four times as many in each later one
-BLOCK_BYTES = 1 << 20
+SLACK = 0.1  # an estimate may fall so far short of PERCENT: over 4 standard errors of BANDS * ROWS minima
+PIVOTS = 64  # of a bucket in its second round; eight times as many in each later one
+CHUNK = 4096  # members of a bucket that meet its pivots in one block
+BLOCK_BYTES = 1 << 18  # of text hashed at once; a worker holds some 40 bytes for each
+SLICE_ROWS = 256  # of a batch that are Python objects at once
 ADDED = ("n_shingles", "component_id", "kept")
 
 _U = np.uint64
@@ -125,41 +128,44 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
+SKETCH = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, set_a, set_b: a 128-bit digest of the set, signature: the low byte of each minimum, bands)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            ids, texts = part["_id"].tolist(), part["_text"].tolist()
-            rows: list[tuple] = []
-            group: list[tuple[int, np.ndarray]] = []
-            n = 0
-
-            def flush(group: list, rows: list) -> None:
-                minima = signatures([s for _, s in group])
-                wide = minima.astype(_U).reshape(len(group), BANDS, ROWS)
-                keys = mix((wide * _BAND).sum(2, dtype=_U) + np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
-                small = minima.astype(np.uint8)
-                for (i, s), sign, key in zip(group, small, keys, strict=True):
-                    a, b = mix(s + _U(1)).sum(dtype=_U), mix(s ^ _U(0x5555555555555555)).sum(dtype=_U)
-                    rows.append((i, len(s), int(a.view(np.int64)), int(b.view(np.int64)), sign.tobytes(), key.tolist()))
-
-            for i, s in zip(ids, shingle_sets(texts), strict=True):
-                if not len(s):
-                    rows.append((i, 0, None, None, None, None))
-                    continue
-                group.append((i, s))
-                n += len(s)
-                if n > 30_000:  # so that it stays in the processor's cache
+    def flush(group: list, rows: list) -> None:
+        minima = signatures([s for _, s in group])
+        small = minima.astype(np.uint8)
+        # of the bytes, so that the signature alone tells which buckets two documents share
+        wide = small.astype(_U).reshape(len(group), BANDS, ROWS)
+        keys = mix((wide * _BAND).sum(2, dtype=_U) + np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+        for (i, s), sign, key in zip(group, small, keys, strict=True):
+            a, b = mix(s + _U(1)).sum(dtype=_U), mix(s ^ _U(0x5555555555555555)).sum(dtype=_U)
+            rows.append((i, len(s), int(a.view(np.int64)), int(b.view(np.int64)), sign.tobytes(), key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                rows: list[tuple] = []
+                group: list[tuple[int, np.ndarray]] = []
+                n = 0
+                for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True):
+                    if not len(s):
+                        rows.append((i, 0, None, None, None, None))
+                        continue
+                    group.append((i, s))
+                    n += len(s)
+                    if n > 30_000:  # so that it stays in the processor's cache
+                        flush(group, rows)
+                        group, n = [], 0
+                if group:
                     flush(group, rows)
-                    group, n = [], 0
-            if group:
-                flush(group, rows)
-            made = pd.DataFrame(rows, columns=["id", "n_shingles", "set_a", "set_b", "signature", "bands"])
-            yield made.astype({"id": "Int64", "n_shingles": "int64", "set_a": "Int64", "set_b": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SKETCH.types, strict=True)], schema=SKETCH)
 
     schema = "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -174,21 +180,62 @@ def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. texts: (id, text)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for part in parts:
-            sets = list(shingle_sets(part["_a"].tolist()))
-            keep = []
-            for v, s, text in zip(part["v"], sets, part["_b"], strict=True):
-                if v != last:
-                    last, own = v, next(shingle_sets([text]))
-                both = len(np.intersect1d(s, own, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(s) + len(own) - both))
-            yield part.loc[keep, ["u", "v"]]
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                keep = []
+                for v, s, text in zip(part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist()), part.column(3), strict=True):
+                    if v != last:
+                        last, own = v, next(shingle_sets([text.as_py()]))
+                    both = len(np.intersect1d(s, own, assume_unique=True))
+                    keep.append(100 * both >= PERCENT * (len(s) + len(own) - both))
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("_a"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("_b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInPandas(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
+
+
+def across_blocks(members: DataFrame, pivots: DataFrame, groups: int) -> DataFrame:
+    """(u, v) of pivots and members of their bucket that are in other components and similar by signature.
+
+    Both: key, band, id, n (the bucket's size), comp, signature. Comparisons are blocks of array operations; only similar pairs
+    become rows, and only in the first bucket that a pair shares. A large bucket is dealt out in chunks, each of which meets the pivots.
+    """
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
+    deal = F.pmod(F.xxhash64("key", "chunk"), F.lit(4 * groups)).cast("int")
+    left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("deal", deal)
+    right = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("deal", deal)
+
+    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        if len(one) and len(other):
+            one, other = (x.sort_values(["key", "chunk", "id"], ignore_index=True) for x in (one, other))
+            them = {k: v for k, v in one.groupby(["key", "chunk"], sort=False).indices.items()}
+            for key, mine in other.groupby(["key", "chunk"], sort=False).indices.items():
+                if key not in them:
+                    continue
+                a, b = one.iloc[them[key]], other.iloc[mine]
+                x, y = (np.frombuffer(b"".join(t["signature"]), np.uint8).reshape(len(t), -1) for t in (a, b))
+                ai, ac, band = a["id"].to_numpy(), a["comp"].to_numpy(), int(a["band"].iloc[0])
+                least = (PERCENT / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
+                for sign, i, c in zip(y, b["id"].tolist(), b["comp"].tolist(), strict=True):
+                    same = x == sign
+                    near = np.flatnonzero((same.sum(1, dtype=np.int32) >= least * x.shape[1]) & (ac != c))
+                    if len(near):
+                        shared = same[near].reshape(len(near), BANDS, ROWS).all(2)
+                        near = near[shared.argmax(1) == band]
+                        us.append(np.minimum(ai[near], i))
+                        vs.append(np.maximum(ai[near], i))
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"u": np.concatenate(us or none), "v": np.concatenate(vs or none)})
+
+    columns = ["deal", "key", "chunk", "band", "id", "comp", "signature"]
+    # aliases give both sides columns of their own
+    left, right = (side.select(*(F.col(c).alias(c) for c in columns)) for side in (left, right))
+    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(run, "u long, v long")
 
 
 def _merged(spark: SparkSession, known: DataFrame | None, links: DataFrame, keep: Written, name: str) -> DataFrame:
@@ -211,7 +258,7 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     classes = keep(sketched.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     reps = sketched.filter("id IS NOT NULL").join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("id")), ["set_a", "set_b", "n_shingles", "id"], "left_semi").dropDuplicates(["id"])
 
-    banded = keep(reps.select("id", F.explode("bands").alias("key")), "banded")
+    banded = keep(reps.select("id", F.posexplode("bands").alias("band", "key")), "banded")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keep(banded.join(shared, "key"), "members")
     keep.drop("banded")
@@ -243,23 +290,23 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     comps = _merged(spark, comps, keep(confirmed(across(likely.select("u", "v")), texts), "links-rest"), keep, "comps-rest")
 
     # later rounds: pivots from outside the bucket's largest component, against members of other components
-    several = members.filter("n > 2").select("key", "id")
+    several = members.filter("n > 2")
     pivots = PIVOTS
     for step in range(1, 64):
-        placed = several.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        placed = several.join(comps, "id", "left").select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp"))
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
         largest = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("most.comp").alias("largest"))
         outside = placed.join(largest, "key").filter("comp <> largest").join(tested.withColumnRenamed("v", "id"), ["key", "id"], "left_anti")
         order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(step)), "id")
-        chosen = keep(outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", F.col("id").alias("v"), F.col("comp").alias("cv")), f"chosen{step}")
+        chosen = keep(outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "band", "id", "n", "comp"), f"chosen{step}")
         if chosen.isEmpty():
             break
-        pairs = placed.join(chosen, "key").filter("comp <> cv").select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-        links = keep(confirmed(similar(pairs).select("u", "v"), texts), f"links{step}")
-        tested = keep(tested.unionByName(chosen.select("key", "v")), f"tested{step}")
+        active = placed.join(chosen.select("key").distinct(), "key", "left_semi")
+        links = keep(confirmed(across_blocks(active.join(signs, "id"), chosen.join(signs, "id"), partitions(spark)).distinct(), texts), f"links{step}")
+        tested = keep(tested.unionByName(chosen.select("key", F.col("id").alias("v"))), f"tested{step}")
         if not links.isEmpty():
             comps = _merged(spark, comps, links, keep, f"comps{step}")
-        pivots *= 4
+        pivots *= 8
 
     placed = sketched.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
     named = placed.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep", "id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_text, language_id, mixing, near_dedup, pii, toxicity, url_filter
-from .common import table
+from .common import Written, table
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +102,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs = exact_dedup.with_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return exact_dedup.mark(Written(spark, "exact")(docs, "digests")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP9_SQL = r"""
