@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,8 +31,17 @@ def weighted_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Colum
     return _weighted_q(weights, v, q)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once: expressions that name an operand many times don't multiply when they nest."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def over(top: Column, under: Column) -> Column:
     """top composited over under (structs). A transparent one leaves the other as it is."""
+    return let(F.struct(top.alias("top"), under.alias("under")), lambda p: _over(p["top"], p["under"]))
+
+
+def _over(top: Column, under: Column) -> Column:
     alpha = top["alpha"] + under["alpha"] * (1 - top["alpha"])
     safe = F.when(alpha == 0, F.lit(1.0)).otherwise(alpha)
     a, b = top["alpha"] / safe, under["alpha"] * (1 - top["alpha"]) / safe
@@ -59,7 +68,7 @@ def fold(contributions: Column, existing: Column | None = None, stop: bool = Tru
     start = F.lit(None).cast(QUALITY) if existing is None else existing
 
     def add(done: Column, x: Column) -> Column:
-        grown = F.when(done.isNull(), x["q"]).otherwise(over(done, x["q"]))
+        grown = F.when(done.isNull(), x["q"]).otherwise(_over(done, x["q"]))
         return F.when(done.isNotNull() & saturated(done), done).otherwise(grown) if stop else grown
 
     return F.aggregate(contributions, start, add)
