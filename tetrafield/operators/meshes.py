@@ -118,6 +118,8 @@ def bounds(vertices: DataFrame, pad: float = 0.0) -> DataFrame:
 
 def validate(models: DataFrame, tets: DataFrame) -> None:
     """Raises where a model is empty, of an unknown type, or a depth profile without a profile."""
+    if "profile" not in models.columns:
+        models = models.withColumn("profile", F.lit(None).cast("string"))
     found = models.join(tets.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")), "model_id", "left")
     wrong = found.filter(F.col("n").isNull() | ~F.col("model_type").isin(1, 2, 3) | ((F.col("model_type") == DEPTH_PROFILE) & F.col("profile").isNull()) | ~F.col("vertical").isin("elevation", "depth")).select("name").limit(10).collect()
     if wrong:
