@@ -19,12 +19,14 @@ replaced, and the text column is replaced by the pseudonymised one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 KEY = "tetrafield-key"  # a default for tests and the query; give your own
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d\-./])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\-/]?\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\-]?\d)"
@@ -55,25 +57,34 @@ def _place(alphabet: str, sign: Column) -> Column:
     return F.instr(F.lit(alphabet), sign)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def permute_signs(value: Column, key: str, tweak: Column) -> Column:
     """The Feistel permutation of a string of letters and digits, each within its class. A single sign is shifted alone."""
-    half = (F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
-    shape = F.translate(value, DIGITS + LOWERS + UPPERS, "0" * 10 + "a" * 26 + "A" * 26)
 
-    def shifted(text: Column, digest: Column) -> Column:
-        # 16 places of 15 digests' worth at most: longer values take further digests
-        long = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(text) / 16).cast("int")), lambda i: F.sha2(F.concat(digest, i.cast("string")).cast("binary"), 256)), "")
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: _shift(F.substring(text, i, F.lit(1)), F.conv(F.substring(long, i * 4 - 3, F.lit(4)), 16, 10).cast("int"))), "")
+    def turned(v: Column) -> Column:
+        half = (F.length(v["t"]) / 2).cast("int")
+        start = F.struct(F.substring(v["t"], F.lit(1), half).alias("a"), F.substring(v["t"], half + 1, F.length(v["t"])).alias("b"))
 
-    def turn(s: Column, r: Column) -> Column:
-        digest = _digest(key, tweak, shape, r.cast("string"), s["b"])
-        moved = F.when(F.length(s["a"]) > 0, shifted(s["a"], digest)).otherwise(F.lit(""))
-        return F.struct(s["b"].alias("a"), moved.alias("b"))
+        def turn(s: Column, r: Column) -> Column:
+            digest = _digest(key, tweak, v["shape"], r.cast("string"), s["b"])
+            # a digest serves 16 signs; longer halves take a digest of its own for each further 16
+            long = F.concat(digest, F.array_join(F.transform(F.filter(F.sequence(F.lit(0), (F.length(s["a"]) / 16).cast("int")), lambda i: i > 0), lambda i: F.sha2(F.concat(digest, i.cast("string")).cast("binary"), 256)), ""))
+
+            def shifted(d: Column) -> Column:
+                signs = F.transform(F.sequence(F.lit(1), F.length(s["a"])), lambda i: _shift(F.substring(s["a"], i, F.lit(1)), F.conv(F.substring(d, i * 4 - 3, F.lit(4)), 16, 10).cast("int")))
+                return F.struct(s["b"].alias("a"), F.when(F.length(s["a"]) > 0, F.array_join(signs, "")).otherwise(F.lit("")).alias("b"))
+
+            return let(long, shifted)
+
+        # an even number of rounds gives the halves their own lengths back
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn), lambda d: F.concat(d["a"], d["b"]))
 
-    # an even number of rounds gives the halves their own lengths back
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return F.concat(done["a"], done["b"])
+    shaped = lambda t: F.struct(t.alias("t"), F.translate(t, DIGITS + LOWERS + UPPERS, "0" * 10 + "a" * 26 + "A" * 26).alias("shape"))
+    return let(value, lambda t: let(shaped(t), turned))
 
 
 def permute_number(n: Column, a_size: Column | int, b_size: Column | int, key: str, tweak: Column) -> Column:
@@ -83,11 +94,9 @@ def permute_number(n: Column, a_size: Column | int, b_size: Column | int, key: s
 
     def turn(s: Column, r: Column) -> Column:
         a = (s["a"] + _number(_digest(key, tweak, r.cast("string"), F.lit("a"), s["b"].cast("string")), 1, 12)) % sa
-        b = (s["b"] + _number(_digest(key, tweak, r.cast("string"), F.lit("b"), a.cast("string")), 1, 12)) % sb
-        return F.struct(a.alias("a"), b.alias("b"))
+        return let(a, lambda a: F.struct(a.alias("a"), ((s["b"] + _number(_digest(key, tweak, r.cast("string"), F.lit("b"), a.cast("string")), 1, 12)) % sb).alias("b")))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn)
-    return done["a"] * sb + done["b"]
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn), lambda d: d["a"] * sb + d["b"])
 
 
 def _poured(shape: Column, signs: Column) -> Column:
@@ -116,28 +125,31 @@ def _remainder97(signs: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, r"[^0-9]", "")
-    body = permute_signs(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
-    check = ((F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    plain = F.length(F.regexp_replace(digits, F.substring(digits, 1, 1), "")) > 0  # not one digit throughout
-    return F.when((luhn_sum(digits) % 10 == 0) & plain, _poured(value, F.concat(body, check))).otherwise(value)
+    def made(digits: Column) -> Column:
+        check = lambda body: ((F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
+        new = let(permute_signs(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card")), lambda body: _poured(value, F.concat(body, check(body))))
+        plain = F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) > 0  # not one digit throughout
+        return F.when((luhn_sum(digits) % 10 == 0) & plain, new).otherwise(value)
+
+    return let(F.regexp_replace(value, r"[^0-9]", ""), made)
 
 
 def _iban(value: Column, key: str) -> Column:
-    signs = F.replace(value, F.lit(" "), F.lit(""))
-    body, land = F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 2)
-    new = permute_signs(body, key, F.concat(F.lit("iban"), land))
-    check = F.lpad((F.lit(98) - _remainder97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    valid = (_remainder97(F.concat(body, F.substring(signs, 1, 4))) == 1) & F.length(signs).between(15, 34)
-    return F.when(valid, _poured(value, F.concat(land, check, new))).otherwise(value)
+    def made(signs: Column) -> Column:
+        body, land = F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 2)
+        check = lambda new: F.lpad((F.lit(98) - _remainder97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
+        new = let(permute_signs(body, key, F.concat(F.lit("iban"), land)), lambda new: _poured(value, F.concat(land, check(new), new)))
+        valid = (_remainder97(F.concat(body, F.substring(signs, 1, 4))) == 1) & F.length(signs).between(15, 34)
+        return F.when(valid, new).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), made)
 
 
 def _ipv4(value: Column, key: str) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     n = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    new = permute_number(n, 65536, 65536, key, F.lit("ipv4"))
-    written = F.concat_ws(".", *(F.floor(new / (256**k)) % 256 for k in (3, 2, 1, 0)))
-    return F.when(F.forall(octets, lambda x: x <= 255), written).otherwise(value)
+    written = lambda new: F.concat_ws(".", *(F.floor(new / (256**k)) % 256 for k in (3, 2, 1, 0)))
+    return F.when(F.forall(octets, lambda x: x <= 255), let(permute_number(n, 65536, 65536, key, F.lit("ipv4")), written)).otherwise(value)
 
 
 def _date(value: Column, key: str) -> Column:
@@ -152,24 +164,32 @@ def _date(value: Column, key: str) -> Column:
     month_first = F.when(F.contains(value, F.lit("/")), day(parts[2], second, first))
     swapped = ~iso & day_first.isNull() & month_first.isNotNull()
     read = F.when(iso, day(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, month_first))
-    start = F.make_date((F.floor((F.year(read) - 50) / 100) * 100 + 50).cast("int"), F.lit(1), F.lit(1))
-    leap = F.year(F.add_months(start, 600)) % 400 == 0  # its hundred years have 36525 days, else 36524
-    a, b = F.when(leap, 75).otherwise(92).cast("long"), F.when(leap, 487).otherwise(397).cast("long")
-    new = F.date_add(start, permute_number(F.datediff(read, start).cast("long"), a, b, key, F.concat(F.lit("date"), start.cast("string"))).cast("int"))
-    two = F.lpad(F.day(new).cast("string"), 2, "0"), F.lpad(F.month(new).cast("string"), 2, "0")
-    sign = F.regexp_extract(value, r"[./]", 0)
-    written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(swapped, F.concat_ws("/", two[1], two[0], F.year(new))).otherwise(F.concat(two[0], sign, two[1], sign, F.year(new).cast("string")))
-    return F.when(read.isNotNull() & F.year(read).between(1000, 9949), written).otherwise(value)
+    def within(d: Column) -> Column:
+        start = F.make_date((F.floor((F.year(d) - 50) / 100) * 100 + 50).cast("int"), F.lit(1), F.lit(1))
+        leap = (F.floor((F.year(d) - 50) / 100) * 100 + 100) % 400 == 0  # its hundred years have 36525 days, else 36524
+        a, b = F.when(leap, 75).otherwise(92).cast("long"), F.when(leap, 487).otherwise(397).cast("long")
+        new = permute_number(F.datediff(d, start).cast("long"), a, b, key, F.concat(F.lit("date"), start.cast("string")))
+        return let(F.date_add(start, new.cast("int")), written)
+
+    def written(new: Column) -> Column:
+        two = F.lpad(F.day(new).cast("string"), 2, "0"), F.lpad(F.month(new).cast("string"), 2, "0")
+        sign, year = F.regexp_extract(value, r"[./]", 0), F.year(new).cast("string")
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(swapped, F.concat_ws("/", two[1], two[0], year)).otherwise(F.concat(two[0], sign, two[1], sign, year))
+
+    return let(read, lambda d: F.when(d.isNotNull() & F.year(d).between(1000, 9949), within(d)).otherwise(value))
 
 
 def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     # 898 areas (001 to 899 without 666), 99 groups, 9999 serials
     n = ((area - 1 - (area > 666).cast("int")).cast("long") * 99 + group - 1) * 9999 + serial - 1
-    new = permute_number(n, 898 * 99, 9999, key, F.lit("ssn"))
-    a = F.floor(new / (99 * 9999)) + 1
-    written = F.concat_ws("-", F.lpad((a + (a >= 666).cast("int")).cast("string"), 3, "0"), F.lpad((F.floor(new / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((new % 9999 + 1).cast("string"), 4, "0"))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), written).otherwise(value)
+
+    def written(new: Column) -> Column:
+        a = F.floor(new / (99 * 9999)) + 1
+        return F.concat_ws("-", F.lpad((a + (a >= 666).cast("int")).cast("string"), 3, "0"), F.lpad((F.floor(new / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((new % 9999 + 1).cast("string"), 4, "0"))
+
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(valid, let(permute_number(n, 898 * 99, 9999, key, F.lit("ssn")), written)).otherwise(value)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -205,11 +225,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     """docs with the text column's personal data replaced, and n_replaced."""
     rows = docs.select(*(c for c in docs.columns if c != "n_replaced"))
     text = F.col(text_col)
-    found = rows.withColumn("_found", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
-    found = found.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    # the pieces between the candidates, which are one more
-    between = F.when(F.size("_found") > 0, F.split(text, ANY, -1))
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("_new"), F.array(F.lit(""))), lambda p, n: F.array(p, n))), "")
-    n = F.aggregate(F.zip_with("_found", "_new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    made = found.withColumn("_text", F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("n_replaced", F.coalesce(n, F.lit(0).cast("long")))
-    return made.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in rows.columns), "n_replaced")
+    # every candidate holds a digit or an @: other texts need no closer look
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
+
+    def replaced(f: Column) -> Column:
+        """The pieces between the candidates, which are one more, and the pseudonyms in turn."""
+        pour = lambda new: F.struct(
+            F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda p, n: F.array(p, n))), "").alias("text"),
+            F.aggregate(F.zip_with(f, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("n"),
+        )
+        return F.when(F.size(f) > 0, let(F.transform(f, lambda v: pseudonym(v, key)), pour)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+
+    made = rows.withColumn("_made", let(F.coalesce(found, F.array().cast("array<string>")), replaced))
+    return made.select(*(F.col("_made.text").alias(c) if c == text_col else F.col(c) for c in rows.columns), F.col("_made.n").alias("n_replaced"))
