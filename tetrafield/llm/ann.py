@@ -142,10 +142,12 @@ def _link_back(points: np.ndarray, links: np.ndarray, batch: np.ndarray, kept: n
         cell = first[part][:, None] + np.arange(most)
         new = np.where(np.arange(most) < count[part][:, None], source[np.minimum(cell, len(source) - 1)], -1)
         old = np.where(links[nodes[part]] == n, -1, links[nodes[part]])
-        both = np.hstack([old, new])
-        room = (old >= 0).sum(1) + count[part] <= links.shape[1]
+        both = -np.sort(-np.hstack([old, new]), 1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1  # a link that is there already
+        both = -np.sort(-both, 1)
+        room = (both >= 0).sum(1) <= links.shape[1]
         kept_now = np.full((len(part), links.shape[1]), -1, np.int64)
-        simple = -np.sort(-both, 1)[:, : links.shape[1]]
+        simple = both[:, : links.shape[1]]
         kept_now[:, : simple.shape[1]] = simple
         if (~room).any():
             kept_now[~room] = robust_prune(points, nodes[part][~room], both[~room])
@@ -184,7 +186,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         members = [np.asarray(x, np.int64) for x in shard["ids"]]
         reps, ids, scores = [], [], []
         for rep, q, row in zip(asked["rep"], asked_for, near, strict=True):
-            row = row[row >= 0]
+            row = np.unique(row[row >= 0])
             product = (vectors[row] * q).sum(1)
             best = np.argsort(-product, kind="stable")
             if len(best) > k:  # ties with the last one stay
