@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,13 +167,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     """Similarity by the share of agreeing minima, corrected for bytes that agree by chance."""
     if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
+        return pa.array([], pa.float64())
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pa.array(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,33 +208,41 @@ def across_blocks(members: DataFrame, pivots: DataFrame, groups: int) -> DataFra
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("deal", deal)
     right = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("deal", deal)
 
-    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def sorted_out(table: pa.Table) -> tuple[dict[tuple[int, int], slice], dict[str, np.ndarray]]:
+        """Where each (key, chunk) lies, and the columns in that order."""
+        own = {c: table.column(c).to_numpy() for c in ("key", "chunk", "band", "id", "comp")}
+        order = np.lexsort((own["id"], own["chunk"], own["key"]))
+        own = {c: v[order] for c, v in own.items()}
+        own["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+        cuts = np.flatnonzero((np.diff(own["key"]) != 0) | (np.diff(own["chunk"]) != 0)) + 1
+        ends = [0, *cuts.tolist(), len(order)]
+        return {(int(own["key"][i]), int(own["chunk"][i])): slice(i, j) for i, j in zip(ends, ends[1:])}, own
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
         us, vs = [], []
-        if len(one) and len(other):
-            one, other = (x.sort_values(["key", "chunk", "id"], ignore_index=True) for x in (one, other))
-            them = {k: v for k, v in one.groupby(["key", "chunk"], sort=False).indices.items()}
-            for key, mine in other.groupby(["key", "chunk"], sort=False).indices.items():
-                if key not in them:
+        if one.num_rows and other.num_rows:
+            (places, a), (mine, b) = sorted_out(one), sorted_out(other)
+            least = (PERCENT / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
+            for key, at in mine.items():
+                if key not in places:
                     continue
-                a, b = one.iloc[them[key]], other.iloc[mine]
-                x, y = (np.frombuffer(b"".join(t["signature"]), np.uint8).reshape(len(t), -1) for t in (a, b))
-                ai, ac, band = a["id"].to_numpy(), a["comp"].to_numpy(), int(a["band"].iloc[0])
-                least = (PERCENT / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
-                for sign, i, c in zip(y, b["id"].tolist(), b["comp"].tolist(), strict=True):
-                    same = x == sign
-                    near = np.flatnonzero((same.sum(1, dtype=np.int32) >= least * x.shape[1]) & (ac != c))
+                there = places[key]
+                x, ai, ac, band = a["signature"][there], a["id"][there], a["comp"][there], int(a["band"][there.start])
+                for n in range(at.start, at.stop):
+                    same = x == b["signature"][n]
+                    near = np.flatnonzero((same.sum(1, dtype=np.int32) >= least * x.shape[1]) & (ac != b["comp"][n]))
                     if len(near):
                         shared = same[near].reshape(len(near), BANDS, ROWS).all(2)
                         near = near[shared.argmax(1) == band]
-                        us.append(np.minimum(ai[near], i))
-                        vs.append(np.maximum(ai[near], i))
+                        us.append(np.minimum(ai[near], b["id"][n]))
+                        vs.append(np.maximum(ai[near], b["id"][n]))
         none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"u": np.concatenate(us or none), "v": np.concatenate(vs or none)})
+        return pa.table({"u": pa.array(np.concatenate(us or none), pa.int64()), "v": pa.array(np.concatenate(vs or none), pa.int64())})
 
     columns = ["deal", "key", "chunk", "band", "id", "comp", "signature"]
     # aliases give both sides columns of their own
     left, right = (side.select(*(F.col(c).alias(c) for c in columns)) for side in (left, right))
-    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(run, "u long, v long")
+    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInArrow(run, "u long, v long")
 
 
 def _merged(spark: SparkSession, known: DataFrame | None, links: DataFrame, keep: Written, name: str) -> DataFrame:
