@@ -158,7 +158,8 @@ def test_extraction_cases(spark):
     article = "<html><body><nav><a href=x>Menu one</a><a href=y>Menu two</a></nav><article><h1>Title &amp; more</h1><p><b>First   words.<br><p>Second\nwords, and more of them.</p></article><footer>&copy; x</footer>"
     docs = spark.createDataFrame([(1, article, "own"), (2, None, "own"), (3, "", "own"), (4, "just text", "own"), (5, "<p", "own"), (6, article + "<p>" * 20_000, "own")], "page_id long, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(spark, docs).collect()}
-    assert got[1] == ("Title & more\n\nFirst words.\n\nSecond words, and more of them.", 57)
+    want = "Title & more\n\nFirst words.\n\nSecond words, and more of them."
+    assert got[1] == (want, len(want))
     assert got[2] == got[3] == ("", 0) and got[4] == ("just text", 9) and 6 in got
     assert html_text.main_text(spark, docs.limit(0)).count() == 0
 

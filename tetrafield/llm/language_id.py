@@ -140,7 +140,7 @@ def identify(spark: SparkSession, rows: DataFrame, model: tuple[list[str], np.nd
     else:
         total = read.agg(_vote_sums(n, "_vote").alias("_all"), F.count(F.lit(1)).alias("_n")).select(F.transform("_all", lambda x: (x + 1.0) / (F.col("_n") + float(n))).alias("_world"))
         world = total.first()  # one number for each language
-        spread = F.array(*(F.lit(float(p)) for p in (world[0] if world and world[0] else share)))
+        spread = F.array(*(F.lit(float(p)) for p in (world[0] if world and world[0] and world[0][0] is not None else share)))
         hosts = read.groupBy("_host", "_domain").agg(_vote_sums(n, "_vote").alias("_h"), F.count(F.lit(1)).alias("_hn"))
         domains = hosts.groupBy("_domain").agg(F.array(*(F.sum(F.col("_h")[i]) for i in range(n))).alias("_d"), F.sum("_hn").alias("_dn"))
         smoothed = domains.withColumn("_dp", F.transform(F.zip_with("_d", spread, lambda x, p: x + DOMAIN_PRIOR * p), lambda x: x / (F.col("_dn") + DOMAIN_PRIOR))).select("_domain", "_dp")

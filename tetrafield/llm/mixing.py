@@ -10,7 +10,7 @@ running total stays within what is left.
 The prefix needs no sort of a leaf: tokens are summed by leaf and hash bucket, the bucket in which the budget runs out
 is found from running sums over at most 65536 buckets, and only that bucket's documents are put in order.
 
-Cases: null text has no tokens; such rows cost nothing and are taken with the others of their place in the order; null
+Cases: null text has no tokens; such rows cost nothing and are taken with the others of their place in the order (a leaf without any token once); null
 levels form a branch of their own, named ''; rows that repeat count each; ties of the hash go to the smaller id; an
 empty table, or a budget of 0, selects nothing; clashing input columns (n_tokens, copies) are replaced.
 """
