@@ -154,7 +154,10 @@ def surface(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, hill(F.col("x"), F.col("y")))
 
 
-GRID = ["grid", "i", "j", "k", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "depth", "nominal_depth"))]
+def grid_out() -> list:
+    return ["grid", "i", "j", "k", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "depth", "nominal_depth"))]
+
+
 _OUT = "i, j, k, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(depth, 6) AS depth, round(a, 6) AS nominal_depth"
 _S = "(x * x - y) / 16"
 
@@ -164,7 +167,7 @@ def _columns_sql(ni: int, nj: int, rx: float, ry: float, stride: int = 1) -> str
 
 
 def grid_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.regular(spark, surface, 8.0, 6.0, 2.0, 0.5, 0.25, 0.25).select(*GRID)
+    return grids.regular(spark, surface, 8.0, 6.0, 2.0, 0.5, 0.25, 0.25).select(*grid_out())
 
 
 QUERIES["grid_regular"] = grid_regular
@@ -173,7 +176,7 @@ SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, s + a AS z, a AS depth FROM p)"""
 
 
 def grid_sw4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.sw4(spark, surface, 8.0, 8.0, {"top": (0.25, 1.0), "middle": (0.5, 3.0), "bottom": (1.0, 8.0)}).select(*GRID)
+    return grids.sw4(spark, surface, 8.0, 8.0, {"top": (0.25, 1.0), "middle": (0.5, 3.0), "bottom": (1.0, 8.0)}).select(*grid_out())
 
 
 def _sw4_sql(name: str, r: float, stride: int, top: float, bottom: float, first: bool) -> str:
@@ -187,7 +190,7 @@ SQL["grid_sw4"] = " UNION ALL ".join([_sw4_sql("top", 0.25, 1, 0.0, 1.0, True),
 
 def _emod3d(decay: str, weight: str, **options: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return grids.emod3d(spark, surface, 12, 10, 9, 0.5, decay, **options).select(*GRID)
+        return grids.emod3d(spark, surface, 12, 10, 9, 0.5, decay, **options).select(*grid_out())
 
     sql = f"""WITH p AS (SELECT *, {_S} AS s, k * 0.5::DOUBLE AS a FROM ({_columns_sql(12, 10, 0.5, 0.5)}), generate_series(0, 8) g(k)), q AS (SELECT *, {weight} AS w FROM p)
 SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, a + CASE WHEN w = 0 THEN 0 ELSE w * s END AS z, a + (CASE WHEN w = 0 THEN 0 ELSE w * s END - s) AS depth FROM q)"""
@@ -209,7 +212,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_borehole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.borehole(_sites(spark, sf_dir), surface, 3.0, 0.5, ["station"]).select(*GRID, "station")
+    return grids.borehole(_sites(spark, sf_dir), surface, 3.0, 0.5, ["station"]).select(*grid_out(), "station")
 
 
 QUERIES["grid_borehole"] = grid_borehole
@@ -220,7 +223,7 @@ SQL["grid_borehole"] = f"SELECT 'grid' AS grid, {_OUT}, station FROM (SELECT *,
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     own = c.select(F.col("c_custkey").alias("i"), (F.col("c_custkey") % 64 / 8).alias("x"), (F.col("c_nationkey") / 4).alias("y"), (F.col("c_custkey") % 9 - 4.0).alias("z"))
-    return grids.scattered(own, surface).select(*GRID)
+    return grids.scattered(own, surface).select(*grid_out())
 
 
 QUERIES["grid_points"] = grid_points
