@@ -215,3 +215,39 @@ def test_stream(spark, tmp_path):
     got = []
     streaming.composite(stream, index, lambda rows, n: got.extend(rows.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted((r.n, r.q.rho) for r in got) == [(0, 5.0), (1, 0.0)]
+
+
+def test_adaptive_tin(spark):
+    from tetrafield.operators import tin
+
+    n = 21
+    xs, ys = np.meshgrid(np.linspace(0, 10, n), np.linspace(0, 10, n))
+    samples = np.column_stack([xs.ravel(), ys.ravel()])
+    values = np.column_stack([np.maximum(0, 5 - np.hypot(xs - 5, ys - 5)).ravel(), (xs + ys).ravel()])
+    ring = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], float)
+    v, t = tin.triangulate(ring, samples, values, 0.05)
+    area = tin._turn(v, t) / 2
+    assert (area > 0).all() and area.sum() == pytest.approx(100) and len(t) > 20
+    flat_v, flat_t = tin.triangulate(ring, samples, values[:, 1:], 0.05)
+    assert len(flat_t) == 2
+    _, short = tin.triangulate(ring, samples, values[:, 1:], 0.05, max_edge=3.0)
+    assert len(short) > len(flat_t)
+    notch = np.array([[0, 0], [10, 0], [10, 10], [5, 2], [0, 10]], float)
+    v, t = tin.triangulate(notch, samples[:0], values[:0], 0.05)
+    area = tin._turn(v, t) / 2
+    assert area.sum() == pytest.approx(60)
+    outlines = spark.createDataFrame([(b, k, float(x), float(y)) for b in "ab" for k, (x, y) in enumerate(ring)], "basin string, n int, x double, y double")
+    rows = spark.createDataFrame([(b, float(x), float(y), float(z)) for b in "ab" for (x, y), z in zip(samples, values[:, 0])], "basin string, x double, y double, z double")
+    got = tin.adaptive_tins(outlines, rows, ["z"], 0.1).groupBy("basin").count().collect()
+    assert len(got) == 2 and got[0]["count"] == got[1]["count"]
+
+
+def test_resample_and_rewrite(spark):
+    i = F.col("id")
+    nodes = spark.range(81).select(F.floor(i / 9).alias("j"), (i % 9).alias("k"), (i % 9).cast("double").alias("x"), F.floor(i / 9).cast("double").alias("y")).withColumn("value", F.col("x") + 10 * F.col("y"))
+    made = surfaces.resample_upright(spark, nodes)
+    assert made.count() == 81 and made.filter("abs(z - (x + 10 * y)) > 1e-9 OR z IS NULL").count() == 0
+    v, _ = meshes.grid_mesh(spark, 0, (0, 0, 0), (1, 1, 100), (2, 2, 5), vs=3000.0, vp=5000.0, rho=2500.0, qp=1.0, qs=1.0)
+    got = meshes.rewrite_top(v, F.col("x") == 0, 350.0, F.lit(400.0), F.lit(4000.0), F.lit(2000.0), {"vs": 999.0})
+    assert {(r.x, r.z): r.vs for r in got.collect()}[0.0, 0.0] == pytest.approx(200) and got.filter("x = 1 AND z = 0").first().vs == 999 and got.filter("z = 400").first().vs == 3000
+    assert grids.grid_azimuth(30.0, 173.0, -41.0) == pytest.approx(30.0, abs=1e-6)

@@ -38,6 +38,13 @@ class Frame:
         return [tuple((self.matrix @ [x, y, 1])[:2].tolist()) for x, y in half]
 
 
+def grid_azimuth(azimuth: float, lon: float, lat: float, projection=None) -> float:
+    """Degrees clockwise from grid north of a bearing from true north at a place."""
+    from ..functions.crs import TransverseMercator
+
+    return (azimuth + (projection or TransverseMercator()).convergence(lon, lat)) % 360
+
+
 def nodes_along(extent: float, resolution: float) -> int:
     return round(extent / resolution) + 1
 

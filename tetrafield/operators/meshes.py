@@ -242,3 +242,13 @@ def concatenated(*meshes: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataF
     return vertices, tets
 
 
+
+
+def rewrite_top(vertices: DataFrame, mask: Column, depth_t: float, vs30: Column, vp_t: Column, vs_t: Column, outside: dict[str, float]) -> DataFrame:
+    """Vertices whose column is tapered from its own top: each column's least z is its ground; outside the mask constants stand."""
+    ground = F.min("z").over(Window.partitionBy("model_id", "x", "y"))
+    own = vertices.withColumn("_d", F.col("z") - ground)
+    taper = numeric.ely_profile(F.least("_d", F.lit(float(depth_t))), vs30, vp_t, vs_t, depth_t)
+    near = F.col("_d") < depth_t
+    made = {c: F.when(near & mask, taper[c]).when(near, F.lit(float(outside[c]))).otherwise(F.col(c)) for c in COMPONENTS if c in outside}
+    return own.withColumns(made).drop("_d")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -129,3 +130,12 @@ def in_quads(points: DataFrame, nodes: DataFrame, level: int, name: str = "value
     # on a shared edge both cells agree; the first one stands for them
     best = F.min(F.when(held, F.struct("j", "k", value.alias("value"))))
     return joined.groupBy(*points.columns).agg(best.alias("_b")).select(*points.columns, F.col("_b.value").alias(name))
+
+
+def resample_upright(spark: SparkSession, nodes: DataFrame, spacing: float | None = None, level: int | None = None) -> DataFrame:
+    """(ix, iy, x, y, z) of a curvilinear grid (j, k, x, y, value) on an upright lattice; the spacing is the median one unless given."""
+    step = spacing or float(median_spacing(nodes.select(F.col("k").alias("ix"), F.col("j").alias("iy"), "x", "y")).first()[0])
+    r = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    nx, ny = (int((r[2 * a + 1] - r[2 * a]) // step) + 1 for a in (0, 1))
+    lattice = spark.range(nx * ny).select((F.col("id") % nx).alias("ix"), F.floor(F.col("id") / nx).alias("iy")).withColumns({"x": F.lit(r[0]) + F.col("ix") * step, "y": F.lit(r[2]) + F.col("iy") * step})
+    return in_quads(lattice, nodes, math.ceil(math.log2(step)) + 1 if level is None else level, name="z")
