@@ -51,6 +51,18 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch in the jobs that run within: with whole texts in them, batches are what workers' memory goes to."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as the contracts ask; F.lower would change other letters too."""
     return F.translate(c, UPPER, LOWER)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, partitions
+from .common import Written, batches_of, partitions
 from .components import components
 
 WORDS = 5
@@ -34,6 +34,7 @@ SLACK = 0.1  # an estimate may fall so far short of PERCENT: over 4 standard err
 PIVOTS = 64  # of a bucket in its second round; eight times as many in each later one
 CHUNK = 4096  # members of a bucket that meet its pivots in one block
 BLOCK_BYTES = 1 << 18  # of text hashed at once; a worker holds some 40 bytes for each
+BATCH_ROWS = 1024  # of texts that pass to a worker at once
 SLICE_ROWS = 256  # of a batch that are Python objects at once
 ADDED = ("n_shingles", "component_id", "kept")
 
@@ -260,6 +261,11 @@ def _merged(spark: SparkSession, known: DataFrame | None, links: DataFrame, keep
 
 def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' ids (as id_col, long) with n_shingles, component_id and kept: one row for each row of docs."""
+    with batches_of(spark, BATCH_ROWS):  # all jobs with texts run within; what is returned only joins written tables
+        return _link(spark, docs, id_col, text_col)
+
+
+def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keep = Written(spark, "near")
     sketched = keep(sketch(docs, id_col, text_col), "sketch")
     classes = keep(sketched.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep")), "classes")

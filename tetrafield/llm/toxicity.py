@@ -199,6 +199,10 @@ class Scorer:
         self.words: dict[str, tuple[str, ...]] = {}
         self.scores: dict[str, float] = {}
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.scores.clear()
+
     def tokens(self, text: str) -> set[str]:
         found = set(text.split())
         for m in SPACED.finditer(text):
@@ -331,7 +335,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        for part in parts:
-            yield pd.Series([own.score(t if isinstance(t, str) else "") for t in part], dtype="float64")
+        try:
+            for part in parts:
+                yield pd.Series([own.score(t if isinstance(t, str) else "") for t in part], dtype="float64")
+        finally:
+            own.scorer.forget()  # the worker and its copy of the model outlive the task
 
     return rows.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
