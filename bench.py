@@ -21,7 +21,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
+        # hits of a point are few, so lists stay in the hash map instead of being sorted first
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
 

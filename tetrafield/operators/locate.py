@@ -132,19 +132,12 @@ def gathered(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataF
     found = candidates(points, index, "left", models.holds(F.col("priority")))
     entry = F.when(F.col("tid").isNotNull(), F.struct("priority", "model_id", "tid", sample().alias("q")))
     listed = found.select(*points.columns, entry.alias("_hit")).groupBy(*points.columns).agg(F.collect_list("_hit").alias("_hits"))
-    order = F.array_sort("_hits", lambda a, b: _compare(a, b))
+    order = F.array_sort("_hits")  # structs compare by their fields in turn, and (priority, model_id, tid) differs
     # of one model only the first stays
     first = F.filter(order, lambda x, i: (i == 0) | (F.get(order, i - 1)["model_id"] != x["model_id"]))
     return listed.select(*points.columns, first.alias("hits"))
 
 
-def _compare(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for c in ("tid", "model_id", "priority"):
-        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
-    return out
-
-
 def composite(points: DataFrame, index: Index, models: ModelRange = ALL, name: str = "q", miss_zero: bool = True) -> DataFrame:
     """points with the struct `name`: the models that hold each point composited in order of priority."""
     folded = algebra.fold(F.col("hits"))
