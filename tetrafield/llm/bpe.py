@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 ADDED = ("ids", "n_tokens", "decoded")
 LEXICON_WORDS = 60_000  # the automaton's size is bounded by this
 MEMO_WORDS = 400_000  # of a worker, dropped as a whole when full
@@ -303,6 +305,8 @@ def _encoder(path: str, lexicon: str | None) -> Encoder:
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents, in the tokenizer's own pieces. Tasks pass partial counts on, in pieces of bounded size."""
 
+    text_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = _encoder(path, None).vocabulary, Counter()
 
@@ -349,6 +353,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers), n_tokens and decoded added."""
+    text_batches(docs.sparkSession)
     rows = docs.select(*(c for c in docs.columns if c not in ADDED))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "ids binary", "n_tokens long", "decoded string"])
     at = rows.columns.index(text_col)

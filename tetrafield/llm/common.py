@@ -51,16 +51,28 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+TEXT_ROWS = 1024
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, where it has Spark's default: 10,000 whole texts at once are what workers' memory goes to.
+
+    Plans run after their operator has returned, so the setting has to stay.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(TEXT_ROWS))
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Rows of an Arrow batch in the jobs that run within: with whole texts in them, batches are what workers' memory goes to."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
 def ascii_lower(c: Column) -> Column:

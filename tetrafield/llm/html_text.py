@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 TRAIN_PAGES, SEED = 700, 5
 TREES, DEPTH, RATE, BINS = 60, 4, 0.25, 32
 ADDED = ("text", "n_chars")
@@ -307,6 +309,7 @@ def extract(model: Boosted, pages: list[str | None]) -> list[str]:
 
 def main_text(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages, without html, with text and n_chars (its code points)."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, text_or_empty
+from .common import Written, text_batches, text_or_empty
 
 BITS = 15  # of a trigram's hash
 LANGUAGES = 64  # the commonest labels are the candidates; their number bounds the model's size
@@ -85,6 +85,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: i
 
 def likelihoods(spark: SparkSession, rows: DataFrame, text: Column, model: np.ndarray, html: bool) -> Column:
     """Tempered log likelihoods by language, relative to the best; an empty text gives zeros."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.T))  # at most LANGUAGES * 2**BITS numbers
 
     @F.pandas_udf("array<double>")

@@ -25,10 +25,11 @@ from heapq import nlargest
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, text_batches
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -290,6 +291,7 @@ class Model:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: (id, label) of the rows that may be learnt from."""
+    text_batches(spark)
     lm = language_model(trigram_counts(docs, text_col))
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
@@ -329,6 +331,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted added."""
+    text_batches(spark)
     rows = docs.select(*(c for c in docs.columns if c not in ADDED))
     shared = spark.sparkContext.broadcast(model)
 
@@ -339,6 +342,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
             for part in parts:
                 yield pd.Series([own.score(t if isinstance(t, str) else "") for t in part], dtype="float64")
         finally:
-            own.scorer.forget()  # the worker and its copy of the model outlive the task
+            # the worker and its copy of the model outlive the task
+            own.scorer.forget()
+            pa.default_memory_pool().release_unused()
 
     return rows.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
