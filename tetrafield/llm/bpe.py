@@ -28,11 +28,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import give_back, text_batches
 
 ADDED = ("ids", "n_tokens", "decoded")
 LEXICON_WORDS = 60_000  # the automaton's size is bounded by this
-MEMO_WORDS = 400_000  # of a worker, dropped as a whole when full
+MEMO_WORDS = 250_000  # of a worker, dropped as a whole when full
 COUNT_WORDS = 300_000  # distinct words that a counting task holds before it passes partial counts on
 OUT_BYTES = 8 << 20  # of an output batch
 GROUP_CHARS = 1 << 20  # texts are encoded in groups of this size, so that their unseen words are merged together
@@ -322,6 +322,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                     if len(counts) > COUNT_WORDS:
                         yield out()
         yield out()
+        give_back()
 
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -370,5 +371,8 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str
                     added = [pa.array([x for x, _ in made], pa.binary()), pa.array([len(x) // 4 for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.string())]
                     yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *ADDED])
                     first, made, size = last, [], 0
+        encoder.memo.clear()
+        encoder.decoded.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)

@@ -64,6 +64,20 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(TEXT_ROWS))
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system, at the end of a task: idle workers stay beside those of later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Rows of an Arrow batch in the jobs that run within: with whole texts in them, batches are what workers' memory goes to."""

@@ -25,18 +25,17 @@ from heapq import nlargest
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, text_batches
+from .common import Written, give_back, text_batches
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 BITS = 18  # of a piece's hash
 PRIOR_ROWS = 5.0  # pseudo rows at the base rate in a piece's odds
 TOP = 3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000  # about 50 MB of a worker
 ADDED = ("score", "predicted")
 
 # Readings of a sign and their costs (negative log probability in the channel), fixed values.
@@ -344,6 +343,6 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "t
         finally:
             # the worker and its copy of the model outlive the task
             own.scorer.forget()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return rows.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
