@@ -1,8 +1,10 @@
 """The pipeline against the stages' brute-force counterparts."""
 
+import random
+
 import corpus_pipeline
 from tests.compare import SF
-from tests.llm.test_models import linked
+from tests.llm.test_models import family, linked, shingles
 from tetrafield.llm import mixing, toxicity
 
 
@@ -25,3 +27,34 @@ def test_pipeline_rows(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in kept["mixing"]) and all(len(r.ids) == 4 * r.n_tokens for r in got)
     assert mixing.SHARE <= 1 and toxicity.THRESHOLD == 0.3
+
+
+def linked_at(rows, percent):
+    """The smallest id of each row's component, by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    of = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and of[i] != of[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((of[i], of[j]))
+                of = {k: low if c == high else c for k, c in of.items()}
+    return of
+
+
+def test_pipeline_links_near_copies_from_eighty_percent(spark):
+    """Pairs between 80 and 85 per cent, alone and as the only joints of a chain."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [t for _, t in family()]
+    for _ in range(20):
+        words = [word() for _ in range(104)]  # 100 shingles, of which two distant changes take ten: 90 of 110
+        for place in (20, 60):
+            rows.append(" ".join(words))
+            words = [*words[:place], word(), *words[place + 1 : place + 20], word(), *words[place + 21 :]]
+        rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    want, strict = linked_at(rows, 80), linked_at(rows, 85)
+    assert len({*want.values()}) + 40 <= len({*strict.values()})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {i for i, c in want.items() if i == c}

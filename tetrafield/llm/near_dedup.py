@@ -5,8 +5,8 @@ bucket. In a bucket members are compared with a few pivots, never all with all:
 brought into one component need no comparison among themselves, so after each round only pairs across components remain,
 and further pivots are drawn from outside the bucket's largest component until none remain. That finds the same
 components as comparing all pairs of the bucket. A pair must pass an estimate from the signatures, with a wide margin,
-and is then confirmed on the full shingle sets in integers. A true link is missed only if no band of it agrees
-((1 - 0.85**7)**34 = 2e-6) or the estimate falls 4 standard errors short.
+and is then confirmed on the full shingle sets in integers. A true link is missed only if no band of it agrees (2e-6, as
+(1 - 0.85**7)**34 and (1 - 0.8**6)**44) or the estimate falls 4 standard errors short.
 
 Cases: null or empty text, or white space only, has no shingles and is linked with nothing; a text of fewer than five
 words is one shingle; very long texts are shingled whole; rows that repeat one id share its fate; an empty table
@@ -28,9 +28,9 @@ from .common import Written, batches_of, partitions
 from .components import components
 
 WORDS = 5
-BANDS, ROWS = 34, 7
-PERCENT = 85  # a link: 100 * intersection >= PERCENT * union
-SLACK = 0.1  # an estimate may fall so far short of PERCENT: over 4 standard errors of BANDS * ROWS minima
+PERCENT = 85  # a link: 100 * intersection >= percent * union
+BANDING = {85: (34, 7), 80: (44, 6)}  # bands and rows of each percent in use
+SLACK = 0.1  # an estimate may fall so far short of percent: over 4 standard errors of bands * rows minima
 PIVOTS = 64  # of a bucket in its second round; eight times as many in each later one
 CHUNK = 4096  # members of a bucket that meet its pivots in one block
 BLOCK_BYTES = 1 << 18  # of text hashed at once; a worker holds some 40 bytes for each
@@ -55,9 +55,10 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_A = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U)).astype(np.uint32) | np.uint32(1)
-_B = (mix(np.arange(10_001, BANDS * ROWS + 10_001, dtype=_U)) >> _U(32)).astype(np.uint32)
-_BAND = mix(np.arange(20_001, 20_001 + BANDS * ROWS, dtype=_U)).reshape(BANDS, ROWS) | _U(1)
+_MOST = max(bands * rows for bands, rows in BANDING.values())
+_A = mix(np.arange(1, _MOST + 1, dtype=_U)).astype(np.uint32) | np.uint32(1)
+_B = (mix(np.arange(10_001, _MOST + 10_001, dtype=_U)) >> _U(32)).astype(np.uint32)
+_BAND = mix(np.arange(20_001, 20_001 + _MOST, dtype=_U)) | _U(1)
 
 
 def _places(n: int) -> np.ndarray:
@@ -116,12 +117,12 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield from _sets_of(block)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(documents, BANDS * ROWS) minima of the universal hashes a * x + b mod 2**32; the sets aren't empty."""
+def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """(documents, count) minima of the universal hashes a * x + b mod 2**32; the sets aren't empty."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     x = (np.concatenate(sets) >> _U(32)).astype(np.uint32)
-    out, own = np.empty((BANDS * ROWS, len(sets)), np.uint32), np.empty_like(x)
-    for j in range(BANDS * ROWS):
+    out, own = np.empty((count, len(sets)), np.uint32), np.empty_like(x)
+    for j in range(count):
         np.multiply(x, _A[j], out=own)
         np.add(own, _B[j], out=own)
         out[j] = np.minimum.reduceat(own, starts)
@@ -131,15 +132,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 SKETCH = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, set_a, set_b: a 128-bit digest of the set, signature: the low byte of each minimum, bands)."""
+    bands, rows_each = BANDING[percent]
+    turns = _BAND[: bands * rows_each].reshape(bands, rows_each)
 
     def flush(group: list, rows: list) -> None:
-        minima = signatures([s for _, s in group])
+        minima = signatures([s for _, s in group], bands * rows_each)
         small = minima.astype(np.uint8)
         # of the bytes, so that the signature alone tells which buckets two documents share
-        wide = small.astype(_U).reshape(len(group), BANDS, ROWS)
-        keys = mix((wide * _BAND).sum(2, dtype=_U) + np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+        wide = small.astype(_U).reshape(len(group), bands, rows_each)
+        keys = mix((wide * turns).sum(2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
         for (i, s), sign, key in zip(group, small, keys, strict=True):
             a, b = mix(s + _U(1)).sum(dtype=_U), mix(s ^ _U(0x5555555555555555)).sum(dtype=_U)
             rows.append((i, len(s), int(a.view(np.int64)), int(b.view(np.int64)), sign.tobytes(), key))
@@ -177,7 +180,7 @@ def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +193,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if v != last:
                         last, own = v, next(shingle_sets([text.as_py()]))
                     both = len(np.intersect1d(s, own, assume_unique=True))
-                    keep.append(100 * both >= PERCENT * (len(s) + len(own) - both))
+                    keep.append(100 * both >= percent * (len(s) + len(own) - both))
                 yield part.select([0, 1]).filter(pa.array(keep))
 
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("_a"))
@@ -198,12 +201,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
 
 
-def across_blocks(members: DataFrame, pivots: DataFrame, groups: int) -> DataFrame:
+def across_blocks(members: DataFrame, pivots: DataFrame, groups: int, percent: int = PERCENT) -> DataFrame:
     """(u, v) of pivots and members of their bucket that are in other components and similar by signature.
 
     Both: key, band, id, n (the bucket's size), comp, signature. Comparisons are blocks of array operations; only similar pairs
     become rows, and only in the first bucket that a pair shares. A large bucket is dealt out in chunks, each of which meets the pivots.
     """
+    bands, rows = BANDING[percent]
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
     deal = F.pmod(F.xxhash64("key", "chunk"), F.lit(4 * groups)).cast("int")
     left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("deal", deal)
@@ -223,7 +227,7 @@ def across_blocks(members: DataFrame, pivots: DataFrame, groups: int) -> DataFra
         us, vs = [], []
         if one.num_rows and other.num_rows:
             (places, a), (mine, b) = sorted_out(one), sorted_out(other)
-            least = (PERCENT / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
+            least = (percent / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
             for key, at in mine.items():
                 if key not in places:
                     continue
@@ -233,7 +237,7 @@ def across_blocks(members: DataFrame, pivots: DataFrame, groups: int) -> DataFra
                     same = x == b["signature"][n]
                     near = np.flatnonzero((same.sum(1, dtype=np.int32) >= least * x.shape[1]) & (ac != b["comp"][n]))
                     if len(near):
-                        shared = same[near].reshape(len(near), BANDS, ROWS).all(2)
+                        shared = same[near].reshape(len(near), bands, rows).all(2)
                         near = near[shared.argmax(1) == band]
                         us.append(np.minimum(ai[near], b["id"][n]))
                         vs.append(np.maximum(ai[near], b["id"][n]))
@@ -259,15 +263,15 @@ def _merged(spark: SparkSession, known: DataFrame | None, links: DataFrame, keep
     return keep(old.unionByName(new), name)
 
 
-def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids (as id_col, long) with n_shingles, component_id and kept: one row for each row of docs."""
+def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs' ids (as id_col, long) with n_shingles, component_id and kept: one row for each row of docs. percent: a key of BANDING."""
     with batches_of(spark, BATCH_ROWS):  # all jobs with texts run within; what is returned only joins written tables
-        return _link(spark, docs, id_col, text_col)
+        return _link(spark, docs, id_col, text_col, percent)
 
 
-def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     keep = Written(spark, "near")
-    sketched = keep(sketch(docs, id_col, text_col), "sketch")
+    sketched = keep(sketch(docs, id_col, text_col, percent), "sketch")
     classes = keep(sketched.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     reps = sketched.filter("id IS NOT NULL").join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("id")), ["set_a", "set_b", "n_shingles", "id"], "left_semi").dropDuplicates(["id"])
 
@@ -284,7 +288,7 @@ def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> D
 
     def similar(pairs: DataFrame) -> DataFrame:
         left, right = signs.toDF("u", "_su"), signs.toDF("v", "_sv")
-        return pairs.join(left, "u").join(right, "v").withColumn("est", estimate("_su", "_sv")).filter(F.col("est") >= PERCENT / 100 - SLACK).select("u", "v", "est")
+        return pairs.join(left, "u").join(right, "v").withColumn("est", estimate("_su", "_sv")).filter(F.col("est") >= percent / 100 - SLACK).select("u", "v", "est")
 
     # first round: with the bucket's best connected member, the likeliest hub
     ranked = members.join(involved.select("id", "degree"), "id")
@@ -293,14 +297,14 @@ def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> D
     pairs = members.join(top, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
     likely = keep(similar(pairs), "likely")
     best = likely.groupBy("u").agg(F.max(F.struct("est", (-F.col("v")).alias("neg"))).alias("b")).select("u", (-F.col("b.neg")).alias("v"))
-    comps = _merged(spark, None, keep(confirmed(best, texts), "links-best"), keep, "comps-best")
+    comps = _merged(spark, None, keep(confirmed(best, texts, percent), "links-best"), keep, "comps-best")
 
     def across(pairs: DataFrame) -> DataFrame:
         a, b = comps.select(F.col("id").alias("u"), F.col("comp").alias("cu")), comps.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         open_ = F.coalesce("cu", "u") != F.coalesce("cv", "v")
         return pairs.join(a, "u", "left").join(b, "v", "left").filter(open_).select("u", "v")
 
-    comps = _merged(spark, comps, keep(confirmed(across(likely.select("u", "v")), texts), "links-rest"), keep, "comps-rest")
+    comps = _merged(spark, comps, keep(confirmed(across(likely.select("u", "v")), texts, percent), "links-rest"), keep, "comps-rest")
 
     # later rounds: pivots from outside the bucket's largest component, against members of other components
     several = members.filter("n > 2")
@@ -315,7 +319,7 @@ def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> D
         if chosen.isEmpty():
             break
         active = placed.join(chosen.select("key").distinct(), "key", "left_semi")
-        links = keep(confirmed(across_blocks(active.join(signs, "id"), chosen.join(signs, "id"), partitions(spark)).distinct(), texts), f"links{step}")
+        links = keep(confirmed(across_blocks(active.join(signs, "id"), chosen.join(signs, "id"), partitions(spark), percent).distinct(), texts, percent), f"links{step}")
         tested = keep(tested.unionByName(chosen.select("key", F.col("id").alias("v"))), f"tested{step}")
         if not links.isEmpty():
             comps = _merged(spark, comps, links, keep, f"comps{step}")
@@ -326,7 +330,7 @@ def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> D
     return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the near copies: of each component the row with the smallest id stays; rows without an id stay."""
-    gone = link(spark, docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone"))
+    gone = link(spark, docs, id_col, text_col, percent).filter("NOT kept").select(F.col(id_col).alias("_gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
