@@ -126,3 +126,29 @@ def test_pseudonymised_texts(spark):
     ip = re.search(r"\d+\.\d+\.\d+\.\d+", got[1].text)[0]
     assert got[5].text.endswith(ip)
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+CARD, IBANS = "4111 1111 1111 1111", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "AT611904300234573201"]
+FOLLOWED = [
+    *((CARD, rest) for rest in (" 12/26", " 123", " 1", "-123", " 2026", "-2026", ".", " 12/26 x")),
+    *((iban, rest) for iban in IBANS for rest in (" BIC", " 100 EUR", " BANK SWIFT XYZ", " 2026 REF7", ".", "")),
+]
+
+
+def test_numbers_followed_by_others(spark):
+    """What follows a valid number, or stands before it, stays; the number itself never does."""
+    rows = [f"{before}{v}{rest}" for v, rest in FOLLOWED for before in ("pay ", "year 2024 ")] + ["AB12 4111 1111 1111 1111"]
+    alone = {r.text: r.p for r in spark.createDataFrame([(v,) for v in (CARD, *IBANS)], "text string").select("text", pii.pseudonym(F.col("text")).alias("p")).collect()}
+    assert all(v != p for v, p in alone.items())
+    want = [f"{before}{alone[v]}{rest}" for v, rest in FOLLOWED for before in ("pay ", "year 2024 ")] + [f"AB12 {alone[CARD]}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [(t, 1) for t in want]
+
+
+def test_numbers_one_after_the_other(spark):
+    """A number that a wider window of the one before it would have swallowed is found too."""
+    parts = [IBANS[1], CARD, "123-45-6789", CARD, "12/26/2026", IBANS[0], "42.144.35.254"]
+    docs = spark.createDataFrame([(0, " ".join(parts)), (1, " ".join(reversed(parts)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    assert got[0].n_replaced == got[1].n_replaced == len(parts) and not any(p in r.text for p in parts for r in got.values())

@@ -1,12 +1,17 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
-Candidates are found by one regular expression, then validated: card numbers by their check digit, IBANs by their
+Candidates are found by regular expressions, then validated: card numbers by their check digit, IBANs by their
 remainder, dates by the calendar, IPv4 addresses and US social security numbers by their ranges, phone numbers by their
 count of digits. What is valid is permuted within its format under a key, so equal values stay equal in every document
 and different ones stay different: digits become digits, letters letters of the same case, a card number keeps a right
 check digit, a date stays a date of the same hundred years, written the same way. What isn't valid stays as it is. All
 of it is Spark SQL expressions.
 
+Where a card number or an IBAN ends is known only once it is valid, as a number or a word in capitals may follow it. So
+both are looked for at every place first, in the widest window and in those cut shorter at its separators (an IBAN of a
+known country at its length). The valid ones, and no others, then take part in the search for all candidates, and
+the text after them is searched on.
+
 A Feistel network here splits the letters and digits of a value into two halves; in each round every sign of one half is
 shifted, within its class (ten digits, 26 letters), by a keyed digest of the other half. Dates and addresses are permuted
 as numbers: a pair (a, b) of a mixed base in turn shifted by digests of each other. A value's kind and shape, but not its
@@ -31,9 +36,15 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d\-./])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\-/]?\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\-]?\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
-CARD = r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\-]?\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){1,4}[ .\-]\d{2,8}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w+\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\-.]?\d)"
-ANY = f"{EMAIL}|{IBAN}|{IPV4}|{DATE}|{SSN}|{CARD}|{PHONE}"
+# looked ahead for, so that windows may overlap; what stands behind a card number may follow a hyphen
+IBAN_WINDOW = rf"\b(?=({IBAN[2:]}))"
+CARD_WINDOW = r"(?<![\d\-])(?=(\d{13,19}(?![\-]?\d)|\d{4}[ \-]\d{6}[ \-]\d{4,5}(?![\-]?\d)|\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3}(?!\d)|\d{4}(?:[ \-]\d{4}){3}(?!\d)|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,3}(?![\-]?\d)))"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 LOWERS, UPPERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -124,12 +135,55 @@ def _remainder97(signs: Column) -> Column:
     )
 
 
+def _right_card(digits: Column) -> Column:
+    plain = F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) > 0  # not one digit throughout
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0) & plain
+
+
+def _right_iban(signs: Column) -> Column:
+    return F.length(signs).between(15, 34) & (_remainder97(F.concat(F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 4))) == 1)
+
+
+def _cards_in(text: Column) -> Column:
+    """The valid card numbers: a window as a whole, or else without its last group."""
+    def right(v: Column) -> Column:
+        return _right_card(F.regexp_replace(v, r"[^0-9]", ""))
+
+    cut = lambda w: F.regexp_replace(w, r"[ \-][0-9]{1,3}$", "")
+    found = F.transform(F.regexp_extract_all(text, F.lit(CARD_WINDOW), F.lit(1)), lambda w: F.when(right(w), w).otherwise(let(cut(w), lambda c: F.when(right(c), c))))
+    return F.filter(found, lambda v: v.isNotNull())
+
+
+def _ibans_in(text: Column) -> Column:
+    """The valid IBANs: a window cut to its country's length, else as a whole, or if the country isn't known the longest cut that is valid."""
+    lands = F.create_map(*(F.lit(x) for n, names in IBAN_LENGTHS.items() for land in names.split() for x in (land, n)))
+
+    def best(w: Column) -> Column:
+        cuts = let(F.split(w, " "), lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws)), lambda i: F.array_join(F.slice(ws, F.lit(1), i), " ")))
+        right = F.filter(cuts, lambda c: _right_iban(F.replace(c, F.lit(" "), F.lit(""))))
+        own = F.try_element_at(lands, F.substring(w, 1, 2))
+        exact = lambda ok: F.filter(ok, lambda c: F.length(F.replace(c, F.lit(" "), F.lit(""))) == own)
+        loose = lambda ok: F.filter(ok, lambda c: own.isNull() | (c == w))
+        return let(right, lambda ok: F.coalesce(F.get(exact(ok), 0), F.try_element_at(loose(ok), F.lit(-1))))
+
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(IBAN_WINDOW), F.lit(1)), best), lambda v: v.isNotNull())
+
+
+def candidates(text: Column) -> Column:
+    """The regular expression of a text's candidates, with its valid card numbers and IBANs as they are; of two that begin alike the longer one first."""
+    def one_of(values: Column, before: str, after: str) -> Column:
+        either = F.array_join(F.reverse(F.array_sort(F.array_distinct(values))), "|")
+        return let(values, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f"{before}(?:"), either, F.lit(f"){after}|"))).otherwise(F.lit("")))
+
+    ibans, cards = one_of(_ibans_in(text), r"\b(?=[A-Z]{2}\d)", r"\b"), one_of(_cards_in(text), r"(?<![\d\-])(?=\d{4})", r"(?!\d)")
+    return F.concat(F.lit(f"{EMAIL}|"), ibans, F.lit(f"{IPV4}|{DATE}|{SSN}|"), cards, F.lit(PHONE))
+
+
 def _card(value: Column, key: str) -> Column:
     def made(digits: Column) -> Column:
         check = lambda body: ((F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
         new = let(permute_signs(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card")), lambda body: _poured(value, F.concat(body, check(body))))
-        plain = F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) > 0  # not one digit throughout
-        return F.when((luhn_sum(digits) % 10 == 0) & plain, new).otherwise(value)
+        return F.when(_right_card(digits), new).otherwise(value)
 
     return let(F.regexp_replace(value, r"[^0-9]", ""), made)
 
@@ -139,8 +193,7 @@ def _iban(value: Column, key: str) -> Column:
         body, land = F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 2)
         check = lambda new: F.lpad((F.lit(98) - _remainder97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
         new = let(permute_signs(body, key, F.concat(F.lit("iban"), land)), lambda new: _poured(value, F.concat(land, check(new), new)))
-        valid = (_remainder97(F.concat(body, F.substring(signs, 1, 4))) == 1) & F.length(signs).between(15, 34)
-        return F.when(valid, new).otherwise(value)
+        return F.when(_right_iban(signs), new).otherwise(value)
 
     return let(F.replace(value, F.lit(" "), F.lit("")), made)
 
@@ -225,16 +278,17 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     """docs with the text column's personal data replaced, and n_replaced."""
     rows = docs.select(*(c for c in docs.columns if c != "n_replaced"))
     text = F.col(text_col)
-    # every candidate holds a digit or an @: other texts need no closer look
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
 
-    def replaced(f: Column) -> Column:
+    def replaced(pattern: Column) -> Column:
         """The pieces between the candidates, which are one more, and the pseudonyms in turn."""
-        pour = lambda new: F.struct(
-            F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda p, n: F.array(p, n))), "").alias("text"),
+        pour = lambda f, new: F.struct(
+            F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda p, n: F.array(p, n))), "").alias("text"),
             F.aggregate(F.zip_with(f, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("n"),
         )
-        return F.when(F.size(f) > 0, let(F.transform(f, lambda v: pseudonym(v, key)), pour)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+        found = F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(0))
+        return let(found, lambda f: F.when(F.size(f) > 0, let(F.transform(f, lambda v: pseudonym(v, key)), lambda new: pour(f, new))).otherwise(same))
 
-    made = rows.withColumn("_made", let(F.coalesce(found, F.array().cast("array<string>")), replaced))
+    same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    # every candidate holds a digit or an @: other texts need no closer look
+    made = rows.withColumn("_made", F.when(text.rlike("[0-9@]"), let(candidates(text), replaced)).otherwise(same))
     return made.select(*(F.col("_made.text").alias(c) if c == text_col else F.col(c) for c in rows.columns), F.col("_made.n").alias("n_replaced"))
