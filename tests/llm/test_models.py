@@ -230,3 +230,21 @@ def test_language_fusion(spark):
     assert language_id.identify(spark, df.limit(0), model, html_col="html", url_col="url").count() == 0
     empty = language_id.fit(docs.limit(0))
     assert language_id.identify(spark, docs, empty, text_col="text").filter("language IS NOT NULL").count() == 0
+
+
+def test_every_label_is_a_language(spark):
+    """More labels than a block holds, the rarest of them too, by text and by tag."""
+    rng = random.Random(8)
+    own = {f"l{chr(97 + n // 26)}{chr(97 + n % 26)}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for n in range(2 * language_id.BLOCK + 3)}
+    text = lambda lang: " ".join(rng.choice(own[lang]) for _ in range(40))
+    rows = [(f"{lang}{k}", text(lang), lang) for n, lang in enumerate(own) for k in range(1 + (n < 70))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    model = language_id.fit(docs)
+    assert model[0] == sorted(own) and model[1].shape[0] == len(model[2]) == len(own)
+    got = language_id.identify(spark, docs, model, text_col="text").collect()
+    assert len(got) == len(rows) and all(r.doc_id.startswith(r.language) for r in got)
+    rare = list(own)[-20:]
+    pages = [(lang, f"http://{lang}.example/{k}", f"<html lang={lang}><p>{text(lang) if k else ''}</p>") for lang in rare for k in range(3)]
+    df = spark.createDataFrame(pages, "want string, url string, html string")
+    got = language_id.identify(spark, df, model, html_col="html", url_col="url").collect()
+    assert len(got) == len(pages) and all(r.language == r.want for r in got)

@@ -1,6 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
-Per language a character trigram model is counted over all labelled documents. A page's text likelihood is combined
+Per language a character trigram model is counted over all labelled documents; every label found is a candidate. The
+driver holds 128 KB for each language, a worker the tables of BLOCK languages at once. A page's text likelihood is combined
 with what its markup declares, its address suffix and a prior of its host. Those three are learnt without labels by
 grouped aggregation of the pages' text posteriors: how often each language's pages declare each tag or use each suffix,
 and how languages are spread over a host, smoothed towards its registered domain's spread, which is smoothed towards the
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import Written, text_batches, text_or_empty
 
 BITS = 15  # of a trigram's hash
-LANGUAGES = 64  # the commonest labels are the candidates; their number bounds the model's size
+BLOCK = 64  # languages whose tables are held at once
+GROUP_CHARS = 1 << 20  # of texts whose trigrams are held while the blocks pass
 TEXT_WEIGHT = 0.25  # trigrams overlap and depend on each other, so their joint likelihood is tempered
 HOST_PRIOR, DOMAIN_PRIOR, CHANNEL_PRIOR = 4.0, 10.0, 5.0  # pseudo pages of the wider spread
 ADDED = ("language", "confidence")
@@ -56,47 +58,78 @@ def visible(html: str) -> str:
     return HIDDEN.sub(" ", html)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities by language and trigram, shares of rows), counted over every labelled row."""
     rows = docs.select(F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).dropna()
-    found = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_l").limit(most).collect()
+    found = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
     if not found:
         return [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0)
     names = sorted(r["_l"] for r in found)
     at = {n: i for i, n in enumerate(names)}
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), 1 << BITS), np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def counted() -> pd.DataFrame:
+            which = sorted(total)
+            table = np.array([total[k] for k in which]).reshape(-1, 1 << BITS)
+            total.clear()
+            lang, gram = np.nonzero(table)
+            return pd.DataFrame({"lang": np.array(which, np.int64)[lang], "gram": gram, "n": table[lang, gram]})
+
         for part in parts:
             for lang, text in zip(part["_l"], part["_t"], strict=True):
-                if lang in at:
-                    total[at[lang]] += np.bincount(grams(text), minlength=1 << BITS)
-        lang, gram = np.nonzero(total)
-        yield pd.DataFrame({"lang": lang, "gram": gram, "n": total[lang, gram]})
-
-    counts = np.zeros((len(names), 1 << BITS))
-    summed = rows.mapInPandas(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts[summed["lang"], summed["gram"]] = summed["n"]
-    whole = counts.sum(0) + 0.1
-    smooth = counts + 200 * whole / whole.sum()
-    share = np.array([next(r["n"] for r in found if r["_l"] == n) for n in names], float)
-    return names, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32), share / share.sum()
+                k = at[lang]
+                if k not in total:
+                    if len(total) == BLOCK:
+                        yield counted()
+                    total[k] = np.zeros(1 << BITS, np.int64)
+                total[k] += np.bincount(grams(text), minlength=1 << BITS)
+        yield counted()
+
+    summed = rows.mapInPandas(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    lang, gram, n = (summed[c].to_numpy() for c in ("lang", "gram", "n"))
+    whole = np.bincount(gram, n, 1 << BITS) + 0.1
+    logs = np.empty((len(names), 1 << BITS), np.float32)
+    for first in range(0, len(names), BLOCK):
+        own = (lang >= first) & (lang < first + BLOCK)
+        counts = np.zeros((len(logs[first : first + BLOCK]), 1 << BITS))
+        counts[lang[own] - first, gram[own]] = n[own]
+        smooth = counts + 200 * whole / whole.sum()
+        logs[first : first + BLOCK] = np.log(smooth / smooth.sum(1, keepdims=True))
+    of = {r["_l"]: r["n"] for r in found}
+    share = np.array([of[x] for x in names], float)
+    return names, logs, share / share.sum()
 
 
 def likelihoods(spark: SparkSession, rows: DataFrame, text: Column, model: np.ndarray, html: bool) -> Column:
     """Tempered log likelihoods by language, relative to the best; an empty text gives zeros."""
     text_batches(spark)
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.T))  # at most LANGUAGES * 2**BITS numbers
+    shared = [spark.sparkContext.broadcast(np.ascontiguousarray(model[k : k + BLOCK].T)) for k in range(0, len(model), BLOCK)]
+
+    def totals(found: list[np.ndarray]) -> Iterator[list[float]]:
+        """By language, of each text's trigrams."""
+        out = []
+        for block in shared:
+            table = block.value
+            out.append([np.bincount(g, minlength=len(table)).astype(np.float64) @ table if len(g) > len(table) else table[g].sum(0, dtype=np.float64) for g in found])
+            if len(shared) > 1:
+                block.__dict__.pop("_value", None)  # read again for the next group
+        for each in zip(*out):
+            total = np.concatenate(each)
+            yield ((total - total.max()) * TEXT_WEIGHT).tolist()
 
     @F.pandas_udf("array<double>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
         for part in parts:
-            out = []
+            out, found, held = [], [], 0
             for t in part:
-                g = grams(visible(t) if html else t) if isinstance(t, str) and t else np.zeros(0, np.int64)
-                total = np.bincount(g, minlength=len(table)).astype(np.float64) @ table if len(g) > len(table) else table[g].sum(0, dtype=np.float64)
-                out.append(((total - total.max()) * TEXT_WEIGHT).tolist())
+                found.append(grams(visible(t) if html else t) if isinstance(t, str) and t else np.zeros(0, np.int64))
+                held += len(found[-1])
+                if held > GROUP_CHARS:
+                    out.extend(totals(found))
+                    found, held = [], 0
+            out.extend(totals(found))
             yield pd.Series(out)
 
     return score(text)
@@ -157,8 +190,9 @@ def identify(spark: SparkSession, rows: DataFrame, model: tuple[list[str], np.nd
 
         none = F.array(*(F.lit(0.0) for _ in range(n)))
         hosts = hosts.join(channel("_suffix"), "_suffix", "left").drop("_suffix")
-        # at most LANGUAGES + 1 tags
-        joined = read.join(hosts, "_host", "left").join(F.broadcast(channel("_tag")), "_tag", "left")
+        # at most one row a language, and one for other tags
+        tags = channel("_tag")
+        joined = read.join(hosts, "_host", "left").join(F.broadcast(tags) if n <= BLOCK else tags, "_tag", "left")
         own = F.zip_with(F.zip_with("_h", "_vote", lambda x, v: F.greatest(x - v, F.lit(0.0))), "_dp", lambda x, p: F.log((x + HOST_PRIOR * p) / (F.col("_hn") - 1 + HOST_PRIOR)))
         base = F.transform(spread, lambda p: F.log(p))
         host_log = F.when(F.col("_host") != "", own).otherwise(base)
