@@ -251,3 +251,14 @@ def test_resample_and_rewrite(spark):
     got = meshes.rewrite_top(v, F.col("x") == 0, 350.0, F.lit(400.0), F.lit(4000.0), F.lit(2000.0), {"vs": 999.0})
     assert {(r.x, r.z): r.vs for r in got.collect()}[0.0, 0.0] == pytest.approx(200) and got.filter("x = 1 AND z = 0").first().vs == 999 and got.filter("z = 400").first().vs == 3000
     assert grids.grid_azimuth(30.0, 173.0, -41.0) == pytest.approx(30.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_coast_keeps_points_without_a_place(spark, monkeypatch, most):
+    """Few segments and many: a point with a null coordinate stays, without a distance."""
+    monkeypatch.setattr(coastline, "BROADCAST_SEGMENTS", most)
+    ring = [(1, n, x, y) for n, (x, y) in enumerate([(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)])]
+    lines = coastline.segments(spark.createDataFrame(ring, "ring int, n int, x double, y double"))
+    points = spark.createDataFrame([(1, 4.0, 1.0), (2, None, 1.0), (3, 4.0, None), (4, None, None), (4, None, None)], "id int, x double, y double")
+    assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).collect() if r.x is not None and r.y is not None) == [(1, -1.0)]
+    assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).filter("x IS NULL OR y IS NULL").collect()) == [(2, None), (3, None), (4, None), (4, None)]

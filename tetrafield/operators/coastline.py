@@ -48,7 +48,7 @@ def signed_distance(points: DataFrame, lines: DataFrame, count: int | None = Non
     x, y = F.col("x"), F.col("y")
     found = met.groupBy("x", "y").agg(F.min(squared_distance(x, y)).alias("_d"), F.sum(crosses(x, y).cast("int")).alias("_n"))
     signed = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), (F.sqrt("_d") * F.when(F.col("_n") % 2 == 1, -1.0).otherwise(1.0)).alias(name))
-    return points.join(signed, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(*points.columns, name)
+    return points.join(signed, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").select(*points.columns, name)
 
 
 def banded(points: DataFrame, lines: DataFrame, name: str = "coastline", size: float | None = None, rings: int = 48) -> DataFrame:
@@ -59,7 +59,8 @@ def banded(points: DataFrame, lines: DataFrame, name: str = "coastline", size: f
     if size is None:
         size = float(lines.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]) or 1.0
     x, y = F.col("x"), F.col("y")
-    places = points.select("x", "y").distinct()
+    # points without a place are near nothing, however far the rings reach
+    places = points.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct()
     bands = lines.withColumn("_band", F.explode(F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size))))
     odd = places.withColumn("_band", F.floor(y / size)).join(bands, "_band").filter(crosses(x, y)).groupBy("x", "y").agg((F.count(F.lit(1)) % 2).alias("_odd"))
     left, done = places, None
