@@ -248,3 +248,65 @@ def test_every_label_is_a_language(spark):
     df = spark.createDataFrame(pages, "want string, url string, html string")
     got = language_id.identify(spark, df, model, html_col="html", url_col="url").collect()
     assert len(got) == len(pages) and all(r.language == r.want for r in got)
+
+
+@pytest.mark.parametrize("size", [250, 500, 1000])
+def test_a_family_below_the_threshold_stays_linear(spark, size):
+    """Members of one family, hardly any pair linked: candidate rows and links grow with its size, not its square."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(240)], []
+    for i in range(size):
+        copy = list(base)
+        for place in rng.sample(range(240), 4):
+            copy[place] = word()
+        rows.append((i, " ".join(copy)))
+    written = {}
+
+    class Counting(Written):
+        def __call__(self, df, name):
+            made = super().__call__(df, name)
+            written[name] = made.count()
+            return made
+
+    near_dedup.Written = Counting
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        near_dedup.Written = Written
+    assert got == linked(rows)
+    assert written["likely"] <= written["members"] <= 34 * size
+    assert all(n < size for name, n in written.items() if name.startswith("links"))
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    one, two = [word() for _ in range(200)], [word() for _ in range(200)]
+    near = [*two[:100], word(), *two[101:]]
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, " ".join(near)), (None, " ".join(one)), (None, "alone"), (None, "alone"), (7, " ".join(one)), (7, " ".join(one)), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, 1, "own") for r in rows], "doc_id long, text string, n_shingles int, component_id string")
+    got = sorted(near_dedup.link(spark, docs).collect(), key=str)
+    assert len(got) == len(rows) and sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("3", "3"), ("5", "3"), ("5", "5"), ("7", "5"), ("7", "5"), ("8", "8"), ("8", "8"), ("None", "5"), ("None", "None"), ("None", "None")]
+    stay = near_dedup.deduplicate(spark, docs)
+    assert sorted((str(r.doc_id), str(r.text)) for r in stay.collect()) == sorted((a, str(b)) for a, b in [("5", " ".join(one)), ("3", " ".join(near)), ("None", "alone"), ("None", "alone"), ("8", None), ("8", None)])
+
+
+def test_block_links_span_the_components(spark):
+    """What a block gives back joins the same components as all its pairs would, with one link fewer than they have members."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 62, 120, np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(len(base), k, False)), rng.integers(0, 1 << 62, k, np.uint64)])) for k in rng.integers(0, 14, 150)]
+    signature = near_dedup.signatures(sets, 238).astype(np.uint8)
+    rows = {"node": np.arange(150), "comp": np.arange(150), "turn": np.full(150, 2), "signature": signature}
+    links = near_dedup.block_links(rows, rows, sets, sets, 85)
+    pairs = [(i, j) for i in range(150) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+
+    def roots(edges):
+        own = list(range(150))
+        for _ in range(150):
+            for a, b in edges:
+                own[a] = own[b] = min(own[a], own[b])
+        return own
+
+    assert roots(links) == roots(pairs) and len(links) == 150 - len(set(roots(pairs)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it; only where it names none (tests) a local one is made."""
+    """The folder that driver and executors share. The cluster names it; only a local master (tests) makes one of its own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tetrafield-')}"
         with contextlib.suppress(Exception):  # a static setting of some versions: then a folder for each call
             spark.conf.set("spark.checkpoint.dir", named)
@@ -46,6 +49,11 @@ class Written:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_but(self, *names: str) -> None:
+        """Removes all tables but these."""
+        for name in [n for n in self.paths if n not in names]:
+            self.drop(name)
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,38 +1,44 @@
 """Near-duplicate components by MinHash: many universal hash minima, banding, signature and full-set verification.
 
 Documents of equal shingle sets form a class and go on as one. Classes that agree on all minima of a band share a
-bucket. In a bucket members are compared with a few pivots, never all with all: members that a confirmed link has
-brought into one component need no comparison among themselves, so after each round only pairs across components remain,
-and further pivots are drawn from outside the bucket's largest component until none remain. That finds the same
-components as comparing all pairs of the bucket. A pair must pass an estimate from the signatures, with a wide margin,
-and is then confirmed on the full shingle sets in integers. A true link is missed only if no band of it agrees (2e-6, as
-(1 - 0.85**7)**34 and (1 - 0.8**6)**44) or the estimate falls 4 standard errors short.
+bucket; of buckets with the same members one is enough. First every member meets its bucket's best connected member, the
+likeliest hub: that is one candidate row for each membership. Members that a confirmed link has brought into one component
+need no comparison among themselves, so only pairs across components remain. They are compared in rounds of pivots, drawn
+from outside the bucket's largest component until none are left there, which finds the same components as comparing
+all pairs of the bucket. A pair must pass an estimate from the signatures, with a wide margin, and is confirmed on
+the full shingle sets in integers. The rounds do all of this inside blocks of array operations (a chunk of members
+and a chunk of pivots, with their sets), and a block gives back only links that join two of its components: fewer rows
+than it has members, however many pairs it compares or rejects. A true link is missed only if no band of it agrees
+(2e-6, as (1 - 0.85**7)**34 and (1 - 0.8**6)**44) or the estimate falls 4 standard errors short.
 
 Cases: null or empty text, or white space only, has no shingles and is linked with nothing; a text of fewer than five
-words is one shingle; very long texts are shingled whole; rows that repeat one id share its fate; an empty table
-gives an empty result; a null doc_id never becomes a component's name unless it stands alone. Clashing input columns
-(n_shingles, component_id, kept) are replaced.
+words is one shingle; very long texts are shingled whole; rows that repeat one id are documents of their own, which differ
+only where their texts do; a null doc_id never becomes a component's name unless no other is there; an empty table
+gives an empty result. Clashing input columns (n_shingles, component_id, kept) are replaced by link and kept by deduplicate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, batches_of, partitions
+from .common import Written, batches_of, give_back, partitions
 from .components import components
 
 WORDS = 5
 PERCENT = 85  # a link: 100 * intersection >= percent * union
 BANDING = {85: (34, 7), 80: (44, 6)}  # bands and rows of each percent in use
 SLACK = 0.1  # an estimate may fall so far short of percent: over 4 standard errors of bands * rows minima
-PIVOTS = 64  # of a bucket in its second round; eight times as many in each later one
-CHUNK = 4096  # members of a bucket that meet its pivots in one block
+PIVOTS = 64  # of a bucket in its second round; GROWTH times as many in each later one
+GROWTH = 32
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 19  # members of a bucket, and their shingles, in one block: what a block holds is bounded by these
+DEAL_SHINGLES = 1 << 21  # of the blocks that a task's group holds together
 BLOCK_BYTES = 1 << 18  # of text hashed at once; a worker holds some 40 bytes for each
 BATCH_ROWS = 1024  # of texts that pass to a worker at once
 SLICE_ROWS = 256  # of a batch that are Python objects at once
@@ -129,36 +135,38 @@ def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out.T
 
 
-SKETCH = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+DIGEST = ["set_a", "set_b", "n_shingles"]
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, set_a, set_b: a 128-bit digest of the set, signature: the low byte of each minimum, bands)."""
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, mark, n_shingles, set_a, set_b: a 128-bit digest of the set, signature: the low byte of each minimum, bands) of docs (id, mark, text)."""
     bands, rows_each = BANDING[percent]
     turns = _BAND[: bands * rows_each].reshape(bands, rows_each)
 
     def flush(group: list, rows: list) -> None:
-        minima = signatures([s for _, s in group], bands * rows_each)
+        minima = signatures([s for *_, s in group], bands * rows_each)
         small = minima.astype(np.uint8)
         # of the bytes, so that the signature alone tells which buckets two documents share
         wide = small.astype(_U).reshape(len(group), bands, rows_each)
         keys = mix((wide * turns).sum(2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
-        for (i, s), sign, key in zip(group, small, keys, strict=True):
+        for (i, m, s), sign, key in zip(group, small, keys, strict=True):
             a, b = mix(s + _U(1)).sum(dtype=_U), mix(s ^ _U(0x5555555555555555)).sum(dtype=_U)
-            rows.append((i, len(s), int(a.view(np.int64)), int(b.view(np.int64)), sign.tobytes(), key))
+            rows.append((i, m, len(s), int(a.view(np.int64)), int(b.view(np.int64)), sign.tobytes(), key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(first, SLICE_ROWS)
                 rows: list[tuple] = []
-                group: list[tuple[int, np.ndarray]] = []
+                group: list[tuple] = []
                 n = 0
-                for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True):
+                ids, marks, texts = (part.column(c).to_pylist() for c in range(3))
+                for i, m, s in zip(ids, marks, shingle_sets(texts), strict=True):
                     if not len(s):
-                        rows.append((i, 0, None, None, None, None))
+                        rows.append((i, m, 0, None, None, None, None))
                         continue
-                    group.append((i, s))
+                    group.append((i, m, s))
                     n += len(s)
                     if n > 30_000:  # so that it stays in the processor's cache
                         flush(group, rows)
@@ -166,9 +174,25 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT)
                 if group:
                     flush(group, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SKETCH.types, strict=True)], schema=SKETCH)
+        give_back()
 
-    schema = "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = "id long, mark long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
+    return docs.select("id", "mark", "text").mapInArrow(run, schema)
+
+
+def with_sets(rows: DataFrame) -> DataFrame:
+    """rows (..., text) with the text's sorted shingle hashes (binary, 64 bits each) in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(part.num_columns - 1).to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], [*part.schema.names[:-1], "shingles"])
+        give_back()
+
+    columns = [c for c in rows.columns if c != "text"]
+    return rows.select(*columns, "text").mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(columns).schema), "shingles binary"]))
 
 
 @F.arrow_udf(T.DoubleType())
@@ -180,157 +204,207 @@ def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. texts: (id, text)."""
+def _shingles(sets: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, _U) for x in sets.to_pylist()]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough. sets: (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(first, SLICE_ROWS)
                 keep = []
-                for v, s, text in zip(part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist()), part.column(3), strict=True):
-                    if v != last:
-                        last, own = v, next(shingle_sets([text.as_py()]))
-                    both = len(np.intersect1d(s, own, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(own) - both))
-                yield part.select([0, 1]).filter(pa.array(keep))
-
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("_a"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("_b"))
+                for a, b in zip(_shingles(part.column(2)), _shingles(part.column(3)), strict=True):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        give_back()
+
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("_b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
 
 
-def across_blocks(members: DataFrame, pivots: DataFrame, groups: int, percent: int = PERCENT) -> DataFrame:
-    """(u, v) of pivots and members of their bucket that are in other components and similar by signature.
+def block_links(a: dict[str, np.ndarray], b: dict[str, np.ndarray], a_sets: list[np.ndarray], b_sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of members a and pivots b that join two components of the block.
 
-    Both: key, band, id, n (the bucket's size), comp, signature. Comparisons are blocks of array operations; only similar pairs
-    become rows, and only in the first bucket that a pair shares. A large bucket is dealt out in chunks, each of which meets the pivots.
+    Both: node, comp, turn (the round in which it was or is a pivot, else 0) and signature. A pair of pivots is compared once: in the
+    later one's round, and of two of one round by the one with the larger node.
     """
-    bands, rows = BANDING[percent]
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
-    deal = F.pmod(F.xxhash64("key", "chunk"), F.lit(4 * groups)).cast("int")
-    left = members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("deal", deal)
-    right = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("deal", deal)
-
-    def sorted_out(table: pa.Table) -> tuple[dict[tuple[int, int], slice], dict[str, np.ndarray]]:
-        """Where each (key, chunk) lies, and the columns in that order."""
-        own = {c: table.column(c).to_numpy() for c in ("key", "chunk", "band", "id", "comp")}
-        order = np.lexsort((own["id"], own["chunk"], own["key"]))
+    sizes, own_sizes = (np.array([len(s) for s in x], np.int64) for x in (a_sets, b_sets))
+    _, label = np.unique(np.concatenate([a["comp"], b["comp"]]), return_inverse=True)
+    here, there = label[: len(sizes)].copy(), label[len(sizes) :].copy()
+    minima = a["signature"].shape[1]
+    least = ((percent / 100 - SLACK) * (1 - 1 / 256) + 1 / 256) * minima
+    place = mine = flag = None
+    starts = np.cumsum(sizes) - sizes
+    links = []
+    for n in range(len(own_sizes)):
+        node, turn, size = b["node"][n], b["turn"][n], own_sizes[n]
+        open_ = (here != there[n]) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+        open_ &= ~((a["turn"] > 0) & ((a["turn"] < turn) | (a["turn"] == turn) & (a["node"] > node)))
+        near = np.flatnonzero(open_)
+        near = near[(a["signature"][near] == b["signature"][n]).sum(1, dtype=np.int32) >= least]
+        if not len(near):
+            continue
+        if place is None:  # the block's shingles by number, so that a set becomes a flag for each
+            values, place = np.unique(np.concatenate([*a_sets, *b_sets]), return_inverse=True)
+            place, mine = place[: starts[-1] + sizes[-1]], np.split(place[starts[-1] + sizes[-1] :], np.cumsum(own_sizes)[:-1])
+            flag = np.zeros(len(values), bool)
+        flag[mine[n]] = True
+        many, ends = sizes[near], np.cumsum(sizes[near])
+        both = np.add.reduceat(flag[place[np.repeat(starts[near] - (ends - many), many) + np.arange(ends[-1])]], ends - many, dtype=np.int64)
+        flag[mine[n]] = False
+        near = near[100 * both >= percent * (many + size - both)]
+        if len(near):
+            others, first = np.unique(here[near], return_index=True)
+            links += [(int(a["node"][i]), int(node)) for i in near[first].tolist()]
+            here[np.isin(here, others)] = there[n]
+            there[np.isin(there, others)] = there[n]
+    return links
+
+
+BLOCK = ["deal", "key", "left", "right", "node", "comp", "turn", "signature", "shingles"]
+
+
+def across_blocks(members: DataFrame, pivots: DataFrame, groups: int, percent: int = PERCENT) -> DataFrame:
+    """(u, v): links between components of a bucket, from blocks of its members and pivots (both with BLOCK's columns)."""
+
+    def sorted_out(table: pa.Table) -> tuple[dict[tuple, slice], dict[str, np.ndarray], list[np.ndarray]]:
+        """Where each block lies, and the columns in that order."""
+        own = {c: table.column(c).to_numpy() for c in BLOCK[1:-2]}
+        order = np.lexsort((own["node"], own["right"], own["left"], own["key"]))
         own = {c: v[order] for c, v in own.items()}
         own["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-        cuts = np.flatnonzero((np.diff(own["key"]) != 0) | (np.diff(own["chunk"]) != 0)) + 1
+        sets = _shingles(table.column("shingles"))
+        cuts = np.flatnonzero((np.diff(own["key"]) != 0) | (np.diff(own["left"]) != 0) | (np.diff(own["right"]) != 0)) + 1
         ends = [0, *cuts.tolist(), len(order)]
-        return {(int(own["key"][i]), int(own["chunk"][i])): slice(i, j) for i, j in zip(ends, ends[1:])}, own
+        return {(int(own["key"][i]), int(own["left"][i]), int(own["right"][i])): slice(i, j) for i, j in zip(ends, ends[1:])}, own, [sets[i] for i in order.tolist()]
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        us, vs = [], []
+        links: list[tuple[int, int]] = []
         if one.num_rows and other.num_rows:
-            (places, a), (mine, b) = sorted_out(one), sorted_out(other)
-            least = (percent / 100 - SLACK) * (1 - 1 / 256) + 1 / 256
-            for key, at in mine.items():
-                if key not in places:
-                    continue
-                there = places[key]
-                x, ai, ac, band = a["signature"][there], a["id"][there], a["comp"][there], int(a["band"][there.start])
-                for n in range(at.start, at.stop):
-                    same = x == b["signature"][n]
-                    near = np.flatnonzero((same.sum(1, dtype=np.int32) >= least * x.shape[1]) & (ac != b["comp"][n]))
-                    if len(near):
-                        shared = same[near].reshape(len(near), bands, rows).all(2)
-                        near = near[shared.argmax(1) == band]
-                        us.append(np.minimum(ai[near], b["id"][n]))
-                        vs.append(np.maximum(ai[near], b["id"][n]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"u": pa.array(np.concatenate(us or none), pa.int64()), "v": pa.array(np.concatenate(vs or none), pa.int64())})
-
-    columns = ["deal", "key", "chunk", "band", "id", "comp", "signature"]
+            (places, a, a_sets), (mine, b, b_sets) = sorted_out(one), sorted_out(other)
+            for block, at in mine.items():
+                if there := places.get(block):
+                    links += block_links({c: v[there] for c, v in a.items()}, {c: v[at] for c, v in b.items()}, a_sets[there], b_sets[at], percent)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
     # aliases give both sides columns of their own
-    left, right = (side.select(*(F.col(c).alias(c) for c in columns)) for side in (left, right))
+    left, right = (side.withColumn("deal", F.pmod(F.xxhash64("key", "left", "right"), F.lit(groups)).cast("int")).select(*(F.col(c).alias(c) for c in BLOCK)) for side in (members, pivots))
     return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInArrow(run, "u long, v long")
 
 
-def _merged(spark: SparkSession, known: DataFrame | None, links: DataFrame, keep: Written, name: str) -> DataFrame:
-    """(id, comp) after the new links; ids without a link are left out."""
+def _chunks(count: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(count) / CHUNK), F.ceil(F.col(size) / CHUNK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _merged(known: DataFrame | None, links: DataFrame, keep: Written, name: str) -> DataFrame:
+    """(node, comp) after the new links; nodes without a link are left out."""
     if known is None:
-        return keep(components(links, keep, f"{name}-cc").select(F.col("node").alias("id"), F.col("component").alias("comp")), name)
-    a, b = known.select(F.col("id").alias("u"), F.col("comp").alias("cu")), known.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
+        return keep(components(links, keep, f"{name}-cc").select("node", F.col("component").alias("comp")), name)
+    a, b = known.select(F.col("node").alias("u"), F.col("comp").alias("cu")), known.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
     between = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     joined = keep(components(between, keep, f"{name}-cc").select(F.col("node").alias("comp"), F.col("component").alias("to")), f"{name}-to")
     # those that were no component's member before came in as themselves
-    old = known.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    new = joined.select(F.col("comp").alias("id"), F.col("to").alias("comp")).join(known.select("id"), "id", "left_anti")
+    old = known.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = joined.select(F.col("comp").alias("node"), F.col("to").alias("comp")).join(known.select("node"), "node", "left_anti")
     return keep(old.unionByName(new), name)
 
 
 def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs' ids (as id_col, long) with n_shingles, component_id and kept: one row for each row of docs. percent: a key of BANDING."""
-    with batches_of(spark, BATCH_ROWS):  # all jobs with texts run within; what is returned only joins written tables
-        return _link(spark, docs, id_col, text_col, percent)
+    return _linked(spark, docs, id_col, text_col, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def _link(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _linked(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     keep = Written(spark, "near")
-    sketched = keep(sketch(docs, id_col, text_col, percent), "sketch")
-    classes = keep(sketched.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep")), "classes")
-    reps = sketched.filter("id IS NOT NULL").join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("id")), ["set_a", "set_b", "n_shingles", "id"], "left_semi").dropDuplicates(["id"])
+    with batches_of(spark, BATCH_ROWS):  # all jobs with texts run within; what is returned only reads one written table
+        result = keep(_link(spark, rows, percent, keep), "result")
+        keep.drop_but("result")
+    return result
+
+
+def _link(spark: SparkSession, docs: DataFrame, percent: int, keep: Written) -> DataFrame:
+    """(id, mark, n_shingles, component_id, kept). docs: (id, mark: a hash of the text, text)."""
+    sketched = keep(sketch(docs, percent).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    classes = keep(sketched.filter("n_shingles > 0").groupBy(*DIGEST).agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+    reps = sketched.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
 
-    banded = keep(reps.select("id", F.posexplode("bands").alias("band", "key")), "banded")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    banded = keep(reps.select("node", F.explode("bands").alias("key")), "banded")
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     members = keep(banded.join(shared, "key"), "members")
     keep.drop("banded")
-    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    # what may be compared: signature and text, read by every round
-    own = sketched.select("id", "signature").dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    involved = keep(texts.join(degrees, "id").dropDuplicates(["id"]).join(own, "id").select("id", "degree", "signature", "text"), "involved")
-    signs, texts = involved.select("id", "signature"), involved.select("id", "text")
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    # what may be compared: signature and set, read by every round
+    involved = reps.join(degrees, "node").select("node", "degree", "n_shingles", "signature", F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    own_text = (docs["mark"] == F.col("_mark")) & docs["id"].eqNullSafe(F.col("_id"))
+    involved = keep(with_sets(docs.join(involved, own_text).dropDuplicates(["node"]).select("node", "degree", "n_shingles", "signature", "text")), "involved")
+    signs, sets = involved.select("node", "n_shingles", "signature"), involved.select("node", "shingles")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        left, right = signs.toDF("u", "_su"), signs.toDF("v", "_sv")
-        return pairs.join(left, "u").join(right, "v").withColumn("est", estimate("_su", "_sv")).filter(F.col("est") >= percent / 100 - SLACK).select("u", "v", "est")
-
-    # first round: with the bucket's best connected member, the likeliest hub
-    ranked = members.join(involved.select("id", "degree"), "id")
-    top = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("v"))
-    tested = keep(top, "tested0")
-    pairs = members.join(top, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
+        left, right = signs.toDF("u", "_nu", "_su"), signs.toDF("v", "_nv", "_sv")
+        both = pairs.join(left, "u").join(right, "v").filter(100 * F.least("_nu", "_nv") >= percent * F.greatest("_nu", "_nv"))
+        return both.withColumn("est", estimate("_su", "_sv")).filter(F.col("est") >= percent / 100 - SLACK).select("u", "v", "est")
+
+    # first round: with the bucket's hub
+    ranked = members.join(involved.select("node", "degree", "n_shingles"), "node")
+    top = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("v"))
+    hubs = keep(top, "hubs")
+    pairs = members.join(hubs, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     likely = keep(similar(pairs), "likely")
     best = likely.groupBy("u").agg(F.max(F.struct("est", (-F.col("v")).alias("neg"))).alias("b")).select("u", (-F.col("b.neg")).alias("v"))
-    comps = _merged(spark, None, keep(confirmed(best, texts, percent), "links-best"), keep, "comps-best")
+    comps = _merged(None, keep(confirmed(best, sets, percent), "links-best"), keep, "comps-best")
 
     def across(pairs: DataFrame) -> DataFrame:
-        a, b = comps.select(F.col("id").alias("u"), F.col("comp").alias("cu")), comps.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
+        a, b = comps.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comps.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
         open_ = F.coalesce("cu", "u") != F.coalesce("cv", "v")
         return pairs.join(a, "u", "left").join(b, "v", "left").filter(open_).select("u", "v")
 
-    comps = _merged(spark, comps, keep(confirmed(across(likely.select("u", "v")), texts, percent), "links-rest"), keep, "comps-rest")
+    comps = _merged(comps, keep(confirmed(across(likely.select("u", "v")), sets, percent), "links-rest"), keep, "comps-rest")
 
     # later rounds: pivots from outside the bucket's largest component, against members of other components
-    several = members.filter("n > 2")
+    several = keep(ranked.filter("n > 2").select("key", "node", "n_shingles"), "several")
+    tested = hubs.select("key", F.col("v").alias("node"), F.lit(1).alias("turn"))
     pivots = PIVOTS
-    for step in range(1, 64):
-        placed = several.join(comps, "id", "left").select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("most.comp").alias("largest"))
-        outside = placed.join(largest, "key").filter("comp <> largest").join(tested.withColumnRenamed("v", "id"), ["key", "id"], "left_anti")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(step)), "id")
-        chosen = keep(outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "band", "id", "n", "comp"), f"chosen{step}")
+    for step in range(2, 66):
+        placed = several.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("size"))
+        largest = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", "size", F.col("most.comp").alias("largest"))
+        turned = placed.join(largest, "key").join(tested, ["key", "node"], "left")
+        outside = turned.filter("comp <> largest AND turn IS NULL")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(step)), "node")
+        chosen = keep(outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "node", "n_shingles", "comp", F.lit(step).alias("turn")), f"chosen{step}")
         if chosen.isEmpty():
             break
-        active = placed.join(chosen.select("key").distinct(), "key", "left_semi")
-        links = keep(confirmed(across_blocks(active.join(signs, "id"), chosen.join(signs, "id"), partitions(spark), percent).distinct(), texts, percent), f"links{step}")
-        tested = keep(tested.unionByName(chosen.select("key", F.col("id").alias("v"))), f"tested{step}")
+        tested = keep(tested.unionByName(chosen.select("key", "node", "turn")), f"tested{step}")
+        asked = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("pn"), F.sum("n_shingles").alias("psize"))
+        plan = keep(largest.join(asked, "key").select("key", _chunks("n", "size").alias("lefts"), _chunks("pn", "psize").alias("rights"), "size", "psize"), f"plan{step}")
+        total = plan.agg(F.sum(F.col("size").cast("double") * F.col("rights") + F.col("psize").cast("double") * F.col("lefts"))).first()[0]
+        groups = max(partitions(spark), math.ceil(total / DEAL_SHINGLES))
+        dealt = lambda own, way, others: own.withColumn(way, F.pmod(F.xxhash64("node"), F.col(f"{way}s")).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)))
+        active = turned.select("key", "node", "comp", F.coalesce("turn", F.lit(0)).alias("turn")).join(chosen.select("key", "node", F.col("turn").alias("_now")), ["key", "node"], "left")
+        active = active.withColumn("turn", F.coalesce("_now", "turn")).join(plan, "key").join(signs.drop("n_shingles"), "node").join(sets, "node")
+        asking = chosen.join(plan, "key").join(signs.drop("n_shingles"), "node").join(sets, "node")
+        links = keep(across_blocks(dealt(active, "left", "right"), dealt(asking, "right", "left"), groups, percent).distinct(), f"links{step}")
         if not links.isEmpty():
-            comps = _merged(spark, comps, links, keep, f"comps{step}")
-        pivots *= 8
+            comps = _merged(comps, links, keep, f"comps{step}")
+        pivots *= GROWTH
+    else:
+        raise RuntimeError("buckets did not settle")
 
-    placed = sketched.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    named = placed.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep", "id"))
-    return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = comps.join(classes.select("node", "rep"), "node")
+    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("name")), "comp").select("node", "name")
+    placed = sketched.select("id", "mark", *DIGEST).join(classes.join(named, "node", "left").select(*DIGEST, F.coalesce("name", "rep").alias("_name")), DIGEST, "left")
+    component = F.coalesce("_name", "id")
+    return placed.select("id", "mark", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest id stays; rows without an id stay."""
-    gone = link(spark, docs, id_col, text_col, percent).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """docs without the near copies: of each component the rows with the smallest id stay; rows without an id that are linked with none stay."""
+    gone = _linked(spark, docs, id_col, text_col, percent).filter("NOT kept").select(F.col("id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_mark")), "left_anti")
