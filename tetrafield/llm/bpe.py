@@ -12,9 +12,11 @@ that repeat are each encoded. Input columns that clash with the added ones (ids,
 
 from __future__ import annotations
 
+import atexit
 import functools
 import json
 import os
+import shutil
 import tempfile
 import unicodedata
 from collections import Counter
@@ -28,12 +30,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, text_batches
+from .common import Written, give_back, text_batches
 
 ADDED = ("ids", "n_tokens", "decoded")
 LEXICON_WORDS = 60_000  # the automaton's size is bounded by this
-MEMO_WORDS = 250_000  # of a worker, dropped as a whole when full
-COUNT_WORDS = 300_000  # distinct words that a counting task holds before it passes partial counts on
+MEMO_BYTES = 32 << 20  # of a worker's memo, dropped as a whole when full
+COUNT_WORDS = 150_000  # distinct words that a counting task holds before it passes partial counts on
+STEPS = 16  # of the counts' histogram for each doubling: a thousand rows at most, whatever the corpus
 OUT_BYTES = 8 << 20  # of an output batch
 GROUP_CHARS = 1 << 20  # texts are encoded in groups of this size, so that their unseen words are merged together
 
@@ -265,12 +268,16 @@ class Lexicon:
 class Encoder:
     """Memo before automaton before exact merges."""
 
-    def __init__(self, path: str, lexicon: str | None = None):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary, lexicon: str | None = None):
+        self.vocabulary = vocabulary
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.forget()
+        self.gaps = bool((self.vocabulary.tables[3] < 0).any() or (self.vocabulary.tables[4] < 0).any())
+
+    def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
-        self.gaps = bool((self.vocabulary.tables[3] < 0).any() or (self.vocabulary.tables[4] < 0).any())
+        self.held = 0
 
     def _learn(self, words: list[str]) -> None:
         numbers = self.lexicon.numbers(words) if self.lexicon is not None else np.full(len(words), -1)
@@ -279,14 +286,14 @@ class Encoder:
         for i, (word, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
             ids = self.lexicon.ids_of(n) if n >= 0 else merged[i]
             self.memo[word], self.decoded[word] = ids.astype("<u4").tobytes(), self.vocabulary.decode(ids.tolist())
+            self.held += 350 + 5 * len(word) + 8 * len(ids)  # two entries of a dict and their objects, about
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, their decoded text) of each text."""
         pieces = [self.vocabulary.pieces(t) for t in texts]
         if new := set().union(*pieces).difference(self.memo):
-            if len(self.memo) + len(new) > MEMO_WORDS:
-                self.memo.clear()
-                self.decoded.clear()
+            if self.held > MEMO_BYTES:
+                self.forget()
                 new = set().union(*pieces)
             self._learn(list(new))
         ids, decoded = self.memo.__getitem__, self.decoded.__getitem__
@@ -297,9 +304,15 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
+def _vocabulary(path: str) -> Vocabulary:
+    """A worker's one copy, for counting and encoding."""
+    return Vocabulary(path)
+
+
+@functools.lru_cache(1)
 def _encoder(path: str, lexicon: str | None) -> Encoder:
-    return Encoder(path, SparkFiles.get(lexicon) if lexicon else None)
+    return Encoder(_vocabulary(path), SparkFiles.get(lexicon) if lexicon else None)
 
 
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -308,7 +321,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     text_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = _encoder(path, None).vocabulary, Counter()
+        vocabulary, counts = _vocabulary(path), Counter()
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -328,11 +341,24 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, words: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compiles the `words` most frequent words and has Spark ship the file; returns its name."""
-    rows = word_counts(docs, path, text_col).filter("n > 1 AND substring(word, 1, 1) <> '\\u0000'").orderBy(F.desc("n"), "word").limit(words).collect()
-    vocabulary = Vocabulary(path)
+    """Compiles the most frequent words, at most `words`, and has Spark ship the file; returns its name.
+
+    A histogram of the counts tells from which count on they are few enough, so only they reach the driver.
+    """
+    keep = Written(spark, "bpe")
+    counts = keep(word_counts(docs, path, text_col).filter("n > 1 AND substring(word, 1, 1) <> '\\u0000'").withColumn("step", F.floor(F.log2("n") * STEPS)), "counts")
+    least, room = None, words
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    rows = counts.filter(F.col("step") >= least).select("word").collect() if least is not None else []
+    keep.drop("counts")
+    vocabulary = _vocabulary(path)
     made = compile_lexicon({r["word"]: vocabulary.merge(r["word"]) for r in rows})
     at = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), "")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)  # Spark serves the file to executors, later ones too, until then
     name = f"{os.path.basename(at[:-1])}.bin"
     with open(at + name, "wb") as f:
         f.write(made)
@@ -371,8 +397,7 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str
                     added = [pa.array([x for x, _ in made], pa.binary()), pa.array([len(x) // 4 for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.string())]
                     yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *ADDED])
                     first, made, size = last, [], 0
-        encoder.memo.clear()
-        encoder.decoded.clear()
+        encoder.forget()
         give_back()
 
     return rows.mapInArrow(run, schema)
