@@ -352,7 +352,7 @@ def _link(spark: SparkSession, docs: DataFrame, percent: int, keep: Written) ->
         return both.withColumn("est", estimate("_su", "_sv")).filter(F.col("est") >= percent / 100 - SLACK).select("u", "v", "est")
 
     # first round: with the bucket's hub
-    ranked = members.join(involved.select("node", "degree", "n_shingles"), "node")
+    ranked = members.join(involved.select("node", "degree"), "node")
     top = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("v"))
     hubs = keep(top, "hubs")
     pairs = members.join(hubs, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
@@ -367,32 +367,32 @@ def _link(spark: SparkSession, docs: DataFrame, percent: int, keep: Written) ->
 
     comps = _merged(comps, keep(confirmed(across(likely.select("u", "v")), sets, percent), "links-rest"), keep, "comps-rest")
 
-    # later rounds: pivots from outside the bucket's largest component, against members of other components
-    several = keep(ranked.filter("n > 2").select("key", "node", "n_shingles"), "several")
-    tested = hubs.select("key", F.col("v").alias("node"), F.lit(1).alias("turn"))
+    # later rounds: pivots from outside the bucket's largest component, against members of other components. A bucket
+    # is done with when all members outside its largest component have been pivots.
+    state = members.filter("n > 2").join(hubs, "key").join(involved.select("node", "n_shingles"), "node")
+    state = keep(state.select("key", "node", "n_shingles", F.when(F.col("node") == F.col("v"), 1).otherwise(0).alias("turn")), "state")
     pivots = PIVOTS
     for step in range(2, 66):
-        placed = several.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+        placed = state.join(comps, "node", "left").select("key", "node", "n_shingles", "turn", F.coalesce("comp", "node").alias("comp"), F.xxhash64("node", F.lit(step)).alias("draw"))
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("size"))
         largest = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", "size", F.col("most.comp").alias("largest"))
-        turned = placed.join(largest, "key").join(tested, ["key", "node"], "left")
-        outside = turned.filter("comp <> largest AND turn IS NULL")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(step)), "node")
-        chosen = keep(outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "node", "n_shingles", "comp", F.lit(step).alias("turn")), f"chosen{step}")
+        open_ = keep(placed.join(largest, "key"), f"open{step}")
+        waiting = (F.col("comp") != F.col("largest")) & (F.col("turn") == 0)
+        order = Window.partitionBy("key").orderBy("draw", "node")
+        chosen = keep(open_.filter(waiting).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "node", "n_shingles", "comp", "draw", "n", "size", F.lit(step).alias("turn")), f"chosen{step}")
         if chosen.isEmpty():
             break
-        tested = keep(tested.unionByName(chosen.select("key", "node", "turn")), f"tested{step}")
-        asked = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("pn"), F.sum("n_shingles").alias("psize"))
-        plan = keep(largest.join(asked, "key").select("key", _chunks("n", "size").alias("lefts"), _chunks("pn", "psize").alias("rights"), "size", "psize"), f"plan{step}")
-        total = plan.agg(F.sum(F.col("size").cast("double") * F.col("rights") + F.col("psize").cast("double") * F.col("lefts"))).first()[0]
+        asked = chosen.groupBy("key", "n", "size").agg(F.count(F.lit(1)).alias("pn"), F.sum("n_shingles").alias("psize"), F.max(F.struct("draw", "node")).alias("edge"))
+        plan = keep(asked.select("key", "edge", _chunks("n", "size").alias("lefts"), _chunks("pn", "psize").alias("rights"), F.col("size").alias("_size"), "psize"), f"plan{step}")
+        total = plan.agg(F.sum(F.col("_size").cast("double") * F.col("rights") + F.col("psize").cast("double") * F.col("lefts"))).first()[0]
         groups = max(partitions(spark), math.ceil(total / DEAL_SHINGLES))
         dealt = lambda own, way, others: own.withColumn(way, F.pmod(F.xxhash64("node"), F.col(f"{way}s")).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)))
-        active = turned.select("key", "node", "comp", F.coalesce("turn", F.lit(0)).alias("turn")).join(chosen.select("key", "node", F.col("turn").alias("_now")), ["key", "node"], "left")
-        active = active.withColumn("turn", F.coalesce("_now", "turn")).join(plan, "key").join(signs.drop("n_shingles"), "node").join(sets, "node")
-        asking = chosen.join(plan, "key").join(signs.drop("n_shingles"), "node").join(sets, "node")
-        links = keep(across_blocks(dealt(active, "left", "right"), dealt(asking, "right", "left"), groups, percent).distinct(), f"links{step}")
+        turned = open_.join(plan, "key").withColumn("turn", F.when(waiting & (F.struct("draw", "node") <= F.col("edge")), step).otherwise(F.col("turn")))
+        own = signs.drop("n_shingles").join(sets, "node")
+        links = keep(across_blocks(dealt(turned.join(own, "node"), "left", "right"), dealt(chosen.join(plan, "key").join(own, "node"), "right", "left"), groups, percent).distinct(), f"links{step}")
         if not links.isEmpty():
             comps = _merged(comps, links, keep, f"comps{step}")
+        state = turned.select("key", "node", "n_shingles", "turn")
         pivots *= GROWTH
     else:
         raise RuntimeError("buckets did not settle")
