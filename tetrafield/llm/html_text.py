@@ -55,11 +55,10 @@ WORDS = {
 }
 _GROUP = {w: i for i, ws in enumerate(WORDS.values()) for w in ws}
 _TOKENS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_SCAN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>script|style|textarea|title|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*+[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"'>]*>))*+)>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(?P<end>/?)(?P<name>[A-Za-z][^\s/><]*+))")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+RAW = frozenset("script style textarea title noscript iframe template".split())  # read to their own end tag
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
@@ -82,10 +81,44 @@ def _groups_of(attributes: str) -> int:
     return bits
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match of _OPEN) of tags in order; the match is None for comments, declarations and raw elements with their content.
+
+    A quote that hides a tag's end up to the page's is no quote, and none after it is.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if m["name"] is None:
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0])
+            end = page.find(mark or ">", m.end())
+            if end < 0 and mark is None:
+                return  # a declaration without an end is text, as is what follows: no tag ends there either
+            at = len(page) if end < 0 else end + len(mark or ">")
+            yield start, at, None
+            continue
+        if last < m.end():
+            at = m.end()
+            continue
+        closed = _QUOTED.match(page, m.end()) if quotes else None
+        if closed is None:
+            quotes = False
+        at = closed.end() if closed else page.find(">", m.end()) + 1
+        name = m["name"].lower()
+        if name not in RAW or m["end"]:
+            yield start, at, m
+            continue
+        over = _RAW_END[name].search(page, at)
+        end = page.find(">", over.end()) if over else -1
+        at = len(page) if end < 0 else end + 1
+        yield start, at, None
+
+
 def parse(page: str) -> list[Node]:
-    """Block elements and text blocks in page order, parents first; the first is the root."""
+    """Block elements and text blocks in page order, parents first; the first is the root. Time is in proportion to the page."""
     nodes = [Node("#root", -1, 0, 0)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; the node of the block they are in
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
     hidden = links = 0
     run: list[str] = []
     linked = 0
@@ -112,51 +145,48 @@ def parse(page: str) -> list[Node]:
         for name, _ in stack[to:]:
             hidden -= name in HIDDEN
             links -= name == "a"
+            places[name].pop()
         del stack[to:]
 
-    def innermost(names: tuple, bounds: tuple) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in bounds:
-                return None
-        return None
+    def innermost(names: tuple, bounds: tuple = ()) -> int:
+        """The place of the last open element of these names, 0 if none is open within the bounds."""
+        last = lambda ns: max((places[n][-1] for n in ns if places.get(n)), default=0)
+        return at if (at := last(names)) > last(bounds) else 0
 
     at = 0
-    for m in _SCAN.finditer(page):
-        if m.start() > at and not hidden:
-            piece = page[at : m.start()]
+    for start, end, m in _tags(page):
+        if start > at and not hidden:
+            piece = page[at:start]
             run.append(piece)
             linked += len(piece) if links else 0
-        at = m.end()
-        name = m["name"]
-        if name is None:
+        at = end
+        if m is None:
             continue
-        name = name.lower()
+        name = m["name"].lower()
         if m["end"]:
             if name in VOID:
                 run.append(" ") if name == "br" and not hidden else None
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            elif i := innermost((name,)):
+                close(i)
             continue
         if name in VOID:
             if not hidden:
                 run.append(" ")
             continue
-        if name in CLOSES_P and (i := innermost(("p",), ("td", "th", "li", "table", "button", "object"))) is not None:
+        if name in CLOSES_P and (i := innermost(("p",), ("td", "th", "li", "table", "button", "object"))):
             close(i)
-        if name in SAME and (i := innermost(SAME[name], BOUNDS[name])) is not None:
+        if name in SAME and (i := innermost(SAME[name], BOUNDS[name])):
             close(i)
+        attributes = page[m.end() : end - 1]
         if name in BLOCKS and not hidden:
             flush()
             parent = stack[-1][1]
             nodes[parent].children.append(len(nodes))
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, len(nodes)))
-            nodes.append(Node(name, parent, _groups_of(m["attributes"]), nodes[parent].depth + 1))
-        elif not m["attributes"].endswith("/"):
+            nodes.append(Node(name, parent, _groups_of(attributes), nodes[parent].depth + 1))
+        elif not attributes.endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, stack[-1][1]))
             hidden += name in HIDDEN
             links += name == "a"
