@@ -49,7 +49,9 @@ SEPARATORS = "*.-_~'`^,:;=/\\·•"
 N = 28  # 0: outside a word; 1 to 26: letters; 27: any other letter
 OTHER = 27
 SPACED = re.compile(r"(?<!\S)[\w@$!](?:[ .\-_*][\w@$!]){2,}(?!\S)")
-EDGE = re.compile(r"^[^\w@$(|]+|(?:[^\w@$!+]|[!+]|\$\$\$+|@@+)+$")
+START = re.compile(r"[^\w@$(|]*+")
+WORD_SIGN = re.compile(r"\w")
+RUNS = {"$": 3, "@": 2}  # so many of them at a word's end are no letter
 PLAIN = re.compile(r"[^\W\d_]*\Z")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 
@@ -106,6 +108,22 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+def bare(word: str) -> str:
+    """A folded word without the signs around it that stand for no letter."""
+    first, end = START.match(word).end(), len(word)
+    while end > first:
+        c, run = word[end - 1], 1
+        if c in RUNS:
+            while end - run > first and word[end - run - 1] == c:
+                run += 1
+            if run < RUNS[c]:
+                break
+        elif WORD_SIGN.match(c):
+            break
+        end -= run
+    return word[first:end]
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """Columns of (reading, cost) for a folded word or a run of spaced letters."""
     out: list[list[tuple[str, float]]] = []
@@ -129,10 +147,10 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The cheapest reading. A state is the last two letters; ties go to the reading that sorts first."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading. A state is the last two letters; of equal costs the reading that is met first stays."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and the readings as a chain back
     for column in [*columns, [(" ", 0.0)]]:
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in best.items():
             for reading, price in column:
                 x, y, total = a, b, cost + price
@@ -141,11 +159,14 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                     if z or y:
                         total += float(model[x, y, z])
                     x, y = y, z
-                made = (total, said + reading)
-                if (x, y) not in step or made < step[x, y]:
-                    step[x, y] = made
+                if (x, y) not in step or total < step[x, y][0]:
+                    step[x, y] = (total, (said, reading) if reading else said)
         best = step
-    return min(best.values())[1]
+    chain, out = min(best.values(), key=lambda t: t[0])[1], []
+    while chain is not None:
+        chain, reading = chain
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def restore(token: str, model: np.ndarray) -> list[str]:
@@ -153,13 +174,12 @@ def restore(token: str, model: np.ndarray) -> list[str]:
     plain = token.strip(".,;:?")
     if plain.isascii() and plain.isalpha() and not STRETCHED.search(plain):
         return [plain.lower()]
-    folded = fold(token)
-    bare = EDGE.sub("", folded)
-    if PLAIN.match(bare) and not STRETCHED.search(bare):
-        return [bare] if bare else []
-    if not any(c.isalpha() for c in bare):
+    word = bare(fold(token))
+    if PLAIN.match(word) and not STRETCHED.search(word):
+        return [word] if word else []
+    if not any(c.isalpha() for c in word):
         return []
-    return [w for w in viterbi(lattice(bare), model).split() if w]
+    return [w for w in viterbi(lattice(word), model).split() if w]
 
 
 GRAMS = (4, 5, 6)
@@ -197,11 +217,13 @@ class Scorer:
         self.model, self.toxic, self.clean = model, toxic, clean
         self.table = self.odds(np.arange(len(toxic) - 1)) if toxic is not None else None
         self.words: dict[str, tuple[str, ...]] = {}
-        self.scores: dict[str, float] = {}
+        self.scores: dict[str, tuple[str, float]] = {}  # a token's word, or the first of several, with its odds
+        self.several: dict[str, list[tuple[str, float]]] = {}  # the others
 
     def forget(self) -> None:
         self.words.clear()
         self.scores.clear()
+        self.several.clear()
 
     def tokens(self, text: str) -> set[str]:
         found = set(text.split())
@@ -237,21 +259,27 @@ class Scorer:
         return out
 
     def features(self, text: str, label: int | None = None) -> list[float]:
-        """The TOP strongest words' odds."""
+        """The odds of the TOP strongest distinct words."""
         if label is None:
             tokens = self.tokens(text)
             if new := [t for t in tokens if t not in self.scores]:
                 if len(self.scores) + len(new) > MEMO_WORDS:
                     self.scores.clear()
+                    self.several.clear()
                     new = list(tokens)
                 meant = [restore(t, self.model) for t in new]
                 odds = iter(self.best([w for m in meant for w in m]).tolist())
                 for t, m in zip(new, meant, strict=True):
-                    self.scores[t] = max((next(odds) for _ in m), default=0.0)
-            own = map(self.scores.__getitem__, tokens)
+                    pairs = [(w, next(odds)) for w in m] or [("", 0.0)]
+                    self.scores[t] = pairs[0]
+                    if len(pairs) > 1:
+                        self.several[t] = pairs[1:]
+            own = dict(map(self.scores.__getitem__, tokens))
+            for t in self.several.keys() & tokens:
+                own.update(self.several[t])
+            top = nlargest(TOP, own.values())
         else:
-            own = self.best(self.document_words(text), label).tolist()
-        top = nlargest(TOP, own)
+            top = nlargest(TOP, self.best(self.document_words(text), label).tolist())
         return [max(0.0, x) for x in top] + [0.0] * (TOP - len(top))
 
 
