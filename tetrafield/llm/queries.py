@@ -15,8 +15,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+PII_KEY = "spark.tetrafield.pii.key"  # the session's setting; the query alone has a key to fall back on
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_replaced")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, spark.conf.get(PII_KEY, "only for trials")).select("doc_id", "text", "n_replaced")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
