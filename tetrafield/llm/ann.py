@@ -8,7 +8,8 @@ entry point; the best of all shards, expanded to the classes' members, are ranke
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors meet only those of
 their own length; with fewer candidates than k all found are returned; ties go to the smaller id; rows that repeat one
-id count once; an empty table gives an empty result; extra columns are ignored.
+id count once; rows without an id take no part; vectors of any finite size are searched alike (a product may overflow
+to infinity; in a shard, vectors 10**38 times smaller than its largest are searched as zeros); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,6 +104,7 @@ def robust_prune(points: np.ndarray, own: np.ndarray, proposed: np.ndarray, degr
 
 def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(points with the added coordinate, links, entry). A row of links names the point after the last for "none"."""
+    vectors = vectors / np.abs(vectors).max()  # whatever their size, single precision holds them
     square = (vectors * vectors).sum(1)
     points = np.hstack([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
     n = len(points)
@@ -180,13 +182,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         links = np.full((n, DEGREE), n, np.int64)
         for i, own in enumerate(shard["links"]):
             links[i, : len(own)] = own
-        points = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+        # scaling all points, or a query, alike changes no order; single precision then holds them
+        points = np.vstack([vectors / np.abs(vectors).max(), np.zeros((1, vectors.shape[1]))]).astype(np.float32)
         asked_for = np.array(asked["query"].tolist(), np.float64)
-        near, _ = beam_search(points, links, int(np.flatnonzero(shard["entry"])[0]), asked_for.astype(np.float32), max(beam, k))
+        scaled = (asked_for / np.abs(asked_for).max(1, keepdims=True)).astype(np.float32)
+        near, _ = beam_search(points, links, int(np.flatnonzero(shard["entry"])[0]), scaled, max(beam, k))
         members = [np.asarray(x, np.int64) for x in shard["ids"]]
         reps, ids, scores = [], [], []
         for rep, q, row in zip(asked["rep"], asked_for, near, strict=True):
             row = np.unique(row[row >= 0])
+            if not len(row):
+                continue
             product = (vectors[row] * q).sum(1)
             best = np.argsort(-product, kind="stable")
             if len(best) > k:  # ties with the last one stay
@@ -197,6 +203,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             reps += [rep] * len(order)
             ids.append(them[order])
             scores.append(value[order])
+        if not ids:
+            return empty
         return pd.DataFrame({"rep": reps, "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     keys = ["dim", "shard", "part"]  # a shard meets each part of the queries; there is one part for each QUERY_ROWS of them

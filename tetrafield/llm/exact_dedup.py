@@ -3,8 +3,9 @@
 Pass one adds the k slots of every row's hash to a counter per slot and keeps, as a bitmap, the slots that two rows or
 more fell into. Pass two reads the rows again: a row of which one slot was hit by no other row is the only one of its
 text and passes straight through; the others ("possibly repeated") shuffle to be grouped by their full digest. The
-filter has a fixed number of slots, so its size is bounded whatever the input (2**slots_log2 bits); a fuller filter
-only lets more rows shuffle and never changes the result.
+filter has SLOTS_PER_ROW slots for each row, rounded up to a power of two, and at most 2**MOST_LOG2: so its size is bounded,
+and what may be broadcast with it (128 MB for each hash). Beyond that many rows it fills up, which lets more rows shuffle
+and never changes the result.
 
 Cases: null text counts as empty; an empty table gives an empty result; ties (rows that repeat both text and doc_id)
 keep exactly one of the equal rows; a null doc_id sorts last, so it stays only where a text has no other row. Columns of
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Written, text_or_empty
 
 BITMAP_BITS = 32768  # of bitmap_construct_agg
+SLOTS_PER_ROW, MOST_LOG2 = 8, 30
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -40,8 +42,8 @@ def repeated_slots(digests: DataFrame, hashes: int, slots_log2: int) -> DataFram
 
 def _sorted_out(rows: DataFrame, bitmaps: DataFrame, hashes: int, slots_log2: int) -> DataFrame:
     """rows with _maybe: whether every slot of the row's hash was hit at least twice."""
-    if not 10 <= slots_log2 <= 27 or not 1 <= hashes <= 4:
-        raise ValueError("10 <= slots_log2 <= 27 and 1 <= hashes <= 4, so that the filter's size is bounded")
+    if not 10 <= slots_log2 <= MOST_LOG2 or not 1 <= hashes <= 4:
+        raise ValueError(f"10 <= slots_log2 <= {MOST_LOG2} and 1 <= hashes <= 4, so that the filter's size is bounded")
     tested, hit = rows, F.lit(True)
     for k, slot in enumerate(_slots(F.col("text_sha256"), hashes, slots_log2)):
         own = bitmaps.filter(F.col("k") == k).select(F.col("bucket").alias("_bucket"), F.col("bits").alias(f"_bits{k}"))
@@ -52,16 +54,22 @@ def _sorted_out(rows: DataFrame, bitmaps: DataFrame, hashes: int, slots_log2: in
     return tested.withColumn("_maybe", hit).drop(*(f"_{x}{k}" for k in range(hashes) for x in ("slot", "bits")))
 
 
+def filter_size(n_rows: int) -> int:
+    """The power of two slots for so many rows."""
+    return min(max(10, (SLOTS_PER_ROW * n_rows - 1).bit_length()), MOST_LOG2)
+
+
 def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.drop(*(c for c in ADDED if c in docs.columns))
     return rows.withColumn("text_sha256", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
 
 
-def mark(rows: DataFrame, id_col: str = "doc_id", hashes: int = 2, slots_log2: int = 24) -> DataFrame:
+def mark(rows: DataFrame, id_col: str = "doc_id", hashes: int = 2, slots_log2: int | None = None) -> DataFrame:
     """rows (with_digest's, best without the text and written) with keep_id, group_size and kept added; every row stays.
 
-    slots_log2: at most 27, i.e. a filter of hashes * 16 MB, which is what may be broadcast.
+    slots_log2: if None, by the number of rows, which are counted first.
     """
+    slots_log2 = filter_size(rows.count()) if slots_log2 is None else slots_log2
     tested = _sorted_out(rows, repeated_slots(rows.select("text_sha256"), hashes, slots_log2), hashes, slots_log2)
     once = tested.filter(~F.col("_maybe")).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     maybe = tested.filter("_maybe")
@@ -73,13 +81,14 @@ def mark(rows: DataFrame, id_col: str = "doc_id", hashes: int = 2, slots_log2: i
     return once.unionByName(more.drop("_first")).select(*(c for c in rows.columns if c != "text_sha256"), *ADDED)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = 2, slots_log2: int = 24) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = 2, slots_log2: int | None = None) -> DataFrame:
     """The rows of docs that stay, with their own columns. Of the texts only those shuffle that may be repeated."""
     clash = [c for c in ADDED if c in docs.columns]
     docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
     keep = Written(spark, "exact")
     rows = with_digest(docs, text_col)
     narrow = keep(rows.select(id_col, "text_sha256"), "digests")
+    slots_log2 = filter_size(narrow.count()) if slots_log2 is None else slots_log2
     bitmaps = keep(repeated_slots(narrow.select("text_sha256"), hashes, slots_log2), "bitmaps")
     groups = _sorted_out(narrow, bitmaps, hashes, slots_log2).filter("_maybe").groupBy("text_sha256").agg(F.min(id_col).alias("_keep"))
     tested = _sorted_out(rows, bitmaps, hashes, slots_log2)

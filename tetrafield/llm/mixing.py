@@ -12,7 +12,8 @@ is found from running sums over at most 65536 buckets, and only that bucket's do
 
 Cases: null text has no tokens; such rows cost nothing and are taken with the others of their place in the order (a leaf without any token once); null
 levels form a branch of their own, named ''; rows that repeat count each; ties of the hash go to the smaller id; an
-empty table, or a budget of 0, selects nothing; clashing input columns (n_tokens, copies) are replaced.
+empty table, or a budget of 0, selects nothing; clashing input columns (n_tokens, copies and the levels' names) are replaced
+by mix and kept by take.
 """
 
 from __future__ import annotations
@@ -104,6 +105,7 @@ def mix(spark: SparkSession, docs: DataFrame, levels: list[tuple[str, Column]],
 
 
 def take(spark: SparkSession, docs: DataFrame, levels: list[tuple[str, Column]], **options) -> DataFrame:
-    """The mixture itself: docs' columns, a row as often as it is taken."""
-    mixed = mix(spark, docs, levels, **options).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(c for c in docs.columns if c not in ADDED))
+    """The mixture itself: docs' columns, clashing ones too, a row as often as it is taken."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in (*ADDED, *(n for n, _ in levels))}
+    mixed = mix(spark, docs.withColumnsRenamed(clash), levels, **options).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
