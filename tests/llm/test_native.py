@@ -87,7 +87,7 @@ def test_mixing_rows(spark):
 
 def pseudonyms(spark, *values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    return [r.p for r in df.select(pii.pseudonym(F.col("v")).alias("p")).collect()]
+    return [r.p for r in df.select(pii.pseudonym(F.col("v"), "k").alias("p")).collect()]
 
 
 def luhn(digits):
@@ -111,7 +111,7 @@ def test_pseudonyms_keep_their_format(spark):
 
 def test_pseudonyms_are_one_to_one(spark):
     days = spark.range(36_524).select(F.date_add(F.lit("1850-01-01"), F.col("id").cast("int")).cast("string").alias("v"))
-    assert days.select(pii.pseudonym(F.col("v")).alias("p")).distinct().count() == 36_524
+    assert days.select(pii.pseudonym(F.col("v"), "k").alias("p")).distinct().count() == 36_524
     three = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
     made = three.select(pii.permute_signs(F.col("v"), "k", F.lit("t")).alias("p"))
     assert made.distinct().count() == 2000 and made.filter("p rlike '^[0-9]{4}$'").count() == 2000
@@ -120,12 +120,12 @@ def test_pseudonyms_are_one_to_one(spark):
 def test_pseudonymised_texts(spark):
     rows = [(1, "mail bosbt.42@mail8.example.com ip 42.144.35.254 call +1 (988) 555-2485 pay 4041894974608795."), (2, None), (3, ""), (4, "nothing 12 here"), (5, "w " * 50_000 + "42.144.35.254")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_replaced int")
-    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     assert got[1].n_replaced == 4 and got[1].text.startswith("mail ") and got[1].text.endswith(".") and not any(x in got[1].text for x in ("bosbt", "42.144.35.254", "988", "4041894974608795"))
     assert got[2].text is None and got[3].text == "" and got[4].text == "nothing 12 here" and got[5].n_replaced == 1
     ip = re.search(r"\d+\.\d+\.\d+\.\d+", got[1].text)[0]
     assert got[5].text.endswith(ip)
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
 CARD, IBANS = "4111 1111 1111 1111", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "AT611904300234573201"]
@@ -138,11 +138,11 @@ FOLLOWED = [
 def test_numbers_followed_by_others(spark):
     """What follows a valid number, or stands before it, stays; the number itself never does."""
     rows = [f"{before}{v}{rest}" for v, rest in FOLLOWED for before in ("pay ", "year 2024 ")] + ["AB12 4111 1111 1111 1111"]
-    alone = {r.text: r.p for r in spark.createDataFrame([(v,) for v in (CARD, *IBANS)], "text string").select("text", pii.pseudonym(F.col("text")).alias("p")).collect()}
+    alone = {r.text: r.p for r in spark.createDataFrame([(v,) for v in (CARD, *IBANS)], "text string").select("text", pii.pseudonym(F.col("text"), "k").alias("p")).collect()}
     assert all(v != p for v, p in alone.items())
     want = [f"{before}{alone[v]}{rest}" for v, rest in FOLLOWED for before in ("pay ", "year 2024 ")] + [f"AB12 {alone[CARD]}"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(docs, "k").collect()}
     assert [got[i] for i in range(len(rows))] == [(t, 1) for t in want]
 
 
@@ -150,5 +150,57 @@ def test_numbers_one_after_the_other(spark):
     """A number that a wider window of the one before it would have swallowed is found too."""
     parts = [IBANS[1], CARD, "123-45-6789", CARD, "12/26/2026", IBANS[0], "42.144.35.254"]
     docs = spark.createDataFrame([(0, " ".join(parts)), (1, " ".join(reversed(parts)))], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     assert got[0].n_replaced == got[1].n_replaced == len(parts) and not any(p in r.text for p in parts for r in got.values())
+
+
+def feistel(value, key, tweak):
+    """The permutation of a string of signs, written out plainly."""
+    kinds = {c: a for a in (pii.DIGITS, pii.LOWERS, pii.UPPERS) for c in a}
+    shape = "".join({pii.DIGITS: "0", pii.LOWERS: "a", pii.UPPERS: "A"}[kinds[c]] for c in value)
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for r in range(1, pii.ROUNDS + 1):
+        digest = hashlib.sha256("|".join([key, tweak, shape, str(r), b]).encode()).hexdigest()
+        digest += "".join(hashlib.sha256(f"{digest}{i}".encode()).hexdigest() for i in range(1, len(a) // 16 + 1))
+        a, b = b, "".join(kinds[c][(kinds[c].index(c) + int(digest[4 * i : 4 * i + 4], 16)) % len(kinds[c])] for i, c in enumerate(a))
+    return a + b
+
+
+def test_permutations_equal_a_plain_feistel_network(spark):
+    values = ["7", "42", "abc", "Zz9", "4041894974608795", "0123456789abcdefghijABCDEFGHIJ0123456789"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r.p for r in df.select(pii.permute_signs(F.col("v"), "key", F.lit("tweak")).alias("p")).collect()] == [feistel(v, "key", "tweak") for v in values]
+    assert pseudonyms(spark, "bosbt.42@mail8.example.com", "4041894974608795")[0].replace(".", "", 1).split("@")[0] == feistel("bosbt42", "k", "emailmail8.example.com")
+    assert pseudonyms(spark, "4041894974608795")[0][:-1] == feistel("404189497460879", "k", "card")
+
+
+def test_long_addresses(spark):
+    long = "x" * 70 + "@" + "a.b." * 20 + "example.com"
+    rows = ["a@" + "b.c." * 2000, "a@" + "bb." * 3000, "a@" * 4000, "a" * 50_000 + "@", long, "joe@" + "b-" * 5000 + ".com", "write joe@a.example.com, now"]
+    docs = spark.createDataFrame([(n, t, "own") for n, t in enumerate(rows + rows)], "doc_id long, text string, n_replaced string")
+    got = {}
+    for r in pii.pseudonymise(docs, "k").collect():
+        got[r.doc_id] = (r.text, r.n_replaced)
+    assert len(got) == 14 and all(got[n] == got[n + 7] for n in range(7))
+    assert got[0][1] == got[2][1] == got[3][1] == got[5][1] == 0 and got[4][1] == got[6][1] == 1 and "joe@" not in got[6][0]
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(n, "a b c", "en", "s1", n * 10, "mine", "own") for n in range(20)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens long, copies string, domain string")
+    got = mixing.take(spark, docs, mixing.document_levels(), share=1.0, epochs=1)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(rows)
+    mixed = mixing.mix(spark, docs, mixing.document_levels(), share=1.0, epochs=1)
+    assert {(r.n_tokens, r.copies, r.domain) for r in mixed.collect()} == {(3, 1, "s")}
+
+
+def test_filter_grows_with_the_rows():
+    sizes = [exact_dedup.filter_size(n) for n in (0, 1, 128, 129, 1 << 20, 1 << 27, 1 << 40)]
+    assert sizes == [10, 10, 10, 11, 23, 30, 30]
+
+
+def test_hosts_of_many_labels(spark):
+    rules = spark.createDataFrame([("c.example.com", "/", "block"), ("com", "/ok", "allow"), ("", "/x", "block")], "host string, path string, verdict string")
+    urls = ["http://" + "a." * 30_000 + "c.example.com/ok", "http://" + "a." * 30_000 + "example.com/ok", "http://xc.example.com/", "http://c.example.com/"]
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert [got[u] for u in urls] == [("c.example.com/", "block"), ("com/ok", "allow"), (None, "allow"), ("c.example.com/", "block")]

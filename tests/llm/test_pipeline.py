@@ -1,32 +1,111 @@
 """The pipeline against the stages' brute-force counterparts."""
 
+import hashlib
+import math
 import random
+import re
+
+import numpy as np
+import pytest
 
 import corpus_pipeline
 from tests.compare import SF
-from tests.llm.test_models import family, linked, shingles
-from tetrafield.llm import mixing, toxicity
+from tests.llm.test_models import family, shingles
+from tetrafield.llm import mixing, queries, toxicity
+from tetrafield.llm.common import Written
+
+tokenizers = pytest.importorskip("tokenizers")
+
+
+def plain_mix(rows, levels):
+    """Copies of each row by water-filling written out plainly. rows: (id, text, lang, source)."""
+    tokens = [len(re.findall(r"[^ \t-\r]+", t or "")) for _, t, _, _ in rows]
+    paths = [tuple("/".join(p[: d + 1]) for d in range(3)) for p in levels]
+    total, below = {}, {}
+    for n, path in zip(tokens, paths, strict=True):
+        for d, node in enumerate(path):
+            total[node] = total.get(node, 0) + n
+            below.setdefault(path[d - 1] if d else "", set()).add(node)
+    budget = {"": min(math.floor(sum(tokens) * mixing.SHARE), mixing.EPOCHS * sum(tokens))}
+    for parent in ["", *sorted(below.keys() - {""}, key=lambda p: p.count("/"))]:
+        left, open_ = budget[parent], {n: mixing.WEIGHTS.get(n, 1.0) for n in below[parent]}
+        while open_:
+            part = left / sum(open_.values())
+            full = [n for n, w in open_.items() if mixing.EPOCHS * total[n] <= part * w]
+            for n in full:
+                budget[n] = mixing.EPOCHS * total[n]
+                left -= budget[n]
+                del open_[n]
+            if not full:
+                budget |= {n: part * w for n, w in open_.items()}
+                break
+    copies = [0] * len(rows)
+    for leaf in {p[-1] for p in paths}:
+        own = [i for i, p in enumerate(paths) if p[-1] == leaf]
+        whole, of = math.floor(round(budget[leaf], 3)), total[leaf]
+        epochs = min(whole // of, mixing.EPOCHS) if of else 0
+        spent = 0
+        for i in sorted(own, key=lambda i: (hashlib.md5(f"{mixing.SEED}|{epochs}|{rows[i][0]}".encode()).hexdigest(), rows[i][0])):
+            spent += tokens[i]
+            copies[i] = epochs + (epochs < mixing.EPOCHS and spent <= whole - epochs * of)
+    return copies
+
+
+def brute(rows):
+    """(id, text) that each stage after toxicity leaves, and the ids of the last."""
+    first = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", r[1] or ""), r)
+    exact = list(first.values())
+    of = linked_at([r[:2] for r in exact], corpus_pipeline.NEAR_PERCENT)
+    near = [r for r in exact if of[r[0]] == r[0]]
+    copies = plain_mix(near, [(re.match(r"[^0-9]*", s or "")[0], lang or "", s or "") for _, _, lang, s in near])
+    mixed = [r for r, n in zip(near, copies, strict=True) for _ in range(n)]
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    return exact, near, mixed, sorted((i, library.encode(t or "", add_special_tokens=False).ids) for i, t, _, _ in mixed)
+
+
+def run_stages(spark, docs, sf):
+    """Each stage's rows, by the stages' own order."""
+    kept, rows = [], docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = Written(spark, "test")(stage(spark, rows, sf), f"s{n}")
+        kept.append(rows)
+    return kept
+
+
+def held_against_brute(spark, docs, sf):
+    kept = run_stages(spark, docs, sf)
+    assert all(sorted(k.columns) == sorted(docs.columns) for k in kept[:-1])
+    clean = [(r.doc_id, r.text, r.lang, r.source) for r in kept[0].collect()]
+    exact, near, mixed, ids = brute(clean)
+    for rows, want in zip(kept[1:4], (exact, near, mixed), strict=True):
+        assert sorted(r.doc_id for r in rows.collect()) == sorted(r[0] for r in want)
+    assert sorted((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in kept[4].collect()) == ids
+    return kept, clean
 
 
 def test_pipeline_rows(spark):
+    """run() against the stages written out plainly; toxicity's decisions against its scorer, text by text."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, rows = {}, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, SF)
-        assert sorted(rows.columns) == sorted(docs.columns)
-        kept[name] = [tuple(r) for r in rows.select("doc_id", "text").collect()]
-    scores = corpus_pipeline.drop_toxic(spark, docs, SF)
-    assert {i for i, _ in kept["toxicity"]} == {r.doc_id for r in scores.collect()}
-    by_text = {}
-    for i, t in kept["toxicity"]:
-        key = " ".join((t or "").replace("\n", " ").split(" "))
-        by_text[key] = min(i, by_text.get(key, i))
-    assert {i for i, _ in kept["exact dedup"]} <= {i for i, _ in kept["toxicity"]} and len(kept["exact dedup"]) <= len(by_text)
-    assert {i for i, _ in kept["near dedup"]} == {i for i, (_, c) in linked(kept["exact dedup"]).items() if i == c}
-    assert {i for i, _ in kept["mixing"]} <= {i for i, _ in kept["near dedup"]}
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in kept["mixing"]) and all(len(r.ids) == 4 * r.n_tokens for r in got)
-    assert mixing.SHARE <= 1 and toxicity.THRESHOLD == 0.3
+    kept, clean = held_against_brute(spark, docs, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").filter(~queries.held_out("doc_id"))
+    model = toxicity.fit(spark, docs, labels)
+    assert {i for i, *_ in clean} == {r.doc_id for r in docs.collect() if model.score(r.text) < toxicity.THRESHOLD}
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got.collect()) == sorted((r.doc_id, bytes(r.ids)) for r in kept[4].collect())
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and empty texts, white space, a very long text, clashing extra columns, and an empty table."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [None, "", " \t", "one", "ONE", *(" ".join(word() for _ in range(60)) for _ in range(20)), " ".join(word() for _ in range(20_000))]
+    rows = [(n, t, None if n % 5 == 0 else "en", None if n % 7 == 0 else f"src{n % 3}", len(t or ""), "own", "own", "own", "own") for n, t in enumerate(texts + texts[:9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, copies string, domain string")
+    kept, _ = held_against_brute(spark, docs, SF)
+    assert {(r.kept, r.score, r.copies, r.domain) for r in kept[3].collect()} == {("own",) * 4}
+    assert [k.count() for k in run_stages(spark, docs.limit(0), SF)] == [0] * 5
 
 
 def linked_at(rows, percent):
