@@ -14,8 +14,9 @@ NEAR_PERCENT = 80  # op8's contract alone asks for 85
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below the threshold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~queries.held_out("doc_id"))
-    scored = toxicity.score(spark, docs, toxicity.fit(spark, docs, labels))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in toxicity.ADDED}
+    scored = toxicity.score(spark, docs.withColumnsRenamed(clash), toxicity.fit(spark, docs, labels))
+    return scored.filter(F.col("predicted") == 0).select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
