@@ -72,7 +72,7 @@ def test_explain_and_stats(spark):
 def test_plan_is_a_hash_join(spark):
     index = cubes(spark, (0, 5, 1))
     plan = locate.composite(points(spark, (0.5, 0.5, 0.5, 0.5)), index)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin [_level" in plan and "Cartesian" not in plan
+    assert "BroadcastHashJoin" in plan and "Cartesian" not in plan
 
 
 def test_empty_points(spark):
@@ -112,3 +112,21 @@ def test_offshore_golden(spark):
     assert got[0].vs == pytest.approx(777) and got[1].vs == pytest.approx(3333)
     trimmed = layers.Offshore(layers.Layer(), [(0.0, 500.0)], [layers.OffshoreLayer(b, 2000.0, 1500.0, v, 1.0, 1.0) for b, v in ((100, 100), (300, 300), (600, 600), (900, 900))])
     assert trimmed.tops == [0.0, 100, 300]
+
+
+def test_repeated_and_null_points_stay_rows(spark):
+    index = cubes(spark, (0, 5, 1))
+    at = [(0.5, 0.5, 0.5, 0.5)] * 3 + [(None, 0.5, 0.5, 0.5), (0.5, 0.5, None, None)]
+    rows = spark.createDataFrame(at, "x double, y double, z double, depth double")
+    got = locate.composite(rows, index).collect()
+    assert [r.q.rho for r in got if r.x and r.z] == [5.0] * 3 and [r.q.rho for r in got if r.x is None or r.z is None] == [0.0] * 2
+    plan = locate.composite(rows, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
+def test_shuffled_cells_give_the_same(spark, monkeypatch):
+    index = cubes(spark, (0, 5, 1), (1, 9, 1))
+    rows = spark.range(200).selectExpr("id AS n", "id % 7 / 5.0D AS x", "id % 11 / 9.0D AS y", "id % 5 / 4.0D AS z", "id % 5 / 4.0D AS depth")
+    want = sorted(map(str, locate.composite(rows, index).collect()))
+    monkeypatch.setattr(locate, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, locate.composite(rows, index).collect())) == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tetrafield.functions import crs, synthetic
 from tetrafield.operators import coastline, grids, layers, meshes, sites, surfaces
 from tetrafield.plans import config, plugins
+from tetrafield.schema import TOMOGRAPHY
 from tetrafield.sinks import formats
 from tetrafield.sources import tables
 from tetrafield.streaming import points as streaming
@@ -262,3 +263,99 @@ def test_coast_keeps_points_without_a_place(spark, monkeypatch, most):
     points = spark.createDataFrame([(1, 4.0, 1.0), (2, None, 1.0), (3, 4.0, None), (4, None, None), (4, None, None)], "id int, x double, y double")
     assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).collect() if r.x is not None and r.y is not None) == [(1, -1.0)]
     assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).filter("x IS NULL OR y IS NULL").collect()) == [(2, None), (3, None), (4, None), (4, None)]
+
+
+def test_outlines_of_several_features(spark, tmp_path):
+    tri = lambda dx: [[[dx, 0], [dx + 1, 0], [dx, 1], [dx, 0]]]
+    features = [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": tri(0)}}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [tri(6), tri(9)]}}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": tri(20)}))
+    rings = tables.read_rings(spark, f"{tmp_path}/*.geojson")
+    assert rings.select("ring").distinct().count() == 4 and rings.count() == 16
+    lengths = coastline.segments(rings).selectExpr("hypot(bx - ax, by - ay) AS d").collect()
+    assert len(lengths) == 12 and max(r.d for r in lengths) < 1.5
+
+
+def test_columns_keep_rows_that_look_like_a_header(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("title\n1 2\n# note\n1 2\n3 4\n1 2\n")
+    got = tables.read_columns(spark, str(tmp_path / "t.txt"), skip=1, header=True).collect()
+    assert [tuple(r) for r in got] == [(1.0, 2.0), (3.0, 4.0), (1.0, 2.0)]
+
+
+def _request(tmp_path, surface, **orientation):
+    import tomllib
+
+    lines = [f"{k} = {v!r}" for k, v in orientation.items()]
+    return config.Request(**tomllib.loads(f"""
+[metadata]
+title = "a model"
+[grid]
+type = "regular"
+surface = {surface!r}
+extent_x = 4.0
+extent_y = 4.0
+thickness = 2.0
+resolution_x = 1.0
+resolution_y = 1.0
+resolution_z = 1.0
+[grid.orientation]
+{chr(10).join(lines)}
+[[layers]]
+type = "coastline"
+coastline = {str(tmp_path / 'c.geojson')!r}
+[[layers]]
+type = "ely"
+vs30 = {str(tmp_path / 'vs30.parquet')!r}
+depth_t = 1.5
+[[layers]]
+type = "constant"
+rho = 2000.0
+vp = 3000.0
+vs = 1000.0
+qp = 100.0
+qs = 50.0
+alpha = 1.0
+"""))
+
+
+def test_requests_read_their_paths(spark, tmp_path):
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": [[[-9, -9], [9, -9], [9, 9], [-9, 9], [-9, -9]]]}))
+    lattice = [(float(x), float(y), 10.0 * x + y, 400.0) for x in range(6, -7, -1) for y in range(-6, 7)]  # x runs down
+    nodes = spark.createDataFrame(lattice, "x double, y double, s double, v double")
+    nodes.selectExpr("x", "y", "s AS z").write.parquet(str(tmp_path / "dem.parquet"))
+    nodes.selectExpr("x", "y", "v AS z").write.parquet(str(tmp_path / "vs30.parquet"))
+    request = _request(tmp_path, str(tmp_path / "dem.parquet"), origin_x=0.5, origin_y=0.0, azimuth=0.0)
+    made = config.run(spark, request).collect()
+    assert len(made) == 75 and all(abs(r.z - r.depth - (10 * r.x + r.y)) < 1e-9 for r in made)
+    # as the constant layer answers for basins too, the taper shows below them only
+    chain = config.build_chain(spark, request, config.resources_of(spark, request))
+    ground = layers.evaluate(chain, config.build_points(spark, request, config.surface_of(spark, request.grid["surface"])), TOMOGRAPHY).collect()
+    assert {round(r.vs) for r in ground if r.depth > 1.5} == {1000} and all(r.vs < 1000 for r in ground if r.depth == 0)
+    with pytest.raises(config.ConfigError):
+        config.run(spark, _request(tmp_path, "dem.zarr", origin_x=0.0, origin_y=0.0))
+
+
+def test_origins_and_nested_keys(tmp_path):
+    frame = config.frame_of({"origin_lon": 172.3, "origin_lat": -43.6, "azimuth": 10.0})
+    east, north = crs.TransverseMercator().point(172.3, -43.6)
+    assert (frame.origin_x, frame.origin_y) == (east, north) and 10 < frame.azimuth < 11 or 9 < frame.azimuth < 10
+    assert config.frame_of({"origin_x": 1.0, "origin_y": 2.0, "azimuth": 30.0}) == grids.Frame(1.0, 2.0, 30.0)
+    for wrong in ({"origin_lon": 1.0}, {"origin": 1.0}, {"origin_x": 1.0, "origin_y": 1.0, "origin_lon": 1.0, "origin_lat": 1.0}, {"crs": "EPSG:3857"}):
+        with pytest.raises(config.ConfigError):
+            _request(tmp_path, 0.0, **wrong)
+    base = {"type": "regular", "surface": 0.0, "extent_x": 1.0, "extent_y": 1.0, "thickness": 1.0, "resolution_x": 1.0, "resolution_y": 1.0, "resolution_z": 1.0}
+    for grid, own, about in (({"chunks": {"q": 1}}, [], {}), ({}, [{"type": "clamp", "clamps": {"vs": {"least": 1.0}}}], {}), ({}, [{"type": "coastline", "coastline": "c"}, {"type": "offshore", "model": [{"vp": 1.0}], "basin_depth": []}], {}), ({}, [], {"colour": "red"})):
+        with pytest.raises(config.ConfigError):
+            config.Request(base | grid, own, about)
+
+
+def test_turned_frames():
+    """An azimuth turns the grid clockwise: its north side points east at 90 degrees."""
+    turned = grids.Frame(10.0, 20.0, 90.0)
+    assert np.allclose(turned.outline(2, 4, 1.0, 1.0), [(8.0, 21.0), (8.0, 19.0), (12.0, 19.0), (12.0, 21.0)])
+
+
+def test_folds_raise(spark):
+    with pytest.raises(ValueError, match="fold"):
+        grids.check_folds(spark, -4.0, 2.0, [k * 0.25 for k in range(16)], "linear", length=1.0)
+    grids.check_folds(spark, -4.0, 0.5, [k * 0.25 for k in range(16)], "linear", length=1.0)

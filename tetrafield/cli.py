@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .plans import config, plugins
 from .sinks import formats
@@ -39,8 +38,11 @@ def main(argv: list[str] | None = None) -> int:
         except config.ConfigError as e:
             print(f"{args.request}: {e}")
             return 2
-        level = float(request.grid.get("surface", 0.0)) if not isinstance(request.grid.get("surface"), str) else 0.0
-        made = config.run(spark, request, lambda rows, name: rows.withColumn(name, F.lit(level)))
+        try:
+            made = config.run(spark, request)
+        except config.ConfigError as e:
+            print(f"{args.request}: {e}")
+            return 2
         formats.write(made, args.output, args.format, args.quantise)
     return 0
 

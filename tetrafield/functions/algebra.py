@@ -24,7 +24,8 @@ def _weighted_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Colu
         return F.when(below == 0, F.lit(0.0)).otherwise(F.try_divide(over, below))
 
     wv = [w * x for w, x in zip(weights, v, strict=True)]
-    return F.when(total > 0, harmonic(wv, total)).otherwise(harmonic(list(weights), F.lit(1.0)))
+    bound = F.struct(total.alias("total"), *(x.alias(f"w{n}") for n, x in enumerate(wv)))
+    return let(bound, lambda s: F.when(s["total"] > 0, harmonic([s[f"w{n}"] for n in range(len(wv))], s["total"])).otherwise(harmonic(list(weights), F.lit(1.0))))
 
 
 def weighted_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Column]) -> Column:
@@ -42,18 +43,20 @@ def over(top: Column, under: Column) -> Column:
 
 
 def _over(top: Column, under: Column) -> Column:
-    alpha = top["alpha"] + under["alpha"] * (1 - top["alpha"])
-    safe = F.when(alpha == 0, F.lit(1.0)).otherwise(alpha)
-    a, b = top["alpha"] / safe, under["alpha"] * (1 - top["alpha"]) / safe
+    covers = lambda al: F.struct((top["alpha"] / al).alias("a"), (under["alpha"] * (1 - top["alpha"]) / al).alias("b"), al.alias("alpha"))
 
-    def mean(c: str) -> Column:
-        return a * top[c] + b * under[c]
+    def mixed(m: Column) -> Column:
+        a, b = m["a"], m["b"]
 
-    def q(c: str, v: str) -> Column:
-        return _weighted_q((a, b), (top[v], under[v]), (top[c], under[c]))
+        def q(c: str, v: str) -> Column:
+            return _weighted_q((a, b), (top[v], under[v]), (top[c], under[c]))
+
+        mean = lambda c: (a * top[c] + b * under[c]).alias(c)
+        return F.struct(mean("rho"), mean("vp"), mean("vs"), q("qp", "vp").alias("qp"), q("qs", "vs").alias("qs"), m["alpha"].alias("alpha"))
 
-    mixed = F.struct(mean("rho").alias("rho"), mean("vp").alias("vp"), mean("vs").alias("vs"), q("qp", "vp").alias("qp"), q("qs", "vs").alias("qs"), alpha.alias("alpha"))
-    return F.when(top["alpha"] < TRANSPARENT, under).when(under["alpha"] < TRANSPARENT, top).otherwise(mixed)
+    # neither is transparent here, so the opacity isn't 0
+    both = let(top["alpha"] + under["alpha"] * (1 - top["alpha"]), lambda al: let(covers(al), mixed))
+    return F.when(top["alpha"] < TRANSPARENT, under).when(under["alpha"] < TRANSPARENT, top).otherwise(both)
 
 
 def saturated(q: Column) -> Column:
@@ -93,4 +96,4 @@ def barycentric(corners: Sequence[Column], weights: Sequence[Column]) -> Column:
 
 def or_zero(q: Column) -> Column:
     """The contract for a miss: six zeros."""
-    return F.struct(*(F.coalesce(q[c], F.lit(0.0)).alias(c) for c in COMPONENTS))
+    return let(q, lambda v: F.struct(*(F.coalesce(v[c], F.lit(0.0)).alias(c) for c in COMPONENTS)))

@@ -160,6 +160,12 @@ def folded_levels(spark: SparkSession, lowest: float, highest: float, levels: Se
     return samples.withColumn("_p", F.explode(pairs)).filter(z(F.col("_p.b")) - z(F.col("_p.a")) <= 0).select("surface", F.col("_p.a").alias("level"))
 
 
+def check_folds(spark: SparkSession, lowest: float, highest: float, levels: Sequence[float], decay: str, **options: float) -> None:
+    """Raises where levels cross over surfaces from lowest to highest."""
+    if found := folded_levels(spark, lowest, highest, levels, decay, **options).orderBy("level").limit(3).collect():
+        raise ValueError(f"levels fold over at nominal depths {[r['level'] for r in found]}: a longer decay keeps them apart")
+
+
 def solver_coordinate(solver: str) -> Column:
     return F.col("z") if solver == "physical" else F.col("nominal_depth")
 

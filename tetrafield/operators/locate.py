@@ -1,20 +1,24 @@
-"""Point location: which tetrahedra hold which points, as an equi-join on cells.
+"""Point location: which tetrahedra hold which points, as equi-joins on cells.
 
 Every tetrahedron is listed under the cells that its box, padded by the tolerance's reach, overlaps. Cells are cubes whose
-edge is a power of two near the model's median box, so few sizes occur and a point needs one key for each size and vertical
-in use. The join is a hash join with the exact barycentric test as its residual condition; the index is broadcast only if
-its row count is under a bound, otherwise both sides shuffle on the cell.
+edge is a power of two at about half the model's median box, so few sizes occur and a point needs one key for each size and
+vertical in use; the lattice of cells is off by half a cell, as meshes like to have their corners at round numbers, where
+a cell's side would list the tetrahedra of both sides of it. A cell's tetrahedra are gathered into one array, so a point
+stays one row: it meets one cell for each key and tests, samples and orders what it finds in place. The cells are broadcast only
+under a bound of the index's rows; then nothing of the points shuffles, and otherwise both sides shuffle on the cell.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import algebra, numeric
-from ..schema import ALL, COMPONENTS, DEPTH, DEPTH_PROFILE, ModelRange
+from ..functions.algebra import let
+from ..schema import ALL, COMPONENTS, DEPTH, DEPTH_PROFILE, QUALITY, ModelRange
 from . import meshes
 
 TOLERANCE = 1e-4  # of each barycentric weight
@@ -29,6 +33,15 @@ class Index:
     rows: DataFrame
     count: int
     keys: list[tuple[int, str]]
+    cells: dict[tuple[int, str], DataFrame] = field(default_factory=dict)
+
+    def cells_of(self, key: tuple[int, str]) -> DataFrame:
+        """(cx, cy, cz, tets) of one level and vertical: a cell's tetrahedra as an array."""
+        if key not in self.cells:
+            own = self.rows.filter((F.col("level") == key[0]) & (F.col("vertical") == key[1]))
+            parts = [c for c in own.columns if c not in CELL_KEYS]
+            self.cells[key] = own.groupBy("cx", "cy", "cz").agg(F.collect_list(F.struct(*parts)).alias("tets")).persist()
+        return self.cells[key]
 
 
 def tet_rows(models: DataFrame, vertices: DataFrame, tets: DataFrame, level: int | None = None) -> DataFrame:
@@ -48,7 +61,7 @@ def tet_rows(models: DataFrame, vertices: DataFrame, tets: DataFrame, level: int
     slim = own.select("model_id", "tid", *(F.col("c3")[a].alias(f"{a}3") for a in "xyz"), *inverse, *boxes, "edge", *corners)
     if level is None:
         median = slim.groupBy("model_id").agg(F.percentile_approx("edge", 0.5).alias("median"))
-        slim = slim.join(F.broadcast(median), "model_id").withColumn("level", F.ceil(F.log2("median")).cast("int")).drop("median")
+        slim = slim.join(F.broadcast(median), "model_id").withColumn("level", (F.ceil(F.log2("median")) - 1).cast("int")).drop("median")
     else:
         slim = slim.withColumn("level", F.lit(level))
     return slim.join(F.broadcast(models), "model_id")  # a catalog has a row for each mesh
@@ -66,7 +79,7 @@ def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame, level:
     size = F.pow(F.lit(2.0), F.col("level"))
 
     def cells(a: str) -> Column:
-        return F.sequence(F.floor((F.col(f"lo_{a}") - reach) / size), F.floor((F.col(f"hi_{a}") + reach) / size))
+        return F.sequence(cell(F.col(f"lo_{a}") - reach, size), cell(F.col(f"hi_{a}") + reach, size))
 
     rows = own.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).withColumn("cz", F.explode(cells("z")))
     rows = rows.drop(*(f"{n}_{a}" for n in ("lo", "hi") for a in "xyz"), "edge").persist()
@@ -74,68 +87,106 @@ def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame, level:
     return Index(rows, sum(r["count"] for r in found), sorted((r["level"], r["vertical"]) for r in found))
 
 
-def weights(x: Column, y: Column, z: Column) -> list[Column]:
-    d = (x - F.col("x3"), y - F.col("y3"), z - F.col("z3"))
-    first = [F.col(f"m{r}0") * d[0] + F.col(f"m{r}1") * d[1] + F.col(f"m{r}2") * d[2] for r in range(3)]
-    return [*first, 1 - (first[0] + first[1] + first[2])]
+def cell(at: Column, size: Column) -> Column:
+    return F.floor(at / size + 0.5)
+
+
+Of = Callable[[str], Column]  # a tetrahedron's columns, or an array element's fields
+
 
+def weights(x: Column, y: Column, z: Column, of: Of = F.col) -> list[Column]:
+    """The first three barycentric weights."""
+    d = (x - of("x3"), y - of("y3"), z - of("z3"))
+    return [of(f"m{r}0") * d[0] + of(f"m{r}1") * d[1] + of(f"m{r}2") * d[2] for r in range(3)]
 
-def inside(x: Column, y: Column, z: Column) -> Column:
-    l0, l1, l2, _ = weights(x, y, z)
+
+def inside(x: Column, y: Column, z: Column, of: Of = F.col) -> Column:
+    l0, l1, l2 = weights(x, y, z, of)
     return (l0 >= -TOLERANCE) & (l1 >= -TOLERANCE) & (l2 >= -TOLERANCE) & (l0 + l1 + l2 <= 1 + TOLERANCE)
 
 
-def in_bounds(x: Column, y: Column, z: Column) -> Column:
-    return x.between(F.col("minx"), F.col("maxx")) & y.between(F.col("miny"), F.col("maxy")) & z.between(F.col("minz"), F.col("maxz"))
+def in_bounds(x: Column, y: Column, z: Column, of: Of = F.col) -> Column:
+    return x.between(of("minx"), of("maxx")) & y.between(of("miny"), of("maxy")) & z.between(of("minz"), of("maxz"))
 
 
-def sample() -> Column:
-    """The sample of a located row: between corners, or the layer of the profile at the point's depth with the corners' opacity."""
-    w = weights(F.col("x"), F.col("y"), F.when(F.col("vertical") == DEPTH, F.col("depth")).otherwise(F.col("z")))
-    corners = [F.col(f"q{n}") for n in range(4)]
-    between = algebra.barycentric(corners, w)
-    layer = numeric.layer_of(F.col("depth"), F.col("profile"))
-    alpha = between["alpha"]
-    profile = F.struct(*((alpha if c == "alpha" else layer[c]).alias(c) for c in COMPONENTS))
-    return F.when(F.col("model_type") == DEPTH_PROFILE, profile).otherwise(between)
+def height(vertical: str | Column) -> Column:
+    """What a model of that vertical has as its third coordinate."""
+    return F.when((F.lit(vertical) if isinstance(vertical, str) else vertical) == DEPTH, F.col("depth")).otherwise(F.col("z"))
 
 
-def candidates(points: DataFrame, index: Index, how: str = "left", condition: Column | None = None) -> DataFrame:
-    """points joined with the tetrahedra that hold them (columns of both); with how="left" points without any stay."""
-    levels = F.array(*(F.struct(F.lit(n).cast("int").alias("level"), F.lit(v).alias("vertical")) for n, v in index.keys))
-    if not index.keys:
-        levels = F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("vertical")))
-    keyed = points.withColumn("_s", F.explode(levels))
-    height = F.when(F.col("_s.vertical") == DEPTH, F.col("depth")).otherwise(F.col("z"))
+def sample(h: Column, of: Of = F.col) -> Column:
+    """The sample of a point in a tetrahedron: between corners, or the layer of the profile at the point's depth with the corners' opacity."""
+    corners = [of(f"q{n}") for n in range(4)]
+    names = ("l0", "l1", "l2")
+
+    def blended(w: Column) -> Column:
+        four = [*(w[n] for n in names), w["l3"]]
+        layer = numeric.layer_of(F.col("depth"), of("profile"))
+        alpha = sum((x * c["alpha"] for x, c in zip(four[1:], corners[1:], strict=True)), four[0] * corners[0]["alpha"])
+        profile = F.struct(*((alpha if c == "alpha" else layer[c]).alias(c) for c in COMPONENTS))
+        return F.when(of("model_type") == DEPTH_PROFILE, profile).otherwise(algebra.barycentric(corners, four))
+
+    bound = F.struct(*(l.alias(n) for n, l in zip(names, weights(F.col("x"), F.col("y"), h, of), strict=True)))
+    return let(bound, lambda w: let(F.struct(*(w[n].alias(n) for n in names), (1 - (w["l0"] + w["l1"] + w["l2"])).alias("l3")), blended))
+
+
+def hits(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
+    """A row for each point and tetrahedron that holds it: point columns, model_id, priority, tid, q."""
+    levels = F.array(*(F.struct(F.lit(n).cast("int").alias("level"), F.lit(v).alias("vertical")) for n, v in index.keys or [(0, "")]))
     size = F.pow(F.lit(2.0), F.col("_s.level"))
-    keyed = keyed.withColumns({"_level": F.col("_s.level"), "_vertical": F.col("_s.vertical"), "_h": height, "_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size), "_cz": F.floor(height / size)}).drop("_s")
+    keyed = points.withColumn("_s", F.explode(levels)).withColumn("_h", height(F.col("_s.vertical")))
+    keyed = keyed.withColumns({"_level": F.col("_s.level"), "_vertical": F.col("_s.vertical"), **{f"_c{a}": cell(F.col(c), size) for a, c in (("x", "x"), ("y", "y"), ("z", "_h"))}}).drop("_s")
     rows = F.broadcast(index.rows) if index.count <= BROADCAST_ROWS else index.rows
     same = (F.col("_level") == F.col("level")) & (F.col("_vertical") == F.col("vertical")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (F.col("_cz") == F.col("cz"))
     # bounds hold the stored z range, which for depth models is the mesh's own
-    test = inside(F.col("x"), F.col("y"), F.col("_h")) & in_bounds(F.col("x"), F.col("y"), F.col("_h"))
-    if condition is not None:
-        test = test & condition
-    return keyed.join(rows, same & test, how).drop("_level", "_vertical", "_h", "_cx", "_cy", "_cz")
+    test = inside(F.col("x"), F.col("y"), F.col("_h")) & in_bounds(F.col("x"), F.col("y"), F.col("_h")) & models.holds(F.col("priority"))
+    found = keyed.join(rows, same & test)
+    return found.select(*(found[c] for c in points.columns), "model_id", "priority", "tid", sample(F.col("_h")).alias("q"))
 
 
-def hits(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
-    """A row for each point and tetrahedron that holds it: point columns, model_id, priority, tid, q."""
-    found = candidates(points, index, "inner", models.holds(F.col("priority")))
-    return found.select(*(found[c] for c in points.columns), "model_id", "priority", "tid", sample().alias("q"))
+def with_cells(points: DataFrame, index: Index) -> DataFrame:
+    """points with an array column `_tets<n>` for each key of the index: the tetrahedra listed under the point's cell, or NULL. Every point stays one row."""
+    out = points
+    for n, key in enumerate(index.keys):
+        cells = index.cells_of(key)
+        cells = F.broadcast(cells) if index.count <= BROADCAST_ROWS else cells
+        size, h = F.lit(2.0 ** key[0]), height(key[1])
+        at = {f"_{c}{n}": cell(v, size) for c, v in (("cx", F.col("x")), ("cy", F.col("y")), ("cz", h))}
+        own = cells.select(*(F.col(c).alias(f"_i{c}{n}") for c in ("cx", "cy", "cz")), F.col("tets").alias(f"_tets{n}"))
+        same = (F.col(f"_cx{n}") == F.col(f"_icx{n}")) & (F.col(f"_cy{n}") == F.col(f"_icy{n}")) & (F.col(f"_cz{n}") == F.col(f"_icz{n}"))
+        out = out.withColumns(at).join(own, same, "left").drop(*at, *(f"_i{c}{n}" for c in ("cx", "cy", "cz")))
+    return out
+
+
+def held_by(index: Index, entry: Callable[[Column, Column], Column], test: Callable[[Column, Column], Column]) -> Column:
+    """entry(tetrahedron, height) of those under the point's cells that pass test(tetrahedron, height), from with_cells's arrays."""
+    found = []
+    for n, (_, vertical) in enumerate(index.keys):
+        h = height(vertical)
+        found.append(F.transform(F.filter(F.col(f"_tets{n}"), lambda t: test(t, h)), lambda t: entry(t, h)))  # noqa: B023
+    return F.concat(*(F.coalesce(x, F.array().cast(ENTRY)) for x in found))
+
+
+ENTRY = "array<struct<priority:int,model_id:int,tid:bigint,q:struct<rho:double,vp:double,vs:double,qp:double,qs:double,alpha:double>>>"
 
 
 def gathered(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
     """points with `hits`: one entry for each model that holds them, by rising priority, then model_id; the lowest tid stands for a model.
 
-    The only shuffle is of points, with the hits of each already combined. Points must be distinct rows.
+    Every point stays a row of its own, repeated ones too; those with a null coordinate have no hits.
     """
-    found = candidates(points, index, "left", models.holds(F.col("priority")))
-    entry = F.when(F.col("tid").isNotNull(), F.struct("priority", "model_id", "tid", sample().alias("q")))
-    listed = found.select(*points.columns, entry.alias("_hit")).groupBy(*points.columns).agg(F.collect_list("_hit").alias("_hits"))
-    order = F.array_sort("_hits")  # structs compare by their fields in turn, and (priority, model_id, tid) differs
-    # of one model only the first stays
-    first = F.filter(order, lambda x, i: (i == 0) | (F.get(order, i - 1)["model_id"] != x["model_id"]))
-    return listed.select(*points.columns, first.alias("hits"))
+    def entry(t: Column, h: Column) -> Column:
+        return F.struct(t["priority"].cast("int").alias("priority"), t["model_id"].cast("int").alias("model_id"), t["tid"].cast("long").alias("tid"), sample(h, lambda c: t[c]).alias("q"))
+
+    def test(t: Column, h: Column) -> Column:
+        of = lambda c: t[c]
+        return models.holds(t["priority"]) & in_bounds(F.col("x"), F.col("y"), h, of) & inside(F.col("x"), F.col("y"), h, of)
+
+    if not index.keys:
+        return points.withColumn("hits", F.array().cast(ENTRY))
+    # of one model only the first stays; structs compare by their fields in turn, and (priority, model_id, tid) differs
+    first = let(F.sort_array(held_by(index, entry, test)), lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["model_id"] != x["model_id"])))
+    return with_cells(points, index).select(*points.columns, first.alias("hits"))
 
 
 def composite(points: DataFrame, index: Index, models: ModelRange = ALL, name: str = "q", miss_zero: bool = True) -> DataFrame:
@@ -156,22 +207,31 @@ def explain(points: DataFrame, index: Index) -> DataFrame:
     termination is only set where a further model follows.
     """
     found = gathered(points, index)
-    running = F.transform(F.sequence(F.lit(1), F.size("hits")), lambda i: algebra.saturated(algebra.fold(F.slice("hits", F.lit(1), i), stop=False)))
-    at = F.when(F.size("hits") > 0, F.array_position(running, True))
-    ended = F.when((at > 0) & (at < F.size("hits")), at.cast("int") - 1)
+    start = F.struct(F.lit(None).cast(QUALITY).alias("q"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
+
+    def add(done: Column, x: Column) -> Column:
+        """What is composited without stopping, and the first contribution that made it opaque."""
+        grown = F.when(done["q"].isNull(), x["q"]).otherwise(algebra.over(done["q"], x["q"]))
+        return let(grown, lambda q: F.struct(q.alias("q"), (done["n"] + 1).alias("n"), F.coalesce(done["at"], F.when(algebra.saturated(q), done["n"])).alias("at")))
+
+    at = F.aggregate("hits", start, add, lambda s: s["at"])
+    ended = let(at, lambda a: F.when(a < F.size("hits") - 1, a))
     return found.select(*points.columns, F.col("hits").alias("contributions"), algebra.fold(F.col("hits")).alias("output"), ended.alias("termination"))
 
 
 def query_stats(points: DataFrame, index: Index) -> DataFrame:
     """points with candidates (tetrahedra listed under their cells), tested (of those, in bounds), held and hit_count (models that contribute)."""
-    levels = F.array(*(F.struct(F.lit(n).cast("int").alias("level"), F.lit(v).alias("vertical")) for n, v in index.keys))
-    keyed = points.withColumn("_s", F.explode(levels))
-    height = F.when(F.col("_s.vertical") == DEPTH, F.col("depth")).otherwise(F.col("z"))
-    size = F.pow(F.lit(2.0), F.col("_s.level"))
-    keyed = keyed.withColumns({"level": F.col("_s.level"), "vertical": F.col("_s.vertical"), "_h": height, "cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size), "cz": F.floor(height / size)}).drop("_s")
-    rows = F.broadcast(index.rows) if index.count <= BROADCAST_ROWS else index.rows
-    joined = keyed.join(rows, list(CELL_KEYS), "left")
-    near = F.col("tid").isNotNull() & in_bounds(F.col("x"), F.col("y"), F.col("_h"))
-    held = near & inside(F.col("x"), F.col("y"), F.col("_h"))
-    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return joined.groupBy(*points.columns).agg(F.count("tid").alias("candidates"), count(near).alias("tested"), count(held).alias("held"), F.countDistinct(F.when(held, F.col("model_id"))).alias("hit_count"))
+    def near(h: Column) -> Callable[[Column], Column]:
+        return lambda t: F.coalesce(in_bounds(F.col("x"), F.col("y"), h, lambda c: t[c]), F.lit(False))
+
+    def held(h: Column) -> Callable[[Column], Column]:
+        return lambda t: near(h)(t) & inside(F.col("x"), F.col("y"), h, lambda c: t[c])
+
+    arrays = [(F.coalesce(F.col(f"_tets{n}"), F.array()), height(vertical)) for n, (_, vertical) in enumerate(index.keys)]
+    total = lambda parts: sum((F.size(x) for x in parts), F.lit(0)).cast("long")
+    counts = {
+        "candidates": total(a for a, _ in arrays), "tested": total(F.filter(a, near(h)) for a, h in arrays), "held": total(F.filter(a, held(h)) for a, h in arrays),
+        # a model has one key
+        "hit_count": total(F.array_distinct(F.transform(F.filter(a, held(h)), lambda t: t["model_id"])) for a, h in arrays),
+    }
+    return with_cells(points, index).select(*points.columns, *(c.alias(n) for n, c in counts.items()))

@@ -93,7 +93,7 @@ def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, toler
 
     values: (samples, surfaces), NaN for no data, which has no error. A triangle whose worst sample is off by more than the tolerance
     of its surface's range takes that sample as a vertex; an edge longer than max_edge is halved. Edges of the ring are kept by
-    halving those that the triangulation doesn't hold.
+    halving those that the triangulation doesn't hold. More than `most` vertices are an error.
     """
     ring = ring[:-1] if len(ring) > 1 and np.allclose(ring[0], ring[-1]) else ring
     mesh = Delaunay(ring.min(0), ring.max(0))
@@ -130,7 +130,7 @@ def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, toler
         outline = points[loop]
         t = t[inside(points[t].mean(1), outline)]
         if len(points) >= most:
-            break
+            raise RuntimeError(f"the tolerance isn't met with {most} vertices; raise `most` or the tolerance")
         fresh = []
         if len(samples) and len(t):
             w = _weights(samples, points[t])

@@ -30,6 +30,15 @@ LAYERS = {
     "query": ({"model_path"}, {"model_globs"}), "coastline": ({"coastline"}, set()), "ely": ({"vs30"}, {"depth_t"}), "offshore": ({"basin_depth", "model"}, set()),
     "clamp": (set(), {"clamps", "min_vp_vs_ratio", "max_vp_vs_ratio"}), "backus": ({"samples"}, set()), "constant": (set(), {"rho", "vp", "vs", "qp", "qs", "alpha"}),
 }
+# Keys below those, by where they stand.
+ORIENTATION = {"origin_x", "origin_y", "origin_lon", "origin_lat", "azimuth", "crs"}
+NESTED = {
+    "chunks": {"i", "j", "k"}, "decay": {"type", "length", "ratio", "scale"}, "refinements": {"resolution", "bottom"},
+    "basin_depth": {"distance", "bottom_depth"}, "model": {"bottom_depth", "rho", "vp", "vs", "qp", "qs", "alpha"},
+    "clamps": {"min", "max", "min_ref", "max_ref", "floors"}, "floors": {"depth", "elevation", "min"},
+}
+METADATA = {"title", "description", "keywords", "summary", "author", "authors", "institution", "license", "version", "references", "comment", "id"}
+CRS = ("EPSG:2193",)  # the projection that functions.crs has
 _CLASSES = {"query": layers.Query, "coastline": layers.Coastline, "ely": layers.Ely, "offshore": layers.Offshore, "clamp": layers.Clamp, "backus": layers.Backus, "constant": layers.Constant}
 _GRID_BUILDERS: dict[str, Callable] = {}
 _LAYER_BUILDERS: dict[str, Callable] = {}
@@ -57,8 +66,24 @@ class Request:
 
     def __post_init__(self):
         _check("grid", self.grid, GRIDS)
+        _only("metadata", self.metadata, METADATA)
+        _orientation(self.grid.get("orientation", {}))
+        for where in ("chunks", "decay"):
+            _only(f"grid.{where}", self.grid.get(where) or {}, NESTED[where])
+        for name, block in (self.grid.get("refinements") or {}).items():
+            _only(f"grid.refinements.{name}", block, NESTED["refinements"], NESTED["refinements"])
+        for key in ("projection", "sites_crs"):
+            if self.grid.get(key) not in (None, *CRS, *(("EPSG:4326",) if key == "sites_crs" else ())):
+                raise ConfigError(f"grid.{key}: only {CRS[0]} is known{', and EPSG:4326 for sites' if key == 'sites_crs' else ''}")
         for n, layer in enumerate(self.layers):
             _check(f"layer {n}", layer, LAYERS)
+            for where in ("basin_depth", "model"):
+                for own in layer.get(where, []) if layer["type"] == "offshore" else []:
+                    _only(f"layer {n}: {where}", own, NESTED[where], NESTED[where] - {"alpha"})
+            for c, bound in layer.get("clamps", {}).items() if layer["type"] == "clamp" else []:
+                _only(f"layer {n}: clamps.{c}", bound, NESTED["clamps"])
+                for floor in bound.get("floors", []):
+                    _only(f"layer {n}: floors of {c}", floor, NESTED["floors"], {"min"})
         for key in ("extent_x", "extent_y", "thickness", "resolution", "resolution_x", "resolution_y", "resolution_z", "depth", "nx", "ny", "nz"):
             if key in self.grid and not self.grid[key] > 0:
                 raise ConfigError(f"grid.{key} must be positive")
@@ -70,6 +95,36 @@ class Request:
             raise ConfigError(str(e)) from e
 
 
+def _only(where: str, given: Any, known: set[str], needed: set[str] = frozenset()) -> None:
+    if not isinstance(given, dict):
+        raise ConfigError(f"{where} must be a table")
+    if extra := set(given) - known:
+        raise ConfigError(f"{where} has unknown keys {sorted(extra)}")
+    if lacking := needed - set(given):
+        raise ConfigError(f"{where} lacks {sorted(lacking)}")
+
+
+def _orientation(o: dict[str, Any]) -> None:
+    _only("grid.orientation", o, ORIENTATION)
+    for pair in (("origin_x", "origin_y"), ("origin_lon", "origin_lat")):
+        if len(set(pair) & set(o)) == 1:
+            raise ConfigError(f"grid.orientation needs both {pair[0]} and {pair[1]}")
+    if {"origin_x", "origin_lon"} <= set(o):
+        raise ConfigError("grid.orientation has two origins")
+    if o.get("crs", CRS[0]) not in CRS:
+        raise ConfigError(f"grid.orientation.crs: only {CRS[0]} is known")
+
+
+def frame_of(orientation: dict[str, Any]) -> grids.Frame:
+    """The frame of a request: an origin in degrees is projected, and its azimuth, which is from true north, turned to grid north."""
+    from ..functions.crs import TransverseMercator
+
+    o, azimuth = orientation, float(orientation.get("azimuth", 0.0))
+    if "origin_lon" in o:
+        return grids.Frame(*TransverseMercator().point(o["origin_lon"], o["origin_lat"]), grids.grid_azimuth(azimuth, o["origin_lon"], o["origin_lat"]))
+    return grids.Frame(o.get("origin_x", 0.0), o.get("origin_y", 0.0), azimuth)
+
+
 def _check(where: str, given: dict[str, Any], types: dict) -> None:
     kind = given.get("type")
     if kind not in types:
@@ -100,8 +155,7 @@ def load(path: str | Path, format: str | None = None) -> Request:
 
 def build_points(spark: SparkSession, request: Request, surface: grids.Surface) -> DataFrame:
     g = request.grid
-    o = g.get("orientation", {})
-    frame = grids.Frame(o.get("origin_x", 0.0), o.get("origin_y", 0.0), o.get("azimuth", 0.0))
+    frame = frame_of(g.get("orientation", {}))
     decay = dict(g.get("decay") or {})
     kind = decay.pop("type", None)
     match g["type"]:
@@ -116,12 +170,38 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
             from pyspark.sql import functions as F
 
             sites = tables.read_sites(spark, g["sites"])
+            if g.get("sites_crs", "EPSG:4326") in CRS:  # eastings and northings under the names of degrees
+                raise ConfigError("sites come in degrees; projected ones go through grids.borehole")
             x, y = TransverseMercator().forward(F.col("longitude"), F.col("latitude"))
             labels = [c for c in sites.columns if c not in ("i", "longitude", "latitude")] if g.get("keep_extra_columns", True) else []
             return grids.borehole(sites.withColumns({"x": x, "y": y}), surface, g["depth"], g["resolution_z"], labels)
     return _GRID_BUILDERS[g["type"]](spark, g, surface)
 
 
+def surface_of(spark: SparkSession, given: Any) -> grids.Surface:
+    """A request's surface: a number, or the path of a Parquet table of nodes (x, y, z)."""
+    from pyspark.sql import functions as F
+
+    if isinstance(given, (int, float)) and not isinstance(given, bool):
+        return lambda rows, name: rows.withColumn(name, F.lit(float(given)))
+    if not isinstance(given, str) or not given.rstrip("/").lower().endswith((".parquet", ".pq")):
+        raise ConfigError(f"a surface is a number or the path of a Parquet table of nodes x, y, z; not {given!r}")
+    return tables.read_surface(spark, given)
+
+
+def resources_of(spark: SparkSession, request: Request) -> dict[str, Any]:
+    """What the layers refer to by path: outlines as segments, site velocities as surfaces."""
+    from ..operators import coastline
+
+    found: dict[str, Any] = {}
+    for x in request.layers:
+        if x["type"] == "coastline":
+            found[x["coastline"]] = coastline.segments(tables.read_rings(spark, x["coastline"]))
+        elif x["type"] == "ely":
+            found[x["vs30"]] = surface_of(spark, x["vs30"])
+    return found
+
+
 def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any]) -> layers.Layer:
     """resources: named surfaces and segment tables that layers refer to."""
 
@@ -151,6 +231,8 @@ def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any]
     return chain
 
 
-def run(spark: SparkSession, request: Request, surface: grids.Surface, resources: dict[str, Any] | None = None) -> DataFrame:
-    """The sampled model: one plan from points to components."""
-    return layers.evaluate(build_chain(spark, request, resources or {}), build_points(spark, request, surface))
+def run(spark: SparkSession, request: Request, surface: grids.Surface | None = None, resources: dict[str, Any] | None = None) -> DataFrame:
+    """The sampled model: one plan from points to components. What isn't given is read from the paths in the request."""
+    surface = surface_of(spark, request.grid["surface"]) if surface is None else surface
+    resources = resources_of(spark, request) if resources is None else resources
+    return layers.evaluate(build_chain(spark, request, resources), build_points(spark, request, surface))

@@ -15,12 +15,25 @@ KEYS = ["grid", "i", "j", "k"]
 DEPTH_T = 2.0
 
 
-def nodes(spark: SparkSession) -> DataFrame:
-    """A grid over the models, of columns that hang from the hill, with site numbers off the lattice of faces."""
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of nine nodes for each part, hung from the hill, with its place made of the part's numbers."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    x, y = F.col("p_partkey") * 37 % 448 / 64 + 0.5, F.col("p_partkey") * 101 % 448 / 64 + 0.5
+    own = part.select(F.col("p_partkey").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), x.alias("x"), y.alias("y"))
+    return grids.hang(own, rasters.surface, 3.0, 0.375, "grid")
+
+
+SQL_NODES = """pts AS (SELECT *, s + depth AS z, i || '-' || k AS pid FROM (
+  SELECT *, (x * x - y) / 16 AS s, k * 0.375::DOUBLE AS depth FROM (
+    SELECT p_partkey AS i, 0::BIGINT AS j, p_partkey * 37 % 448 / 64.0::DOUBLE + 0.5 AS x, p_partkey * 101 % 448 / 64.0::DOUBLE + 0.5 AS y FROM part), generate_series(0, 8) g(k)))"""
+
+
+def lattice(spark: SparkSession) -> DataFrame:
+    """A grid over the models, of columns that hang from the hill."""
     return grids.regular(spark, rasters.surface, 7.0, 7.0, 3.0, 0.5, 0.5, 0.375, grids.Frame(4.0, 4.0))
 
 
-SQL_NODES = f"""pts AS (SELECT *, s + depth AS z, i || '-' || j || '-' || k AS pid FROM (
+SQL_LATTICE = f"""pts AS (SELECT *, s + depth AS z, i || '-' || j || '-' || k AS pid FROM (
   SELECT *, (x * x - y) / 16 AS s, k * 0.375::DOUBLE AS depth FROM (
     SELECT i, j, (i - 7.5::DOUBLE) * 0.5 + 4 AS x, (j - 7.5::DOUBLE) * 0.5 + 4 AS y FROM generate_series(0, 14) a(i), generate_series(0, 14) b(j)), generate_series(0, 8) g(k)))"""
 OUT = f"SELECT 'grid' AS grid, i, j, k, {world.rounded()} "
@@ -45,8 +58,15 @@ def _renamed(table: str, prefix: str) -> str:
     return f"(SELECT pid, {', '.join(f'{c} AS {prefix}{c}' for c in COMPONENTS)} FROM {table})"
 
 
+def sampled(points: DataFrame, index) -> DataFrame:
+    return _out(layers.evaluate(layers.Query(index), points))
+
+
+SQL_SAMPLED = f"WITH {SQL_LATTICE}, {world.SQL_MESH}, {world.sql_composite('c')} {OUT} FROM pts JOIN c USING (pid)"
+
+
 def layer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(layers.evaluate(layers.Query(world.index(spark)), nodes(spark)))
+    return _out(layers.evaluate(layers.Query(world.index(spark)), nodes(spark, sf_dir)))
 
 
 QUERIES["layer_query"] = layer_query
@@ -63,7 +83,7 @@ def layer_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
         return points.withColumn("q", F.struct(*((vs if c == "vs" else q[c]).alias(c) for c in COMPONENTS)))
 
     chain = stiffen(layers.Constant(rho=2000.0, vp=3000.0, vs=1000.0, qp=100.0, qs=50.0, alpha=1.0), factor=2.0)
-    return _out(layers.evaluate(chain, nodes(spark)))
+    return _out(layers.evaluate(chain, nodes(spark, sf_dir)))
 
 
 QUERIES["layer_constant"] = layer_constant
@@ -80,7 +100,7 @@ def _poly(c: tuple[float, ...], x: str) -> str:
 
 def _clamp(bounds: dict, low: float | None = None, high: float | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _out(layers.evaluate(layers.Clamp(layers.Query(world.index(spark)), bounds, low, high), nodes(spark)))
+        return _out(layers.evaluate(layers.Clamp(layers.Query(world.index(spark)), bounds, low, high), nodes(spark, sf_dir)))
 
     return query
 
@@ -111,7 +131,7 @@ def ely(spark: SparkSession) -> layers.Layer:
 
 
 def layer_ely(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(layers.evaluate(ely(spark), nodes(spark)))
+    return _out(layers.evaluate(ely(spark), nodes(spark, sf_dir)))
 
 
 _V = f"(least(depth, {DEPTH_T}) / {DEPTH_T})"
@@ -136,7 +156,7 @@ KNOTS = [(0.0, 0.25), (1.0, 1.0), (2.0, 2.0)]
 
 def layer_offshore(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = layers.Coastline(layers.Offshore(layers.Query(world.index(spark)), KNOTS, BODY), rasters.lines(spark))
-    return _out(layers.evaluate(chain, nodes(spark)))
+    return _out(layers.evaluate(chain, nodes(spark, sf_dir)))
 
 
 _STEP = lambda f: f"CASE WHEN depth >= 1.0 THEN {getattr(BODY[2], f)}::DOUBLE WHEN depth >= 0.5 THEN {getattr(BODY[1], f)}::DOUBLE ELSE {getattr(BODY[0], f)}::DOUBLE END"
@@ -154,7 +174,7 @@ oz AS (SELECT i, j, k, {', '.join(f'CASE WHEN body THEN w_{c} ELSE u_{c} END AS
 
 
 def layer_backus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(layers.evaluate(layers.Backus(layers.Query(world.index(spark)), 3), nodes(spark)))
+    return _out(layers.evaluate(layers.Backus(layers.Query(world.index(spark)), 3), nodes(spark, sf_dir)))
 
 
 QUERIES["layer_backus"] = layer_backus
@@ -174,7 +194,7 @@ def layer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda below: layers.Coastline(below, rasters.lines(spark)), lambda below: layers.Clamp(below, {"vs": layers.Bound(min=700.0)}),
         lambda below: layers.Ely(below, vs30, DEPTH_T), lambda below: layers.Query(world.index(spark)),
     ])
-    return _out(layers.evaluate(chain.build(), nodes(spark)))
+    return _out(layers.evaluate(chain.build(), nodes(spark, sf_dir)))
 
 
 QUERIES["layer_chain"] = layer_chain
@@ -183,7 +203,7 @@ SQL["layer_chain"] = f"WITH {SQL_ELY}, m1 AS (SELECT i, j, k, rho, vp, vs, qp, q
 
 def layer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One set of hits answers three ranges."""
-    made = layers.Query(world.index(spark))(nodes(spark), [ALL, BASINS, TOMOGRAPHY])
+    made = layers.Query(world.index(spark))(nodes(spark, sf_dir), [ALL, BASINS, TOMOGRAPHY])
     return made.select(*KEYS, *(F.round(F.col(layers.q_of(r))["vs"], 6).alias(n) for n, r in (("vs_all", ALL), ("vs_basins", BASINS), ("vs_tomography", TOMOGRAPHY))))
 
 

@@ -126,3 +126,17 @@ SQL["model_diff"] = f"""WITH {world.SQL_POINTS}, {world.SQL_MESH}, {world.sql_co
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, z, round(a.vs - b.vs, 6) AS d_vs, round(a.rho - b.rho, 6) AS d_rho,
        round(CASE WHEN a.vs > 0 AND b.vs > 0 THEN log10(a.vs) - log10(b.vs) END, 6) AS log_vs
 FROM pts JOIN a USING (pid) JOIN b USING (pid)"""
+
+
+def query_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of lineitem is a point, however often its place occurs; those of some suppliers have no height."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x, y, z = F.col("l_partkey") % 16 / 2, F.col("l_suppkey") % 16 / 2, F.when(F.col("l_suppkey") % 13 > 0, F.col("l_quantity") / 8)
+    points = rows.select("l_orderkey", x.alias("x"), y.alias("y"), z.alias("z"), (z / 2).alias("depth"))
+    return locate.composite(points, world.index(spark)).select("l_orderkey", "x", "y", "z", *rounded("q"))
+
+
+QUERIES["query_repeated"] = query_repeated
+SQL["query_repeated"] = f"""WITH own AS (SELECT l_orderkey, l_partkey % 16 / 2.0::DOUBLE AS x, l_suppkey % 16 / 2.0::DOUBLE AS y, CASE WHEN l_suppkey % 13 > 0 THEN l_quantity / 8 END AS z FROM lineitem),
+pts AS (SELECT DISTINCT x, y, z, z / 2 AS depth, x || '/' || y || '/' || coalesce(z::VARCHAR, '') AS pid FROM own), {world.SQL_MESH}, {world.sql_composite('c')}
+SELECT l_orderkey, own.x AS x, own.y AS y, own.z AS z, {world.rounded()} FROM own JOIN pts ON own.x = pts.x AND own.y = pts.y AND own.z IS NOT DISTINCT FROM pts.z JOIN c USING (pid)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import grids, sites
-from . import chains
+from . import chains, world
 
 QUERIES, SQL = {}, {}
 
@@ -65,14 +65,14 @@ SELECT station, min(depth) FILTER (vs >= 1000) AS z1p0, min(depth) FILTER (vs >=
 
 def fence_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section across the sampled grid, from corner to corner, bilinear between columns."""
-    values = chains.layer_query(spark, sf_dir).select("i", "j", "k", "vs", "rho")
+    values = chains.sampled(chains.lattice(spark), world.index(spark)).select("i", "j", "k", "vs", "rho")
     along = spark.range(33).select(F.col("id").alias("s"), (F.col("id") * 14 / 32).alias("fi"), (F.col("id") * 7 / 32 + 3).alias("fj"))
     made = grids.fence(values, along, ["vs", "rho"], (15, 15))
     return made.select("s", "k", F.round("vs", 5).alias("vs"), F.round("rho", 5).alias("rho"))
 
 
 QUERIES["fence_sample"] = fence_sample
-SQL["fence_sample"] = f"""WITH v AS ({SQL.get('layer_query', chains.SQL['layer_query'])}), a AS (SELECT s, s * 14 / 32.0::DOUBLE AS fi, s * 7 / 32.0::DOUBLE + 3 AS fj FROM generate_series(0, 32) g(s)),
+SQL["fence_sample"] = f"""WITH v AS ({chains.SQL_SAMPLED}), a AS (SELECT s, s * 14 / 32.0::DOUBLE AS fi, s * 7 / 32.0::DOUBLE + 3 AS fj FROM generate_series(0, 32) g(s)),
 b AS (SELECT *, least(floor(fi), 13)::BIGINT AS ia, least(floor(fj), 13)::BIGINT AS ja FROM a),
 c AS (SELECT s, ia + di AS i, ja + dj AS j, CASE WHEN di = 1 THEN fi - ia ELSE 1 - (fi - ia) END * CASE WHEN dj = 1 THEN fj - ja ELSE 1 - (fj - ja) END AS w FROM b, generate_series(0, 1) x(di), generate_series(0, 1) y(dj))
 SELECT s, k, round(sum(w * vs), 5) AS vs, round(sum(w * rho), 5) AS rho FROM c JOIN v USING (i, j) WHERE w <> 0 GROUP BY s, k"""
@@ -81,8 +81,8 @@ SELECT s, k, round(sum(w * vs), 5) AS vs, round(sum(w * rho), 5) AS rho FROM c J
 def station_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations with names of a given length, each once, and their order."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("station"), F.col("n_nationkey").alias("ordinal"))
-    return sites.named(sites.unique(n), (5, 6, 7))
+    return sites.named(sites.unique(n), (8, 9))
 
 
 QUERIES["station_list"] = station_list
-SQL["station_list"] = "SELECT n_name AS station, n_nationkey AS ordinal FROM nation WHERE length(n_name) IN (5, 6, 7)"
+SQL["station_list"] = "SELECT n_name AS station, n_nationkey AS ordinal FROM nation WHERE length(n_name) IN (8, 9)"

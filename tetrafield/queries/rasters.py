@@ -232,12 +232,12 @@ SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, z - s AS depth, z - s AS a FROM (S
 
 
 def grid_fold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where levels of a steep taper cross."""
-    return grids.folded_levels(spark, -4.0, 2.0, [k * 0.25 for k in range(16)], "tapered", ratio=0.5).select("surface", "level")
+    """Where levels cross, as the surface lies deeper than the taper is long."""
+    return grids.folded_levels(spark, -4.0, 2.0, [k * 0.25 for k in range(16)], "linear", length=1.0).select("surface", "level")
 
 
 QUERIES["grid_fold_check"] = grid_fold_check
-_W = lambda a: f"CASE WHEN -surface > 0 THEN least(greatest(1 - {a} / (0.5::DOUBLE * -surface), 0), 1) ELSE 1.0 END"
+_W = lambda a: f"least(greatest(1 - {a}, 0), 1)"
 SQL["grid_fold_check"] = f"""WITH s AS (SELECT -4.0::DOUBLE + i * (6.0::DOUBLE / 64) AS surface, k * 0.25::DOUBLE AS level FROM generate_series(0, 64) g(i), generate_series(0, 14) h(k))
 SELECT surface, level FROM s WHERE level + 0.25 + ({_W('(level + 0.25)')}) * surface - (level + ({_W('level')}) * surface) <= 0"""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +66,15 @@ def number(rows: DataFrame, name: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str, skip: int = 0, header: bool = True, names: Sequence[str] = (), comment: str = "#") -> DataFrame:
     """Numbers parted by white space. `skip` lines are left out, then a header may name the columns."""
     lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n"))
-    first = [r[0] for r in lines.orderBy("_file", "_n").limit(skip + 1).select("line").collect()]
+    top = skip + bool(header)
     if header:
-        names = first[skip].split()
+        names = lines.orderBy("_file", "_n").limit(skip + 1).select("line").collect()[skip][0].split()
     if not names:
         raise ValueError("columns need names")
-    dropped = first[: skip + bool(header)]
+    # a file's first part is its largest, so its lines have the file's smallest numbers; there are as many starts as files
+    starts = lines.groupBy("_file").agg(F.min("_n").alias("_start"))
     parts = F.split("line", r"\s+")
-    own = lines.filter((F.col("line") != "") & ~F.col("line").startswith(comment) & ~F.col("line").isin(dropped))
+    own = lines.join(F.broadcast(starts), "_file").filter((F.col("_n") >= F.col("_start") + top) & (F.col("line") != "") & ~F.col("line").startswith(comment))
     return own.select(*(F.get(parts, n).cast("double").alias(c) for n, c in enumerate(names)))
 
 
@@ -159,11 +160,36 @@ def read_outlines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(ring, n, x, y) of the polygons of a GeoJSON file."""
+    """(ring, n, x, y) of the polygons of GeoJSON files; a ring's name tells its file, feature, polygon and place in it."""
     shape = "struct<type: string, features: array<struct<geometry: struct<type: string, coordinates: string>>>, geometry: struct<type: string, coordinates: string>, coordinates: string>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
-    found = raw.select(F.explode(F.coalesce(F.transform("g.features", lambda f: f["geometry"]), F.array(F.coalesce(F.col("g.geometry"), F.struct(F.col("g.type").alias("type"), F.col("g.coordinates").alias("coordinates")))))).alias("g"))
-    one = F.from_json("g.coordinates", "array<array<array<double>>>")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", shape).alias("g"))
+    alone = F.array(F.coalesce(F.col("g.geometry"), F.struct(F.col("g.type").alias("type"), F.col("g.coordinates").alias("coordinates"))))
+    found = raw.select("file", F.posexplode(F.coalesce(F.transform("g.features", lambda f: f["geometry"]), alone)).alias("feature", "g"))
+    one = F.array(F.from_json("g.coordinates", "array<array<array<double>>>"))
     many = F.from_json("g.coordinates", "array<array<array<array<double>>>>")
-    rings = F.when(F.col("g.type") == "MultiPolygon", F.flatten(many)).otherwise(one)
-    return found.select(F.posexplode(rings).alias("ring", "r")).select("ring", F.posexplode("r").alias("n", "p")).select("ring", "n", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    polygons = found.select("file", "feature", F.posexplode(F.when(F.col("g.type") == "MultiPolygon", many).otherwise(one)).alias("polygon", "rings"))
+    rings = polygons.select("file", "feature", "polygon", F.posexplode("rings").alias("place", "r"))
+    named = rings.select(F.concat_ws("#", "file", "feature", "polygon", "place").alias("ring"), F.posexplode("r").alias("n", "p"))
+    return named.select("ring", "n", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """Outlines by suffix: GeoJSON, or else well-known binary."""
+    return read_geojson(spark, path) if path.lower().endswith((".json", ".geojson")) else read_outlines(spark, path)
+
+
+def read_surface(spark: SparkSession, path: str, value: str = "z") -> Callable[[DataFrame, str], DataFrame]:
+    """A surface of a Parquet table of nodes (x, y, value) on an upright lattice, whichever way its axes run: adds its value to rows with x and y."""
+    from ..operators import surfaces
+
+    nodes = spark.read.parquet(path)
+    r = nodes.agg(F.min("x"), F.max("x"), F.countDistinct("x"), F.min("y"), F.max("y"), F.countDistinct("y"), F.count(F.lit(1))).first()
+    (x0, x1, nx), (y0, y1, ny) = r[:3], r[3:6]
+    if nx < 2 or ny < 2 or r[6] != nx * ny:
+        raise ValueError(f"{path} isn't a full lattice of two or more nodes along x and y")
+    dx, dy = (x1 - x0) / (nx - 1), (y1 - y0) / (ny - 1)
+    placed = nodes.select(F.round((F.col("x") - x0) / dx).cast("long").alias("ix"), F.round((F.col("y") - y0) / dy).cast("long").alias("iy"), F.col(value).alias("z"))
+    off = nodes.filter((F.abs(F.col("x") - x0 - F.round((F.col("x") - x0) / dx) * dx) > 1e-3 * dx) | (F.abs(F.col("y") - y0 - F.round((F.col("y") - y0) / dy) * dy) > 1e-3 * dy))
+    if not off.isEmpty():
+        raise ValueError(f"the nodes of {path} aren't evenly spaced")
+    return lambda rows, name: surfaces.bilinear(rows, placed, (nx, ny), (x0, y0), (dx, dy), name=name)
