@@ -167,6 +167,8 @@ def check_folds(spark: SparkSession, lowest: float, highest: float, levels: Sequ
 
 
 def solver_coordinate(solver: str) -> Column:
+    if solver not in ("physical", "nominal"):
+        raise ValueError(f"a solver takes physical or nominal coordinates, not {solver!r}")
     return F.col("z") if solver == "physical" else F.col("nominal_depth")
 
 

@@ -92,7 +92,8 @@ def prisms(triangles: DataFrame) -> DataFrame:
     i, j, k = (2 * s[n] for n in range(3))
     rows = ((i, i + 1, j + 1, k + 1), (i, j, j + 1, k), (i, j + 1, k, k + 1))
     made = F.array(*(F.struct(F.lit(n).alias("slot"), *(v.alias(f"v{m}") for m, v in enumerate(row))) for n, row in enumerate(rows)))
-    return triangles.select("tri", F.explode(made).alias("t")).select("tri", "t.slot", *(F.col(f"t.v{m}").alias(f"v{m}") for m in range(4)))
+    keys = [c for c in triangles.columns if c not in ("a", "b", "c")]
+    return triangles.select(*keys, F.explode(made).alias("t")).select(*keys, "t.slot", *(F.col(f"t.v{m}").alias(f"v{m}") for m in range(4)))
 
 
 def cull(vertices: DataFrame, tets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

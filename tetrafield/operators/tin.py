@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SNAP = 1e-9  # of the extent: vertices nearer than this are one
+BLOCK = 2_000_000  # pairs of a sample and a triangle that are looked at together
 
 
 class Delaunay:
@@ -82,17 +83,29 @@ def _weights(samples: np.ndarray, corners: np.ndarray) -> np.ndarray:
     return np.stack([1 - v - w, v, w], -1)
 
 
+def _locate(samples: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each sample's first triangle (or -1) and its weights in it, a bounded block of samples at a time."""
+    home, weights, step = np.full(len(samples), -1), np.zeros((len(samples), 3)), max(1, BLOCK // len(corners))
+    for at in range(0, len(samples), step):
+        w = _weights(samples[at : at + step], corners)
+        held = (w >= -1e-9).all(2)
+        first = held.argmax(1)
+        home[at : at + step] = np.where(held.any(1), first, -1)
+        weights[at : at + step] = w[np.arange(len(w)), first]
+    return home, weights
+
+
 def _turn(v: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Twice the signed area of each triangle."""
     a, b = v[t[:, 1]] - v[t[:, 0]], v[t[:, 2]] - v[t[:, 0]]
     return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
 
 
-def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, tolerance: float, max_edge: float = math.inf, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, tolerance: float, max_edge: float = math.inf, most: int = 20_000, metres: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(vertices, triangles wound anticlockwise) of a closed ring's inside.
 
     values: (samples, surfaces), NaN for no data, which has no error. A triangle whose worst sample is off by more than the tolerance
-    of its surface's range takes that sample as a vertex; an edge longer than max_edge is halved. Edges of the ring are kept by
+    of its surface's range (or than its surface's `metres`, where given) takes that sample as a vertex; an edge longer than max_edge is halved. Edges of the ring are kept by
     halving those that the triangulation doesn't hold. More than `most` vertices are an error.
     """
     ring = ring[:-1] if len(ring) > 1 and np.allclose(ring[0], ring[-1]) else ring
@@ -101,6 +114,8 @@ def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, toler
     with np.errstate(invalid="ignore"):
         span = np.nanmax(values, 0, initial=-np.inf) - np.nanmin(values, 0, initial=np.inf) if len(values) else np.zeros(0)
     limit = np.where(np.isfinite(span), np.maximum(span, 1e-12) * tolerance, np.inf)
+    if metres is not None:
+        limit = np.asarray(metres, float)
     own: dict[int, np.ndarray] = {}
 
     def conform() -> None:
@@ -133,11 +148,10 @@ def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, toler
             raise RuntimeError(f"the tolerance isn't met with {most} vertices; raise `most` or the tolerance")
         fresh = []
         if len(samples) and len(t):
-            w = _weights(samples, points[t])
-            home = np.where((w >= -1e-9).all(2).any(1), (w >= -1e-9).all(2).argmax(1), -1)
+            home, own_w = _locate(samples, points[t])
             at = np.array([[known(v) for v in row] for row in t.tolist()])
             there = np.flatnonzero(home >= 0)
-            fitted = np.einsum("sk,skf->sf", w[there, home[there]], at[home[there]])
+            fitted = np.einsum("sk,skf->sf", own_w[there], at[home[there]])
             off = np.abs(fitted - values[there])
             off = np.where(np.isnan(values[there]), 0.0, np.where(np.isnan(off), np.inf, off)) / limit
             worst = off.max(1, initial=0.0)
@@ -164,14 +178,15 @@ def triangulate(ring: np.ndarray, samples: np.ndarray, values: np.ndarray, toler
     return v, t
 
 
-def adaptive_tins(outlines: DataFrame, samples: DataFrame, surfaces: Sequence[str], tolerance: float, max_edge: float = math.inf) -> DataFrame:
+def adaptive_tins(outlines: DataFrame, samples: DataFrame, surfaces: Sequence[str], tolerance: float = 0.0, max_edge: float = math.inf, metres: Sequence[float] | None = None) -> DataFrame:
     """(basin, tri, corner, x, y, vid) from outlines (basin, n, x, y) and samples (basin, x, y, surfaces)."""
 
     def one(outline: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         ring = outline.sort_values("n")[["x", "y"]].to_numpy(float)
-        v, t = triangulate(ring, own[["x", "y"]].to_numpy(float), own[list(surfaces)].to_numpy(float), tolerance, max_edge)
+        v, t = triangulate(ring, own[["x", "y"]].to_numpy(float), own[list(surfaces)].to_numpy(float), tolerance, max_edge, metres=metres)
         flat = t.ravel()
-        return pd.DataFrame({"basin": str(outline["basin"].iloc[0]), "tri": np.repeat(np.arange(len(t)), 3), "corner": np.tile(np.arange(3), len(t)), "vid": flat, "x": v[flat, 0], "y": v[flat, 1]})
+        return pd.DataFrame({"basin": outline["basin"].iloc[0], "tri": np.repeat(np.arange(len(t)), 3), "corner": np.tile(np.arange(3), len(t)), "vid": flat, "x": v[flat, 0], "y": v[flat, 1]})
 
-    schema = "basin string, tri long, corner int, vid long, x double, y double"
+    schema = f"basin {outlines.schema['basin'].dataType.simpleString()}, tri long, corner int, vid long, x double, y double"
+    outlines, samples = (d.toDF(*(f"_{c}" for c in d.columns)).toDF(*d.columns) for d in (outlines, samples))  # samples may come from the outlines
     return outlines.groupBy("basin").cogroup(samples.groupBy("basin")).applyInPandas(one, schema)

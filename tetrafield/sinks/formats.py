@@ -6,6 +6,8 @@ A model is rows: grid, labels, i, j, k, x, y, z, depth, nominal_depth and the si
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grids
 from ..schema import COMPONENTS
 
 PLACE = ("i", "j", "k", "x", "y", "z", "depth", "nominal_depth")
@@ -25,7 +28,7 @@ QUANTUM = 0.5  # of coordinates, where values are quantised: an error of a quart
 class Format:
     name: str
     extensions: tuple[str, ...]
-    write: Callable[[DataFrame, str], None]
+    write: Callable[..., None]
     quantises: bool = False
 
 
@@ -69,11 +72,22 @@ def quantised(model: DataFrame) -> DataFrame:
     return model.withColumns({c: F.round(F.col(c) / QUANTUM) * QUANTUM for c in ("x", "y", "z", "depth")})
 
 
-def write(model: DataFrame, path: str, format: str | None = None, quantise: bool = False) -> None:
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; only a local master without one makes its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tetrafield-')}"
+    return f"{root}/tetrafield/{what}-{uuid.uuid4().hex}"
+
+
+def write(model: DataFrame, path: str, format: str | None = None, quantise: bool = False, **options: str) -> None:
+    """options go to the format's writer, such as the sfile's solver."""
     own = _FORMATS[format or of_path(path)]
     if quantise and not own.quantises:
         raise ValueError(f"{own.name} can't hold quantised values")
-    own.write(quantised(model) if quantise else model, path)
+    own.write(quantised(model) if quantise else model, path, **options)
 
 
 @register("csv", (".csv",))
@@ -125,19 +139,23 @@ def to_emod3d(model: DataFrame, path: str) -> None:
 
 
 @register("sfile", (".sfile",))
-def to_sfile(model: DataFrame, path: str) -> None:
-    """The solver's block layout as tables: j before i, materials by grid, interfaces by column, and attributes as JSON."""
+def to_sfile(model: DataFrame, path: str, solver: str = "physical") -> None:
+    """The solver's block layout as tables: j before i, materials by grid, interfaces by column, and attributes as JSON.
+
+    Interfaces are where the solver believes its levels to be: at z, or at their nominal depths.
+    """
+    at = grids.solver_coordinate(solver)
     names = {"rho": "Rho", "vp": "Cp", "vs": "Cs", "qp": "Qp", "qs": "Qs"}
     model.select("grid", "j", "i", "k", *(F.col(a).cast("float").alias(b) for a, b in names.items())).write.mode("overwrite").partitionBy("grid").parquet(f"{path}/material")
-    ends = model.groupBy("grid", "j", "i").agg(F.min("z").cast("float").alias("top"), F.max("z").cast("float").alias("bottom"))
+    ends = model.groupBy("grid", "j", "i").agg(F.min(at).cast("float").alias("top"), F.max(at).cast("float").alias("bottom"))
     ends.write.mode("overwrite").parquet(f"{path}/interfaces")
-    about = [r.asDict() for r in model.groupBy("grid").agg(F.max("i").alias("ni"), F.max("j").alias("nj"), F.max("k").alias("nk"), F.min("z").alias("min_z"), F.max("z").alias("max_z")).orderBy("grid").collect()]
+    about = [r.asDict() for r in model.groupBy("grid").agg(F.max("i").alias("ni"), F.max("j").alias("nj"), F.max("k").alias("nk"), F.min(at).alias("min_z"), F.max(at).alias("max_z")).orderBy("grid").collect()]
     model.sparkSession.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(f"{path}/attributes")
 
 
-def append(model: DataFrame, path: str) -> None:
-    """Adds finished rows to a Parquet table; a failed task leaves nothing behind."""
-    model.write.mode("append").parquet(path)
+def append(model: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Adds finished rows to a Parquet table, partitioned as it is; a failed task leaves nothing behind."""
+    model.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def write_mesh(models: DataFrame, vertices: DataFrame, tets: DataFrame, path: str) -> None:
