@@ -76,5 +76,7 @@ def banded(points: DataFrame, lines: DataFrame, name: str = "coastline", size: f
         if left.isEmpty():
             break
         size *= 2
+    else:
+        raise RuntimeError(f"some points have no segment within {rings} doublings of the cells; give a larger size")
     signed = done.join(odd, ["x", "y"], "left").select(F.col("x").alias("_x"), F.col("y").alias("_y"), (F.sqrt("_d") * F.when(F.col("_odd") == 1, -1.0).otherwise(1.0)).alias(name))
     return points.join(signed, (x == F.col("_x")) & (y == F.col("_y")), "left").select(*points.columns, name)
