@@ -102,6 +102,18 @@ def rotate(degrees: float) -> np.ndarray:
     return np.array([[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]])
 
 
+def reflect_x(dims: int = 2) -> np.ndarray:
+    return scale(-1.0, *[1.0] * (dims - 1))
+
+
+def model_frame(x: float, y: float, degrees: float, reflect: bool = False, unit: float = 1000.0) -> np.ndarray:
+    """The 4 x 4 map from metres in the world to a model's frame: its origin, its unit, a mirrored x axis and a turn about the vertical."""
+    turn = np.eye(4)
+    turn[:2, :2] = rotate(degrees)[:2, :2]
+    mirrored = reflect_x(3) if reflect else np.eye(4)
+    return turn @ mirrored @ scale(*[1 / unit] * 3) @ translate(-x, -y, 0.0)
+
+
 def decay_weight(kind: str, level: Column, surface: Column, **p: float) -> Column:
     """How much of the surface's shape is left at a nominal depth: squashed, linear, tapered or sleve."""
     if kind == "squashed":

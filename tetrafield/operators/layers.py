@@ -101,6 +101,18 @@ class Counting(Layer):
         return self.below(points, ranges)
 
 
+class Recording(Layer):
+    """Keeps the points that each call asks about, for tests."""
+
+    def __init__(self, below: Layer):
+        super().__init__(below)
+        self.asked: list[DataFrame] = []
+
+    def __call__(self, points: DataFrame, ranges: Sequence[ModelRange] = (ALL,)) -> DataFrame:
+        self.asked.append(points)
+        return self.below(points, ranges)
+
+
 class Coastline(Layer):
     """Adds the signed distance, worked out once for each column."""
 

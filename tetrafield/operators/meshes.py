@@ -6,6 +6,9 @@ model_type, minx .. maxz, profile). z is positive down: negated elevation, or de
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +120,17 @@ def bounds(vertices: DataFrame, pad: float = 0.0) -> DataFrame:
     return vertices.groupBy("model_id").agg(*(f((F.col(a))).alias(f"{n}{a}") for f, n in ((F.min, "min"), (F.max, "max")) for a in "xyz")).select("model_id", *((F.col(f"min{a}") - pad).alias(f"min{a}") for a in "xyz"), *((F.col(f"max{a}") + pad).alias(f"max{a}") for a in "xyz"))
 
 
+def world_bounds(vertices: DataFrame, to_local: Sequence[Sequence[float]], pad: float = 0.0) -> DataFrame:
+    """bounds() in the world of vertices in a model's frame, by the inverse of the map from the world."""
+    return bounds(in_world(vertices, to_local), pad)
+
+
+def in_world(vertices: DataFrame, to_local: Sequence[Sequence[float]]) -> DataFrame:
+    """vertices moved from a model's frame to the world; barycentric weights are the same in both."""
+    moved = numeric.affine(np.linalg.inv(np.asarray(to_local)).tolist(), *(F.col(a) for a in "xyz"))
+    return vertices.withColumns(dict(zip("xyz", moved, strict=True)))
+
+
 def validate(models: DataFrame, tets: DataFrame) -> None:
     """Raises where a model is empty, of an unknown type, or a depth profile without a profile."""
     if "profile" not in models.columns:
@@ -243,8 +257,6 @@ def concatenated(*meshes: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataF
     return vertices, tets
 
 
-
-
 def rewrite_top(vertices: DataFrame, mask: Column, depth_t: float, vs30: Column, vp_t: Column, vs_t: Column, outside: dict[str, float]) -> DataFrame:
     """Vertices whose column is tapered from its own top: each column's least z is its ground; outside the mask constants stand."""
     ground = F.min("z").over(Window.partitionBy("model_id", "x", "y"))

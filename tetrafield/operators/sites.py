@@ -46,7 +46,7 @@ def deepen(sites: DataFrame, profile: Callable[[DataFrame, float], DataFrame], s
 
 def unique(stations: DataFrame, site: str = "station") -> DataFrame:
     """The stations as they are; raises where one is doubled."""
-    twice = stations.groupBy(site).count().filter("count > 1").select(site).limit(5).collect()
+    twice = repeated(stations, site).select(site).limit(5).collect()
     if twice:
         raise ValueError(f"stations occur more than once: {sorted(str(r[0]) for r in twice)}")
     return stations
@@ -56,6 +56,16 @@ def named(stations: DataFrame, lengths: Sequence[int] = (3, 4), site: str = "sta
     return stations.filter(F.length(site).isin(*lengths))
 
 
+def repeated(stations: DataFrame, site: str = "station") -> DataFrame:
+    """(site, n) of those that occur more than once."""
+    return stations.groupBy(site).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def first(stations: DataFrame, n: int, ordinal: str = "ordinal", site: str = "station") -> DataFrame:
+    """The first n stations by their ordinal, ties by name."""
+    return stations.orderBy(ordinal, site).limit(n)
+
+
 def in_order(rows: DataFrame, stations: DataFrame, site: str = "station", ordinal: str = "ordinal") -> DataFrame:
     """rows in the order of the stations' ordinals."""
     return rows.join(stations.select(site, ordinal), site).orderBy(ordinal)

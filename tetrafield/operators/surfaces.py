@@ -90,6 +90,28 @@ def depth_below(surface: DataFrame, topography: DataFrame, shape: tuple[int, int
     return bilinear(surface, topography, shape, extrapolate=True, name="_ground", **options).withColumn("depth", F.col("z") - F.col("_ground")).drop("_ground")
 
 
+def limits(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(component, lowest, highest, n) of each column's valid values, in one pass."""
+    valid = {c: numeric.not_nan(F.col(c).cast("double")) for c in columns}
+    found = F.array(*(F.struct(F.lit(c).alias("component"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.count(v).alias("n")) for c, v in valid.items()))
+    return rows.agg(found.alias("f")).select(F.inline("f"))
+
+
+def index_fit(nodes: DataFrame) -> DataFrame:
+    """One row of the least-squares map from places to numbers (j, k) of a curvilinear grid: its centres cx, cy, cj, ck and the slopes jx, jy, kx, ky.
+
+    Slopes are NULL where the nodes stand on one line.
+    """
+    r = nodes.agg(
+        *(F.avg(c).alias(f"c{c}") for c in ("x", "y", "j", "k")), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"),
+        *(F.covar_pop(i, a).alias(f"_{i}{a}") for i in "jk" for a in "xy"),
+    )
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    flat = det <= 1e-12 * F.col("xx") * F.col("yy")
+    slopes = {f"{i}x": F.col(f"_{i}x") * F.col("yy") - F.col(f"_{i}y") * F.col("xy") for i in "jk"} | {f"{i}y": F.col(f"_{i}y") * F.col("xx") - F.col(f"_{i}x") * F.col("xy") for i in "jk"}
+    return r.select("cx", "cy", "cj", "ck", *(F.when(~flat, F.try_divide(v, det)).alias(c) for c, v in slopes.items()))
+
+
 def quads(nodes: DataFrame) -> DataFrame:
     """(j, k, x0.., y0.., v0..): the cells of a curvilinear grid (j, k, x, y, value); corners 0: (j,k), 1: (j,k+1), 2: (j+1,k), 3: (j+1,k+1)."""
     own = nodes.select("j", "k", F.struct("x", "y", "value").alias("p0"))

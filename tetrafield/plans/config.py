@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,8 +11,9 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import grids, layers, locate
+from ..operators import grids, layers, locate, meshes
 from ..sources import tables
 
 
@@ -139,7 +141,7 @@ def _check(where: str, given: dict[str, Any], types: dict) -> None:
 
 def load(path: str | Path, format: str | None = None) -> Request:
     """From TOML, YAML or JSON, by suffix; TOML where the suffix says nothing."""
-    text, kind = Path(path).read_text(encoding="utf-8"), format or Path(path).suffix.lstrip(".").lower()
+    text, kind = Path(os.path.expandvars(path)).read_text(encoding="utf-8"), format or Path(path).suffix.lstrip(".").lower()
     if kind in ("yaml", "yml"):
         import yaml
 
@@ -150,7 +152,16 @@ def load(path: str | Path, format: str | None = None) -> Request:
         raise ConfigError(f"unknown sections {sorted(extra)}")
     if "grid" not in raw:
         raise ConfigError("a request needs a grid")
-    return Request(raw["grid"], raw.get("layers", []), raw.get("metadata", {}))
+    return Request(_expanded(raw["grid"]), _expanded(raw.get("layers", [])), raw.get("metadata", {}))
+
+
+def _expanded(given: Any) -> Any:
+    """Environment variables in a request's texts, such as $DATA/dem.parquet, at any depth; unknown ones stay."""
+    if isinstance(given, dict):
+        return {k: _expanded(v) for k, v in given.items()}
+    if isinstance(given, list):
+        return [_expanded(v) for v in given]
+    return os.path.expandvars(given) if isinstance(given, str) else given
 
 
 def build_points(spark: SparkSession, request: Request, surface: grids.Surface) -> DataFrame:
@@ -167,7 +178,6 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
             return grids.emod3d(spark, surface, g["nx"], g["ny"], g["nz"], g["resolution"], kind, frame, **decay)
         case "borehole":
             from ..functions.crs import TransverseMercator
-            from pyspark.sql import functions as F
 
             sites = tables.read_sites(spark, g["sites"])
             if g.get("sites_crs", "EPSG:4326") in CRS:  # eastings and northings under the names of degrees
@@ -180,8 +190,6 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
 
 def surface_of(spark: SparkSession, given: Any) -> grids.Surface:
     """A request's surface: a number, or the path of a Parquet table of nodes (x, y, z)."""
-    from pyspark.sql import functions as F
-
     if isinstance(given, (int, float)) and not isinstance(given, bool):
         return lambda rows, name: rows.withColumn(name, F.lit(float(given)))
     if not isinstance(given, str) or not given.rstrip("/").lower().endswith((".parquet", ".pq")):
@@ -202,14 +210,33 @@ def resources_of(spark: SparkSession, request: Request) -> dict[str, Any]:
     return found
 
 
-def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any]) -> layers.Layer:
-    """resources: named surfaces and segment tables that layers refer to."""
+Box = tuple[tuple[float, float], tuple[float, float]]
+
+
+def load_models(spark: SparkSession, paths: list[str], domain: Box | None = None) -> locate.Index:
+    """The index of checked meshes. Those whose bounds miss the domain (ranges of x and y) are left out."""
+    models, vertices, tets = tables.read_meshes(spark, paths)
+    meshes.validate(models, tets)
+    if domain:
+        bounded = models if "minx" in models.columns else models.join(meshes.bounds(vertices, 0.01), "model_id", "left")
+        models = layers.prune(bounded, *domain)
+        vertices, tets = (t.join(F.broadcast(models.select("model_id")), "model_id", "left_semi") for t in (vertices, tets))  # a row for each mesh
+    return locate.build_index(models, vertices, tets)
+
+
+def domain_of(points: DataFrame) -> Box | None:
+    r = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return None if None in r else ((r[0], r[1]), (r[2], r[3]))
+
+
+def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any], domain: Box | None = None) -> layers.Layer:
+    """resources: named surfaces and segment tables that layers refer to; domain: where the points are, so that models elsewhere aren't indexed."""
 
     def make(x: dict[str, Any], below: layers.Layer) -> layers.Layer:
         match x["type"]:
             case "query":
                 found = layers.discover(x["model_path"], x.get("model_globs", ["*.mesh"]))
-                return layers.Query(locate.build_index(*tables.read_meshes(spark, [str(p) for p in found])))
+                return layers.Query(load_models(spark, [str(p) for p in found], domain))
             case "coastline":
                 return layers.Coastline(below, resources[x["coastline"]])
             case "ely":
@@ -235,4 +262,6 @@ def run(spark: SparkSession, request: Request, surface: grids.Surface | None = N
     """The sampled model: one plan from points to components. What isn't given is read from the paths in the request."""
     surface = surface_of(spark, request.grid["surface"]) if surface is None else surface
     resources = resources_of(spark, request) if resources is None else resources
-    return layers.evaluate(build_chain(spark, request, resources), build_points(spark, request, surface))
+    points = build_points(spark, request, surface)
+    domain = domain_of(points) if any(x["type"] == "query" for x in request.layers) else None
+    return layers.evaluate(build_chain(spark, request, resources, domain), points)

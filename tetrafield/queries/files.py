@@ -95,7 +95,9 @@ SELECT x + a * s AS ax, y + b * s AS ay, x + c * s AS bx, y + d * s AS by FROM s
 
 def surface_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster as a table of nodes with places, read as a surface and sampled."""
-    nodes, _ = rasters.raster(spark, sf_dir)
+    own, (nx, ny) = rasters.raster(spark, sf_dir)
+    full = spark.range(nx * ny).select((F.col("id") % nx).alias("ix"), F.floor(F.col("id") / nx).alias("iy"))
+    nodes = full.join(own, ["ix", "iy"], "left")  # missing nodes have no value
     path = formats.scratch(spark, "surface")
     nodes.select((F.col("ix") / 8).alias("x"), F.col("iy").cast("double").alias("y"), "z").orderBy(F.desc("y"), F.desc("x")).write.parquet(path)
     made = tables.read_surface(spark, path)(rasters._points(spark, sf_dir), "surface")

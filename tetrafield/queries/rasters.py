@@ -14,21 +14,21 @@ NX = 40  # columns of the raster made of part
 
 
 def raster(spark: SparkSession, sf_dir: str, holes: bool = False) -> tuple[DataFrame, tuple[int, int]]:
-    """part as nodes: 40 to a row, with part's size as value; its last row may be short and is left out."""
+    """part as nodes: 40 to a row, with part's size as value; where its last row is short, nodes are missing."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey") - p_first(p)
-    ny = p.count() // NX
+    ny = -(-p.count() // NX)
     value = F.col("p_size").cast("double")
     value = F.when(key % 11 != 0, value).otherwise(F.lit(float("nan"))) if holes else value
-    return p.select((key % NX).alias("ix"), F.floor(key / NX).alias("iy"), value.alias("z")).filter(F.col("iy") < ny), (NX, ny)
+    return p.select((key % NX).alias("ix"), F.floor(key / NX).alias("iy"), value.alias("z")), (NX, ny)
 
 
 def p_first(p: DataFrame) -> int:
     return p.agg(F.min("p_partkey")).first()[0]
 
 
-SQL_RASTER = """pk AS (SELECT p_partkey - min(p_partkey) OVER () AS key, p_size::DOUBLE AS z, count(*) OVER () // 40 AS ny FROM part),
-ras AS (SELECT key % 40 AS ix, key // 40 AS iy, z, ny, {value} AS v FROM pk WHERE key // 40 < ny)"""
+SQL_RASTER = """pk AS (SELECT p_partkey - min(p_partkey) OVER () AS key, p_size::DOUBLE AS z, (count(*) OVER () + 39) // 40 AS ny FROM part),
+ras AS (SELECT key % 40 AS ix, key // 40 AS iy, z, ny, {value} AS v FROM pk)"""
 SQL_LOOKUP = """ats AS (SELECT p.*, ny, greatest(least(floor(x * 8), 38), 0) AS jx, greatest(least(floor(y), ny - 2), 0) AS jy FROM pts p, (SELECT max(ny) AS ny FROM ras)),
 tt AS (SELECT *, x * 8 - jx AS tx, y - jy AS ty FROM ats),
 uu AS (SELECT *, least(greatest(tx, 0), 1) AS u, least(greatest(ty, 0), 1) AS w,

@@ -98,12 +98,16 @@ def profile_in_si(layers: DataFrame) -> DataFrame:
     return layer_tops(si).withColumn("z", F.col("top"))
 
 
-def uniform_profile(spark: SparkSession, text: str, bottom: float) -> DataFrame:
-    """One layer from "rho=..,vp=..,vs=..,qp=..,qs=..", in SI."""
+def uniform_profile(spark: SparkSession, text: str, bottom: float | Sequence[float]) -> DataFrame:
+    """A layer from "rho=..,vp=..,vs=..,qp=..,qs=..", in SI, or several of the same values that end at the bottoms given."""
     given = dict(part.split("=", 1) for part in text.replace(" ", "").split(",") if part)
     if set(given) != {"rho", "vp", "vs", "qp", "qs"}:
         raise ValueError("a uniform model names rho, vp, vs, qp and qs")
-    return spark.createDataFrame([(*(float(given[c]) for c in ("vp", "vs", "rho", "qp", "qs")), 0.0, bottom, bottom)], "vp double, vs double, rho double, qp double, qs double, z double, bottom double, thickness double")
+    bottoms = [float(b) for b in (bottom if isinstance(bottom, Sequence) else [bottom])]
+    if not bottoms or any(b <= a for a, b in zip(bottoms, bottoms[1:])):
+        raise ValueError("bottoms must rise, and there must be one")
+    values = [float(given[c]) for c in ("vp", "vs", "rho", "qp", "qs")]
+    return spark.createDataFrame([(*values, a, b, b - a) for a, b in zip([0.0, *bottoms], bottoms)], "vp double, vs double, rho double, qp double, qs double, z double, bottom double, thickness double")
 
 
 def read_raster(spark: SparkSession, path: str, lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None, value: str = "value", flip: bool = False) -> DataFrame:
@@ -182,14 +186,20 @@ def read_surface(spark: SparkSession, path: str, value: str = "z") -> Callable[[
     """A surface of a Parquet table of nodes (x, y, value) on an upright lattice, whichever way its axes run: adds its value to rows with x and y."""
     from ..operators import surfaces
 
+    placed, shape, origin, spacing = read_lattice(spark, path, [value])
+    return lambda rows, name: surfaces.bilinear(rows, placed, shape, origin, spacing, name=name, value=value)
+
+
+def read_lattice(spark: SparkSession, path: str, values: Sequence[str]) -> tuple[DataFrame, tuple[int, int], tuple[float, float], tuple[float, float]]:
+    """(nodes (ix, iy, values), shape, origin, spacing) of a Parquet table of nodes (x, y, values) that fill an upright lattice."""
     nodes = spark.read.parquet(path)
     r = nodes.agg(F.min("x"), F.max("x"), F.countDistinct("x"), F.min("y"), F.max("y"), F.countDistinct("y"), F.count(F.lit(1))).first()
     (x0, x1, nx), (y0, y1, ny) = r[:3], r[3:6]
     if nx < 2 or ny < 2 or r[6] != nx * ny:
         raise ValueError(f"{path} isn't a full lattice of two or more nodes along x and y")
     dx, dy = (x1 - x0) / (nx - 1), (y1 - y0) / (ny - 1)
-    placed = nodes.select(F.round((F.col("x") - x0) / dx).cast("long").alias("ix"), F.round((F.col("y") - y0) / dy).cast("long").alias("iy"), F.col(value).alias("z"))
+    placed = nodes.select(F.round((F.col("x") - x0) / dx).cast("long").alias("ix"), F.round((F.col("y") - y0) / dy).cast("long").alias("iy"), *values)
     off = nodes.filter((F.abs(F.col("x") - x0 - F.round((F.col("x") - x0) / dx) * dx) > 1e-3 * dx) | (F.abs(F.col("y") - y0 - F.round((F.col("y") - y0) / dy) * dy) > 1e-3 * dy))
     if not off.isEmpty():
         raise ValueError(f"the nodes of {path} aren't evenly spaced")
-    return lambda rows, name: surfaces.bilinear(rows, placed, (nx, ny), (x0, y0), (dx, dy), name=name)
+    return placed, (nx, ny), (x0, y0), (dx, dy)
