@@ -1,12 +1,14 @@
-"""python -m tetrafield.cli: generate a model from a request, list what is registered, or run a query."""
+"""python -m tetrafield.cli: generate a model from a request, make and check the meshes it needs, list what is registered, or run a query."""
 
 from __future__ import annotations
 
 import argparse
+import math
 
 from pyspark.sql import SparkSession
 
-from .plans import config, plugins
+from .functions import crs, numeric
+from .plans import config, construction, plugins
 from .sinks import formats
 
 
@@ -23,6 +25,39 @@ def main(argv: list[str] | None = None) -> int:
     query = commands.add_parser("query", help="run a registered query and print its first rows")
     query.add_argument("name")
     query.add_argument("tables")
+    tomography = commands.add_parser("tomography", help="a mesh of a tomography table")
+    tomography.add_argument("table")
+    tomography.add_argument("output")
+    tomography.add_argument("--name", default="tomography")
+    tomography.add_argument("--origin", type=float, nargs=2, metavar=("LON", "LAT"), help="of the table's frame, in degrees; without one it is in the world's kilometres")
+    tomography.add_argument("--turn", type=float, default=0.0, help="of the frame, in degrees")
+    tomography.add_argument("--mirror", action="store_true", help="the frame's x axis runs the other way")
+    surface = commands.add_parser("surface", help="an upright surface in metres of a raster in degrees")
+    surface.add_argument("raster")
+    surface.add_argument("output")
+    surface.add_argument("--value", default="value")
+    surface.add_argument("--spacing", type=float)
+    surface.add_argument("--flip", action="store_true", help="turn elevations into depths")
+    basin = commands.add_parser("basin", help="meshes of basins between two surfaces")
+    basin.add_argument("outlines", help="GeoJSON")
+    basin.add_argument("surfaces", help="Parquet table of nodes x, y and surfaces")
+    basin.add_argument("output")
+    basin.add_argument("--bottom", required=True)
+    basin.add_argument("--top")
+    basin.add_argument("--ground")
+    basin.add_argument("--model", required=True, help="a 1-D model's file, or rho=..,vp=..,vs=..,qp=..,qs=..")
+    basin.add_argument("--layer-bottoms", type=float, nargs="+")
+    basin.add_argument("--name", default="basin")
+    basin.add_argument("--priority", type=int, default=10)
+    basin.add_argument("--tolerance", type=float, default=10.0, help="metres")
+    basin.add_argument("--max-edge", type=float, default=math.inf)
+    basin.add_argument("--least-area", type=float, default=0.0)
+    validate = commands.add_parser("validate", help="check meshes; fails where a tetrahedron is flat")
+    validate.add_argument("meshes", nargs="+")
+    validate.add_argument("--least-volume", type=float, default=1e-6)
+    synthetic = commands.add_parser("synthetic", help="write a small world's inputs")
+    synthetic.add_argument("folder")
+    synthetic.add_argument("--spacing", type=float, default=1000.0)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tetrafield").getOrCreate()
     if args.command == "plugins":
@@ -32,6 +67,24 @@ def main(argv: list[str] | None = None) -> int:
         from .queries import QUERIES
 
         QUERIES[args.name](spark, args.tables).show()
+    elif args.command == "tomography":
+        frame = numeric.model_frame(*(crs.TransverseMercator().point(*args.origin) if args.origin else (0.0, 0.0)), args.turn, args.mirror)
+        formats.write_mesh(*construction.tomography_model(spark, args.table, args.name, frame), args.output)
+    elif args.command == "surface":
+        construction.upright_surface(spark, args.raster, args.value, args.spacing, args.flip).write.mode("overwrite").parquet(args.output)
+    elif args.command == "basin":
+        profile = construction.model_of(spark, args.model, args.layer_bottoms)
+        made = construction.basin_model(spark, args.outlines, args.surfaces, args.bottom, profile, args.name, args.priority, args.top, args.ground, args.tolerance, args.max_edge, args.least_area)
+        formats.write_mesh(*made, args.output)
+    elif args.command == "validate":
+        wrong = False
+        for path in args.meshes:
+            found = construction.report(spark, path, args.least_volume).persist()
+            found.show(200, truncate=False)
+            wrong |= not found.filter("NOT ok").isEmpty()
+        return int(wrong)
+    elif args.command == "synthetic":
+        construction.write_synthetic(spark, args.folder, spacing=args.spacing)
     else:
         try:
             request = config.load(args.request, args.config_format)

@@ -74,8 +74,10 @@ def read_columns(spark: SparkSession, path: str, skip: int = 0, header: bool = T
     # a file's first part is its largest, so its lines have the file's smallest numbers; there are as many starts as files
     starts = lines.groupBy("_file").agg(F.min("_n").alias("_start"))
     parts = F.split("line", r"\s+")
-    own = lines.join(F.broadcast(starts), "_file").filter((F.col("_n") >= F.col("_start") + top) & (F.col("line") != "") & ~F.col("line").startswith(comment))
-    return own.select(*(F.get(parts, n).cast("double").alias(c) for n, c in enumerate(names)))
+    data = (F.col("_n") >= F.col("_start") + top) & (F.col("line") != "") & ~F.col("line").startswith(comment)
+    own = lines.join(F.broadcast(starts), "_file").filter(data)
+    # a later join's null check may be evaluated before the filter, so the cast looks at data lines by itself
+    return own.select(*(F.when(data, F.get(parts, n).cast("double")).alias(c) for n, c in enumerate(names)))
 
 
 def read_tomography(spark: SparkSession, path: str) -> DataFrame:
