@@ -91,14 +91,14 @@ SELECT round(quantile_cont(step, 0.5), 6) AS spacing FROM s"""
 
 
 def valid_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest window that holds all nodes of large parts; other nodes have no value."""
+    """The smallest window that holds all nodes of large parts in the middle; other nodes have no value."""
     own, _ = rasters.raster(spark, sf_dir)
-    nodes = own.withColumn("z", F.when(F.col("z") > 48, F.col("z")).otherwise(F.lit(float("nan"))))
+    nodes = own.withColumn("z", F.when((F.col("z") > 40) & F.col("ix").between(7, 31), F.col("z")).otherwise(F.lit(float("nan"))))
     return surfaces.window(nodes, *surfaces.valid_window(nodes)).select("ix", "iy", numeric.not_nan(F.col("z")).alias("z"))
 
 
 QUERIES["valid_window"] = valid_window
-SQL["valid_window"] = f"""WITH {rasters.SQL_RASTER.format(value='CASE WHEN z > 48 THEN z END')}, b AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM ras WHERE v IS NOT NULL)
+SQL["valid_window"] = f"""WITH {rasters.SQL_RASTER.format(value='CASE WHEN z > 40 AND key % 40 BETWEEN 7 AND 31 THEN z END')}, b AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM ras WHERE v IS NOT NULL)
 SELECT ix, iy, v AS z FROM ras, b WHERE ix BETWEEN x0 AND x1 AND iy BETWEEN y0 AND y1"""
 
 
