@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, language_id, mixing, near_dedup, pii, toxicity, url_filter
+from . import ann, bpe, conversations, exact_dedup, html_text, language_id, mixing, near_dedup, phrases, pii, token_counts, toxicity, url_filter
 from .common import Written, table
 
 
@@ -151,6 +151,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_pages.select("page_id", null.alias("doc_id"), "language", "confidence").unionByName(of_docs.select(null.alias("page_id"), "doc_id", "language", "confidence"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    made = conversations.repair(spark, rows)
+    return made.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_pii": op2_pii,
@@ -162,5 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_counts": op12_token_counts,
+    "op13_phrases": op13_phrases,
 }
 SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_exact_dedup": OP9_SQL}
