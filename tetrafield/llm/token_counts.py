@@ -46,6 +46,8 @@ PACK_ROWS = 50_000  # pre-tokens of an Arrow batch, which are packed together
 LONG = 2048  # bytes from which a pre-token is merged by a heap
 MERGE_ROWS = 20_000  # pre-tokens of an Arrow batch, which are merged together
 
+MARKS = frozenset(".,;:!?")
+
 # Fixed value: the published pre-tokenisation pattern of this byte-level vocabulary, with Unicode's white space.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -98,6 +100,12 @@ class Pieces:
         self.pattern = regex.compile(PATTERN)
 
     def __call__(self, chunk: str) -> tuple[list[str], int]:
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isascii():  # most chunks are a word, or one with a mark after it: no need of the pattern
+            if body.isalpha():
+                return [chunk], 0
+            if body[-1:] in MARKS and body[:-1].isalpha():
+                return [chunk[:-1], body[-1]], 0
         if self.marks is None or not any(s in chunk for s in self.special):
             return self.pattern.findall(chunk), 0
         parts = self.marks.split(chunk)
