@@ -55,7 +55,7 @@ def test_linear_field_and_brute_force(spark):
     probes = points(spark, (1, 1, 1, 0), (1, 1.5, 2, 0), (2, 2, 1.5, 0), (1.5, 1, 1, 0), (0.5, 1, 2.5, 0), (2.99, 0.01, 1.7, 0), (3.00005, 1, 1, 0))
     for r in locate.composite(probes, index).filter("n < 6").collect():
         assert r.q.rho == pytest.approx(2 * r.x + 3 * r.y - r.z)
-    rows = index.rows.dropDuplicates(["tid"])
+    rows = index.samples
     brute = probes.join(rows, locate.inside(probes.x, probes.y, probes.z)).select("n", "tid")
     assert {tuple(r) for r in locate.hits(probes, index).select("n", "tid").collect()} == {tuple(r) for r in brute.collect()}
 
@@ -120,8 +120,9 @@ def test_repeated_and_null_points_stay_rows(spark):
     rows = spark.createDataFrame(at, "x double, y double, z double, depth double")
     got = locate.composite(rows, index).collect()
     assert [r.q.rho for r in got if r.x and r.z] == [5.0] * 3 and [r.q.rho for r in got if r.x is None or r.z is None] == [0.0] * 2
+    # two exchanges in all: of the distinct places and of the points, by the same hash; folding needs none
     plan = locate.composite(rows, index)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    assert plan.count("Exchange hashpartitioning(_place") == 2
 
 
 def test_shuffled_cells_give_the_same(spark, monkeypatch):
@@ -130,3 +131,15 @@ def test_shuffled_cells_give_the_same(spark, monkeypatch):
     want = sorted(map(str, locate.composite(rows, index).collect()))
     monkeypatch.setattr(locate, "BROADCAST_ROWS", 0)
     assert sorted(map(str, locate.composite(rows, index).collect())) == want
+
+
+def test_one_large_tetrahedron_among_small_ones(spark):
+    """Each stands at the level of its own size, in eight cells at most, and the large one is found everywhere it reaches."""
+    v, t = meshes.grid_mesh(spark, 0, (0, 0, 0), (1, 1, 1), (4, 4, 4), vp=1.0, vs=1.0, qp=1.0, qs=1.0, rho=7.0)
+    far = spark.createDataFrame([(0, 1000 + n, *map(float, at), 9.0, 1.0, 1.0, 1.0, 1.0, 1.0) for n, at in enumerate(((0, 0, 0), (1e5, 0, 0), (0, 1e5, 0), (0, 0, 1e5)))], v.schema)
+    big = spark.createDataFrame([(0, 10_000, 1000, 1001, 1002, 1003)], t.schema)
+    index = locate.build_index(spark.createDataFrame([(0, "m", 0, "elevation", 1)], MODEL), v.unionByName(far), t.unionByName(big))
+    assert index.rows.groupBy("model_id", "tid").count().agg(F.max("count")).first()[0] <= 8 and index.count < 8 * 140
+    got = locate.composite(points(spark, (0.5, 0.5, 0.5, 0), (20_000.0, 30_000.0, 40_000.0, 0), (2e4, 3e4, 6e4, 0)), index).orderBy("n").collect()
+    assert [r.q.rho for r in got] == [7.0, pytest.approx(9.0), 0.0]
+    assert {r.tid for r in locate.hits(points(spark, (0.5, 0.5, 0.5, 0)), index).collect()} >= {10_000}

@@ -16,20 +16,21 @@ SATURATED = 1e-4  # an opacity so close to 1 hides what lies under it
 def _weighted_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Column]) -> Column:
     """Q that follows velocity: sum(w v) / sum(w v / Q), or the harmonic mean where no velocity is left. Q = 0 counts as total loss."""
     total = sum((w * x for w, x in zip(weights[1:], v[1:], strict=True)), weights[0] * v[0])
-
-    def harmonic(ws: list[Column], over: Column) -> Column:
-        # a term without weight has no part, whatever its Q
-        parts = [F.when(w == 0, F.lit(0.0)).when(x == 0, F.lit(float("inf"))).otherwise(F.try_divide(w, x)) for w, x in zip(ws, q, strict=True)]
-        below = sum(parts[1:], parts[0])
-        return F.when(below == 0, F.lit(0.0)).otherwise(F.try_divide(over, below))
-
     wv = [w * x for w, x in zip(weights, v, strict=True)]
     bound = F.struct(total.alias("total"), *(x.alias(f"w{n}") for n, x in enumerate(wv)))
-    return let(bound, lambda s: F.when(s["total"] > 0, harmonic([s[f"w{n}"] for n in range(len(wv))], s["total"])).otherwise(harmonic(list(weights), F.lit(1.0))))
+    return let(bound, lambda s: F.when(s["total"] > 0, _harmonic([s[f"w{n}"] for n in range(len(wv))], q, s["total"])).otherwise(_harmonic(weights, q, F.lit(1.0))))
+
+
+def _harmonic(weights: Sequence[Column], q: Sequence[Column], over: Column) -> Column:
+    # a term without weight has no part, whatever its Q
+    parts = [F.when(w == 0, F.lit(0.0)).when(x == 0, F.lit(float("inf"))).otherwise(F.try_divide(w, x)) for w, x in zip(weights, q, strict=True)]
+    below = sum(parts[1:], parts[0])
+    return F.when(below == 0, F.lit(0.0)).otherwise(F.try_divide(over, below))
 
 
-def weighted_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Column]) -> Column:
-    return _weighted_q(weights, v, q)
+def following_q(weights: Sequence[Column], v: Sequence[Column], q: Sequence[Column], total: Column) -> Column:
+    """The same where sum(w v) is a column already: no lambda, so it compiles."""
+    return F.when(total > 0, _harmonic([w * x for w, x in zip(weights, v, strict=True)], q, total)).otherwise(_harmonic(weights, q, F.lit(1.0)))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -1,17 +1,20 @@
 """Point location: which tetrahedra hold which points, as equi-joins on cells.
 
-Every tetrahedron is listed under the cells that its box, padded by the tolerance's reach, overlaps. Cells are cubes whose
-edge is a power of two at about half the model's median box, so few sizes occur and a point needs one key for each size and
-vertical in use; the lattice of cells is off by half a cell, as meshes like to have their corners at round numbers, where
-a cell's side would list the tetrahedra of both sides of it. A cell's tetrahedra are gathered into one array, so a point
-stays one row: it meets one cell for each key and tests, samples and orders what it finds in place. The cells are broadcast only
-under a bound of the index's rows; then nothing of the points shuffles, and otherwise both sides shuffle on the cell.
+The index is a hierarchy of cell grids. Every tetrahedron stands at the level of its own box, padded by the tolerance's reach: cells are
+cubes of a power of two, at least as long as the box, so it is listed under eight cells at most, whatever other sizes its mesh has. The
+lattice of cells is off by half a cell, as meshes like to have their corners at round numbers. A point needs one key for each
+(level, vertical) in use. A cell's rows are thin: planes and numbers. What a tetrahedron's sample needs (corners, profile, bounds) is
+joined to hits only.
+
+Composition works on distinct places. Places are dealt out by a hash once, their hits are folded where they are, and points meet
+their place's result by the same hash, so rows that repeat, and those without a hit, stay rows. The cells are broadcast only under a
+bound of the index's rows; otherwise places shuffle on the cell, and AQE splits hot ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,33 +25,37 @@ from ..schema import ALL, COMPONENTS, DEPTH, DEPTH_PROFILE, QUALITY, ModelRange
 from . import meshes
 
 TOLERANCE = 1e-4  # of each barycentric weight
-BROADCAST_ROWS = 500_000  # index rows; about 400 bytes each
+BROADCAST_ROWS = 500_000  # index rows, of about 200 bytes
+BROADCAST_TETS = 200_000  # of about 350 bytes
+BROADCAST_MODELS = 10_000
 CELL_KEYS = ("level", "vertical", "cx", "cy", "cz")
+PLACE = ("x", "y", "z", "depth")
+PLANES = ("x3", "y3", "z3", *(f"m{r}{c}" for r in range(3) for c in range(3)))
+PROFILE = "array<struct<top:double,rho:double,vp:double,vs:double,qp:double,qs:double>>"
 
 
 @dataclass
 class Index:
-    """Rows of (tetrahedron, cell), with how many there are and which (level, vertical) pairs occur."""
+    """rows of (cell, tetrahedron) with the tetrahedron's planes, samples by tetrahedron, models by number; how many there are of each, and which (level, vertical) pairs occur."""
 
     rows: DataFrame
+    samples: DataFrame
+    models: DataFrame
     count: int
+    tets: int
+    n_models: int
     keys: list[tuple[int, str]]
-    cells: dict[tuple[int, str], DataFrame] = field(default_factory=dict)
 
-    def cells_of(self, key: tuple[int, str]) -> DataFrame:
-        """(cx, cy, cz, tets) of one level and vertical: a cell's tetrahedra as an array."""
-        if key not in self.cells:
-            own = self.rows.filter((F.col("level") == key[0]) & (F.col("vertical") == key[1]))
-            parts = [c for c in own.columns if c not in CELL_KEYS]
-            self.cells[key] = own.groupBy("cx", "cy", "cz").agg(F.collect_list(F.struct(*parts)).alias("tets")).persist()
-        return self.cells[key]
+    def asked(self, models: ModelRange) -> DataFrame:
+        rows = self.rows if models == ALL else self.rows.filter(models.holds(F.col("priority")))
+        return F.broadcast(rows) if self.count <= BROADCAST_ROWS else rows
 
+    def payload(self) -> tuple[DataFrame, DataFrame]:
+        return (F.broadcast(self.samples) if self.tets <= BROADCAST_TETS else self.samples), (F.broadcast(self.models) if self.n_models <= BROADCAST_MODELS else self.models)
 
-def tet_rows(models: DataFrame, vertices: DataFrame, tets: DataFrame, level: int | None = None) -> DataFrame:
-    """One row for each tetrahedron: its model's columns, corner samples, and the rows of the inverse edge matrix.
 
-    Flat tetrahedra hold no point and are left out.
-    """
+def tet_rows(vertices: DataFrame, tets: DataFrame) -> DataFrame:
+    """One row for each tetrahedron: its box, corner samples, and the rows of the inverse edge matrix. Flat tetrahedra hold no point and are left out."""
     own = meshes.gather(tets, vertices)
     e0, e1, e2 = meshes.sides()
     det = meshes.determinant()
@@ -56,35 +63,41 @@ def tet_rows(models: DataFrame, vertices: DataFrame, tets: DataFrame, level: int
     inverse = {f"m{r}{c}": rows[r][c] / F.col("det") for r in range(3) for c in range(3)}
     own = own.withColumn("det", det).filter("det <> 0").withColumns(inverse)
     boxes = {f"{n}_{a}": f(*(F.col(f"c{k}")[a] for k in range(4))) for f, n in ((F.least, "lo"), (F.greatest, "hi")) for a in "xyz"}
-    own = own.withColumns(boxes).withColumn("edge", F.greatest(*(F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz")))
     corners = [F.struct(*(F.col(f"c{n}")[c].alias(c) for c in COMPONENTS)).alias(f"q{n}") for n in range(4)]
-    slim = own.select("model_id", "tid", *(F.col("c3")[a].alias(f"{a}3") for a in "xyz"), *inverse, *boxes, "edge", *corners)
-    if level is None:
-        median = slim.groupBy("model_id").agg(F.percentile_approx("edge", 0.5).alias("median"))
-        slim = slim.join(F.broadcast(median), "model_id").withColumn("level", (F.ceil(F.log2("median")) - 1).cast("int")).drop("median")
-    else:
-        slim = slim.withColumn("level", F.lit(level))
-    return slim.join(F.broadcast(models), "model_id")  # a catalog has a row for each mesh
+    return own.withColumns(boxes).select("model_id", "tid", *(F.col("c3")[a].alias(f"{a}3") for a in "xyz"), *inverse, *boxes, *corners)
 
 
-def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame, level: int | None = None) -> Index:
+def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame) -> Index:
     """The index of all models; `models` may lack bounds and profile."""
     if "minx" not in models.columns:
         models = models.join(meshes.bounds(vertices, 0.01), "model_id")
     if "profile" not in models.columns:
-        models = models.withColumn("profile", F.lit(None).cast("array<struct<top:double,rho:double,vp:double,vs:double,qp:double,qs:double>>"))
-    own = tet_rows(models, vertices, tets, level)
+        models = models.withColumn("profile", F.lit(None).cast(PROFILE))
+    models = models.persist()
+    n_models = models.count()
+    own = tet_rows(vertices, tets)
+    catalog = models.select("model_id", "vertical", "priority")
+    own = own.join(F.broadcast(catalog) if n_models <= BROADCAST_MODELS else catalog, "model_id").persist()
     # the accepted region reaches 3 * TOLERANCE * longest edge beyond the tetrahedron; an edge is at most sqrt(3) boxes long
-    reach = F.col("edge") * (3 * TOLERANCE * 1.75)
-    size = F.pow(F.lit(2.0), F.col("level"))
-
-    def cells(a: str) -> Column:
-        return F.sequence(cell(F.col(f"lo_{a}") - reach, size), cell(F.col(f"hi_{a}") + reach, size))
-
-    rows = own.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).withColumn("cz", F.explode(cells("z")))
-    rows = rows.drop(*(f"{n}_{a}" for n in ("lo", "hi") for a in "xyz"), "edge").persist()
+    edge = F.greatest(*(F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"))
+    reach = edge * (3 * TOLERANCE * 1.75)
+
+    def ends(a: str, level: Column) -> tuple[Column, Column]:
+        size = F.pow(F.lit(2.0), level)
+        return cell(F.col(f"lo_{a}") - reach, size), cell(F.col(f"hi_{a}") + reach, size)
+
+    first = F.ceil(F.log2(edge)).cast("int")
+    # a box as long as its cell may touch three in a row; one level up it can't
+    crowded = F.greatest(*(hi - lo for lo, hi in (ends(a, first) for a in "xyz"))) > 1
+    rows = own.withColumn("level", first + F.when(crowded, 1).otherwise(0))
+    for a in "xyz":
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(*ends(a, F.col("level")))))
+    rows = rows.select(*CELL_KEYS, "model_id", "tid", F.col("priority").cast("int").alias("priority"), *PLANES).persist()
     found = rows.groupBy("level", "vertical").count().collect()  # a handful of sizes
-    return Index(rows, sum(r["count"] for r in found), sorted((r["level"], r["vertical"]) for r in found))
+    samples = own.select("model_id", "tid", *PLANES, *(f"q{n}" for n in range(4))).persist()
+    n_tets = samples.count()
+    own.unpersist()
+    return Index(rows, samples, models.select("model_id", "model_type", *(f"{n}{a}" for n in ("min", "max") for a in "xyz"), "profile"), sum(r["count"] for r in found), n_tets, n_models, sorted((r["level"], r["vertical"]) for r in found))
 
 
 def cell(at: Column, size: Column) -> Column:
@@ -114,79 +127,96 @@ def height(vertical: str | Column) -> Column:
     return F.when((F.lit(vertical) if isinstance(vertical, str) else vertical) == DEPTH, F.col("depth")).otherwise(F.col("z"))
 
 
-def sample(h: Column, of: Of = F.col) -> Column:
-    """The sample of a point in a tetrahedron: between corners, or the layer of the profile at the point's depth with the corners' opacity."""
-    corners = [of(f"q{n}") for n in range(4)]
-    names = ("l0", "l1", "l2")
+def listed(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
+    """A row for each point and tetrahedron under its cells: the point's columns, _h (its height for that tetrahedron) and the index's as _t_<name>."""
+    levels = F.array(*(F.struct(F.lit(n).cast("int").alias("level"), F.lit(v).alias("vertical")) for n, v in index.keys or [(0, "")]))
+    keyed = points.withColumn("_s", F.explode(levels)).withColumn("_h", height(F.col("_s.vertical")))
+    size = F.pow(F.lit(2.0), F.col("_s.level"))
+    keyed = keyed.withColumns({"_k_level": F.col("_s.level"), "_k_vertical": F.col("_s.vertical"), **{f"_k_c{a}": cell(F.col(c), size) for a, c in (("x", "x"), ("y", "y"), ("z", "_h"))}}).drop("_s")
+    rows = index.asked(models)
+    rows = rows.select(*(F.col(c).alias(f"_t_{c}") for c in rows.columns))
+    same = [F.col(f"_k_{c}") == F.col(f"_t_{c}") for c in CELL_KEYS]
+    return keyed.join(rows, same).drop(*(f"{p}{c}" for p in ("_k_", "_t_") for c in CELL_KEYS))
+
 
-    def blended(w: Column) -> Column:
-        four = [*(w[n] for n in names), w["l3"]]
-        layer = numeric.layer_of(F.col("depth"), of("profile"))
-        alpha = sum((x * c["alpha"] for x, c in zip(four[1:], corners[1:], strict=True)), four[0] * corners[0]["alpha"])
-        profile = F.struct(*((alpha if c == "alpha" else layer[c]).alias(c) for c in COMPONENTS))
-        return F.when(of("model_type") == DEPTH_PROFILE, profile).otherwise(algebra.barycentric(corners, four))
+def of_index(c: str) -> Column:
+    return F.col(f"_t_{c}")
 
-    bound = F.struct(*(l.alias(n) for n, l in zip(names, weights(F.col("x"), F.col("y"), h, of), strict=True)))
-    return let(bound, lambda w: let(F.struct(*(w[n].alias(n) for n in names), (1 - (w["l0"] + w["l1"] + w["l2"])).alias("l3")), blended))
+
+def bounded(found: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows of listed() with their model's columns."""
+    named = models.select(*(F.col(c).alias(f"_t_{c}") for c in models.columns))
+    return found.join(named, "_t_model_id")
+
+
+def tested(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
+    """Rows of listed() whose tetrahedron holds the point."""
+    return listed(points, index, models).filter(inside(F.col("x"), F.col("y"), F.col("_h"), of_index)).drop(*(f"_t_{c}" for c in PLANES))
+
+
+def with_samples(found: DataFrame, index: Index, kept: list[str]) -> DataFrame:
+    """The kept columns of tested rows with model_id, priority, tid, q, where the point is in the model's bounds."""
+    samples, catalog = index.payload()
+    # bounds hold the stored z range, which for depth models is the mesh's own
+    found = bounded(found, catalog).filter(in_bounds(F.col("x"), F.col("y"), F.col("_h"), of_index))
+    corners = samples.select(*(F.col(c).alias(f"_t_{c}") for c in samples.columns))
+    found = sampled(found.join(corners, ["_t_model_id", "_t_tid"]))
+    return found.select(*kept, *(of_index(c).alias(c) for c in ("model_id", "priority", "tid")), "q")
 
 
 def hits(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
     """A row for each point and tetrahedron that holds it: point columns, model_id, priority, tid, q."""
-    levels = F.array(*(F.struct(F.lit(n).cast("int").alias("level"), F.lit(v).alias("vertical")) for n, v in index.keys or [(0, "")]))
-    size = F.pow(F.lit(2.0), F.col("_s.level"))
-    keyed = points.withColumn("_s", F.explode(levels)).withColumn("_h", height(F.col("_s.vertical")))
-    keyed = keyed.withColumns({"_level": F.col("_s.level"), "_vertical": F.col("_s.vertical"), **{f"_c{a}": cell(F.col(c), size) for a, c in (("x", "x"), ("y", "y"), ("z", "_h"))}}).drop("_s")
-    rows = F.broadcast(index.rows) if index.count <= BROADCAST_ROWS else index.rows
-    same = (F.col("_level") == F.col("level")) & (F.col("_vertical") == F.col("vertical")) & (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (F.col("_cz") == F.col("cz"))
-    # bounds hold the stored z range, which for depth models is the mesh's own
-    test = inside(F.col("x"), F.col("y"), F.col("_h")) & in_bounds(F.col("x"), F.col("y"), F.col("_h")) & models.holds(F.col("priority"))
-    found = keyed.join(rows, same & test)
-    return found.select(*(found[c] for c in points.columns), "model_id", "priority", "tid", sample(F.col("_h")).alias("q"))
-
-
-def with_cells(points: DataFrame, index: Index) -> DataFrame:
-    """points with an array column `_tets<n>` for each key of the index: the tetrahedra listed under the point's cell, or NULL. Every point stays one row."""
-    out = points
-    for n, key in enumerate(index.keys):
-        cells = index.cells_of(key)
-        cells = F.broadcast(cells) if index.count <= BROADCAST_ROWS else cells
-        size, h = F.lit(2.0 ** key[0]), height(key[1])
-        at = {f"_{c}{n}": cell(v, size) for c, v in (("cx", F.col("x")), ("cy", F.col("y")), ("cz", h))}
-        own = cells.select(*(F.col(c).alias(f"_i{c}{n}") for c in ("cx", "cy", "cz")), F.col("tets").alias(f"_tets{n}"))
-        same = (F.col(f"_cx{n}") == F.col(f"_icx{n}")) & (F.col(f"_cy{n}") == F.col(f"_icy{n}")) & (F.col(f"_cz{n}") == F.col(f"_icz{n}"))
-        out = out.withColumns(at).join(own, same, "left").drop(*at, *(f"_i{c}{n}" for c in ("cx", "cy", "cz")))
-    return out
-
-
-def held_by(index: Index, entry: Callable[[Column, Column], Column], test: Callable[[Column, Column], Column]) -> Column:
-    """entry(tetrahedron, height) of those under the point's cells that pass test(tetrahedron, height), from with_cells's arrays."""
-    found = []
-    for n, (_, vertical) in enumerate(index.keys):
-        h = height(vertical)
-        found.append(F.transform(F.filter(F.col(f"_tets{n}"), lambda t: test(t, h)), lambda t: entry(t, h)))  # noqa: B023
-    return F.concat(*(F.coalesce(x, F.array().cast(ENTRY)) for x in found))
+    return with_samples(tested(points, index, models), index, points.columns)
+
+
+def sampled(found: DataFrame) -> DataFrame:
+    """Adds q: between corners, or the layer of the profile at the point's depth with the corners' opacity. Step by step, so that it compiles."""
+    w = [F.col(f"_w{n}") for n in range(4)]
+    found = found.withColumns({f"_w{n}": l for n, l in enumerate(weights(F.col("x"), F.col("y"), F.col("_h"), of_index))})
+    found = found.withColumn("_w3", 1 - (w[0] + w[1] + w[2]))
+    corner = lambda c: [of_index(f"q{n}")[c] for n in range(4)]
+    mean = lambda c: sum((x * v for x, v in zip(w[1:], corner(c)[1:], strict=True)), w[0] * corner(c)[0])
+    found = found.withColumns({f"_mean_{c}": mean(c) for c in ("rho", "vp", "vs", "alpha")})
+    is_profile = of_index("model_type") == DEPTH_PROFILE
+    found = found.withColumns({
+        "_mean_qp": algebra.following_q(w, corner("vp"), corner("qp"), F.col("_mean_vp")), "_mean_qs": algebra.following_q(w, corner("vs"), corner("qs"), F.col("_mean_vs")),
+        "_layer": F.when(is_profile, numeric.layer_of(F.col("depth"), of_index("profile"))),
+    })
+    part = lambda c: F.when(is_profile, F.col("_layer")[c]).otherwise(F.col(f"_mean_{c}"))
+    return found.withColumn("q", F.struct(*((F.col("_mean_alpha") if c == "alpha" else part(c)).alias(c) for c in COMPONENTS)))
 
 
 ENTRY = "array<struct<priority:int,model_id:int,tid:bigint,q:struct<rho:double,vp:double,vs:double,qp:double,qs:double,alpha:double>>>"
 
 
+def places(points: DataFrame) -> DataFrame:
+    """Distinct places, dealt out by their hash."""
+    return points.select(F.xxhash64(*PLACE).alias("_place"), *PLACE).repartition("_place").distinct()
+
+
+def at_places(points: DataFrame, found: DataFrame) -> DataFrame:
+    """points with what was found at their place, or nulls. Places with a null or no number have no hits."""
+    own = found.select("_place", *(F.col(c).alias(f"_p_{c}") for c in PLACE), *(c for c in found.columns if c not in ("_place", *PLACE)))
+    met = points.withColumn("_place", F.xxhash64(*PLACE)).alias("_l")
+    same = F.col("_l._place") == F.col("_r._place")
+    for c in PLACE:  # not as keys: the hash is what both sides are dealt out by
+        same &= (F.col(f"_l.{c}") >= F.col(f"_r._p_{c}")) & (F.col(f"_l.{c}") <= F.col(f"_r._p_{c}"))
+    return met.join(own.alias("_r"), same, "left").select(*(F.col(f"_l.`{c}`") for c in points.columns), *(F.col(f"_r.{c}") for c in own.columns if c not in ("_place", *(f"_p_{p}" for p in PLACE))))
+
+
 def gathered(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
     """points with `hits`: one entry for each model that holds them, by rising priority, then model_id; the lowest tid stands for a model.
 
     Every point stays a row of its own, repeated ones too; those with a null coordinate have no hits.
     """
-    def entry(t: Column, h: Column) -> Column:
-        return F.struct(t["priority"].cast("int").alias("priority"), t["model_id"].cast("int").alias("model_id"), t["tid"].cast("long").alias("tid"), sample(h, lambda c: t[c]).alias("q"))
-
-    def test(t: Column, h: Column) -> Column:
-        of = lambda c: t[c]
-        return models.holds(t["priority"]) & in_bounds(F.col("x"), F.col("y"), h, of) & inside(F.col("x"), F.col("y"), h, of)
-
     if not index.keys:
         return points.withColumn("hits", F.array().cast(ENTRY))
-    # of one model only the first stays; structs compare by their fields in turn, and (priority, model_id, tid) differs
-    first = let(F.sort_array(held_by(index, entry, test)), lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["model_id"] != x["model_id"])))
-    return with_cells(points, index).select(*points.columns, first.alias("hits"))
+    entry = F.struct(F.col("priority").cast("int").alias("priority"), F.col("model_id").cast("int").alias("model_id"), F.col("tid").cast("long").alias("tid"), "q")
+    keys = ["_place", *PLACE]
+    # the lowest tetrahedron of each model first: few rows are left to sample, and the tests stay in a small compiled loop of their own
+    held = tested(places(points), index, models).groupBy(*keys, "_h", "_t_model_id", "_t_priority").agg(F.min("_t_tid").alias("_t_tid"))
+    found = with_samples(held, index, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("hits"))
+    return at_places(points, found).withColumn("hits", F.coalesce("hits", F.array().cast(ENTRY)))
 
 
 def composite(points: DataFrame, index: Index, models: ModelRange = ALL, name: str = "q", miss_zero: bool = True) -> DataFrame:
@@ -221,17 +251,13 @@ def explain(points: DataFrame, index: Index) -> DataFrame:
 
 def query_stats(points: DataFrame, index: Index) -> DataFrame:
     """points with candidates (tetrahedra listed under their cells), tested (of those, in bounds), held and hit_count (models that contribute)."""
-    def near(h: Column) -> Callable[[Column], Column]:
-        return lambda t: F.coalesce(in_bounds(F.col("x"), F.col("y"), h, lambda c: t[c]), F.lit(False))
-
-    def held(h: Column) -> Callable[[Column], Column]:
-        return lambda t: near(h)(t) & inside(F.col("x"), F.col("y"), h, lambda c: t[c])
-
-    arrays = [(F.coalesce(F.col(f"_tets{n}"), F.array()), height(vertical)) for n, (_, vertical) in enumerate(index.keys)]
-    total = lambda parts: sum((F.size(x) for x in parts), F.lit(0)).cast("long")
+    x, y, h = F.col("x"), F.col("y"), F.col("_h")
+    found = bounded(listed(places(points), index), index.payload()[1])
+    near = F.coalesce(in_bounds(x, y, h, of_index), F.lit(False))
+    held = near & inside(x, y, h, of_index)
     counts = {
-        "candidates": total(a for a, _ in arrays), "tested": total(F.filter(a, near(h)) for a, h in arrays), "held": total(F.filter(a, held(h)) for a, h in arrays),
-        # a model has one key
-        "hit_count": total(F.array_distinct(F.transform(F.filter(a, held(h)), lambda t: t["model_id"])) for a, h in arrays),
+        "candidates": F.count(F.lit(1)), "tested": F.count(F.when(near, 1)), "held": F.count(F.when(held, 1)),
+        "hit_count": F.size(F.collect_set(F.when(held, of_index("model_id")))).cast("long"),
     }
-    return with_cells(points, index).select(*points.columns, *(c.alias(n) for n, c in counts.items()))
+    own = at_places(points, found.groupBy("_place", *PLACE).agg(*(c.alias(n) for n, c in counts.items())))
+    return own.select(*points.columns, *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra
 from ..operators import locate
-from ..schema import ALL, BASINS, COMPONENTS, TOMOGRAPHY, ModelRange, quality
+from ..schema import ALL, BASINS, COMPONENTS, ELEVATION, INTERPOLATE, TOMOGRAPHY, ModelRange, quality
 from . import world
 
 QUERIES, SQL = {}, {}
@@ -140,3 +140,42 @@ QUERIES["query_repeated"] = query_repeated
 SQL["query_repeated"] = f"""WITH own AS (SELECT l_orderkey, l_partkey % 16 / 2.0::DOUBLE AS x, l_suppkey % 16 / 2.0::DOUBLE AS y, CASE WHEN l_suppkey % 13 > 0 THEN l_quantity / 8 END AS z FROM lineitem),
 pts AS (SELECT DISTINCT x, y, z, z / 2 AS depth, x || '/' || y || '/' || coalesce(z::VARCHAR, '') AS pid FROM own), {world.SQL_MESH}, {world.sql_composite('c')}
 SELECT l_orderkey, own.x AS x, own.y AS y, own.z AS z, {world.rounded()} FROM own JOIN pts ON own.x = pts.x AND own.y = pts.y AND own.z IS NOT DISTINCT FROM pts.z JOIN c USING (pid)"""
+
+
+# One mesh whose tetrahedra differ a thousandfold: a corner and three edges along the axes for each part.
+_GRADED = {"x": "p_partkey * 37 % 1024", "y": "p_partkey * 101 % 1024", "z": "p_partkey * 53 % 256"}
+_SIZE = "CAST(power(2, p_partkey % 11) AS DOUBLE)"
+
+
+def graded_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, vertices, tets) of one model made of parts."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    place = parts.select(F.col("p_partkey").alias("tid"), F.expr(_SIZE).alias("s"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(f"o{a}") for a, e in _GRADED.items()))
+    corners = place.select("tid", "s", "ox", "oy", "oz", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
+    moved = {a: F.col(f"o{a}") + F.when(F.col("c") == n, F.col("s")).otherwise(0.0) for n, a in enumerate("xyz", 1)}
+    vertices = corners.select(F.lit(0).alias("model_id"), (F.col("tid") * 4 + F.col("c")).alias("vid"), *(v.alias(a) for a, v in moved.items()))
+    fields = {f: c + dx * F.col("x") + dy * F.col("y") + dz * F.col("z") for f, (c, dx, dy, dz, _) in world.LINEAR.items()}
+    vertices = vertices.withColumns({k: c.cast("double") for k, c in fields.items()} | {"alpha": F.lit(1.0)})
+    tets = place.select(F.lit(0).alias("model_id"), "tid", *((F.col("tid") * 4 + n).alias(f"v{n}") for n in range(4)))
+    return spark.createDataFrame([(0, "graded", 0, ELEVATION, INTERPOLATE)], "model_id int, name string, priority int, vertical string, model_type int"), vertices, tets
+
+
+def locate_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as points among tetrahedra with edges of 1 to 1024 in one mesh: how many hold each, and the lowest one's sample."""
+    index = locate.build_index(*graded_tables(spark, sf_dir))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    x, y, z = F.col("o_custkey") * 29 % 2048 / 2 + 0.25, F.col("o_orderkey") * 13 % 2048 / 2 + 0.125, F.col("o_orderkey") * 7 % 1024 / 4 + 0.0625
+    points = o.select("o_orderkey", x.alias("x"), y.alias("y"), z.alias("z"), z.alias("depth"))
+    stats = locate.query_stats(points, index).select("o_orderkey", "held", "hit_count")
+    return locate.composite(points, index).select("o_orderkey", "x", "y", "z", F.round("q.rho", 6).alias("rho"), F.round("q.vs", 6).alias("vs"), F.round("q.alpha", 6).alias("alpha")).join(stats, "o_orderkey")
+
+
+_GL = [f"(p.{a} - t.{a}) / s" for a in "xyz"]  # weights of the corners along the axes
+_GF = {f: f"{world.LINEAR[f][0]}::DOUBLE + " + " + ".join(f"{world.LINEAR[f][n]}::DOUBLE * p.{a}" for n, a in enumerate("xyz", 1)) for f in ("rho", "vs")}
+QUERIES["locate_graded"] = locate_graded
+SQL["locate_graded"] = f"""WITH t AS (SELECT p_partkey AS tid, {', '.join(f'({e})::DOUBLE AS {a}' for a, e in _GRADED.items())}, {_SIZE} AS s FROM part),
+p AS (SELECT o_orderkey, o_custkey * 29 % 2048 / 2.0::DOUBLE + 0.25 AS x, o_orderkey * 13 % 2048 / 2.0::DOUBLE + 0.125 AS y, o_orderkey * 7 % 1024 / 4.0::DOUBLE + 0.0625 AS z FROM orders),
+h AS (SELECT o_orderkey, count(*) AS held FROM p, t WHERE {' AND '.join(f'{w} >= -1e-4' for w in _GL)} AND {' + '.join(_GL)} <= 1 + 1e-4 GROUP BY o_orderkey)
+SELECT p.o_orderkey AS o_orderkey, x, y, z, round(CASE WHEN held > 0 THEN {_GF['rho']} ELSE 0 END, 6) AS rho, round(CASE WHEN held > 0 THEN {_GF['vs']} ELSE 0 END, 6) AS vs,
+       CASE WHEN held > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS alpha, coalesce(held, 0) AS held, CASE WHEN held > 0 THEN 1 ELSE 0 END::BIGINT AS hit_count
+FROM p LEFT JOIN h ON p.o_orderkey = h.o_orderkey"""
