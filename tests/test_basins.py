@@ -36,11 +36,11 @@ def test_triangles_meet_a_bent_surface_within_metres():
     assert np.abs(fitted - values[:, 0]).max() <= 0.5 + 1e-9
 
 
-def test_points_beyond_the_last_ring_are_an_error(spark):
-    lines = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0)], "sid long, ax double, ay double, bx double, by double")
-    far = spark.createDataFrame([(1e6, 1e6)], "x double, y double")
-    with pytest.raises(RuntimeError):
-        coastline.banded(far, lines, size=1.0, rings=2)
+def test_far_points_have_their_distance_too(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 5.0, 5.0, 5.0, 5.0)], "sid long, ax double, ay double, bx double, by double")
+    far = spark.createDataFrame([(3e6, 4e6), (-3e6, -4e6), (0.5, 0.0)], "x double, y double")
+    got = {r.x: r.coastline for r in coastline.signed_distance(far, lines, size=1.0).collect()}
+    assert got[3e6] == pytest.approx(5e6 - 7, abs=0.01) and got[-3e6] == pytest.approx(5e6) and got[0.5] == 0
 
 
 def test_unknown_solver_is_refused():

@@ -37,23 +37,23 @@ def test_raster_goldens(spark):
     assert look(spark, raster(spark), (1.5, 2.0), axes=([0, 1, 2, 3, 4], [0, 1, 2, 3, 4])) == pytest.approx(21.5)
 
 
-def coast(spark, rings, at, banded=False):
+def coast(spark, rings, at, size=None):
     rows = [(n, k, float(x), float(y)) for n, r in enumerate(rings) for k, (x, y) in enumerate([*r, r[0]])]
     lines = coastline.segments(spark.createDataFrame(rows, "ring int, n int, x double, y double"))
     p = spark.createDataFrame([(float(a), float(b)) for a, b in at], "x double, y double")
-    made = coastline.banded(p, lines) if banded else coastline.signed_distance(p, lines)
+    made = coastline.signed_distance(p, lines, size=size)
     found = {(r.x, r.y): r.coastline for r in made.collect()}
     return [found[float(a), float(b)] for a, b in at]
 
 
-@pytest.mark.parametrize("banded", [False, True])
-def test_coast_goldens(spark, banded):
+@pytest.mark.parametrize("size", [None, 0.02])
+def test_coast_goldens(spark, size):
     square = [(0, 0), (1, 0), (1, 1), (0, 1)]
-    assert coast(spark, [square], [(0.5, 0.5), (0.25, 0.5), (-1, 0.5), (2, 0.5), (0.5, 2)], banded) == pytest.approx([-0.5, -0.25, 1, 1, 1])
+    assert coast(spark, [square], [(0.5, 0.5), (0.25, 0.5), (-1, 0.5), (2, 0.5), (0.5, 2)], size) == pytest.approx([-0.5, -0.25, 1, 1, 1])
     donut = [[(0, 0), (10, 0), (10, 10), (0, 10)], [(4, 4), (6, 4), (6, 6), (4, 6)]]
-    got = coast(spark, donut, [(5, 5), (2, 2)], banded)
+    got = coast(spark, donut, [(5, 5), (2, 2)], size)
     assert got[0] > 0 > got[1]
-    got = coast(spark, [[(0, -1), (2, 0), (0, 1)]], [(1, 0), (-1, 0), (3, 0)], banded)
+    got = coast(spark, [[(0, -1), (2, 0), (0, 1)]], [(1, 0), (-1, 0), (3, 0)], size)
     assert got[0] < 0 < min(got[1:])
 
 
@@ -254,15 +254,16 @@ def test_resample_and_rewrite(spark):
     assert grids.grid_azimuth(30.0, 173.0, -41.0) == pytest.approx(30.0, abs=1e-6)
 
 
-@pytest.mark.parametrize("most", [0, 50_000])
-def test_coast_keeps_points_without_a_place(spark, monkeypatch, most):
-    """Few segments and many: a point with a null coordinate stays, without a distance."""
-    monkeypatch.setattr(coastline, "BROADCAST_SEGMENTS", most)
+@pytest.mark.parametrize("size", [0.1, None])
+def test_coast_keeps_points_without_a_place(spark, size):
+    """Fine and coarse cells: a point with a coordinate that is null or no number stays, without a distance."""
     ring = [(1, n, x, y) for n, (x, y) in enumerate([(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)])]
     lines = coastline.segments(spark.createDataFrame(ring, "ring int, n int, x double, y double"))
-    points = spark.createDataFrame([(1, 4.0, 1.0), (2, None, 1.0), (3, 4.0, None), (4, None, None), (4, None, None)], "id int, x double, y double")
-    assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).collect() if r.x is not None and r.y is not None) == [(1, -1.0)]
-    assert sorted((r.id, r.coastline) for r in coastline.signed_distance(points, lines).filter("x IS NULL OR y IS NULL").collect()) == [(2, None), (3, None), (4, None), (4, None)]
+    points = spark.createDataFrame([(1, 4.0, 1.0), (2, None, 1.0), (3, 4.0, None), (4, None, None), (4, None, None), (5, float("nan"), 1.0), (6, 1.0, float("inf"))], "id int, x double, y double")
+    made = coastline.signed_distance(points, lines, size=size)
+    assert sorted(((r.id, r.coastline) for r in made.collect()), key=str) == [(1, -1.0), (2, None), (3, None), (4, None), (4, None), (5, None), (6, None)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_outlines_of_several_features(spark, tmp_path):

@@ -120,10 +120,10 @@ class Coastline(Layer):
 
     def __init__(self, below: Layer, lines: DataFrame):
         super().__init__(below)
-        self.lines, self.count = lines, lines.count()
+        self.lines, self.extent = lines, coast.extent(lines)
 
     def __call__(self, points: DataFrame, ranges: Sequence[ModelRange] = (ALL,)) -> DataFrame:
-        return self.below(coast.signed_distance(points, self.lines, self.count), ranges)
+        return self.below(coast.signed_distance(points, self.lines, self.extent), ranges)
 
 
 class Ely(Layer):

@@ -128,8 +128,8 @@ def coast_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coast_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By cells, as for many segments."""
-    made = coastline.banded(_points(spark, sf_dir), lines(spark))
+    """With cells far finer than the segments."""
+    made = coastline.signed_distance(_points(spark, sf_dir), lines(spark), size=0.25)
     return made.select(*world.POINT, "z", F.round(F.abs("coastline"), 6).alias("distance"))
 
 
@@ -138,6 +138,33 @@ def coast_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*world.POINT, "z", (F.col("coastline") < 0).alias("on_land"))
 
 
+def coast_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coast with a segment for each order, closed by three long ones; customers as points, some without a place or far off."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    height = 64 + F.col("o_custkey") * 7 % 128 / 4
+    own = orders.select((F.col("o_orderkey") / 4).alias("ax"), height.alias("ay"), "o_orderkey")
+    after = own.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
+    last = own.agg(F.min_by("ay", "o_orderkey").alias("y0"), F.max_by("ay", "o_orderkey").alias("y1"), F.min("ax").alias("x0"), F.max("ax").alias("x1"))
+    corner = lambda *of: F.struct(*((F.col(v) if isinstance(v, str) else F.lit(float(v))).alias(c) for c, v in zip(("ax", "ay", "bx", "by"), of)))
+    ends = last.select(F.explode(F.array(corner("x0", "y0", "x0", 0), corner("x0", 0, "x1", 0), corner("x1", 0, "x1", "y1"))).alias("s")).select("s.*")
+    line = own.join(after, "o_orderkey").select("ax", "ay", "bx", "by").unionByName(ends)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    x = F.when(F.col("c_custkey") % 50 == 7, F.lit(float("nan"))).when(F.col("c_custkey") % 50 != 8, F.col("c_custkey") * 131 % 4096 - 128 + 0.125)
+    y = F.col("c_custkey") * 17 % 256 / 2 + 0.0625 + F.when(F.col("c_custkey") % 50 == 9, 100_000.0).otherwise(0.0)
+    made = coastline.signed_distance(c.select("c_custkey", x.alias("x"), y.alias("y")), line)
+    return made.select("c_custkey", "y", F.round("coastline", 6).alias("coastline"))
+
+
+QUERIES["coast_many"] = coast_many
+SQL["coast_many"] = """WITH o AS (SELECT o_orderkey, o_orderkey / 4.0::DOUBLE AS x, 64 + o_custkey * 7 % 128 / 4.0::DOUBLE AS y FROM orders),
+seg AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz FROM o a JOIN o b ON b.o_orderkey = a.o_orderkey + 1
+  UNION ALL SELECT min(x), arg_min(y, o_orderkey), min(x), 0.0 FROM o UNION ALL SELECT min(x), 0.0, max(x), 0.0 FROM o UNION ALL SELECT max(x), 0.0, max(x), arg_max(y, o_orderkey) FROM o),
+p AS (SELECT c_custkey, CASE WHEN c_custkey % 50 NOT IN (7, 8) THEN c_custkey * 131 % 4096 - 128 + 0.125::DOUBLE END AS x,
+             c_custkey * 17 % 256 / 2.0::DOUBLE + 0.0625 + CASE WHEN c_custkey % 50 = 9 THEN 100000.0::DOUBLE ELSE 0 END AS y FROM customer),
+t AS (SELECT c_custkey, x, y, ax, ay, bx, bz, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / ((bx - ax) * (bx - ax) + (bz - ay) * (bz - ay)), 0), 1) AS t FROM p, seg WHERE x IS NOT NULL),
+d AS (SELECT c_custkey, sqrt(min((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (bz - ay)) ** 2)) AS d,
+  count(*) FILTER (least(ay, bz) <= y AND y < greatest(ay, bz) AND ax + (y - ay) * (bx - ax) / (bz - ay) > x) % 2 AS odd FROM t GROUP BY c_custkey)
+SELECT p.c_custkey AS c_custkey, y, round(CASE WHEN odd = 1 THEN -d ELSE d END, 6) AS coastline FROM p LEFT JOIN d USING (c_custkey)"""
 QUERIES |= {"coast_signed": coast_signed, "coast_distance": coast_distance, "coast_contains": coast_contains}
 _COAST = f"WITH {world.SQL_POINTS}, {sql_coast('pts')} {_HEAD}"
 SQL["coast_signed"] = f"{_COAST} round(CASE WHEN odd = 1 THEN -d ELSE d END, 6) AS coastline FROM pts JOIN coast USING (x, y)"
