@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import tomllib
 from collections.abc import Callable
@@ -39,8 +40,15 @@ NESTED = {
     "basin_depth": {"distance", "bottom_depth"}, "model": {"bottom_depth", "rho", "vp", "vs", "qp", "qs", "alpha"},
     "clamps": {"min", "max", "min_ref", "max_ref", "floors"}, "floors": {"depth", "elevation", "min"},
 }
-METADATA = {"title", "description", "keywords", "summary", "author", "authors", "institution", "license", "version", "references", "comment", "id"}
+# Metadata, fixed values: texts, and lists of texts.
+METADATA_TEXTS = {
+    "title", "id", "description", "version", "history", "comment", "license", "auxiliary", "creator_name", "creator_email", "creator_institution",
+    "acknowledgement", "repository_doi", "repository_name", "repository_url",
+}
+METADATA_LISTS = {"keywords", "authors", "references"}
+METADATA = METADATA_TEXTS | METADATA_LISTS
 CRS = ("EPSG:2193",)  # the projection that functions.crs has
+LONGITUDES, LATITUDES = (-180.0, 180.0), (-90.0, 90.0)
 _CLASSES = {"query": layers.Query, "coastline": layers.Coastline, "ely": layers.Ely, "offshore": layers.Offshore, "clamp": layers.Clamp, "backus": layers.Backus, "constant": layers.Constant}
 _GRID_BUILDERS: dict[str, Callable] = {}
 _LAYER_BUILDERS: dict[str, Callable] = {}
@@ -68,13 +76,19 @@ class Request:
 
     def __post_init__(self):
         _check("grid", self.grid, GRIDS)
-        _only("metadata", self.metadata, METADATA)
+        _metadata(self.metadata)
         _orientation(self.grid.get("orientation", {}))
         for where in ("chunks", "decay"):
             _only(f"grid.{where}", self.grid.get(where) or {}, NESTED[where])
         for name, block in (self.grid.get("refinements") or {}).items():
             _only(f"grid.refinements.{name}", block, NESTED["refinements"], NESTED["refinements"])
         for key in ("projection", "sites_crs"):
+            given = self.grid.get(key)
+            if isinstance(given, dict):
+                _only(f"grid.{key}", given, {"crs"}, {"crs"})
+                given = given["crs"]
+            if given is not None:
+                self.grid = self.grid | {key: crs_name(given)}
             if self.grid.get(key) not in (None, *CRS, *(("EPSG:4326",) if key == "sites_crs" else ())):
                 raise ConfigError(f"grid.{key}: only {CRS[0]} is known{', and EPSG:4326 for sites' if key == 'sites_crs' else ''}")
         for n, layer in enumerate(self.layers):
@@ -87,8 +101,17 @@ class Request:
                 for floor in bound.get("floors", []):
                     _only(f"layer {n}: floors of {c}", floor, NESTED["floors"], {"min"})
         for key in ("extent_x", "extent_y", "thickness", "resolution", "resolution_x", "resolution_y", "resolution_z", "depth", "nx", "ny", "nz"):
-            if key in self.grid and not self.grid[key] > 0:
-                raise ConfigError(f"grid.{key} must be positive")
+            if key in self.grid and not (_is_number(self.grid[key]) and self.grid[key] > 0):
+                raise ConfigError(f"grid.{key} must be a positive number")
+        if self.grid["type"] == "borehole":
+            if self.grid["depth"] < self.grid["resolution_z"]:
+                raise ConfigError("grid.depth must be at least grid.resolution_z")
+            if isinstance(self.grid["sites"], list):
+                _sites(self.grid["sites"], self.grid.get("keep_extra_columns", True))
+            elif not isinstance(self.grid["sites"], str):
+                raise ConfigError("grid.sites is a list of sites or a path")
+        if self.grid["type"] == "regular" and self.grid["thickness"] < self.grid["resolution_z"]:
+            raise ConfigError("grid.thickness must be at least grid.resolution_z")
         if "refinements" in self.grid:
             grids.check_refinements({k: (v["resolution"], v["bottom"]) for k, v in self.grid["refinements"].items()})
         try:
@@ -106,6 +129,52 @@ def _only(where: str, given: Any, known: set[str], needed: set[str] = frozenset(
         raise ConfigError(f"{where} lacks {sorted(lacking)}")
 
 
+def _is_number(given: Any) -> bool:
+    return isinstance(given, (int, float)) and not isinstance(given, bool) and math.isfinite(given)
+
+
+def _metadata(given: Any) -> None:
+    _only("metadata", given, METADATA)
+    for key, value in given.items():
+        if key in METADATA_LISTS:
+            if not isinstance(value, list) or not all(isinstance(v, str) for v in value):
+                raise ConfigError(f"metadata.{key} must be a list of texts")
+        elif not isinstance(value, str):
+            raise ConfigError(f"metadata.{key} must be a text")
+
+
+def crs_name(given: Any) -> str:
+    """A reference system as text, from that or from its number."""
+    return f"EPSG:{given}" if isinstance(given, int) and not isinstance(given, bool) else str(given).upper()
+
+
+def _place(where: str, lon: Any, lat: Any) -> None:
+    for name, value, (low, high) in (("longitude", lon, LONGITUDES), ("latitude", lat, LATITUDES)):
+        if not _is_number(value) or not low <= value <= high:
+            raise ConfigError(f"{where}: the {name} must be between {low:g} and {high:g}, not {value!r}")
+
+
+def _sites(sites: list, keep: bool) -> None:
+    """Inline sites: at least one, each with a place and the same labels, none of which names a column of the grid."""
+    if not sites:
+        raise ConfigError("a borehole grid needs at least one site")
+    labels: set[str] | None = None
+    for n, site in enumerate(sites):
+        _only(f"grid.sites {n}", site, set(site) if isinstance(site, dict) else set(), {"longitude", "latitude"})
+        _place(f"grid.sites {n}", site["longitude"], site["latitude"])
+        own = set(site) - {"longitude", "latitude"}
+        labels = own if labels is None else labels
+        if own != labels:
+            raise ConfigError(f"grid.sites {n} has the labels {sorted(own)}, and the first site {sorted(labels)}")
+        if odd := [k for k in sorted(own) if not isinstance(site[k], (str, int, float, bool))]:
+            raise ConfigError(f"grid.sites {n}: labels {odd} must be texts, numbers or truth values")
+    if keep:
+        try:
+            grids.check_labels(sorted(labels or ()))
+        except ValueError as e:
+            raise ConfigError(f"grid.sites: {e}; rename them or set keep_extra_columns = false") from e
+
+
 def _orientation(o: dict[str, Any]) -> None:
     _only("grid.orientation", o, ORIENTATION)
     for pair in (("origin_x", "origin_y"), ("origin_lon", "origin_lat")):
@@ -113,7 +182,12 @@ def _orientation(o: dict[str, Any]) -> None:
             raise ConfigError(f"grid.orientation needs both {pair[0]} and {pair[1]}")
     if {"origin_x", "origin_lon"} <= set(o):
         raise ConfigError("grid.orientation has two origins")
-    if o.get("crs", CRS[0]) not in CRS:
+    for key in set(o) - {"crs"}:
+        if not _is_number(o[key]):
+            raise ConfigError(f"grid.orientation.{key} must be a number")
+    if "origin_lon" in o:
+        _place("grid.orientation", o["origin_lon"], o["origin_lat"])
+    if crs_name(o.get("crs", CRS[0])) not in CRS:
         raise ConfigError(f"grid.orientation.crs: only {CRS[0]} is known")
 
 
@@ -179,7 +253,7 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
         case "borehole":
             from ..functions.crs import TransverseMercator
 
-            sites = tables.read_sites(spark, g["sites"])
+            sites = tables.inline_sites(spark, g["sites"]) if isinstance(g["sites"], list) else tables.read_sites(spark, g["sites"])
             if g.get("sites_crs", "EPSG:4326") in CRS:  # eastings and northings under the names of degrees
                 raise ConfigError("sites come in degrees; projected ones go through grids.borehole")
             x, y = TransverseMercator().forward(F.col("longitude"), F.col("latitude"))
@@ -188,6 +262,30 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
     return _GRID_BUILDERS[g["type"]](spark, g, surface)
 
 
+def check_levels(spark: SparkSession, request: Request, lowest: float, highest: float) -> None:
+    """Raises where the request's levels cross over a surface between the two."""
+    g = request.grid
+    options = dict(g.get("decay") or {})
+    kind = options.pop("type", None)
+    if g["type"] == "emod3d":
+        levels = [k * float(g["resolution"]) for k in range(int(g["nz"]))]
+        options = {"length": g["nz"] * g["resolution"]} | options
+    elif g["type"] == "sw4":
+        blocks = grids.check_refinements({k: (v["resolution"], v["bottom"]) for k, v in g["refinements"].items()})
+        if kind is None:  # only the first block is bent: to its flat bottom
+            kind, options, blocks = "linear", {"length": blocks[0][2]}, blocks[:1]
+        else:
+            options = {"length": blocks[0][2]} | options
+        tops = [0.0, *(b for _, _, b in blocks)]
+        levels = sorted({top + k * r for top, (_, r, bottom) in zip(tops, blocks) for k in range(round((bottom - top) / r) + 1)})
+    else:
+        return
+    try:
+        grids.check_folds(spark, lowest, highest, levels, kind, **options)
+    except ValueError as e:
+        raise ConfigError(str(e)) from e
+
+
 def surface_of(spark: SparkSession, given: Any) -> grids.Surface:
     """A request's surface: a number, or the path of a Parquet table of nodes (x, y, z)."""
     if isinstance(given, (int, float)) and not isinstance(given, bool):
@@ -220,13 +318,17 @@ def load_models(spark: SparkSession, paths: list[str], domain: Box | None = None
     if domain:
         bounded = models if "minx" in models.columns else models.join(meshes.bounds(vertices, 0.01), "model_id", "left")
         models = layers.prune(bounded, *domain)
+        if models.isEmpty():
+            raise ConfigError(f"none of the {len(paths)} models meets the request's points, which lie in x {domain[0]}, y {domain[1]}")
         vertices, tets = (t.join(F.broadcast(models.select("model_id")), "model_id", "left_semi") for t in (vertices, tets))  # a row for each mesh
     return locate.build_index(models, vertices, tets)
 
 
-def domain_of(points: DataFrame) -> Box | None:
-    r = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    return None if None in r else ((r[0], r[1]), (r[2], r[3]))
+def looked_at(points: DataFrame) -> tuple[Box | None, tuple[float, float] | None]:
+    """The ranges of x and y, and of the surface, from the first level of each column: None where there is none."""
+    ground = F.col("z") - F.col("depth")
+    r = points.filter("k = 0").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min(ground), F.max(ground)).first()
+    return (None if None in r[:4] else ((r[0], r[1]), (r[2], r[3]))), (None if None in r[4:] else (r[4], r[5]))
 
 
 def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any], domain: Box | None = None) -> layers.Layer:
@@ -263,5 +365,9 @@ def run(spark: SparkSession, request: Request, surface: grids.Surface | None = N
     surface = surface_of(spark, request.grid["surface"]) if surface is None else surface
     resources = resources_of(spark, request) if resources is None else resources
     points = build_points(spark, request, surface)
-    domain = domain_of(points) if any(x["type"] == "query" for x in request.layers) else None
+    domain = None
+    if any(x["type"] == "query" for x in request.layers) or request.grid["type"] in ("sw4", "emod3d"):
+        domain, ground = looked_at(points)
+        if ground is not None:
+            check_levels(spark, request, *ground)
     return layers.evaluate(build_chain(spark, request, resources, domain), points)

@@ -50,6 +50,16 @@ def read_sites(spark: SparkSession, path: str, lon: str = "longitude", lat: str
     return number(named, "i")
 
 
+def inline_sites(spark: SparkSession, sites: list[dict]) -> DataFrame:
+    """The same table from a request's own list, numbered as listed; labels are typed by their values."""
+    names = [k for k in sites[0] if k not in ("longitude", "latitude")]
+    kind = lambda k: "boolean" if all(isinstance(s[k], bool) for s in sites) else "bigint" if all(isinstance(s[k], int) and not isinstance(s[k], bool) for s in sites) else "double" if all(isinstance(s[k], (int, float)) and not isinstance(s[k], bool) for s in sites) else "string"
+    kinds = {k: kind(k) for k in names}
+    cast = {"boolean": bool, "bigint": int, "double": float, "string": str}
+    rows = [(n, float(s["longitude"]), float(s["latitude"]), *(cast[kinds[k]](s[k]) for k in names)) for n, s in enumerate(sites)]
+    return spark.createDataFrame(rows, ", ".join(["i bigint, longitude double, latitude double", *(f"`{k}` {v}" for k, v in kinds.items())]))
+
+
 def number(rows: DataFrame, name: str) -> DataFrame:
     """rows with dense numbers in the order of their partitions, without bringing them into one."""
     tagged = rows.withColumn("_id", F.monotonically_increasing_id())
