@@ -22,11 +22,11 @@ def cells(nodes: DataFrame, value: str = "z") -> DataFrame:
     return right.withColumns({"z01": F.lead("z00").over(below), "z11": F.lead("z10").over(below)})
 
 
-def bilinear(points: DataFrame, nodes: DataFrame, shape: tuple[int, int], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0), frame: Sequence[Sequence[float]] | None = None, extrapolate: bool = False, name: str = "surface", value: str = "z", axes: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
+def bilinear(points: DataFrame, nodes: DataFrame, shape: tuple[int, int], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0), frame: Sequence[Sequence[float]] | None = None, extrapolate: bool = False, name: str = "surface", value: str = "z", axes: tuple[Sequence[float], Sequence[float]] | None = None, table: DataFrame | None = None) -> DataFrame:
     """points (x, y, ...) with the raster's value; outside NULL, or the edge's value with `extrapolate`.
 
     `frame` maps world to raster coordinates (two rows of three numbers). `axes` gives uneven node positions. A corner without
-    weight has no part, so missing data next to a node doesn't blank it.
+    weight has no part, so missing data next to a node doesn't blank it. `table` has the cells where they are at hand (_ix, _iy, z00 ..).
     """
     nx, ny = shape
     fx, fy = numeric.affine(frame, F.col("x"), F.col("y")) if frame is not None else (F.col("x"), F.col("y"))
@@ -44,8 +44,9 @@ def bilinear(points: DataFrame, nodes: DataFrame, shape: tuple[int, int], origin
     (ix, tx), (iy, ty) = cell(fx, origin[0], spacing[0], nx, axes and axes[0]), cell(fy, origin[1], spacing[1], ny, axes and axes[1])
     keyed = points.withColumns({"_ix": ix, "_iy": iy, "_tx": tx, "_ty": ty})
     outside = (F.col("_tx") < -OUTSIDE) | (F.col("_tx") > 1 + OUTSIDE) | (F.col("_ty") < -OUTSIDE) | (F.col("_ty") > 1 + OUTSIDE)
-    table = cells(nodes, value).select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "z00", "z10", "z01", "z11")
-    table = F.broadcast(table) if nx * ny <= BROADCAST_NODES else table
+    if table is None:
+        table = cells(nodes, value).select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "z00", "z10", "z01", "z11")
+        table = F.broadcast(table) if nx * ny <= BROADCAST_NODES else table
     u, v = numeric.clip(F.col("_tx"), 0, 1), numeric.clip(F.col("_ty"), 0, 1)
     corners = (((1 - u) * (1 - v), "z00"), (u * (1 - v), "z10"), ((1 - u) * v, "z01"), (u * v, "z11"))
     parts = [F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(z)) for w, z in corners]

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grids, layers, locate, meshes
+from ..operators import grids, layers, locate, meshes, tiles
 from ..sources import tables
 
 
@@ -287,11 +287,14 @@ def check_levels(spark: SparkSession, request: Request, lowest: float, highest:
 
 
 def surface_of(spark: SparkSession, given: Any) -> grids.Surface:
-    """A request's surface: a number, or the path of a Parquet table of nodes (x, y, z)."""
+    """A request's surface: a number, the path of a Parquet table of nodes (x, y, z), or of a tiled surface's folder (.surface), whose edge extends."""
     if isinstance(given, (int, float)) and not isinstance(given, bool):
         return lambda rows, name: rows.withColumn(name, F.lit(float(given)))
+    if isinstance(given, str) and given.rstrip("/").lower().endswith(".surface"):
+        own = tiles.read(spark, given.rstrip("/"))
+        return lambda rows, name: own.sample(rows, name, extrapolate=True)
     if not isinstance(given, str) or not given.rstrip("/").lower().endswith((".parquet", ".pq")):
-        raise ConfigError(f"a surface is a number or the path of a Parquet table of nodes x, y, z; not {given!r}")
+        raise ConfigError(f"a surface is a number or the path of a Parquet table of nodes x, y, z or of a .surface folder; not {given!r}")
     return tables.read_surface(spark, given)
 
 

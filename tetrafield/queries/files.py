@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import basins, coastline, meshes
+from ..operators import basins, coastline, meshes, tiles
 from ..schema import COMPONENTS
 from ..sinks import formats
 from ..sources import tables
@@ -210,3 +210,40 @@ QUERIES |= {"outline_areas": outline_areas, "basin_mesh": basin_mesh}
 SQL["outline_areas"] = "SELECT n_nationkey::BIGINT AS basin, CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS area, 4::BIGINT AS points FROM nation"
 SQL["basin_mesh"] = """SELECT n_nationkey::BIGINT AS basin, round(6 + (1.75::DOUBLE + n_nationkey * 1.25::DOUBLE) / 8 + (1.0::DOUBLE + n_regionkey * 0.5::DOUBLE) / 2, 6) AS volume,
        true AS refined FROM nation"""
+
+
+ROTATED = ((1.0, 0.5, 0.25), (-0.5, 1.0, 4.0))  # from the world to the raster's own coordinates
+
+
+def tiled(spark: SparkSession, sf_dir: str, tile: int = 8) -> tiles.Tiled:
+    """The raster of parts as a surface in a turned frame, written by tile and opened."""
+    nodes, shape = rasters.raster(spark, sf_dir, holes=True)
+    path = formats.scratch(spark, "tiled")
+    tiles.write(nodes, path, shape, spacing=(0.125, 1.0), frame=ROTATED, tile=tile)
+    return tiles.read(spark, path)
+
+
+def surface_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface in its turned frame, sampled at lineitem's places."""
+    made = tiled(spark, sf_dir).sample(rasters._points(spark, sf_dir), "surface")
+    return made.select(*world.POINT, "z", F.round("surface", 6).alias("surface"))
+
+
+QUERIES["surface_rotated"] = surface_rotated
+SQL["surface_rotated"] = f"""WITH {world.SQL_POINTS.replace("pts AS (", "pts0 AS (", 1)}, pts AS (SELECT * REPLACE (x + y / 2 + 0.25 AS x, y - x / 2 + 4 AS y) FROM pts0),
+{rasters.SQL_RASTER.format(value="CASE WHEN key % 11 != 0 THEN z END")}, {rasters.SQL_LOOKUP} {rasters._HEAD} round(CASE WHEN NOT outside THEN zs END, 6) AS surface FROM zz"""
+
+
+def surface_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of blocks of four by four nodes around a box in the world: the tiles that the box meets are read, others aren't."""
+    return tiled(spark, sf_dir).window(tiles.box_outline(0.5, 1.5, 0.25, 1.25), spacing=0.5).select("ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
+
+
+QUERIES["surface_window"] = surface_window
+# The box's corners in the raster's coordinates are 0.875 .. 2.375 and 3.5 .. 5; with the margin of four nodes of 0.125, on whole blocks of four.
+SQL["surface_window"] = f"""WITH {rasters.SQL_RASTER.format(value="CASE WHEN key % 11 != 0 THEN z END")},
+w AS (SELECT *, greatest(least(greatest(ceil(0.375 * 8), 0), 40) - 1, 0)::BIGINT // 4 * 4 AS x0, least(ceil(least(least(greatest(ceil(2.875 * 8), 0), 40) + 1, 40) / 4.0) * 4, 40) AS x1,
+  greatest(least(greatest(ceil(3.0), 0), ny) - 1, 0)::BIGINT // 4 * 4 AS y0, least(ceil(least(least(greatest(ceil(5.5), 0), ny) + 1, ny) / 4.0) * 4, ny) AS y1 FROM ras),
+b AS (SELECT ix // 4 AS bx, iy // 4 AS bz, avg(v) AS z FROM w WHERE ix >= x0 AND ix < x1 AND iy >= y0 AND iy < y1 AND ix // 4 < 10 AND iy // 4 < ny // 4 GROUP BY ALL),
+f AS (SELECT bx::BIGINT AS ix, bz::BIGINT AS iy, z, (bx * 4 + 1.5::DOUBLE) / 8 - 0.25 AS fx, bz * 4 + 1.5::DOUBLE - 4 AS fy FROM b)
+SELECT ix, iy, round((fx - fy / 2) / 1.25, 6) AS x, round((fy + fx / 2) / 1.25, 6) AS y, round(z, 6) AS z FROM f"""

@@ -6,6 +6,7 @@ A model is rows: grid, labels, i, j, k, x, y, z, depth, nominal_depth and the si
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,7 +77,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share; only a local master without one makes its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tetrafield-')}"
     return f"{root}/tetrafield/{what}-{uuid.uuid4().hex}"
@@ -161,9 +162,3 @@ def append(model: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
 def write_mesh(models: DataFrame, vertices: DataFrame, tets: DataFrame, path: str) -> None:
     for name, table in (("models", models), ("vertices", vertices), ("tets", tets)):
         table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-
-
-def write_surface(nodes: DataFrame, path: str, tile: int = 512) -> None:
-    """By tile, so that a window reads the tiles it meets."""
-    tiled = nodes.withColumns({"tile_x": F.floor(F.col("ix") / tile), "tile_y": F.floor(F.col("iy") / tile)})
-    tiled.repartition("tile_x", "tile_y").sortWithinPartitions("iy", "ix").write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(path)
