@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import basins, coastline, meshes, tiles
 from ..schema import COMPONENTS
-from ..sinks import formats
+from ..sinks import binary, formats
 from ..sources import tables
 from . import rasters, world
 
@@ -247,3 +247,22 @@ w AS (SELECT *, greatest(least(greatest(ceil(0.375 * 8), 0), 40) - 1, 0)::BIGINT
 b AS (SELECT ix // 4 AS bx, iy // 4 AS bz, avg(v) AS z FROM w WHERE ix >= x0 AND ix < x1 AND iy >= y0 AND iy < y1 AND ix // 4 < 10 AND iy // 4 < ny // 4 GROUP BY ALL),
 f AS (SELECT bx::BIGINT AS ix, bz::BIGINT AS iy, z, (bx * 4 + 1.5::DOUBLE) / 8 - 0.25 AS fx, bz * 4 + 1.5::DOUBLE - 4 AS fy FROM b)
 SELECT ix, iy, round((fx - fy / 2) / 1.25, 6) AS x, round((fy + fx / 2) / 1.25, 6) AS y, round(z, 6) AS z FROM f"""
+
+
+def emod3d_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a block of five by four nodes to each i, written as the solver's files by executors and read back from their bytes."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey") - rasters.p_first(p)
+    own = p.select(key.alias("at"), (F.col("p_size") * 64.0 + 1024).alias("rho"), (F.col("p_size") * 32.0 + 2048).alias("vp"), F.col("p_retailprice").alias("vs"))
+    full = spark.range(-(-p.count() // 20) * 20).select(F.col("id").alias("at")).join(own, "at", "left")
+    block = full.select(F.lit("a").alias("grid"), F.floor(F.col("at") / 20).alias("i"), (F.floor(F.col("at") / 4) % 5).alias("j"), (F.col("at") % 4).alias("k"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rho", "vp", "vs")))
+    path = formats.scratch(spark, "emod3d")
+    shape = binary.write(block, path)
+    return binary.read(spark, path, shape).select("i", "j", "k", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in binary.FILES))
+
+
+QUERIES["emod3d_bytes"] = emod3d_bytes
+SQL["emod3d_bytes"] = """WITH p AS (SELECT p_partkey - min(p_partkey) OVER () AS n, p_size, p_retailprice FROM part),
+f AS (SELECT r.n AS n, p_size, p_retailprice FROM (SELECT unnest(generate_series(0, (SELECT (count(*) + 19) // 20 * 20 - 1 FROM part))) AS n) r LEFT JOIN p ON p.n = r.n)
+SELECT (n // 20)::BIGINT AS i, (n // 4 % 5)::BIGINT AS j, (n % 4)::BIGINT AS k, round(coalesce((p_size * 64.0::DOUBLE + 1024) / 1000, 0)::FLOAT::DOUBLE, 6) AS rho,
+       round(coalesce((p_size * 32.0::DOUBLE + 2048) / 1000, 0)::FLOAT::DOUBLE, 6) AS vp, round(coalesce(p_retailprice / 1000, 0)::FLOAT::DOUBLE, 6) AS vs FROM f"""

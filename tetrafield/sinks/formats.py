@@ -9,17 +9,16 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grids
 from ..schema import COMPONENTS
+from . import binary
 
 PLACE = ("i", "j", "k", "x", "y", "z", "depth", "nominal_depth")
 QUANTUM = 0.5  # of coordinates, where values are quantised: an error of a quarter at most
@@ -108,35 +107,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 @register("emod3d")
 def to_emod3d(model: DataFrame, path: str) -> None:
-    """Three files of single-precision numbers, in km/s and g/cm3: j from its last, then k, then i. Blocks of one resolution only.
-
-    Executors pack sorted ranges of the file; the driver joins the pieces in order, one at a time.
-    """
-    shape = model.agg(F.countDistinct("grid"), F.max("i") + 1, F.max("j") + 1, F.max("k") + 1, F.count(F.lit(1))).first()
-    if shape[0] != 1 or shape[4] != shape[1] * shape[2] * shape[3]:
-        raise ValueError("the solver's files hold one full block")
-    ni, nj, nk = shape[1], shape[2], shape[3]
-    at = ((nj - 1 - F.col("j")) * nk + F.col("k")) * ni + F.col("i")
-    fields = {"rho3dfile.d": "rho", "vp3dfile.p": "vp", "vs3dfile.s": "vs"}
-    rows = model.select(at.cast("long").alias("at"), *((F.col(c) / 1000).cast("float").alias(c) for c in fields.values()))
-    parts = max(1, int(shape[4]) // 4_000_000)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), *(pa.array([np.asarray(b.column(n), "<f4").tobytes()], pa.binary()) for n in (1, 2, 3))], ["at", *fields.values()])
-
-    packed = rows.repartitionByRange(parts, "at").sortWithinPartitions("at").mapInArrow(pack, "at long, rho binary, vp binary, vs binary").orderBy("at")
-    folder = Path(path)
-    folder.mkdir(parents=True, exist_ok=True)
-    files = {c: (folder / n).open("wb") for n, c in fields.items()}
-    try:
-        for r in packed.toLocalIterator():
-            for c, f in files.items():
-                f.write(r[c])
-    finally:
-        for f in files.values():
-            f.close()
+    """Three files of single-precision numbers, in km/s and g/cm3. Blocks of one resolution only; executors write them."""
+    binary.write(model, path)
 
 
 @register("sfile", (".sfile",))
