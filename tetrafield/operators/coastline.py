@@ -134,5 +134,7 @@ def nearest(places: DataFrame, lines: DataFrame, of: Extent, size: float) -> Dat
             if held is not None:
                 held.unpersist()
             held = pairs
-    met = at.join(pairs, ["px", "py"]).join(leaves, ["qx", "qy"])
+    # a segment under several of a place cell's cells counts once
+    near = pairs.join(leaves, ["qx", "qy"]).select("px", "py", "ax", "ay", "bx", "by").distinct()
+    met = at.join(near, ["px", "py"])
     return met.groupBy("x", "y").agg(F.min(squared_distance(x, y)).alias("_d"))

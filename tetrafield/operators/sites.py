@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHALLOW = 30.0
@@ -69,3 +71,54 @@ def first(stations: DataFrame, n: int, ordinal: str = "ordinal", site: str = "st
 def in_order(rows: DataFrame, stations: DataFrame, site: str = "station", ordinal: str = "ordinal") -> DataFrame:
     """rows in the order of the stations' ordinals."""
     return rows.join(stations.select(site, ordinal), site).orderBy(ordinal)
+
+
+@dataclass
+class Batches:
+    """A site database that is written batch by batch and taken up again after a break.
+
+    A site's batch is a hash of its name. `profiles` and `unreached` are partitioned by batch, and writing a batch replaces its
+    partition; `finished` lists a batch once both are written. A rerun leaves finished batches out and writes the others anew, so what
+    a break left behind neither stays beside the new rows nor is lost.
+    """
+
+    spark: SparkSession
+    path: str
+    number: int = 16
+    site: str = "station"
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("batch", F.pmod(F.xxhash64(self.site), F.lit(self.number)).cast("int"))
+
+    def finished(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("batch int").parquet(f"{self.path}/finished").distinct()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "batch int")
+
+    def pending(self, stations: DataFrame) -> list[int]:
+        """Batches of the stations that aren't finished: at most `number`."""
+        return sorted(r["batch"] for r in self.of(stations).select("batch").distinct().join(self.finished(), "batch", "left_anti").collect())
+
+    def run(self, stations: DataFrame, profile: Callable[[DataFrame, float], DataFrame], start: float, limit: float, target: float = VS_2P5, at_once: int = 4, before_marking: Callable[[list[int]], None] | None = None) -> list[int]:
+        """Deepens the stations of all pending batches, `at_once` batches in one job; returns the batches done. before_marking is told what is written and not yet marked."""
+        own, left = self.of(unique(stations, self.site)), self.pending(stations)
+        for n in range(0, len(left), at_once):
+            some = left[n : n + at_once]
+            done, never = deepen(own.filter(F.col("batch").isin(some)).drop("batch"), profile, start, limit, target, self.site)
+            self._replace(done, "profiles")
+            self._replace(never, "unreached")
+            if before_marking is not None:
+                before_marking(some)
+            self.spark.createDataFrame([(b,) for b in some], "batch int").coalesce(1).write.mode("append").parquet(f"{self.path}/finished")
+        return left
+
+    def _replace(self, rows: DataFrame, name: str) -> None:
+        out = self.of(rows).repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("batch").parquet(f"{self.path}/{name}")
+
+    def profiles(self) -> DataFrame:
+        """Rows of finished batches only."""
+        return self.spark.read.parquet(f"{self.path}/profiles").join(self.finished(), "batch", "left_semi").drop("batch")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import grids, sites
+from ..sinks import formats
 from . import chains, world
 
 QUERIES, SQL = {}, {}
@@ -63,6 +66,30 @@ p AS (SELECT station, k * 50.0::DOUBLE AS depth, v0 + 100 * k AS vs FROM d, gene
 SELECT station, min(depth) FILTER (vs >= 1000) AS z1p0, min(depth) FILTER (vs >= 2500) AS z2p5, max(depth) AS profile_depth FROM p GROUP BY station"""
 
 
+def site_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same suppliers in batches; the first run breaks off with two batches written but not marked, the second finishes."""
+    stations = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("station"))
+
+    def profile(some: DataFrame, depth: float) -> DataFrame:
+        k = F.explode(F.sequence(F.lit(0), F.lit(int(depth // 50))))
+        return some.withColumn("k", k).select("station", (F.col("k") * 50.0).alias("depth"), (500.0 + F.col("station") % 40 * 50 + 2 * F.col("k") * 50).alias("vs"))
+
+    database = sites.Batches(spark, formats.scratch(spark, "sites"), 5)
+
+    def breaks_off(written: list[int]) -> None:
+        if database.finished().count():
+            raise InterruptedError(f"batches {written} are written and not marked")
+
+    with contextlib.suppress(InterruptedError):
+        database.run(stations, profile, 100.0, 800.0, at_once=2, before_marking=breaks_off)
+    database.run(stations, profile, 100.0, 800.0, at_once=2)
+    return sites.summarise(database.profiles()).select("station", "z1p0", "z2p5", "profile_depth")
+
+
+QUERIES["site_resume"] = site_resume
+SQL["site_resume"] = SQL["site_deepening"]
+
+
 def fence_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section across the sampled grid, from corner to corner, bilinear between columns."""
     values = chains.sampled(chains.lattice(spark), world.index(spark)).select("i", "j", "k", "vs", "rho")
