@@ -7,45 +7,66 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, numeric
 from ..operators import meshes
-from . import world
+from ..schema import COMPONENTS
 
 QUERIES, SQL = {}, {}
 
 
+NJ, NK = 5, 4  # nodes of the mesh of parts along y and z; along x it has as many as the parts fill
+
+
+def part_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, vertices, tets): parts as the nodes of a grid, moved from their places by size and number."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    ni = -(-p.count() // (NJ * NK))
+    own = p.select((F.col("p_partkey") - p.agg(F.min("p_partkey")).first()[0]).alias("vid"), (F.col("p_size") / 128).alias("dx"), (F.col("p_partkey") % 8 / 32).alias("dy"))
+    nodes = spark.range(ni * NJ * NK).select(F.col("id").alias("vid")).join(own, "vid", "left")
+    place = {"x": F.floor(F.col("vid") / (NJ * NK)) + F.coalesce("dx", F.lit(0.0)), "y": F.floor(F.col("vid") / NK) % NJ + F.coalesce("dy", F.lit(0.0)), "z": (F.col("vid") % NK).cast("double")}
+    vertices = nodes.select(F.lit(0).alias("model_id"), "vid", *(v.alias(k) for k, v in place.items()), *(F.lit(1.0).alias(c) for c in COMPONENTS))
+    tets = meshes.five_tets(meshes.grid_cells(spark, ni, NJ, NK), NJ, NK).select(F.lit(0).alias("model_id"), "tid", "v0", "v1", "v2", "v3")
+    return spark.createDataFrame([(0, "parts", 7, "elevation", 1)], "model_id int, name string, priority int, vertical string, model_type int"), vertices, tets
+
+
+_PATTERN = ", ".join(f"({parity}, {slot}, {', '.join(d for corner in row for d in corner)})" for parity, rows in ((0, meshes.EVEN), (1, meshes.ODD)) for slot, row in enumerate(rows))
+_EDGE = [[f"(c{n}.{a} - c3.{a})" for a in "xyz"] for n in range(3)]
+_DET = " + ".join(f"{_EDGE[0][a]} * ({_EDGE[1][b]} * {_EDGE[2][c]} - {_EDGE[1][c]} * {_EDGE[2][b]})" for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+SQL_PARTS = f"""pk AS (SELECT p_partkey - min(p_partkey) OVER () AS key, p_size, p_partkey FROM part),
+nd AS (SELECT n AS vid, n // {NJ * NK} + coalesce(p_size, 0) / 128.0::DOUBLE AS x, n // {NK} % {NJ} + coalesce(p_partkey % 8, 0) / 32.0::DOUBLE AS y, (n % {NK})::DOUBLE AS z
+  FROM (SELECT unnest(generate_series(0, (SELECT (count(*) + {NJ * NK - 1}) // {NJ * NK} * {NJ * NK} - 1 FROM part))) AS n) r LEFT JOIN pk ON key = n),
+pat(parity, slot, {', '.join(f'd{a}{n}' for n in range(4) for a in 'ijk')}) AS (VALUES {_PATTERN}),
+cl AS (SELECT i, j, k FROM (SELECT unnest(generate_series(0, (SELECT max(vid) // {NJ * NK} - 1 FROM nd))) AS i) a, generate_series(0, {NJ - 2}) b(j), generate_series(0, {NK - 2}) d(k)),
+tt AS (SELECT ((i * {NJ - 1} + j) * {NK - 1} + k) * 5 + slot AS tid, {', '.join(f'(i + di{n}) * {NJ * NK} + (j + dj{n}) * {NK} + (k + dk{n}) AS v{n}' for n in range(4))} FROM cl JOIN pat ON parity = (i + j + k) % 2),
+tv AS (SELECT tt.*, abs({_DET}) / 6 AS volume FROM tt {' '.join(f'JOIN nd c{n} ON c{n}.vid = v{n}' for n in range(4))})"""
+
+
 def tet5_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return world.tables(spark)[2]
+    return part_mesh(spark, sf_dir)[2]
 
 
-_CORNER = lambda n: f"(i + di{n}) * (nj * nk) + (j + dj{n}) * nk + (k + dk{n}) AS v{n}"
 QUERIES["tet5_mesh"] = tet5_mesh
-SQL["tet5_mesh"] = f"""WITH {world.SQL_MESH}
-SELECT c.model_id, ((i * (nj - 1) + j) * (nk - 1) + k) * 5 + p.slot AS tid, {', '.join(_CORNER(n) for n in range(4))}
-FROM cells c JOIN pat p ON p.parity = (i + j + k) % 2"""
+SQL["tet5_mesh"] = f"WITH {SQL_PARTS} SELECT 0 AS model_id, tid, v0, v1, v2, v3 FROM tt"
 
 
 def tet_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vertices, tets = world.tables(spark)
+    _, vertices, tets = part_mesh(spark, sf_dir)
     return meshes.gather(tets, vertices, ("x", "y", "z")).select("model_id", "tid", F.round(meshes.volume(), 9).alias("volume"))
 
 
 QUERIES["tet_volume"] = tet_volume
-SQL["tet_volume"] = f"WITH {world.SQL_MESH} SELECT model_id, tid, round(abs(det) / 6, 9) AS volume FROM tet"
+SQL["tet_volume"] = f"WITH {SQL_PARTS} SELECT 0 AS model_id, tid, round(volume, 9) AS volume FROM tv"
 
 
 def mesh_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each model's bounds and least volume."""
-    models, vertices, tets = world.tables(spark)
+    models, vertices, tets = part_mesh(spark, sf_dir)
     meshes.validate(models, tets)
     made = meshes.report(vertices, tets).join(meshes.bounds(vertices), "model_id").join(models.select("model_id", "name", "priority"), "model_id")
     return made.select("model_id", "name", "priority", "n_tets", F.round("min_volume", 9).alias("min_volume"), "ok", *(f"{m}{a}" for m in ("min", "max") for a in "xyz"))
 
 
-_ALL = lambda f, a: f"{f}({', '.join(f'{a}{n}' for n in range(4))})"
 QUERIES["mesh_catalog"] = mesh_catalog
-SQL["mesh_catalog"] = f"""WITH {world.SQL_MESH}, nm(model_id, name) AS (VALUES {', '.join(f"({n}, '{m.name}')" for n, m in enumerate(world.MODELS))})
-SELECT model_id, name, priority, count(*) AS n_tets, round(min(abs(det) / 6), 9) AS min_volume, min(abs(det) / 6) >= 1e-6 AS ok,
-       {', '.join(f"min({_ALL('least', a)}) AS min{a}" for a in 'xyz')}, {', '.join(f"max({_ALL('greatest', a)}) AS max{a}" for a in 'xyz')}
-FROM tet JOIN nm USING (model_id) GROUP BY ALL"""
+SQL["mesh_catalog"] = f"""WITH {SQL_PARTS}, b AS (SELECT {', '.join(f'{m}({a}) AS {m}{a}' for m in ('min', 'max') for a in 'xyz')} FROM nd)
+SELECT 0 AS model_id, 'parts' AS name, 7 AS priority, count(*) AS n_tets, round(min(volume), 9) AS min_volume, min(volume) >= 1e-6 AS ok, {', '.join(f'{m}{a}' for m in ('min', 'max') for a in 'xyz')} FROM tv, b GROUP BY ALL"""
 
 
 def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +85,17 @@ SELECT tri, 1, i, j, j + 1, k FROM u UNION ALL SELECT tri, 2, i, j + 1, k, k + 1
 
 
 def cull_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tetrahedra of one third of a cell stay, with vertices numbered anew; the others are a sixth."""
-    _, vertices, tets = world.tables(spark)
+    """The larger tetrahedra of the mesh of parts stay, with vertices numbered anew."""
+    _, vertices, tets = part_mesh(spark, sf_dir)
     return meshes.cull(vertices, tets, 0.2)[1]
 
 
 QUERIES["cull_mesh"] = cull_mesh
-SQL["cull_mesh"] = f"""WITH {world.SQL_MESH},
-v AS (SELECT c.model_id, ((i * (nj - 1) + j) * (nk - 1) + k) * 5 + p.slot AS tid, {', '.join(_CORNER(n) for n in range(4))}
-      FROM cells c JOIN pat p ON p.parity = (i + j + k) % 2),
-kept AS (SELECT v.* FROM v JOIN tet USING (model_id, tid) WHERE abs(det) / 6 > 0.2),
-used AS (SELECT DISTINCT model_id, unnest([v0, v1, v2, v3]) AS vid FROM kept),
-num AS (SELECT model_id, vid, row_number() OVER (PARTITION BY model_id ORDER BY vid) - 1 AS new FROM used)
-SELECT kept.model_id, tid, {', '.join(f'n{n}.new AS v{n}' for n in range(4))} FROM kept
-{' '.join(f'JOIN num n{n} ON n{n}.model_id = kept.model_id AND n{n}.vid = kept.v{n}' for n in range(4))}"""
+SQL["cull_mesh"] = f"""WITH {SQL_PARTS}, kept AS (SELECT * FROM tv WHERE volume > 0.2),
+used AS (SELECT DISTINCT unnest([v0, v1, v2, v3]) AS vid FROM kept),
+num AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM used)
+SELECT 0 AS model_id, tid, {', '.join(f'n{n}.new AS v{n}' for n in range(4))} FROM kept
+{' '.join(f'JOIN num n{n} ON n{n}.vid = kept.v{n}' for n in range(4))}"""
 
 
 def layer_tops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import basins, coastline, meshes, tiles
 from ..schema import COMPONENTS
 from ..sinks import binary, formats
 from ..sources import tables
-from . import rasters, world
+from . import construction, rasters, world
 
 QUERIES, SQL = {}, {}
 
@@ -109,8 +109,8 @@ SQL["surface_file"] = f"WITH {world.SQL_POINTS}, {rasters.SQL_RASTER.format(valu
 
 
 def mesh_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two meshes of three models each, written and read as one set: numbers of the second follow those of the first."""
-    own, paths = world.tables(spark), [formats.scratch(spark, f"mesh{n}") for n in "ab"]
+    """The mesh of parts, written twice and read as one set: numbers of the second follow those of the first."""
+    own, paths = construction.part_mesh(spark, sf_dir), [formats.scratch(spark, f"mesh{n}") for n in "ab"]
     for p in paths:
         formats.write_mesh(*own, p)
     models, vertices, tets = tables.read_meshes(spark, paths)
@@ -119,9 +119,8 @@ def mesh_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["mesh_files"] = mesh_files
-SQL["mesh_files"] = f"""WITH {world.SQL_MESH}, nm(model_id, name) AS (VALUES {', '.join(f"({n}, '{m.name}')" for n, m in enumerate(world.MODELS))})
-SELECT t.model_id + 3 * c AS model_id, name, t.priority, any_value(ni * nj * nk) AS n_vertices, count(*) AS n_tets
-FROM tet t JOIN nm USING (model_id) JOIN mdl USING (model_id), generate_series(0, 1) g(c) GROUP BY ALL"""
+SQL["mesh_files"] = f"""WITH {construction.SQL_PARTS}
+SELECT m AS model_id, 'parts' AS name, 7 AS priority, (SELECT count(*) FROM nd) AS n_vertices, (SELECT count(*) FROM tv) AS n_tets FROM (VALUES (0), (1)) v(m)"""
 
 
 def part_model(spark: SparkSession, sf_dir: str) -> DataFrame:

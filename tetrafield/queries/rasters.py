@@ -189,42 +189,55 @@ _OUT = "i, j, k, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(dep
 _S = "(x * x - y) / 16"
 
 
-def _columns_sql(ni: int, nj: int, rx: float, ry: float, stride: int = 1) -> str:
-    return f"SELECT i, j, (i - {ni / 2}::DOUBLE) * {rx}::DOUBLE AS x, (j - {nj / 2}::DOUBLE) * {ry}::DOUBLE AS y FROM generate_series(0, {ni - 1}) a(i), generate_series(0, {nj - 1}) b(j) WHERE i % {stride} = 0 AND j % {stride} = 0"
+def ground(spark: SparkSession, sf_dir: str) -> tuple[grids.Surface, int]:
+    """The raster of parts as a surface about the sea, and how many rows it has: grids below are as long as it."""
+    nodes, shape = raster(spark, sf_dir)
+    return (lambda rows, name: surfaces.bilinear(rows, nodes, shape, spacing=(0.125, 1.0), extrapolate=True, name=name).withColumn(name, (F.col(name) - 25) / 16)), shape[1]
+
+
+def _ground_sql(ni: int, nj: str, rx: float, ry: float) -> str:
+    """CTE `gr` (i, j, x, y, s): columns of a grid of ni by nj (of ny, the raster's rows) and the ground there."""
+    return f"""{SQL_RASTER.format(value='z')}, pts AS (SELECT i, j, (i - {ni / 2}::DOUBLE) * {rx}::DOUBLE AS x, (j - ({nj}) / 2.0::DOUBLE) * {ry}::DOUBLE AS y
+  FROM generate_series(0, {ni - 1}) a(i), (SELECT rows AS ny_, unnest(generate_series(0, ({nj.replace('ny', 'rows')}) - 1)) AS j FROM (SELECT max(ny) AS rows FROM ras)) b, (SELECT max(ny) AS ny FROM ras) c), {SQL_LOOKUP},
+gr AS (SELECT i, j, x, y, (zs - 25) / 16 AS s FROM zz)"""
 
 
 def grid_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.regular(spark, surface, 8.0, 6.0, 2.0, 0.5, 0.25, 0.25).select(*grid_out())
+    own, ny = ground(spark, sf_dir)
+    return grids.regular(spark, own, 8.0, float(ny), 2.0, 0.5, 0.25, 0.25).select(*grid_out())
 
 
 QUERIES["grid_regular"] = grid_regular
-SQL["grid_regular"] = f"""WITH c AS ({_columns_sql(17, 25, 0.5, 0.25)}), p AS (SELECT *, k * 0.25::DOUBLE AS a, {_S} AS s FROM c, generate_series(0, 8) g(k))
+SQL["grid_regular"] = f"""WITH {_ground_sql(17, 'ny * 4 + 1', 0.5, 0.25)}, p AS (SELECT *, k * 0.25::DOUBLE AS a FROM gr, generate_series(0, 8) g(k))
 SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, s + a AS z, a AS depth FROM p)"""
 
 
 def grid_sw4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.sw4(spark, surface, 8.0, 8.0, {"top": (0.25, 1.0), "middle": (0.5, 3.0), "bottom": (1.0, 8.0)}).select(*grid_out())
+    own, ny = ground(spark, sf_dir)
+    return grids.sw4(spark, own, 8.0, float(ny), {"top": (0.25, 1.0), "middle": (0.5, 3.0), "bottom": (1.0, 8.0)}).select(*grid_out())
 
 
 def _sw4_sql(name: str, r: float, stride: int, top: float, bottom: float, first: bool) -> str:
     weight = f"least(greatest(1 - a / {bottom}::DOUBLE, 0), 1)" if first else "0.0::DOUBLE"
-    return f"SELECT '{name}' AS grid, {_OUT} FROM (SELECT *, a + w * s AS z, a + (w * s - s) AS depth FROM (SELECT *, {weight} AS w FROM (SELECT *, {_S} AS s, {top}::DOUBLE + k * {r}::DOUBLE AS a FROM ({_columns_sql(33, 33, 0.25, 0.25, stride)}), generate_series(0, {round((bottom - top) / r)}) g(k))))"
+    return f"""SELECT '{name}' AS grid, {_OUT} FROM (SELECT *, a + w * s AS z, a + (w * s - s) AS depth FROM (SELECT *, {weight} AS w
+  FROM (SELECT *, {top}::DOUBLE + k * {r}::DOUBLE AS a FROM (SELECT * FROM gr WHERE i % {stride} = 0 AND j % {stride} = 0), generate_series(0, {round((bottom - top) / r)}) g(k))))"""
 
 
 QUERIES["grid_sw4"] = grid_sw4
-SQL["grid_sw4"] = " UNION ALL ".join([_sw4_sql("top", 0.25, 1, 0.0, 1.0, True), _sw4_sql("middle", 0.5, 2, 1.0, 3.0, False), _sw4_sql("bottom", 1.0, 4, 3.0, 8.0, False)])
+_BLOCKS = [_sw4_sql("top", 0.25, 1, 0.0, 1.0, True), _sw4_sql("middle", 0.5, 2, 1.0, 3.0, False), _sw4_sql("bottom", 1.0, 4, 3.0, 8.0, False)]
+SQL["grid_sw4"] = f"WITH {_ground_sql(33, 'ny * 4 + 1', 0.25, 0.25)} {' UNION ALL '.join(_BLOCKS)}"
 
 
 def _emod3d(decay: str, weight: str, **options: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return grids.emod3d(spark, surface, 12, 10, 9, 0.5, decay, **options).select(*grid_out())
+        own, ny = ground(spark, sf_dir)
+        return grids.emod3d(spark, own, 12, 2 * ny, 9, 0.5, decay, **options).select(*grid_out())
 
-    sql = f"""WITH p AS (SELECT *, {_S} AS s, k * 0.5::DOUBLE AS a FROM ({_columns_sql(12, 10, 0.5, 0.5)}), generate_series(0, 8) g(k)), q AS (SELECT *, {weight} AS w FROM p)
+    sql = f"""WITH {_ground_sql(12, 'ny * 2', 0.5, 0.5)}, p AS (SELECT *, k * 0.5::DOUBLE AS a FROM gr, generate_series(0, 8) g(k)), q AS (SELECT *, {weight} AS w FROM p)
 SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, a + CASE WHEN w = 0 THEN 0 ELSE w * s END AS z, a + (CASE WHEN w = 0 THEN 0 ELSE w * s END - s) AS depth FROM q)"""
     return query, sql
 
 
-_E = "exp(g - b) * (exp(-2 * g) - 1) / (exp(-2 * b) - 1)"
 for _name, _args in {
     "grid_emod3d": ("squashed", "1.0::DOUBLE", {}), "decay_linear": ("linear", "least(greatest(1 - a / 3.0::DOUBLE, 0), 1)", {"length": 3.0}),
     "decay_tapered": ("tapered", "CASE WHEN -s > 0 THEN least(greatest(1 - a / (2.5::DOUBLE * -s), 0), 1) ELSE 1.0 END", {"ratio": 2.5}),
@@ -259,13 +272,14 @@ SELECT 'grid' AS grid, {_OUT} FROM (SELECT *, z - s AS depth, z - s AS a FROM (S
 
 
 def grid_fold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where levels cross, as the surface lies deeper than the taper is long."""
-    return grids.folded_levels(spark, -4.0, 2.0, [k * 0.25 for k in range(16)], "linear", length=1.0).select("surface", "level")
+    """Where levels cross, as the ground lies deeper than the taper is long."""
+    r = surfaces.value_range(raster(spark, sf_dir)[0]).first()
+    return grids.folded_levels(spark, (r.lowest - 25) / 16, (r.highest - 25) / 16, [k * 0.25 for k in range(16)], "linear", length=1.0).select("surface", "level")
 
 
 QUERIES["grid_fold_check"] = grid_fold_check
 _W = lambda a: f"least(greatest(1 - {a}, 0), 1)"
-SQL["grid_fold_check"] = f"""WITH s AS (SELECT -4.0::DOUBLE + i * (6.0::DOUBLE / 64) AS surface, k * 0.25::DOUBLE AS level FROM generate_series(0, 64) g(i), generate_series(0, 14) h(k))
+SQL["grid_fold_check"] = f"""WITH e AS (SELECT (min(p_size) - 25) / 16.0::DOUBLE AS low, (max(p_size) - 25) / 16.0::DOUBLE AS high FROM part), s AS (SELECT low + i * ((high - low) / 64) AS surface, k * 0.25::DOUBLE AS level FROM e, generate_series(0, 64) g(i), generate_series(0, 14) h(k))
 SELECT surface, level FROM s WHERE level + 0.25 + ({_W('(level + 0.25)')}) * surface - (level + ({_W('level')}) * surface) <= 0"""
 
 
