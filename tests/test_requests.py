@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tetrafield.operators import meshes
 from tetrafield.plans import config

@@ -68,7 +68,7 @@ def layer_of(depth: Column, layers: Column) -> Column:
 
 
 def spread_bits(c: Column) -> Column:
-    """The low 21 bits with two zeros between each."""
+    """The low 21 bits with two zeros between each. Shifts and masks are the customary ones: fixed values."""
     x = c.cast("long").bitwiseAND(0x1FFFFF)
     for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
         x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(mask)

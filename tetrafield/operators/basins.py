@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import coastline, meshes, surfaces, tin
 
-PAD = 50.0  # metres that a depth mesh's bounds reach beyond surface and depth
+PAD = 50.0  # metres, fixed value, that a depth mesh's bounds reach beyond surface and depth
 
 
 def outline_segments(outlines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SNAP = 1e-9  # of the extent: vertices nearer than this are one
+SNAP = 1e-9  # of the extent, fixed value: vertices nearer than this are one
 BLOCK = 2_000_000  # pairs of a sample and a triangle that are looked at together
 
 

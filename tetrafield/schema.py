@@ -36,11 +36,6 @@ def quality(**values: Column | float) -> Column:
     return F.struct(*((values[c] if isinstance(values.get(c), Column) else F.lit(float(values.get(c, 0.0)))).cast("double").alias(c) for c in COMPONENTS))
 
 
-def quality_columns(struct: str | Column, suffix: str = "") -> list[Column]:
-    s = F.col(struct) if isinstance(struct, str) else struct
-    return [s[c].alias(c + suffix) for c in COMPONENTS]
-
-
 def packed(prefix: str = "") -> Column:
     """The six flat columns as one struct."""
     return F.struct(*(F.col(prefix + c).cast("double").alias(c) for c in COMPONENTS))
