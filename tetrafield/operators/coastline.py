@@ -81,7 +81,8 @@ def signed_distance(points: DataFrame, lines: DataFrame, of: Extent | None = Non
     bands = lines.withColumn("_band", F.explode(F.sequence(F.floor((F.least("ay", "by") - of.y) / size), F.floor((F.greatest("ay", "by") - of.y) / size))))
     odd = places.withColumn("_band", F.floor((y - of.y) / size)).join(bands, "_band").filter(crosses(x, y)).groupBy("x", "y").agg((F.count(F.lit(1)) % 2).alias("_odd"))
     found = nearest(places, lines, of, size).join(odd, ["x", "y"], "left")
-    signed = found.select(x.alias("_x"), y.alias("_y"), (F.sqrt("_d") * F.when(F.col("_odd") == 1, -1.0).otherwise(1.0)).alias(name))
+    # a row for each distinct place, kept: layers ask for their points at several positions, and each asks for this again
+    signed = found.select(x.alias("_x"), y.alias("_y"), (F.sqrt("_d") * F.when(F.col("_odd") == 1, -1.0).otherwise(1.0)).alias(name)).persist()
     return points.join(signed, (x == F.col("_x")) & (y == F.col("_y")), "left").select(*points.columns, name)
 
 
