@@ -38,6 +38,12 @@ def main(argv: list[str] | None = None) -> int:
     surface.add_argument("--value", default="value")
     surface.add_argument("--spacing", type=float)
     surface.add_argument("--flip", action="store_true", help="turn elevations into depths")
+    convert = commands.add_parser("convert-tiff", help="a tiled surface of a TIFF's band")
+    convert.add_argument("tiff")
+    convert.add_argument("band", type=int)
+    convert.add_argument("output")
+    convert.add_argument("--downsample", type=int, default=1, help="means of blocks of this many pixels along each axis")
+    convert.add_argument("--flip", action="store_true", help="turn elevations into depths")
     basin = commands.add_parser("basin", help="meshes of basins between two surfaces")
     basin.add_argument("outlines", help="GeoJSON")
     basin.add_argument("surfaces", help="Parquet table of nodes x, y and surfaces")
@@ -72,6 +78,8 @@ def main(argv: list[str] | None = None) -> int:
         formats.write_mesh(*construction.tomography_model(spark, args.table, args.name, frame), args.output)
     elif args.command == "surface":
         construction.upright_surface(spark, args.raster, args.value, args.spacing, args.flip).write.mode("overwrite").parquet(args.output)
+    elif args.command == "convert-tiff":
+        construction.convert_tiff(spark, args.tiff, args.output, args.band, args.downsample, args.flip)
     elif args.command == "basin":
         profile = construction.model_of(spark, args.model, args.layer_bottoms)
         made = construction.basin_model(spark, args.outlines, args.surfaces, args.bottom, profile, args.name, args.priority, args.top, args.ground, args.tolerance, args.max_edge, args.least_area)

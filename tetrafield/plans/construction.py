@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, synthetic
 from ..functions.crs import TransverseMercator
-from ..operators import basins, meshes, surfaces
+from ..operators import basins, meshes, surfaces, tiles
 from ..schema import DEPTH, DEPTH_PROFILE, ELEVATION, INTERPOLATE
-from ..sources import tables
+from ..sources import tables, tiff
 
 Mesh = tuple[DataFrame, DataFrame, DataFrame]
 PROFILE_TYPE = "array<struct<top:double,rho:double,vp:double,vs:double,qp:double,qs:double>>"
@@ -87,6 +88,32 @@ def upright_surface(spark: SparkSession, path: str, value: str, spacing: float |
     return _projected(spark, nodes, spacing)
 
 
+def convert_tiff(spark: SparkSession, path: str, output: str, band: int = 1, downsample: int = 1, flip: bool = False, tile: int = tiles.TILE) -> tiles.Tiled:
+    """A band of a TIFF as a tiled surface: cut to the box of its valid pixels, then means of whole blocks from the box's first pixel on.
+
+    The file's place in the world, turned or not, becomes the surface's frame. A band without a valid pixel is an error.
+    """
+    if downsample < 1:
+        raise ValueError("blocks have one pixel at least along each axis")
+    raster = tiff.about(path)
+    z = F.col(f"b{band}")
+    pixels = tiff.read(spark, path, [band])
+    r = pixels.filter(z.isNotNull()).agg(*(f(a) for a in ("ix", "iy") for f in (F.min, F.max))).first()
+    if r[0] is None:
+        raise ValueError(f"{path}: band {band} has no valid pixel")
+    inside = pixels.filter((F.col("ix") >= r[0]) & (F.col("ix") <= r[1]) & (F.col("iy") >= r[2]) & (F.col("iy") <= r[3]))
+    own = inside.select((F.col("ix") - r[0]).alias("ix"), (F.col("iy") - r[2]).alias("iy"), (-z if flip else z).alias("z"))
+    shape = (r[1] - r[0] + 1, r[3] - r[2] + 1)
+    blocks = own if downsample == 1 else surfaces.coarsen(own, downsample, shape)
+    world = np.asarray(raster.to_world)
+    middle = (downsample - 1) / 2
+    linear, place = world[:, :2] * downsample, world @ (r[0] + middle, r[2] + middle, 1.0)
+    turned = np.linalg.inv(linear)
+    frame = np.column_stack([turned, -turned @ place])
+    tiles.write(blocks, output, (shape[0] // downsample, shape[1] // downsample), frame=frame.tolist(), tile=tile)
+    return tiles.read(spark, output)
+
+
 def _projected(spark: SparkSession, nodes: DataFrame, spacing: float | None) -> DataFrame:
     """nodes: (lon, lat, z) of a full raster in degrees."""
     shape = nodes.agg(*(f(a).alias(f"{n}_{a}") for a in ("lon", "lat") for f, n in ((F.min, "low"), (F.max, "high"), (F.countDistinct, "n")))).first()

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import basins, coastline, meshes, tiles
 from ..schema import COMPONENTS
+from ..plans.construction import convert_tiff
 from ..sinks import binary, formats
-from ..sources import tables
+from ..sinks import tiff as tiff_sink
+from ..sources import tables, tiff
 from . import construction, rasters, world
 
 QUERIES, SQL = {}, {}
@@ -265,3 +267,38 @@ SQL["emod3d_bytes"] = """WITH p AS (SELECT p_partkey - min(p_partkey) OVER () AS
 f AS (SELECT r.n AS n, p_size, p_retailprice FROM (SELECT unnest(generate_series(0, (SELECT (count(*) + 19) // 20 * 20 - 1 FROM part))) AS n) r LEFT JOIN p ON p.n = r.n)
 SELECT (n // 20)::BIGINT AS i, (n // 4 % 5)::BIGINT AS j, (n % 4)::BIGINT AS k, round(coalesce((p_size * 64.0::DOUBLE + 1024) / 1000, 0)::FLOAT::DOUBLE, 6) AS rho,
        round(coalesce((p_size * 32.0::DOUBLE + 2048) / 1000, 0)::FLOAT::DOUBLE, 6) AS vp, round(coalesce(p_retailprice / 1000, 0)::FLOAT::DOUBLE, 6) AS vs FROM f"""
+
+
+TIFF_PLACE = ((0.5, -0.25, 100.0), (-0.25, -0.5, 200.0))  # from a pixel's column and row to the world
+
+
+def _tiff(spark: SparkSession, sf_dir: str) -> str:
+    """The raster of parts as a deflated file of two bands in tiles of 16: sizes with holes, and sizes by column."""
+    nodes, shape = rasters.raster(spark, sf_dir, holes=True)
+    path = f"{formats.scratch(spark, 'tiff')}/parts.tif"
+    tiff_sink.write(nodes.withColumn("w", F.col("z") * 64 + F.col("ix")), path, shape, ("z", "w"), TIFF_PLACE, tile=16)
+    return path
+
+
+def tiff_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of both bands in a range of columns and rows: tiles outside aren't read."""
+    rows = tiff.read(spark, _tiff(spark, sf_dir), [2, 1]).filter("ix >= 9 AND ix < 31 AND iy > 2")
+    return rows.select("ix", "iy", F.col("b1").alias("z"), F.col("b2").alias("w"))
+
+
+def tiff_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's first band as a surface of depths: means of blocks of two by two pixels, with their places."""
+    path = _tiff(spark, sf_dir)
+    own = convert_tiff(spark, path, formats.scratch(spark, "converted"), 1, 2, True, tile=8)
+    return own.window().filter("z IS NOT NULL").select("ix", "iy", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+QUERIES |= {"tiff_window": tiff_window, "tiff_surface": tiff_surface}
+_TIFF = rasters.SQL_RASTER.format(value="CASE WHEN key % 11 != 0 THEN z END")
+SQL["tiff_window"] = f"""WITH {_TIFF}, px AS (SELECT n % 40 AS ix, n // 40 AS iy FROM (SELECT unnest(generate_series(0, (SELECT max(ny) * 40 - 1 FROM ras))) AS n))
+SELECT px.ix::BIGINT AS ix, px.iy::BIGINT AS iy, v AS z, v * 64 + px.ix AS w FROM px LEFT JOIN ras ON ras.ix = px.ix AND ras.iy = px.iy WHERE px.ix >= 9 AND px.ix < 31 AND px.iy > 2"""
+SQL["tiff_surface"] = f"""WITH {_TIFF}, e AS (SELECT min(ix) AS x0, min(iy) AS y0, max(ix) - min(ix) + 1 AS nx, max(iy) - min(iy) + 1 AS nz FROM ras WHERE v IS NOT NULL),
+b AS (SELECT (ix - x0) // 2 AS bx, (iy - y0) // 2 AS bz, avg(-v) AS z, any_value(x0) AS x0, any_value(y0) AS y0 FROM ras, e
+  WHERE ix >= x0 AND iy >= y0 AND (ix - x0) // 2 < nx // 2 AND (iy - y0) // 2 < nz // 2 GROUP BY ALL HAVING z IS NOT NULL),
+p AS (SELECT *, x0 + 2 * bx + 0.5::DOUBLE AS px, y0 + 2 * bz + 0.5::DOUBLE AS pz FROM b)
+SELECT bx::BIGINT AS ix, bz::BIGINT AS iy, round(100 + 0.5::DOUBLE * px - 0.25::DOUBLE * pz, 6) AS x, round(200 - 0.25::DOUBLE * px - 0.5::DOUBLE * pz, 6) AS y, round(z, 6) AS z FROM p"""
