@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grids
 from ..schema import COMPONENTS
-from . import binary
+from . import arrays, binary
 
 PLACE = ("i", "j", "k", "x", "y", "z", "depth", "nominal_depth")
 QUANTUM = 0.5  # of coordinates, where values are quantised: an error of a quarter at most
@@ -111,6 +111,12 @@ def to_emod3d(model: DataFrame, path: str) -> None:
     binary.write(model, path)
 
 
+@register("zarr", (".zarr",), quantises=True)
+def to_zarr(model: DataFrame, path: str) -> None:
+    """Chunked arrays by grid, a file for each chunk; executors write them."""
+    arrays.write(model, path)
+
+
 @register("sfile", (".sfile",))
 def to_sfile(model: DataFrame, path: str, solver: str = "physical") -> None:
     """The solver's block layout as tables: j before i, materials by grid, interfaces by column, and attributes as JSON.

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..sources import tiff as form
+from .assemble import assembled
 
 NAME = "tetrafield_tiff_sink"
 TILE = 256
@@ -110,36 +111,14 @@ class TiffWriter(DataSourceArrowWriter):
             f.truncate(self.start + plan.tiles * plan.slot)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Tiles:
-        p, done, number, held, seen = self.plan, Tiles([], []), None, None, None
+        p, done = self.plan, Tiles([], [])
         f = os.open(self.staging, os.O_WRONLY)
-
-        def close() -> None:
-            raw = held.tobytes()
-            raw = zlib.compress(raw) if p.deflated else raw
-            os.pwrite(f, raw, self.start + number * p.slot)
-            done.numbers.append(number)
-            done.lengths.append(len(raw))
-
         try:
-            for batch in iterator:
-                tile, at = batch.column("tile").to_numpy(), batch.column("at").to_numpy()
-                values = [batch.column(2 + b).to_numpy(zero_copy_only=False) for b in range(p.bands)]
-                for run in np.split(np.arange(len(tile)), np.flatnonzero(np.diff(tile)) + 1):
-                    if not len(run):
-                        continue
-                    if tile[run[0]] != number:
-                        if number is not None:
-                            close()
-                        number = int(tile[run[0]])
-                        held, seen = np.full((p.tile * p.tile, p.bands), np.nan, "<" + p.kind), np.zeros(p.tile * p.tile, bool)
-                    places = at[run]
-                    if seen[places].any() or len(np.unique(places)) < len(places):
-                        raise ValueError("two rows have the same place in the raster")
-                    seen[places] = True
-                    for b, own in enumerate(values):
-                        held[places, b] = own[run]
-            if number is not None:
-                close()
+            for number, values in assembled(iterator, lambda _: p.tile * p.tile, "<" + p.kind):
+                raw = zlib.compress(values.tobytes()) if p.deflated else values.tobytes()
+                os.pwrite(f, raw, self.start + number * p.slot)
+                done.numbers.append(number)
+                done.lengths.append(len(raw))
         finally:
             os.fsync(f)
             os.close(f)

@@ -11,7 +11,6 @@ where they lie apart. The path has to be mounted by all executors.
 
 from __future__ import annotations
 
-import math
 import os
 import struct
 import zlib
@@ -21,7 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+from . import ranges
 
 NAME = "tetrafield_tiff"
 PART_BYTES = 64 << 20  # of values that a task reads
@@ -219,18 +220,7 @@ class TiffReader(DataSourceReader):
         self.ranges = {"ix": [0, self.raster.shape[0]], "iy": [0, self.raster.shape[1]]}  # ends excluded
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for own in filters:
-            name, value = ".".join(getattr(own, "attribute", ())), getattr(own, "value", None)
-            if name not in self.ranges or not isinstance(value, (int, float)) or not math.isfinite(value):
-                yield own
-                continue
-            r = self.ranges[name]
-            if isinstance(own, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                r[0] = max(r[0], math.floor(value) + 1 if isinstance(own, GreaterThan) else math.ceil(value))
-            if isinstance(own, (LessThan, LessThanOrEqual, EqualTo)):
-                r[1] = min(r[1], math.ceil(value) if isinstance(own, LessThan) else math.floor(value) + 1)
-            if not isinstance(own, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, EqualTo)):
-                yield own
+        yield from ranges.taken(filters, self.ranges)
 
     def _blocks(self) -> tuple[int, int, int, int]:
         """First row and column of blocks in the ranges, and how many of each."""
