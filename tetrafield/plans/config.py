@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import crs
 from ..operators import grids, layers, locate, meshes, tiles
 from ..sources import tables
 
@@ -47,7 +48,7 @@ METADATA_TEXTS = {
 }
 METADATA_LISTS = {"keywords", "authors", "references"}
 METADATA = METADATA_TEXTS | METADATA_LISTS
-CRS = ("EPSG:2193",)  # the projection that functions.crs has
+WORLD = "EPSG:2193"  # where no system is named
 LONGITUDES, LATITUDES = (-180.0, 180.0), (-90.0, 90.0)
 _CLASSES = {"query": layers.Query, "coastline": layers.Coastline, "ely": layers.Ely, "offshore": layers.Offshore, "clamp": layers.Clamp, "backus": layers.Backus, "constant": layers.Constant}
 _GRID_BUILDERS: dict[str, Callable] = {}
@@ -89,8 +90,10 @@ class Request:
                 given = given["crs"]
             if given is not None:
                 self.grid = self.grid | {key: crs_name(given)}
-            if self.grid.get(key) not in (None, *CRS, *(("EPSG:4326",) if key == "sites_crs" else ())):
-                raise ConfigError(f"grid.{key}: only {CRS[0]} is known{', and EPSG:4326 for sites' if key == 'sites_crs' else ''}")
+                if key == "sites_crs" and crs.number(given) not in crs.DEGREES:
+                    raise ConfigError(f"grid.sites_crs: sites come in degrees, which {crs_name(given)} isn't known for; projected ones go through grids.borehole")
+                if key == "projection":
+                    _projection("grid.projection", given)
         for n, layer in enumerate(self.layers):
             _check(f"layer {n}", layer, LAYERS)
             for where in ("basin_depth", "model"):
@@ -145,7 +148,17 @@ def _metadata(given: Any) -> None:
 
 def crs_name(given: Any) -> str:
     """A reference system as text, from that or from its number."""
-    return f"EPSG:{given}" if isinstance(given, int) and not isinstance(given, bool) else str(given).upper()
+    try:
+        return f"EPSG:{crs.number(given)}"
+    except ValueError as e:
+        raise ConfigError(str(e)) from e
+
+
+def _projection(where: str, given: Any) -> crs.TransverseMercator:
+    try:
+        return crs.of(given)
+    except ValueError as e:
+        raise ConfigError(f"{where}: {e}") from e
 
 
 def _place(where: str, lon: Any, lat: Any) -> None:
@@ -187,17 +200,15 @@ def _orientation(o: dict[str, Any]) -> None:
             raise ConfigError(f"grid.orientation.{key} must be a number")
     if "origin_lon" in o:
         _place("grid.orientation", o["origin_lon"], o["origin_lat"])
-    if crs_name(o.get("crs", CRS[0])) not in CRS:
-        raise ConfigError(f"grid.orientation.crs: only {CRS[0]} is known")
+    _projection("grid.orientation.crs", o.get("crs", WORLD))
 
 
 def frame_of(orientation: dict[str, Any]) -> grids.Frame:
     """The frame of a request: an origin in degrees is projected, and its azimuth, which is from true north, turned to grid north."""
-    from ..functions.crs import TransverseMercator
-
     o, azimuth = orientation, float(orientation.get("azimuth", 0.0))
     if "origin_lon" in o:
-        return grids.Frame(*TransverseMercator().point(o["origin_lon"], o["origin_lat"]), grids.grid_azimuth(azimuth, o["origin_lon"], o["origin_lat"]))
+        system, place = _projection("grid.orientation.crs", o.get("crs", WORLD)), (o["origin_lon"], o["origin_lat"])
+        return grids.Frame(*system.point(*place), grids.grid_azimuth(azimuth, *place, system))
     return grids.Frame(o.get("origin_x", 0.0), o.get("origin_y", 0.0), azimuth)
 
 
@@ -251,12 +262,8 @@ def build_points(spark: SparkSession, request: Request, surface: grids.Surface)
         case "emod3d":
             return grids.emod3d(spark, surface, g["nx"], g["ny"], g["nz"], g["resolution"], kind, frame, **decay)
         case "borehole":
-            from ..functions.crs import TransverseMercator
-
             sites = tables.inline_sites(spark, g["sites"]) if isinstance(g["sites"], list) else tables.read_sites(spark, g["sites"])
-            if g.get("sites_crs", "EPSG:4326") in CRS:  # eastings and northings under the names of degrees
-                raise ConfigError("sites come in degrees; projected ones go through grids.borehole")
-            x, y = TransverseMercator().forward(F.col("longitude"), F.col("latitude"))
+            x, y = _projection("grid.projection", g.get("projection", WORLD)).forward(F.col("longitude"), F.col("latitude"))
             labels = [c for c in sites.columns if c not in ("i", "longitude", "latitude")] if g.get("keep_extra_columns", True) else []
             return grids.borehole(sites.withColumns({"x": x, "y": y}), surface, g["depth"], g["resolution_z"], labels)
     return _GRID_BUILDERS[g["type"]](spark, g, surface)

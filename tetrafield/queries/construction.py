@@ -184,20 +184,38 @@ def crs_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
 
 
-def _tm_sql() -> str:
+def _tm_sql(t: crs.TransverseMercator, places: str, lon0: str, north: str) -> str:
+    """CTE `tm`: the columns of `places` (lon, lat, ...) with e and n."""
     import math
 
-    t = crs.TransverseMercator()
     n, radius, alpha, _ = t._series()
     e = 2 * math.sqrt(n) / (1 + n)
     east = " + ".join(["eta", *(f"{a!r}::DOUBLE * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))])
-    north = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))])
+    up = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))])
     k = t.k0 * radius
-    return f"""WITH p AS (SELECT s_suppkey, radians(166.0::DOUBLE + s_suppkey % 32 / 2.0::DOUBLE - {t.lon0}) AS dl, radians(-47.0::DOUBLE + s_suppkey // 32 % 24 / 2.0::DOUBLE) AS phi FROM supplier),
-q AS (SELECT *, sinh(atanh(sin(phi)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(phi))) AS t FROM p),
-r AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM q)
-SELECT s_suppkey, round({t.easting0} + {k!r}::DOUBLE * ({east}), 3) AS easting, round({t.northing0} + {k!r}::DOUBLE * ({north}), 3) AS northing FROM r"""
+    return f"""tm1 AS (SELECT *, radians(lon - ({lon0})) AS dl, radians(lat) AS phi FROM {places}),
+tm2 AS (SELECT *, sinh(atanh(sin(phi)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(phi))) AS t FROM tm1),
+tm3 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM tm2),
+tm AS (SELECT *, {t.easting0} + {k!r}::DOUBLE * ({east}) AS e, {north} + {k!r}::DOUBLE * ({up}) AS n FROM tm3)"""
 
 
 QUERIES["crs_forward"] = crs_forward
-SQL["crs_forward"] = _tm_sql()
+SQL["crs_forward"] = f"""WITH p AS (SELECT s_suppkey, 166.0::DOUBLE + s_suppkey % 32 / 2.0::DOUBLE AS lon, -47.0::DOUBLE + s_suppkey // 32 % 24 / 2.0::DOUBLE AS lat FROM supplier),
+{_tm_sql(crs.NZTM, "p", f"{crs.NZTM.lon0}", f"{crs.NZTM.northing0}")}
+SELECT s_suppkey, round(e, 3) AS easting, round(n, 3) AS northing FROM tm"""
+
+
+def crs_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers all over the world, each projected in the zone of its place, and taken back to degrees by the zone's number."""
+    key = F.col("c_custkey")
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (key * 37 % 1440 / 4 - 179.9375).alias("lon"), (key * 11 % 320 / 2 - 79.875).alias("lat"))
+    code, east, north = crs.utm(F.col("lon"), F.col("lat"))
+    made = own.withColumns({"code": code, "easting": east, "northing": north})
+    lon, lat = crs.from_utm(F.col("code"), F.col("easting"), F.col("northing"))
+    return made.select("c_custkey", "code", *(F.round(c, 3).alias(c) for c in ("easting", "northing")), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+QUERIES["crs_zones"] = crs_zones
+SQL["crs_zones"] = f"""WITH p AS (SELECT c_custkey, c_custkey * 37 % 1440 / 4.0::DOUBLE - 179.9375::DOUBLE AS lon, c_custkey * 11 % 320 / 2.0::DOUBLE - 79.875::DOUBLE AS lat FROM customer),
+z AS (SELECT *, floor((lon + 180) / 6)::BIGINT + 1 AS zone FROM p), {_tm_sql(crs.WGS84, "z", "6 * zone - 183", "CASE WHEN lat < 0 THEN 10000000.0::DOUBLE ELSE 0.0::DOUBLE END")}
+SELECT c_custkey, zone + CASE WHEN lat < 0 THEN 32700 ELSE 32600 END AS code, round(e, 3) AS easting, round(n, 3) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat FROM tm"""
