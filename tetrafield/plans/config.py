@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs
-from ..operators import grids, layers, locate, meshes, tiles
+from ..operators import footprints, grids, layers, locate, meshes, tiles
 from ..sources import tables
 
 
@@ -318,30 +319,25 @@ def resources_of(spark: SparkSession, request: Request) -> dict[str, Any]:
     return found
 
 
-Box = tuple[tuple[float, float], tuple[float, float]]
-
-
-def load_models(spark: SparkSession, paths: list[str], domain: Box | None = None) -> locate.Index:
-    """The index of checked meshes. Those whose bounds miss the domain (ranges of x and y) are left out."""
-    models, vertices, tets = tables.read_meshes(spark, paths)
+def load_models(spark: SparkSession, paths: list[str], domain: footprints.Outline | None = None) -> locate.Index:
+    """The index of checked meshes. Those whose footprints miss the domain, a convex outline, are left out and not read."""
+    models, vertices, tets = tables.read_meshes(spark, paths, (lambda m: footprints.prune(m, domain)) if domain else None)
+    if domain and models.isEmpty():
+        raise ConfigError(f"none of the {len(paths)} models meets the request's points, which lie between {', '.join(f'({x:g}, {y:g})' for x, y in domain)}")
     meshes.validate(models, tets)
-    if domain:
-        bounded = models if "minx" in models.columns else models.join(meshes.bounds(vertices, 0.01), "model_id", "left")
-        models = layers.prune(bounded, *domain)
-        if models.isEmpty():
-            raise ConfigError(f"none of the {len(paths)} models meets the request's points, which lie in x {domain[0]}, y {domain[1]}")
-        vertices, tets = (t.join(F.broadcast(models.select("model_id")), "model_id", "left_semi") for t in (vertices, tets))  # a row for each mesh
     return locate.build_index(models, vertices, tets)
 
 
-def looked_at(points: DataFrame) -> tuple[Box | None, tuple[float, float] | None]:
-    """The ranges of x and y, and of the surface, from the first level of each column: None where there is none."""
-    ground = F.col("z") - F.col("depth")
-    r = points.filter("k = 0").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min(ground), F.max(ground)).first()
-    return (None if None in r[:4] else ((r[0], r[1]), (r[2], r[3]))), (None if None in r[4:] else (r[4], r[5]))
+def looked_at(points: DataFrame, frame: grids.Frame) -> tuple[footprints.Outline | None, tuple[float, float] | None]:
+    """The corners of the box, along the frame's axes, around the points, and the range of the surface, from the first level of each column: None where there is none."""
+    ground, turn = F.col("z") - F.col("depth"), frame.matrix[:2, :2]
+    u, v = (F.col("x") * float(a) + F.col("y") * float(b) for a, b in np.linalg.inv(turn))
+    r = points.filter("k = 0").agg(F.min(u), F.max(u), F.min(v), F.max(v), F.min(ground), F.max(ground)).first()
+    box = None if None in r[:4] else [tuple(map(float, turn @ p)) for p in ((r[0], r[2]), (r[1], r[2]), (r[1], r[3]), (r[0], r[3]))]
+    return box, (None if None in r[4:] else (r[4], r[5]))
 
 
-def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any], domain: Box | None = None) -> layers.Layer:
+def build_chain(spark: SparkSession, request: Request, resources: dict[str, Any], domain: footprints.Outline | None = None) -> layers.Layer:
     """resources: named surfaces and segment tables that layers refer to; domain: where the points are, so that models elsewhere aren't indexed."""
 
     def make(x: dict[str, Any], below: layers.Layer) -> layers.Layer:
@@ -377,7 +373,7 @@ def run(spark: SparkSession, request: Request, surface: grids.Surface | None = N
     points = build_points(spark, request, surface)
     domain = None
     if any(x["type"] == "query" for x in request.layers) or request.grid["type"] in ("sw4", "emod3d"):
-        domain, ground = looked_at(points)
+        domain, ground = looked_at(points, frame_of(request.grid.get("orientation", {})))
         if ground is not None:
             check_levels(spark, request, *ground)
     return layers.evaluate(build_chain(spark, request, resources, domain), points)

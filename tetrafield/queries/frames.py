@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import layers, meshes, sites, surfaces
+from ..operators import footprints, layers, meshes, sites, surfaces
 from ..sources import tables
 from . import chains, points, rasters
 
@@ -200,6 +200,32 @@ SQL["models_in_domain"] = """WITH m AS (SELECT s_suppkey AS model_id, CASE WHEN
 SELECT * FROM m WHERE minx IS NULL OR (minx <= 20 AND minx + 3 >= 10 AND miny <= 3 AND miny + 0.5 >= 1.5)"""
 
 
+TURNED = [(30.0, 5.0), (70.0, 30.0), (60.0, 46.0), (20.0, 21.0)]  # a rectangle across the axes
+
+
+def models_in_turned_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of three corners each whose footprints meet a turned rectangle; many whose boxes meet its own box don't."""
+    k = F.col("s_suppkey")
+    x, y, s = k * 7 % 101 * 1.0, k * 3 % 53 * 1.0, k % 6 + 0.5
+    corner = F.explode(F.array(*(F.struct((x + a * s).alias("x"), (y + b * s).alias("y")) for a, b in ((0, 0), (1, 0), (0, 1))))).alias("p")
+    vertices = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.cast("long").alias("model_id"), corner).select("model_id", "p.*")
+    return footprints.prune(footprints.footprints(vertices, pad=0.0), TURNED).select("model_id", F.round(F.col("footprint")[0], 6).alias("east"), F.round(F.col("footprint")[4], 6).alias("north"))
+
+
+QUERIES["models_in_turned_domain"] = models_in_turned_domain
+
+
+def _overlap_sql(u: float, v: float) -> str:
+    """Whether the shadows of a model and of the rectangle on an axis have a point in common."""
+    own, at = [f"({x}) * {u!r}::DOUBLE + ({y}) * {v!r}::DOUBLE" for x, y in (("x", "y"), ("x + s", "y"), ("x", "y + s"))], [a * u + b * v for a, b in TURNED]
+    return f"greatest({', '.join(own)}) >= {min(at)!r}::DOUBLE AND least({', '.join(own)}) <= {max(at)!r}::DOUBLE"
+
+
+# The axes across a model's three sides and along the rectangle's two.
+SQL["models_in_turned_domain"] = f"""WITH m AS (SELECT s_suppkey::BIGINT AS model_id, (s_suppkey * 7 % 101)::DOUBLE AS x, (s_suppkey * 3 % 53)::DOUBLE AS y, s_suppkey % 6 + 0.5::DOUBLE AS s FROM supplier)
+SELECT model_id, round(x + s, 6) AS east, round(y + s, 6) AS north FROM m WHERE {" AND ".join(_overlap_sql(u, v) for u, v in ((1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (40.0, 25.0), (-10.0, 16.0)))}"""
+
+
 def uniform_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rock in layers that end at depths from a table of a few dozen rows."""
     bottoms = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select(((F.col("n_nationkey") + 1) * 100.0).alias("b")).orderBy("b").collect()]

@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grids
+from ..operators import footprints, grids
 from ..schema import COMPONENTS
 from . import arrays, binary
 
@@ -138,5 +138,7 @@ def append(model: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
 
 
 def write_mesh(models: DataFrame, vertices: DataFrame, tets: DataFrame, path: str) -> None:
+    """With each model's footprint, so that who looks for models in a place need not read their vertices."""
+    models = models.drop("footprint").join(footprints.footprints(vertices), "model_id", "left")
     for name, table in (("models", models), ("vertices", vertices), ("tets", tets)):
         table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import not_nan
+from ..operators import footprints
 
 MESH_TABLES = ("models", "vertices", "tets")
 
@@ -19,17 +21,34 @@ def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return tuple(spark.read.parquet(f"{path}/{t}") for t in MESH_TABLES)
 
 
-def read_meshes(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Several meshes as one set; model numbers are dealt anew in the order of the paths, then of their own numbers."""
-    out, start = None, 0
+def read_meshes(spark: SparkSession, paths: Sequence[str], chosen: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Several meshes as one set; model numbers are dealt anew in the order of the paths, then of their own numbers.
+
+    `chosen` picks rows of models (with `footprint`, found from the vertices where a mesh has none stored). Of meshes without a
+    chosen model nothing else is read.
+    """
+    parts, start = [], 0
     for p in sorted(set(map(str, paths))):
-        own = read_mesh(spark, p)
-        moved = tuple(t.withColumn("model_id", (F.col("model_id") + start).cast("int")) for t in own)
-        start += (own[0].agg(F.max("model_id")).first()[0] or 0) + 1
-        out = moved if out is None else tuple(a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, moved))
-    if out is None:
+        models, vertices, tets = read_mesh(spark, p)
+        if chosen is not None and "footprint" not in models.columns:
+            models = models.join(footprints.footprints(vertices), "model_id", "left")
+        r = models.agg(F.max("model_id")).first()[0]
+        moved = tuple(t.withColumn("model_id", (F.col("model_id") + start).cast("int")) for t in (models, vertices, tets))
+        parts.append((moved[0].withColumn("_part", F.lit(len(parts))), *moved[1:]))
+        start += (r or 0) + 1
+    if not parts:
         raise FileNotFoundError("no meshes given")
-    return out
+    models = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p[0] for p in parts))
+    if chosen is None:
+        kept = range(len(parts))
+    else:
+        models = chosen(models)
+        kept = sorted(r[0] for r in models.select("_part").distinct().collect()) or [0]  # a number for each path at most
+    vertices, tets = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (parts[k][n] for k in kept)) for n in (1, 2))
+    if chosen is not None:
+        own = F.broadcast(models.select("model_id"))  # a row for each mesh
+        vertices, tets = (t.join(own, "model_id", "left_semi") for t in (vertices, tets))
+    return models.drop("_part"), vertices, tets
 
 
 def read_sites(spark: SparkSession, path: str, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
