@@ -33,7 +33,7 @@ def test_from_inputs_to_a_model(spark, tmp_path, monkeypatch):
     world = tmp_path / "world"
     assert cli.main(["synthetic", str(world), "--spacing", "2000"]) == 0
     assert cli.main(["tomography", f"{world}/tomography.txt", f"{world}/meshes/tomography.mesh"]) == 0
-    assert cli.main(["basin", f"{world}/gully.geojson", f"{world}/basins.parquet", f"{world}/meshes/gully.mesh", "--name", "gully", "--bottom", "gully", "--ground", "ground", "--model", f"{world}/profile.txt", "--tolerance", "60", "--max-edge", "6000"]) == 0
+    assert cli.main(["basin", f"{world}/gully.geojson", f"{world}/basins.parquet", f"{world}/meshes/gully.mesh", "--name", "gully", "--bottom", "gully", "--ground", "ground", "--model", f"{world}/profile.txt", "--tolerance", "60", "--max-edge", "6000", "--no-pad-top"]) == 0
     assert cli.main(["validate", f"{world}/meshes/tomography.mesh", f"{world}/meshes/gully.mesh"]) == 0
     assert cli.main(["validate", f"{world}/meshes/gully.mesh", "--least-volume", "1e18"]) == 1
     models, vertices, _ = tables.read_mesh(spark, f"{world}/meshes/gully.mesh")

@@ -8,8 +8,10 @@ import math
 from pyspark.sql import SparkSession
 
 from .functions import crs, numeric
+from .operators import basins
 from .plans import config, construction, plugins
 from .sinks import formats
+from .sources import tables
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -44,17 +46,20 @@ def main(argv: list[str] | None = None) -> int:
     convert.add_argument("output")
     convert.add_argument("--downsample", type=int, default=1, help="means of blocks of this many pixels along each axis")
     convert.add_argument("--flip", action="store_true", help="turn elevations into depths")
-    basin = commands.add_parser("basin", help="meshes of basins between two surfaces")
+    basin = commands.add_parser("basin", help="meshes of basins of one layer or several between surfaces")
     basin.add_argument("outlines", help="GeoJSON")
     basin.add_argument("surfaces", help="Parquet table of nodes x, y and surfaces")
     basin.add_argument("output")
-    basin.add_argument("--bottom", required=True)
+    basin.add_argument("--bottom", required=True, nargs="+", help="the surface under each layer, from the top down")
     basin.add_argument("--top")
     basin.add_argument("--ground")
-    basin.add_argument("--model", required=True, help="a 1-D model's file, or rho=..,vp=..,vs=..,qp=..,qs=..")
+    basin.add_argument("--model", required=True, nargs="+", help="of each layer: a 1-D model's file, or rho=..,vp=..,vs=..,qp=..,qs=..")
     basin.add_argument("--layer-bottoms", type=float, nargs="+")
     basin.add_argument("--name", default="basin")
-    basin.add_argument("--priority", type=int, default=10)
+    basin.add_argument("--priority", type=int, nargs="+", default=[10], help="of each layer, or of all")
+    basin.add_argument("--smoothing", type=float, default=0.0, help="width in metres of the band over water in which the basin fades out")
+    basin.add_argument("--coastline", help="GeoJSON of the land, without which there is no band")
+    basin.add_argument("--no-pad-top", action="store_true", help="don't raise the first layer's top")
     basin.add_argument("--tolerance", type=float, default=10.0, help="metres")
     basin.add_argument("--max-edge", type=float, default=math.inf)
     basin.add_argument("--least-area", type=float, default=0.0)
@@ -81,8 +86,16 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "convert-tiff":
         construction.convert_tiff(spark, args.tiff, args.output, args.band, args.downsample, args.flip)
     elif args.command == "basin":
-        profile = construction.model_of(spark, args.model, args.layer_bottoms)
-        made = construction.basin_model(spark, args.outlines, args.surfaces, args.bottom, profile, args.name, args.priority, args.top, args.ground, args.tolerance, args.max_edge, args.least_area)
+        count = len(args.bottom)
+        priorities = args.priority * count if len(args.priority) == 1 else args.priority
+        if len(args.model) != count or len(priorities) != count:
+            parser.error(f"{count} surfaces to end layers at, {len(args.model)} models and {len(args.priority)} priorities")
+        layers = [construction.Layer(b, construction.model_of(spark, m, args.layer_bottoms), p) for b, m, p in zip(args.bottom, args.model, priorities)]
+        band = None
+        if args.smoothing > 0 and args.coastline:
+            band = construction.Band(args.smoothing, tables.read_geojson(spark, args.coastline))
+        pad = 0.0 if args.no_pad_top else basins.PAD
+        made = construction.basin_layers(spark, args.outlines, args.surfaces, layers, args.name, args.top, args.ground, args.tolerance, args.max_edge, args.least_area, band, pad)
         formats.write_mesh(*made, args.output)
     elif args.command == "validate":
         wrong = False

@@ -95,17 +95,52 @@ def prism_model(
     triangles: DataFrame, nodes: DataFrame, shape: tuple[int, int], top: str, bottom: str, origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0),
 ) -> tuple[DataFrame, DataFrame]:
     """(vertices, tets) of the prisms between two surfaces under triangulated(); model_id is the basin. A top below its bottom is lifted to it."""
+    columns = at_vertices(triangles, nodes, shape, (top, bottom), origin, spacing).withColumnsRenamed({top: "top", bottom: "bottom"})
+    return between(triangles, meshes.repair_interfaces(columns, strict=False))
+
+
+def at_vertices(
+    triangles: DataFrame, nodes: DataFrame, shape: tuple[int, int], interfaces: Sequence[str], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0),
+) -> DataFrame:
+    """(basin, vid, x, y, interfaces) of the vertices of triangulated(): the raster's surfaces between its nodes."""
     columns = triangles.select("basin", "vid", "x", "y").distinct()
-    for name, of in (("top", top), ("bottom", bottom)):
-        columns = surfaces.bilinear(columns, nodes.withColumn("z", F.col(of)), shape, origin, spacing, name=name)
-    columns = meshes.repair_interfaces(columns, strict=False)
+    for name in interfaces:
+        columns = surfaces.bilinear(columns, nodes.withColumn("z", F.col(name)), shape, origin, spacing, name=name)
+    return columns
+
+
+def between(triangles: DataFrame, columns: DataFrame, model: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, tets) of the prisms under triangles from top to bottom of columns (basin, vid, x, y, top, bottom); model numbers are of basin, else basins."""
+    model = (F.col("basin") if model is None else model).alias("model_id")
     ends = F.explode(F.array(F.struct((F.col("vid") * 2).alias("vid"), F.col("top").alias("z")), F.struct((F.col("vid") * 2 + 1).alias("vid"), F.col("bottom").alias("z"))))
-    vertices = columns.select(F.col("basin").alias("model_id"), "x", "y", ends.alias("e")).select("model_id", "e.vid", "x", "y", "e.z")
+    vertices = columns.select(model, "x", "y", ends.alias("e")).select("model_id", "e.vid", "x", "y", "e.z")
     sides = [F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(c) for n, c in enumerate("abc")]
-    rows = triangles.groupBy(F.col("basin").alias("model_id"), "tri").agg(*sides)
+    rows = triangles.groupBy(model, "tri").agg(*sides)
     return vertices, meshes.prisms(rows).select("model_id", (F.col("tri") * 3 + F.col("slot")).alias("tid"), "v0", "v1", "v2", "v3")
 
 
+def layered(triangles: DataFrame, columns: DataFrame, interfaces: Sequence[str], ends: Sequence[float] | None = None, pad: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(vertices, tets) of a layer between each two neighbours of interfaces, all over one triangulation; model_id is basin * layers + layer.
+
+    The bottom of a layer and the top of the next are the same depths at the same vertices, so they meet without a gap. An interface above
+    that is missing or below the next one is lifted to it within its layer. ends: the depth where each layer's model ends and the layer with it;
+    pad: how far the first top is raised where there is thickness.
+    """
+    n = len(interfaces) - 1
+    if n < 1:
+        raise ValueError("layers lie between two interfaces at least")
+    vertices, tets = None, None
+    for k, (top, bottom) in enumerate(zip(interfaces, interfaces[1:])):
+        own = meshes.repair_interfaces(columns.select("basin", "vid", "x", "y", F.col(top).alias("top"), F.col(bottom).alias("bottom")), strict=False)
+        if ends is not None:
+            own = own.withColumn("bottom", F.greatest(F.least(F.col("bottom"), F.lit(float(ends[k]))), F.col("top")))
+        if pad and k == 0:
+            own = own.withColumn("top", F.when(F.col("bottom") > F.col("top"), F.col("top") - pad).otherwise(F.col("top")))
+        v, t = between(triangles, own, F.col("basin") * n + k)
+        vertices, tets = (v, t) if vertices is None else (vertices.unionByName(v), tets.unionByName(t))
+    return vertices, tets
+
+
 def depth_bounds(bounds: DataFrame, lowest: float, highest: float, pad: float = PAD) -> DataFrame:
     """Bounds (minz, maxz as depths) of depth meshes in elevation's frame: their depths below any ground between the two, and a margin."""
     return bounds.withColumns({"minz": F.col("minz") + lowest - pad, "maxz": F.col("maxz") + highest + pad})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, synthetic
 from ..functions.crs import TransverseMercator
-from ..operators import basins, meshes, surfaces, tiles
+from ..operators import bands, basins, meshes, surfaces, tiles
 from ..schema import DEPTH, DEPTH_PROFILE, ELEVATION, INTERPOLATE
 from ..sources import tables, tiff
 
 Mesh = tuple[DataFrame, DataFrame, DataFrame]
 PROFILE_TYPE = "array<struct<top:double,rho:double,vp:double,vs:double,qp:double,qs:double>>"
+BAND_EDGE = 1000.0  # metres, fixed value: the longest edges where a band has to be resolved
 MODELS = f"model_id int, name string, priority int, vertical string, model_type int, profile {PROFILE_TYPE}"
 
 
@@ -47,30 +49,77 @@ def read_basins(spark: SparkSession, path: str) -> DataFrame:
     return rings.join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "basin int, ring string")), "ring").select("basin", "n", "x", "y")
 
 
+@dataclass(frozen=True)
+class Layer:
+    """What lies above one interface of a basin: the interface's column, the 1-D model (z, thickness and fields) and the priority."""
+
+    bottom: str
+    profile: DataFrame
+    priority: int
+
+
+@dataclass(frozen=True)
+class Band:
+    """A smoothing band: how wide, the lattice's step its outline is found on, the longest edges in it, and land (ring, n, x, y)."""
+
+    metres: float
+    land: DataFrame | None = None
+    step: float | None = None
+    max_edge: float = BAND_EDGE
+
+
 def basin_model(
     spark: SparkSession, outlines: str, lattice: str, bottom: str, profile: DataFrame, name: str, priority: int, top: str | None = None, ground: str | None = None,
     metres: float = 10.0, max_edge: float = math.inf, least_area: float = 0.0,
 ) -> Mesh:
-    """Basins of one 1-D model between two columns of a lattice of nodes (x, y, ...), as depths below its column ground where that is given.
+    """basin_layers() of one layer whose top isn't raised."""
+    return basin_layers(spark, outlines, lattice, [Layer(bottom, profile, priority)], name, top, ground, metres, max_edge, least_area, pad=0.0)
+
+
+def basin_layers(
+    spark: SparkSession, outlines: str, lattice: str, layers: Sequence[Layer], name: str, top: str | None = None, ground: str | None = None, metres: float = 10.0,
+    max_edge: float = math.inf, least_area: float = 0.0, band: Band | None = None, pad: float = basins.PAD,
+) -> Mesh:
+    """Basins of stacked layers, each of a 1-D model, as depths below the column ground where that is given.
 
-    Without a top the basins begin at depth 0. Missing nodes outside the outlines don't matter; inside they end the run.
+    Interfaces are columns of a lattice of nodes (x, y, ...), from the top down. Without a top the basins begin at depth 0. All layers
+    share one triangulation that meets every interface. Missing nodes outside the outlines (with their band) don't matter; inside they
+    end the run. A layer ends where its model does. Models are numbered basin * layers + layer, and named by both where there are several layers.
     """
-    columns = [c for c in (top, bottom, ground) if c]
-    nodes, shape, origin, spacing = tables.read_lattice(spark, lattice, columns)
+    if not layers:
+        raise ValueError("a basin has a layer at least")
+    below = [n.bottom for n in layers]
+    nodes, shape, origin, spacing = tables.read_lattice(spark, lattice, list(dict.fromkeys(c for c in (top, *below, ground) if c)))
     under = F.col(ground) if ground else F.lit(0.0)
-    sides = nodes.select("ix", "iy", (F.col(top) - under if top else F.col(bottom) * 0).alias("top"), (F.col(bottom) - under).alias("bottom"))
-    rings = basins.cleaned(read_basins(spark, outlines), least_area)
-    names = {"top": metres, "bottom": metres} if top else {"bottom": metres}
-    made = basins.triangulated(rings, sides.select("ix", "iy", *names), shape, names, origin, spacing, max_edge)
-    vertices, tets = basins.prism_model(made, sides, shape, "top", "bottom", origin, spacing)
-    rows = [tuple(float(r[c]) for c in ("z", "rho", "vp", "vs", "qp", "qs")) for r in profile.orderBy("z").collect()]  # a profile has a few dozen layers
-    layered = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("top", "rho", "vp", "vs", "qp", "qs"), row, strict=True))) for row in rows))
-    at = numeric.layer_of(F.col("z"), layered)
-    vertices = vertices.select("*", *(at[c].alias(c) for c in ("rho", "vp", "vs", "qp", "qs")), F.lit(1.0).alias("alpha"))
-    kept = meshes.cull(vertices, tets, 0.0)
-    models = rings.select(F.col("basin").alias("model_id")).distinct().select(
-        "model_id", F.concat(F.lit(f"{name}-"), "model_id").alias("name"), F.lit(priority).alias("priority"), F.lit(DEPTH if ground or not top else ELEVATION).alias("vertical"),
-        F.lit(DEPTH_PROFILE).alias("model_type"), layered.cast(PROFILE_TYPE).alias("profile"),
+    given = {"i0": F.col(top) - under if top else F.col(below[-1]) * 0} | {f"i{n}": F.col(c) - under for n, c in enumerate(below, 1)}
+    sides = nodes.select("ix", "iy", *(c.alias(n) for n, c in given.items()))
+    rings = basins.cleaned(read_basins(spark, outlines), least_area).persist()
+    region = rings
+    if band is not None:
+        region = bands.grown(rings, band.metres, min(band.step or min(spacing) / 2, band.metres), band.land)
+        max_edge = min(max_edge, band.max_edge)
+    fitted = {n: metres for n in given if n != "i0" or top}
+    made = basins.triangulated(region, sides.select("ix", "iy", *fitted), shape, fitted, origin, spacing, max_edge).persist()  # each layer asks for it
+    columns = basins.at_vertices(made, sides, shape, list(given), origin, spacing).persist()
+    profiles = [sorted((tuple(float(r[c]) for c in ("z", "thickness", "rho", "vp", "vs", "qp", "qs")) for r in n.profile.collect()), key=lambda r: r[0]) for n in layers]  # a few dozen rows each
+    vertices, tets = basins.layered(made, columns, list(given), [p[-1][0] + p[-1][1] for p in profiles], pad)
+    tabled = [F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("top", "rho", "vp", "vs", "qp", "qs"), (r[0], *r[2:]), strict=True))) for r in p)) for p in profiles]
+    count = len(layers)
+    layered = F.element_at(F.array(*(t.cast(PROFILE_TYPE) for t in tabled)), (F.col("model_id") % count + 1).cast("int"))
+    at = numeric.layer_of(F.col("z"), F.col("_profile"))
+    alpha = F.lit(1.0)
+    if band is not None:
+        faded = bands.opacity(columns.select("basin", "x", "y", "vid"), rings, band.metres).select(F.col("basin").alias("_basin"), F.col("vid").alias("_vid"), "alpha")
+        own = (F.floor(F.col("model_id") / count) == F.col("_basin")) & (F.floor(F.col("vid") / 2) == F.col("_vid"))
+        vertices, alpha = vertices.join(faded, own).drop("_basin", "_vid"), F.col("alpha")
+    valued = vertices.withColumn("_profile", layered).select("model_id", "vid", "x", "y", "z", *(at[c].alias(c) for c in ("rho", "vp", "vs", "qp", "qs")), alpha.alias("alpha"))
+    kept = meshes.cull(valued, tets, 0.0)
+    numbered = rings.select("basin").distinct().select("basin", F.explode(F.array(*map(F.lit, range(count)))).alias("layer"))
+    numbered = numbered.select((F.col("basin") * count + F.col("layer")).alias("model_id"), F.concat_ws("-", F.lit(name), "basin", *(["layer"] if count > 1 else [])).alias("name"))
+    priority = F.element_at(F.array(*(F.lit(n.priority) for n in layers)), (F.col("model_id") % count + 1).cast("int"))
+    # a layer that is filled to its bottom everywhere has no tetrahedra and so no model
+    models = numbered.join(kept[1].select("model_id").distinct(), "model_id", "left_semi").select(
+        "model_id", "name", priority.alias("priority"), F.lit(DEPTH if ground or not top else ELEVATION).alias("vertical"), F.lit(DEPTH_PROFILE).alias("model_type"), layered.alias("profile"),
     )
     return models, *kept
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import basins, coastline, meshes, tiles
+from ..operators import bands, basins, coastline, meshes, tiles
 from ..schema import COMPONENTS
 from ..plans.construction import convert_tiff
 from ..sinks import arrays, binary, formats
@@ -313,3 +313,62 @@ def zarr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["zarr_round_trip"] = zarr_round_trip
 SQL["zarr_round_trip"] = f"WITH {SQL_MODEL} SELECT grid, i, j, k, {_SINGLE_SQL} FROM m WHERE i >= 17 AND j < 24"
+
+
+def basin_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of three stacked layers of each basin, and whether each layer's bottom is the next one's top at every vertex."""
+    nodes, shape = rasters.raster(spark, sf_dir)
+    x, y = F.col("ix"), F.col("iy")
+    names = ["roof", "shelf", "ledge", "floor"]
+    sloping = nodes.select("ix", "iy", (4 + x / 8).alias("roof"), (6 + x / 8 + y / 4).alias("shelf"), (6 + x / 8 + y / 4 + 1).alias("ledge"), (10 + x / 4 + y / 2).alias("floor"))
+    made = basins.triangulated(basins.cleaned(basin_outlines(spark, sf_dir)), sloping, shape, dict.fromkeys(names, 0.01), max_edge=0.75).persist()
+    columns = basins.at_vertices(made, sloping, shape, names)
+    vertices, tets = basins.layered(made, columns, names)
+    vertices = vertices.persist()
+    sizes = meshes.gather(tets, vertices, ("x", "y", "z")).groupBy("model_id").agg(F.sum(meshes.volume()).alias("v"))
+    # a column's odd vertex is its bottom, the even one before it the top
+    ends = [vertices.filter(F.col("vid") % 2 == k).select((F.col("model_id") - (1 - k)).alias("model_id"), F.floor(F.col("vid") / 2).alias("c"), F.col("z").alias(f"z{k}")) for k in (0, 1)]
+    met = ends[1].join(ends[0], ["model_id", "c"], "left").groupBy("model_id").agg(F.max(F.abs(F.col("z0") - F.col("z1"))).alias("gap"))
+    layer = (F.col("model_id") % 3).alias("layer")
+    return sizes.join(met, "model_id").select(F.floor(F.col("model_id") / 3).alias("basin"), layer, F.round("v", 6).alias("volume"), F.when(layer < 2, F.col("gap")).alias("gap"))
+
+
+_BAND, _STEP, _SHORE = 0.5, 0.0625, 0.8125
+
+
+def basin_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as places around the basins: their opacity, and whether a basin with its band of water holds them; NULL within two steps of the border."""
+    o, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "nation"))
+    at = o.join(nations, F.col("o_custkey") % 25 == F.col("n_nationkey"))
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    x, y = 0.5 + k * 1.25 + F.col("o_orderkey") * 37 % 1024 * 0.00244140625, r * 0.5 - 0.25 + F.col("o_orderkey") * 11 % 1021 * 0.00244140625
+    places = at.select("o_orderkey", k.cast("long").alias("basin"), x.alias("x"), y.alias("y"), (1.25 + k * 1.25).alias("x0"), (0.5 + r * 0.5).alias("y0"))
+    rings = basins.cleaned(basin_outlines(spark, sf_dir)).persist()
+    shore = [(-9.0, -9.0), (99.0, -9.0), (99.0, _SHORE), (-9.0, _SHORE)]
+    land = spark.createDataFrame([("land", n, px, py) for n, (px, py) in enumerate(shore)], "ring string, n int, x double, y double")
+    border = basins.outline_segments(bands.grown(rings, _BAND, _STEP, land)).select("basin", "ax", "ay", "bx", "by")
+    held = bands.odd(places.select("basin", "x", "y"), border, 1.0, ("basin",)).withColumn("held", F.lit(True))
+    told = bands.opacity(places, rings, _BAND).join(held, ["basin", "x", "y"], "left")
+    # the border as it would be without a lattice, told by the squares' own distances
+    px, py, x0, y0 = (F.col(c) for c in ("x", "y", "x0", "y0"))
+    out, zero = (lambda low, high, p: F.greatest(low - p, p - high, F.lit(0.0))), F.lit(0.0)
+    within = F.least(px - x0, x0 + 1 - px, py - y0, y0 + 1 - py)
+    own = F.when(within > 0, -within).otherwise(F.hypot(out(x0, x0 + 1, px), out(y0, y0 + 1, py)))
+    water = F.hypot(out(x0, x0 + 1, px), out(F.greatest(y0, zero + _SHORE), y0 + 1, py)) - _BAND
+    clear = F.abs(F.least(own, F.greatest(water, _SHORE - py))) > 2 * _STEP
+    return told.select("o_orderkey", "basin", F.round("alpha", 6).alias("alpha"), F.when(clear, F.coalesce("held", F.lit(False))).alias("held"))
+
+
+QUERIES |= {"basin_layers": basin_layers, "basin_band": basin_band}
+SQL["basin_layers"] = """SELECT n_nationkey::BIGINT AS basin, layer::BIGINT AS layer, CASE WHEN layer < 2 THEN 0.0::DOUBLE END AS gap,
+       round(CASE layer WHEN 0 THEN 2 + (1.0::DOUBLE + n_regionkey * 0.5::DOUBLE) / 4 WHEN 1 THEN 1.0::DOUBLE
+             ELSE 3 + (1.75::DOUBLE + n_nationkey * 1.25::DOUBLE) / 8 + (1.0::DOUBLE + n_regionkey * 0.5::DOUBLE) / 4 END, 6) AS volume
+FROM nation CROSS JOIN range(3) t(layer)"""
+SQL["basin_band"] = f"""WITH p AS (SELECT o_orderkey, n_nationkey::BIGINT AS basin, 0.5::DOUBLE + n_nationkey * 1.25::DOUBLE + o_orderkey * 37 % 1024 * 0.00244140625::DOUBLE AS x,
+             n_regionkey * 0.5::DOUBLE - 0.25::DOUBLE + o_orderkey * 11 % 1021 * 0.00244140625::DOUBLE AS y, 1.25::DOUBLE + n_nationkey * 1.25::DOUBLE AS x0, 0.5::DOUBLE + n_regionkey * 0.5::DOUBLE AS y0
+      FROM orders JOIN nation ON o_custkey % 25 = n_nationkey),
+d AS (SELECT *, least(x - x0, x0 + 1 - x, y - y0, y0 + 1 - y) AS within, greatest(x0 - x, x - x0 - 1, 0.0::DOUBLE) AS dx, greatest(y0 - y, y - y0 - 1, 0.0::DOUBLE) AS dy,
+             greatest(greatest(y0, {_SHORE}::DOUBLE) - y, y - y0 - 1, 0.0::DOUBLE) AS wy FROM p),
+f AS (SELECT *, sqrt(dx * dx + dy * dy) AS far, least(CASE WHEN within > 0 THEN -within ELSE sqrt(dx * dx + dy * dy) END, greatest(sqrt(dx * dx + wy * wy) - {_BAND}::DOUBLE, {_SHORE}::DOUBLE - y)) AS f FROM d)
+SELECT o_orderkey, basin, round(CASE WHEN within > 0 THEN 1.0::DOUBLE ELSE 1 - least(far / {_BAND}::DOUBLE, 1.0::DOUBLE) END, 6) AS alpha,
+       CASE WHEN abs(f) > {2 * _STEP}::DOUBLE THEN f < 0 END AS held FROM f"""
