@@ -69,6 +69,34 @@ def test_explain_and_stats(spark):
     assert s.hit_count == 2 and s.held >= 2 and s.candidates >= s.tested >= s.held
 
 
+def test_stats_with_their_output_are_those_of_the_composite(spark):
+    index = cubes(spark, (0, 5, 1), (1, 9, 0.5))
+    asked = points(spark, (0.5, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.5), (9, 9, 9, 9), (0.25, 0.75, 0.5, 0))
+    asked = asked.unionByName(asked.limit(1).withColumns({"x": F.lit(None).cast("double"), "n": F.lit(9).cast(asked.schema["n"].dataType)}))
+    for models in (locate.ALL, locate.ModelRange(9, 9)):
+        got = {r["n"]: r for r in locate.query_stats(asked, index, models, output="q").collect()}
+        want = {r["n"]: r for r in locate.composite(asked, index, models).collect()}
+        assert len(got) == len(want) == 5 and all(got[n]["q"] == want[n]["q"] for n in want)
+        assert got[9]["candidates"] == got[9]["hit_count"] == 0
+    plain = locate.query_stats(asked, index).columns
+    assert [c for c in locate.query_stats(asked, index, output="q").columns if c != "q"] == plain
+
+
+def test_totals_of_the_pass_itself(spark, tmp_path):
+    index = cubes(spark, (0, 5, 1), (1, 9, 1))
+    asked = points(spark, (0.5, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.5), (9, 9, 9, 9))
+    rows, totals = locate.measured(asked, index)
+    found = totals.timed(lambda: rows.write.parquet(str(tmp_path / "out")))
+    want = locate.query_stats(asked, index).agg(*(F.sum(c).alias(c) for c in ("candidates", "held", "hit_count"))).first()
+    assert found["points"] == 3 and found["hit_count"] == 4 and all(found[c] == want[c] for c in ("candidates", "held", "hit_count"))
+    assert found["elapsed"] > 0 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    rows, totals = locate.measured(asked.limit(0), index)
+    assert totals.timed(rows.collect)["points"] == 0
+    rows, totals = locate.measured(points(spark, (9, 9, 9, 9), (0.9, 1.2, 0.5, 0)), index)
+    assert totals.timed(rows.collect)["held"] == 0  # where nothing is hit the points are counted all the same
+    assert totals.counts()["points"] == 2
+
+
 def test_plan_is_a_hash_join(spark):
     index = cubes(spark, (0, 5, 1))
     plan = locate.composite(points(spark, (0.5, 0.5, 0.5, 0.5)), index)._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tests.compare import SF, TABLES, assert_same
 from tetrafield.queries import QUERIES, SQL, frames
 
-CHOSEN = ["query_many", "composite_basins", "profile_query", "query_repeated", "query_stats", "grid_fold_check", "station_list", "explain_hits", "blend_over", "cull_mesh", "prism_mesh", "layer_slices", "morton_order", "crs_forward", "bilinear_nan", "quad_lookup", "coast_signed", "coast_distance", "grid_sw4", "decay_sleve", "layer_clamp_floors", "layer_backus", "site_summary", "site_deepening", "sites_csv", "profile_text", "tomography_text", "outline_geojson", "surface_file", "mesh_files", "model_csv", "model_parquet", "sfile_interfaces", "sfile_material", "outline_areas", "basin_mesh", *frames.QUERIES]
+CHOSEN = ["query_many", "composite_basins", "profile_query", "query_repeated", "query_stats", "query_stats_output", "query_totals", "grid_fold_check", "station_list", "explain_hits", "blend_over", "cull_mesh", "prism_mesh", "layer_slices", "morton_order", "crs_forward", "bilinear_nan", "quad_lookup", "coast_signed", "coast_distance", "grid_sw4", "decay_sleve", "layer_clamp_floors", "layer_backus", "site_summary", "site_deepening", "sites_csv", "profile_text", "tomography_text", "outline_geojson", "surface_file", "mesh_files", "model_csv", "model_parquet", "sfile_interfaces", "sfile_material", "outline_areas", "basin_mesh", *frames.QUERIES]
 
 
 @pytest.mark.parametrize("name", CHOSEN)

@@ -13,10 +13,11 @@ bound of the index's rows; otherwise places shuffle on the cell, and AQE splits
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import algebra, numeric
@@ -249,15 +250,62 @@ def explain(points: DataFrame, index: Index) -> DataFrame:
     return found.select(*points.columns, F.col("hits").alias("contributions"), algebra.fold(F.col("hits")).alias("output"), ended.alias("termination"))
 
 
-def query_stats(points: DataFrame, index: Index) -> DataFrame:
-    """points with candidates (tetrahedra listed under their cells), tested (of those, in bounds), held and hit_count (models that contribute)."""
+COUNTS = ("candidates", "tested", "held")
+
+
+def query_stats(points: DataFrame, index: Index, models: ModelRange = ALL, output: str | None = None) -> DataFrame:
+    """points with candidates (tetrahedra listed under their cells), tested (of those, in bounds), held and hit_count (models that contribute).
+
+    output: the name of a column for the composite, which is folded from the same rows: the cells are looked up once for both.
+    """
     x, y, h = F.col("x"), F.col("y"), F.col("_h")
-    found = bounded(listed(places(points), index), index.payload()[1])
+    samples, catalog = index.payload()
+    found = bounded(listed(places(points), index, models), catalog)
     near = F.coalesce(in_bounds(x, y, h, of_index), F.lit(False))
     held = near & inside(x, y, h, of_index)
-    counts = {
-        "candidates": F.count(F.lit(1)), "tested": F.count(F.when(near, 1)), "held": F.count(F.when(held, 1)),
-        "hit_count": F.size(F.collect_set(F.when(held, of_index("model_id")))).cast("long"),
-    }
-    own = at_places(points, found.groupBy("_place", *PLACE).agg(*(c.alias(n) for n, c in counts.items())))
-    return own.select(*points.columns, *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts))
+    keys = ["_place", *PLACE]
+    counts = dict(zip(COUNTS, (F.count(F.lit(1)), F.count(F.when(near, 1)), F.count(F.when(held, 1))), strict=True))
+    # a row for each place and model, with the tetrahedron that stands for the model
+    own = found.groupBy(*keys, "_h", "_t_model_id", "_t_priority").agg(F.min(F.when(held, of_index("tid"))).alias("_t_tid"), *(c.alias(n) for n, c in counts.items()))
+    sums = [F.sum(n).alias(n) for n in counts] + [F.count("_t_tid").alias("hit_count")]
+    if output:
+        corners = samples.select(*(F.col(c).alias(f"_t_{c}") for c in samples.columns))
+        # models without a hit keep their counts: only hits have samples to join
+        own = sampled(bounded(own, catalog).join(corners, ["_t_model_id", "_t_tid"], "left"))
+        entry = F.struct(*(of_index(c).cast(t).alias(c) for c, t in (("priority", "int"), ("model_id", "int"), ("tid", "long"))), "q")
+        sums.append(F.sort_array(F.collect_list(F.when(of_index("tid").isNotNull(), entry))).alias("_hits"))
+    made = at_places(points, own.groupBy(*keys).agg(*sums))
+    zeros = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in (*counts, "hit_count")]
+    folded = [algebra.or_zero(algebra.fold(F.coalesce("_hits", F.array().cast(ENTRY)))).alias(output)] if output else []
+    return made.select(*points.columns, *folded, *zeros)
+
+
+class Totals:
+    """What one pass of a query counted: known once the first action on its rows has ended, without a second look at the points.
+
+    Sums over all points, repeated ones too. They are told where the rows leave the pass, as adaptive plans may drop what lies below a join
+    that turns out empty. Where an executor is lost, what its tasks had counted may be counted again.
+    """
+
+    def __init__(self) -> None:
+        self._seen = Observation()
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        sums = (F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*COUNTS, "hit_count"))
+        return rows.observe(self._seen, F.count(F.lit(1)).alias("points"), *sums)
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the first action on the rows."""
+        return self._seen.get
+
+    def timed(self, action: Callable[[], object]) -> dict[str, float]:
+        """Runs an action on the rows; the counts, and its seconds as elapsed."""
+        start = time.monotonic()
+        action()
+        return {**self.counts(), "elapsed": time.monotonic() - start}
+
+
+def measured(points: DataFrame, index: Index, models: ModelRange = ALL, name: str = "q") -> tuple[DataFrame, Totals]:
+    """composite() with the totals of its own pass."""
+    totals = Totals()
+    return totals.of(query_stats(points, index, models, name)).drop(*COUNTS, "hit_count"), totals

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import algebra
 from ..operators import locate
 from ..schema import ALL, BASINS, COMPONENTS, ELEVATION, INTERPOLATE, TOMOGRAPHY, ModelRange, quality
+from ..sinks.formats import scratch
 from . import world
 
 QUERIES, SQL = {}, {}
@@ -90,6 +91,38 @@ h AS (SELECT pid, count(*) AS held, count(DISTINCT model_id) AS hit_count FROM p
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, z, coalesce(held, 0) AS held, coalesce(hit_count, 0) AS hit_count FROM pts LEFT JOIN h USING (pid)"""
 
 
+def query_stats_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's statistics together with its composite, from one look at the cells."""
+    made = locate.query_stats(world.lineitem_points(spark, sf_dir), world.index(spark), output="q")
+    ordered = (F.col("candidates") >= F.col("tested")) & (F.col("tested") >= F.col("held"))
+    return made.select(*world.POINT, "z", "held", "hit_count", ordered.alias("ordered"), *rounded("q"))
+
+
+_HELD = f"{' AND '.join(f'{x} >= -1e-4' for x in _L)} AND {' + '.join(_L)} <= 1 + 1e-4"
+QUERIES["query_stats_output"] = query_stats_output
+SQL["query_stats_output"] = f"""WITH {world.SQL_POINTS}, {world.SQL_MESH}, {world.sql_composite('c')},
+h AS (SELECT pid, count(*) AS held, count(DISTINCT model_id) AS hit_count FROM pts p, tet t WHERE {_HELD} GROUP BY pid)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, z, coalesce(held, 0) AS held, coalesce(hit_count, 0) AS hit_count, true AS ordered, {world.rounded()}
+FROM pts JOIN c USING (pid) LEFT JOIN h USING (pid)"""
+
+
+def query_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pass that writes every point's composite counted, a row for each count, and the rows written."""
+    rows, totals = locate.measured(world.lineitem_points(spark, sf_dir), world.index(spark))
+    path = scratch(spark, "totals")
+    found = totals.timed(lambda: rows.select(*world.POINT, "q.*").write.parquet(path))
+    told = [(n, found[n]) for n in ("points", "held", "hit_count")]
+    written = spark.read.parquet(path).agg(F.lit("rows").alias("what"), F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(told, "what string, n long").unionByName(written.select("what", "n"))
+
+
+QUERIES["query_totals"] = query_totals
+SQL["query_totals"] = f"""WITH {world.SQL_POINTS}, {world.SQL_MESH},
+h AS (SELECT pid, model_id, count(*) AS held FROM pts p, tet t WHERE {_HELD} GROUP BY pid, model_id)
+SELECT unnest(['points', 'rows']) AS what, count(*) AS n FROM pts
+UNION ALL SELECT 'held', coalesce(sum(held), 0)::BIGINT FROM h UNION ALL SELECT 'hit_count', count(*) FROM h"""
+
+
 def blend_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two samples made of each event, one over the other."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
