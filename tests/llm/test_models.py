@@ -279,6 +279,31 @@ def test_a_family_below_the_threshold_stays_linear(spark, size):
     assert all(n < size for name, n in written.items() if name.startswith("links"))
 
 
+def test_buckets_are_joined_with_their_members_once_a_round(spark, monkeypatch):
+    """A family below the threshold, settled in one round: joins on a bucket's key make three rows at most for each membership."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(240)], []
+    for i in range(60):
+        copy = list(base)
+        for place in rng.sample(range(240), 4):
+            copy[place] = word()
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, made = type(docs).join, []
+
+    def counting(left, other, on=None, how=None):
+        out = plain(left, other, on, how)
+        if isinstance(on, str) and on == "key":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(spark, docs).collect()}
+    assert got == linked(rows)
+    assert made[0] > 500 and sum(made) <= 3 * made[0], made
+
+
 def test_rows_that_share_an_id(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ WORDS = 5
 PERCENT = 85  # a link: 100 * intersection >= percent * union
 BANDING = {85: (34, 7), 80: (44, 6)}  # bands and rows of each percent in use
 SLACK = 0.1  # an estimate may fall so far short of percent: over 4 standard errors of bands * rows minima
-PIVOTS = 64  # of a bucket in its second round; GROWTH times as many in each later one
+PIVOTS = 64  # of a bucket in its second round, about; GROWTH times as many in each later one
 GROWTH = 32
 CHUNK, CHUNK_SHINGLES = 2048, 1 << 19  # members of a bucket, and their shingles, in one block: what a block holds is bounded by these
 DEAL_SHINGLES = 1 << 21  # of the blocks that a task's group holds together
@@ -354,8 +354,8 @@ def _link(spark: SparkSession, docs: DataFrame, percent: int, keep: Written) ->
     # first round: with the bucket's hub
     ranked = members.join(involved.select("node", "degree"), "node")
     top = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("v"))
-    hubs = keep(top, "hubs")
-    pairs = members.join(hubs, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    hubbed = keep(members.join(top, "key"), "hubbed")
+    pairs = hubbed.filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     likely = keep(similar(pairs), "likely")
     best = likely.groupBy("u").agg(F.max(F.struct("est", (-F.col("v")).alias("neg"))).alias("b")).select("u", (-F.col("b.neg")).alias("v"))
     comps = _merged(None, keep(confirmed(best, sets, percent), "links-best"), keep, "comps-best")
@@ -368,28 +368,28 @@ def _link(spark: SparkSession, docs: DataFrame, percent: int, keep: Written) ->
     comps = _merged(comps, keep(confirmed(across(likely.select("u", "v")), sets, percent), "links-rest"), keep, "comps-rest")
 
     # later rounds: pivots from outside the bucket's largest component, against members of other components. A bucket
-    # is done with when all members outside its largest component have been pivots.
-    state = members.filter("n > 2").join(hubs, "key").join(involved.select("node", "n_shingles"), "node")
+    # is done with, and no longer read, when all members outside its largest component have been pivots. A round joins
+    # its members with their buckets once: a member's draw alone tells whether it is a pivot.
+    state = hubbed.filter("n > 2").join(involved.select("node", "n_shingles"), "node")
     state = keep(state.select("key", "node", "n_shingles", F.when(F.col("node") == F.col("v"), 1).otherwise(0).alias("turn")), "state")
-    pivots = PIVOTS
+    waits, pivots = (F.col("turn") == 0).cast("long"), PIVOTS
     for step in range(2, 66):
-        placed = state.join(comps, "node", "left").select("key", "node", "n_shingles", "turn", F.coalesce("comp", "node").alias("comp"), F.xxhash64("node", F.lit(step)).alias("draw"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("size"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", "size", F.col("most.comp").alias("largest"))
-        open_ = keep(placed.join(largest, "key"), f"open{step}")
-        waiting = (F.col("comp") != F.col("largest")) & (F.col("turn") == 0)
-        order = Window.partitionBy("key").orderBy("draw", "node")
-        chosen = keep(open_.filter(waiting).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots).select("key", "node", "n_shingles", "comp", "draw", "n", "size", F.lit(step).alias("turn")), f"chosen{step}")
-        if chosen.isEmpty():
+        placed = state.join(comps, "node", "left").select("key", "node", "n_shingles", "turn", F.coalesce("comp", "node").alias("comp"))
+        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("size"), F.sum(waits).alias("w"), F.sum(waits * F.col("n_shingles")).alias("wsize"))
+        whole = parts.groupBy("key").agg(F.max(F.struct("k", "comp", "w", "wsize")).alias("most"), *(F.sum(c).alias(c) for c in ("k", "size", "w", "wsize")))
+        open_ = whole.select("key", "k", "size", F.col("most.comp").alias("largest"), (F.col("w") - F.col("most.w")).alias("w"), (F.col("wsize") - F.col("most.wsize")).alias("wsize")).filter("w > 0")
+        open_ = open_.withColumn("share", F.least(F.lit(1.0), pivots / F.col("w"))).withColumns({"pn": F.col("w") * F.col("share"), "psize": F.col("wsize") * F.col("share")})
+        plan = keep(open_.select("key", "largest", "share", _chunks("k", "size").alias("lefts"), _chunks("pn", "psize").alias("rights"), F.col("size").alias("_size"), "psize"), f"plan{step}")
+        total = plan.agg(F.sum(F.col("_size").cast("double") * F.col("rights") + F.col("psize") * F.col("lefts"))).first()[0]
+        if total is None:
             break
-        asked = chosen.groupBy("key", "n", "size").agg(F.count(F.lit(1)).alias("pn"), F.sum("n_shingles").alias("psize"), F.max(F.struct("draw", "node")).alias("edge"))
-        plan = keep(asked.select("key", "edge", _chunks("n", "size").alias("lefts"), _chunks("pn", "psize").alias("rights"), F.col("size").alias("_size"), "psize"), f"plan{step}")
-        total = plan.agg(F.sum(F.col("_size").cast("double") * F.col("rights") + F.col("psize").cast("double") * F.col("lefts"))).first()[0]
         groups = max(partitions(spark), math.ceil(total / DEAL_SHINGLES))
+        chosen = (F.col("turn") == 0) & (F.col("comp") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        turned = placed.join(plan, "key").withColumn("turn", F.when(chosen, step).otherwise(F.col("turn")))
+        turned = keep(turned.select("key", "node", "n_shingles", "turn", "comp", "lefts", "rights"), f"open{step}")
         dealt = lambda own, way, others: own.withColumn(way, F.pmod(F.xxhash64("node"), F.col(f"{way}s")).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)))
-        turned = open_.join(plan, "key").withColumn("turn", F.when(waiting & (F.struct("draw", "node") <= F.col("edge")), step).otherwise(F.col("turn")))
         own = signs.drop("n_shingles").join(sets, "node")
-        links = keep(across_blocks(dealt(turned.join(own, "node"), "left", "right"), dealt(chosen.join(plan, "key").join(own, "node"), "right", "left"), groups, percent).distinct(), f"links{step}")
+        links = keep(across_blocks(dealt(turned.join(own, "node"), "left", "right"), dealt(turned.filter(F.col("turn") == step).join(own, "node"), "right", "left"), groups, percent).distinct(), f"links{step}")
         if not links.isEmpty():
             comps = _merged(comps, links, keep, f"comps{step}")
         state = turned.select("key", "node", "n_shingles", "turn")
