@@ -94,6 +94,21 @@ def family(seed=3):
     return list(enumerate(rows))
 
 
+def test_each_distinct_word_is_taken_apart_once(monkeypatch):
+    """Whatever the number of texts, a group's distinct words alone are taken apart; odd texts come out as the library has them."""
+    rng = random.Random(3)
+    bits = [*"aZ09.,;:!?'\"<|>-— \t\n\u00a0\u3000\x1c\u0130Σςñé\u0338\u0308=中", "<|endoftext|>", "don't", "it'S", "  ", "\r\n", "word", "<|EndOfText|>", "\u1112", "\u1161"]
+    odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", " ", "\n"]
+    encoder, library = bpe.Encoder(bpe.Vocabulary(PATH)), tokenizers.Tokenizer.from_file(PATH)
+    for text, (ids, decoded) in zip(odd, encoder.encode_all(odd), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+    calls, plain = [], bpe.Vocabulary.pieces
+    monkeypatch.setattr(bpe.Vocabulary, "pieces", lambda self, text: calls.append(text) or plain(self, text))
+    bpe.Encoder(encoder.vocabulary).encode_all(["Une pensée légère, une pensée."] * 300)
+    assert sorted(calls) == [",", ".", "légère", "pensée"]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows = family()
     docs = spark.createDataFrame(rows, "doc_id long, text string")

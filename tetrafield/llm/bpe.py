@@ -34,11 +34,17 @@ from .common import Written, give_back, text_batches
 
 ADDED = ("ids", "n_tokens", "decoded")
 LEXICON_WORDS = 60_000  # the automaton's size is bounded by this
-MEMO_BYTES = 32 << 20  # of a worker's memo, dropped as a whole when full
+MEMO_BYTES = 48 << 20  # of a worker's memo, dropped as a whole when full
 COUNT_WORDS = 150_000  # distinct words that a counting task holds before it passes partial counts on
 STEPS = 16  # of the counts' histogram for each doubling: a thousand rows at most, whatever the corpus
-OUT_BYTES = 8 << 20  # of an output batch
-GROUP_CHARS = 1 << 20  # texts are encoded in groups of this size, so that their unseen words are merged together
+GROUP_BYTES = 4 << 20  # texts are encoded in groups of this size, so that each distinct word of a group is looked up once
+
+# Bytes where texts are cut: white space of one byte falls away, and a piece always ends between an ASCII letter or digit and a mark.
+_SPACE, _MARK, _PLAIN = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, *range(9, 14)]] = _SPACE
+_KIND[list(b".,;:!?")] = _MARK
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _PLAIN
 
 
 def byte_chars() -> list[str]:
@@ -48,6 +54,31 @@ def byte_chars() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
+def buffers_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text begins, with their end) of texts without nulls."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw, offsets - offsets[0]
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, each word's number in order, where each text's words begin, with their total) of texts without nulls: cut at white space and marks."""
+    raw, offsets = buffers_of(texts)
+    kind = _KIND[raw]
+    seen = kind != _SPACE
+    first = np.ones(len(raw), bool)
+    first[1:] = ~seen[:-1] | ((kind[1:] | kind[:-1]) == _MARK | _PLAIN)
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    last = np.ones(len(raw), bool)
+    last[:-1] = first[1:] | ~seen[1:]
+    starts = np.flatnonzero(first & seen)
+    ends = np.cumsum(np.flatnonzero(last & seen) - starts + 1)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw[seen].tobytes())])
+    coded = found.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+
 class Vocabulary:
     """A byte-level BPE read from a tokenizers file: the pieces of a text, exact merges, and decoding."""
 
@@ -75,6 +106,15 @@ class Vocabulary:
             found += ["\0" + part] if part in self.special else self._pieces(part)
         return found
 
+    @functools.cached_property
+    def cuttable(self) -> bool:
+        """Whether texts may be cut into words first: no special token would be cut."""
+        return all(len(distinct_words(pa.array([t]))[1]) == 1 and not _SPACE & np.bitwise_or.reduce(_KIND[list(t.encode())]) for t in self.special)
+
+    def word_pieces(self, word: str) -> list[str]:
+        """pieces() of a word: most are letters only and need no pattern."""
+        return [word.lower()] if word.isascii() and word.isalpha() else self.pieces(word)
+
     def _pieces(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
@@ -266,39 +306,58 @@ class Lexicon:
 
 
 class Encoder:
-    """Memo before automaton before exact merges."""
+    """Memo before automaton before exact merges, for the distinct words of many texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: str | None = None):
         self.vocabulary = vocabulary
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.forget()
-        self.gaps = bool((self.vocabulary.tables[3] < 0).any() or (self.vocabulary.tables[4] < 0).any())
+        names = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)]
+        self.spaced = pa.array([None if t is None else " " + t for t in names], pa.large_string())
 
     def forget(self) -> None:
-        self.memo: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _learn(self, words: list[str]) -> None:
-        numbers = self.lexicon.numbers(words) if self.lexicon is not None else np.full(len(words), -1)
+    def _learn(self, words: list[bytes]) -> None:
+        own = [self.vocabulary.word_pieces(w.decode("utf-8", "surrogatepass")) for w in words]
+        pieces = list(dict.fromkeys(p for x in own for p in x))
+        numbers = self.lexicon.numbers(pieces) if self.lexicon is not None else np.full(len(pieces), -1)
         unseen = np.flatnonzero(numbers < 0).tolist()
-        merged = dict(zip(unseen, self.vocabulary.merge_all([words[i] for i in unseen]), strict=True))
-        for i, (word, n) in enumerate(zip(words, numbers.tolist(), strict=True)):
-            ids = self.lexicon.ids_of(n) if n >= 0 else merged[i]
-            self.memo[word], self.decoded[word] = ids.astype("<u4").tobytes(), self.vocabulary.decode(ids.tolist())
-            self.held += 350 + 5 * len(word) + 8 * len(ids)  # two entries of a dict and their objects, about
+        merged = dict(zip(unseen, self.vocabulary.merge_all([pieces[i] for i in unseen]), strict=True))
+        ids = {p: (self.lexicon.ids_of(n) if n >= 0 else merged[i].astype("<u4")).tobytes() for i, (p, n) in enumerate(zip(pieces, numbers.tolist(), strict=True))}
+        for word, x in zip(words, own, strict=True):
+            made = self.memo[word] = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
+            self.held += 170 + len(word) + len(made)  # an entry of a dict and its objects, about
+
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """ids (little-endian unsigned 32-bit integers), n_tokens and decoded of texts without nulls."""
+        if self.vocabulary.cuttable:
+            words, index, begins = distinct_words(texts)
+        else:  # a special token that would be cut: whole texts
+            words, index, begins = texts.cast(pa.large_string()).cast(pa.large_binary()), np.arange(len(texts)), np.arange(len(texts) + 1)
+        own = words.to_pylist()
+        if self.held > MEMO_BYTES:
+            self.forget()
+        if new := [w for w in own if w not in self.memo]:
+            self._learn(list(dict.fromkeys(new)))
+        made = pa.array([self.memo[w] for w in own], pa.large_binary()).take(pa.array(index))
+        at = np.frombuffer(made.buffers()[1], np.int64, len(index) + 1)[begins] if len(index) else np.zeros(len(texts) + 1, np.int64)
+        flat = np.frombuffer(made.buffers()[2] or b"", "<u4", int(at[-1]) // 4)
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+        # the decoded text: each token after a space, then without a text's first space
+        spaced = self.spaced.take(pa.array(flat))
+        ends = np.frombuffer(spaced.buffers()[1], np.int64, len(flat) + 1)[at // 4] if len(flat) else np.zeros(len(texts) + 1, np.int64)
+        some = np.diff(ends) > 0
+        data = np.delete(np.frombuffer(spaced.buffers()[2] or b"", np.uint8, int(ends[-1])), ends[:-1][some])
+        ends = ends - np.concatenate([[0], np.cumsum(some)])
+        decoded = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(data))
+        return ids.cast(pa.binary()), pa.array(np.diff(at) // 4), decoded.cast(pa.string())
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, their decoded text) of each text."""
-        pieces = [self.vocabulary.pieces(t) for t in texts]
-        if new := set().union(*pieces).difference(self.memo):
-            if self.held > MEMO_BYTES:
-                self.forget()
-                new = set().union(*pieces)
-            self._learn(list(new))
-        ids, decoded = self.memo.__getitem__, self.decoded.__getitem__
-        # a piece without ids, where the vocabulary lacks its bytes, leaves no gap
-        return [(b"".join(map(ids, own)), " ".join(filter(None, map(decoded, own)) if self.gaps else map(decoded, own))) for own in pieces]
+        ids, _, decoded = self.columns(pa.array(texts, pa.large_string()))
+        return list(zip(ids.to_pylist(), decoded.to_pylist(), strict=True))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         return self.encode_all([text])[0]
@@ -329,11 +388,19 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             return made
 
         for batch in batches:
-            for text in batch.column(0):
-                if text := text.as_py():
-                    counts.update(vocabulary.pieces(text))
-                    if len(counts) > COUNT_WORDS:
-                        yield out()
+            texts = batch.column(0).fill_null("")
+            for i, last in groups(texts):
+                part = texts.slice(i, last - i)
+                if vocabulary.cuttable:
+                    words, index, _ = distinct_words(part)
+                    for word, n in zip(words.to_pylist(), np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                        for p in vocabulary.word_pieces(word.decode("utf-8", "surrogatepass")):
+                            counts[p] += n
+                else:
+                    for text in part.to_pylist():
+                        counts.update(vocabulary.pieces(text))
+                if len(counts) > COUNT_WORDS:
+                    yield out()
         yield out()
         give_back()
 
@@ -367,11 +434,11 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, words: int =
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts together have about GROUP_CHARS bytes, at least one row each."""
+    """Runs of rows whose texts together have about GROUP_BYTES, at least one row each."""
     first, size = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         size += n or 0
-        if size > GROUP_CHARS:
+        if size > GROUP_BYTES:
             yield first, i + 1
             first, size = i + 1, 0
     if first < len(texts):
@@ -388,15 +455,10 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, lexicon)
         for batch in batches:
-            texts, first, made, size = batch.column(at), 0, [], 0
+            texts = batch.column(at).fill_null("")
             for i, last in groups(texts):
-                made += encoder.encode_all([texts[k].as_py() or "" for k in range(i, last)])
-                size = sum(len(x) + len(y) for x, y in made)
-                if size > OUT_BYTES or last == len(texts):
-                    part = batch.slice(first, last - first)
-                    added = [pa.array([x for x, _ in made], pa.binary()), pa.array([len(x) // 4 for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *ADDED])
-                    first, made, size = last, [], 0
+                part = batch.slice(i, last - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, *encoder.columns(texts.slice(i, last - i))], [*part.schema.names, *ADDED])
         encoder.forget()
         give_back()
 
