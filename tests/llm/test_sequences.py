@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,18 @@ def test_transducers_keep_their_rows():
     assert made.weigh(asked).tolist() == [known.get(tuple(a), 0) for a in asked.tolist()]
     symbols = sum(len(s) for _, s, _ in made.levels)
     assert symbols < sum(len(p) for p in phrases.prefixes(rows)[1:])  # states are shared
+
+
+def test_chunks_are_words_and_marks():
+    """Marks and line feeds don't make new chunks of words, and the pre-tokens stay those of the whole text."""
+    distinct, index, begins = token_counts.chunks(pa.array(["one two, one\ntwo. one", "", "two,one"]))
+    words = [w.decode() for w in distinct.to_pylist()]
+    assert [[words[i] for i in index[a:b]] for a, b in zip(begins, begins[1:])] == [["one", " two", ",", " one", "\n", "two", ".", " one"], [], ["two", ",", "one"]]
+    rng = random.Random(4)
+    bits = [*"aZ09.,;:!?'\"<|>-— \t\n\u00a0\u3000\x1c\x85ñé\u0338\u0308中", "  ", "\r\n", "\n\n", "'s", "word", "don't"]
+    odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    distinct, index, begins = token_counts.chunks(pa.array(odd))
+    pieces = token_counts.Pieces([])
+    own = [pieces(w.decode())[0] for w in distinct.to_pylist()]
+    for text, a, b in zip(odd, begins, begins[1:]):
+        assert [p for i in index[a:b] for p in own[i]] == pieces.pattern.findall(text)

@@ -91,6 +91,17 @@ class Vocabulary(bpe.Vocabulary):
         return [found[p] if p in found else self.count_long(p) for p in pieces]
 
 
+# Bytes of a text: white space or a lead byte that could be its, the space, marks, ASCII letters and digits, line feed, other visible ASCII.
+_WHITE, _LEAD, _BLANK, _MARK, _PLAIN, _LINE, _SIGN = (1 << k for k in range(7))
+_KIND = np.zeros(256, np.uint8)
+_KIND[:33] = _WHITE
+_KIND[33:127] = _SIGN
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = _WHITE | _LEAD
+_KIND[32], _KIND[10] = _WHITE | _BLANK, _WHITE | _LINE
+_KIND[list(b".,;:!?")] = _MARK | _SIGN
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _PLAIN | _SIGN
+
+
 class Pieces:
     """The pre-tokens of a chunk, and how many special tokens it holds."""
 
@@ -101,11 +112,9 @@ class Pieces:
 
     def __call__(self, chunk: str) -> tuple[list[str], int]:
         body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isascii():  # most chunks are a word, or one with a mark after it: no need of the pattern
-            if body.isalpha():
-                return [chunk], 0
-            if body[-1:] in MARKS and body[:-1].isalpha():
-                return [chunk[:-1], body[-1]], 0
+        # most chunks are a word or a mark: no need of the pattern. Letters of later blocks differ by Unicode's version
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250") or chunk in MARKS:
+            return [chunk], 0
         if self.marks is None or not any(s in chunk for s in self.special):
             return self.pattern.findall(chunk), 0
         parts = self.marks.split(chunk)
@@ -116,21 +125,24 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct chunks, each chunk's number in order, where each text's chunks begin, with their total) of texts without nulls.
 
     A text is cut before a space that stands alone between two visible characters: a pre-token begins there whatever comes before.
+    So it does between an ASCII letter or digit and a mark, and on both sides of a line feed between two visible ASCII characters.
     Characters whose lead byte could be that of white space count as such, which only makes chunks longer.
     """
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    lead = (raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3))
-    white = (raw <= 32) | lead
-    cut = raw == 32
-    if len(raw):
-        cut[:1] = cut[-1:] = False
-        cut[1:-1] &= ~(white[:-2] | white[2:])
-        cut[2:] &= ~lead[:-2]
-        cut[3:] &= ~lead[:-3]
-    starts = np.union1d(np.flatnonzero(cut), offsets[:-1][np.diff(offsets) > 0])
+    raw, offsets = bpe.buffers_of(texts)
+    kind = _KIND[raw]
+    first = np.zeros(len(raw), bool)
+    if len(raw) > 2:
+        white, lead = (kind & _WHITE) > 0, (kind & _LEAD) > 0
+        first[1:-1] = ((kind[1:-1] & _BLANK) > 0) & ~(white[:-2] | white[2:])
+        first[2:] &= ~lead[:-2]
+        first[3:] &= ~lead[:-3]
+        line = np.flatnonzero((kind[1:-1] & _LINE) > 0) + 1
+        line = line[(kind[line - 1] & kind[line + 1] & _SIGN) > 0]
+        first[line] = first[line + 1] = True
+    if len(raw) > 1:
+        first[1:] |= ((kind[1:] ^ kind[:-1]) == (_MARK | _PLAIN))
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(first)
     # a text's first byte is a chunk's first even where it is no space
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw.tobytes())])
     coded = found.dictionary_encode()
