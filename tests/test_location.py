@@ -171,3 +171,23 @@ def test_one_large_tetrahedron_among_small_ones(spark):
     got = locate.composite(points(spark, (0.5, 0.5, 0.5, 0), (20_000.0, 30_000.0, 40_000.0, 0), (2e4, 3e4, 6e4, 0)), index).orderBy("n").collect()
     assert [r.q.rho for r in got] == [7.0, pytest.approx(9.0), 0.0]
     assert {r.tid for r in locate.hits(points(spark, (0.5, 0.5, 0.5, 0)), index).collect()} >= {10_000}
+
+
+def test_tetrahedra_with_the_same_planes_are_tested_once_and_count_each(spark):
+    v, t = meshes.grid_mesh(spark, 0, (0, 0, 0), (1, 1, 1), (2, 2, 2), rho=1.0, vp=1.0, vs=1.0, qp=1.0, qs=1.0)
+    copies = spark.range(1, 50).select(F.col("id").alias("n"))
+    # the same places under other numbers, and with values of their own
+    v = v.unionByName(v.join(copies).withColumns({"vid": F.col("vid") + F.col("n") * 8, "rho": F.lit(9.0)}).drop("n"))
+    t = t.unionByName(t.join(copies).withColumns({"tid": F.col("tid") + F.col("n") * 5, **{f"v{k}": F.col(f"v{k}") + F.col("n") * 8 for k in range(4)}}).drop("n"))
+    index, plain = locate.build_index(spark.createDataFrame([(0, "m", 0, "elevation", 1)], MODEL), v, t), cubes(spark, (0, 1, 1))
+    assert index.rows.count() == plain.rows.count() and index.tets == 250
+    asked = points(spark, (0.5, 0.5, 0.5, 0), (5, 5, 5, 0))
+    want = {r["n"]: r["tid"] for r in locate.hits(asked, plain).collect()}
+    got = locate.hits(asked, index).orderBy("tid").collect()
+    assert [(r["n"], r["tid"]) for r in got] == [(0, want[0] + 5 * k) for k in range(50)] and [r["q"]["rho"] for r in got] == [1] + [9] * 49
+    for counts in (locate.COUNTS, ("held",)):
+        made = {r["n"]: r for r in locate.query_stats(asked, index, output="q", counts=counts).collect()}
+        assert made[0]["held"] == 50 and made[0]["hit_count"] == 1 and made[0]["q"]["rho"] == 1
+        assert made[1]["held"] == 0 and made[1]["hit_count"] == 0 and tuple(made[1]["q"]) == (0,) * 6
+    assert made[0].asDict().keys() == {*asked.columns, "q", "held", "hit_count"}
+    assert locate.composite(asked, index).filter("n = 0").first()["q"]["rho"] == 1

@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
@@ -30,3 +32,14 @@ def test_entry_contract(spark):
     assert entry.entry(spark).limit(5).count() == 5
     assert set(QUERIES) <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
+
+
+def test_graded_mesh_of_repeated_parts(spark, tmp_path):
+    """Parts 11264 numbers apart are the same tetrahedron."""
+    for table in TABLES:
+        (tmp_path / f"{table}.parquet").symlink_to(f"{SF}/{table}.parquet")
+    (tmp_path / "part.parquet").unlink()
+    part = pq.read_table(f"{SF}/part.parquet")
+    again = part.set_column(part.schema.get_field_index("p_partkey"), "p_partkey", pc.add(part["p_partkey"], 11264))
+    pq.write_table(pa.concat_tables([part, again]), tmp_path / "part.parquet")
+    assert_same(QUERIES["locate_graded"](spark, str(tmp_path)), SQL["locate_graded"], str(tmp_path))

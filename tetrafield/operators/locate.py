@@ -4,7 +4,7 @@ The index is a hierarchy of cell grids. Every tetrahedron stands at the level of
 cubes of a power of two, at least as long as the box, so it is listed under eight cells at most, whatever other sizes its mesh has. The
 lattice of cells is off by half a cell, as meshes like to have their corners at round numbers. A point needs one key for each
 (level, vertical) in use. A cell's rows are thin: planes and numbers. What a tetrahedron's sample needs (corners, profile, bounds) is
-joined to hits only.
+joined to hits only. Tetrahedra of a model with the same planes are one row with their number: a point is tested once for all of them.
 
 Composition works on distinct places. Places are dealt out by a hash once, their hits are folded where they are, and points meet
 their place's result by the same hash, so rows that repeat, and those without a hit, stay rows. The cells are broadcast only under a
@@ -14,7 +14,7 @@ bound of the index's rows; otherwise places shuffle on the cell, and AQE splits
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -37,7 +37,10 @@ PROFILE = "array<struct<top:double,rho:double,vp:double,vs:double,qp:double,qs:d
 
 @dataclass
 class Index:
-    """rows of (cell, tetrahedron) with the tetrahedron's planes, samples by tetrahedron, models by number; how many there are of each, and which (level, vertical) pairs occur."""
+    """rows of (cell, tetrahedron) with the tetrahedron's planes, samples by tetrahedron, models by number; how many there are of each, and which (level, vertical) pairs occur.
+
+    Of tetrahedra with the same planes the lowest stands in rows, with their number n; samples have all of them as twins of that one.
+    """
 
     rows: DataFrame
     samples: DataFrame
@@ -51,8 +54,10 @@ class Index:
         rows = self.rows if models == ALL else self.rows.filter(models.holds(F.col("priority")))
         return F.broadcast(rows) if self.count <= BROADCAST_ROWS else rows
 
-    def payload(self) -> tuple[DataFrame, DataFrame]:
-        return (F.broadcast(self.samples) if self.tets <= BROADCAST_TETS else self.samples), (F.broadcast(self.models) if self.n_models <= BROADCAST_MODELS else self.models)
+    def payload(self, twins: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(samples, models). twins: with the samples of all tetrahedra, else of those in rows."""
+        samples = self.samples if twins else self.samples.filter("twin = tid")
+        return (F.broadcast(samples) if self.tets <= BROADCAST_TETS else samples), (F.broadcast(self.models) if self.n_models <= BROADCAST_MODELS else self.models)
 
 
 def tet_rows(vertices: DataFrame, tets: DataFrame) -> DataFrame:
@@ -79,6 +84,9 @@ def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame) -> Inde
     own = tet_rows(vertices, tets)
     catalog = models.select("model_id", "vertical", "priority")
     own = own.join(F.broadcast(catalog) if n_models <= BROADCAST_MODELS else catalog, "model_id").persist()
+    same = ["model_id", "vertical", "priority", *PLANES]
+    boxes = [f(f"{n}_{a}").alias(f"{n}_{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]
+    alike = own.groupBy(*same).agg(F.min("tid").alias("tid"), F.count(F.lit(1)).alias("n"), *boxes).persist()
     # the accepted region reaches 3 * TOLERANCE * longest edge beyond the tetrahedron; an edge is at most sqrt(3) boxes long
     edge = F.greatest(*(F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"))
     reach = edge * (3 * TOLERANCE * 1.75)
@@ -90,13 +98,17 @@ def build_index(models: DataFrame, vertices: DataFrame, tets: DataFrame) -> Inde
     first = F.ceil(F.log2(edge)).cast("int")
     # a box as long as its cell may touch three in a row; one level up it can't
     crowded = F.greatest(*(hi - lo for lo, hi in (ends(a, first) for a in "xyz"))) > 1
-    rows = own.withColumn("level", first + F.when(crowded, 1).otherwise(0))
+    rows = alike.withColumn("level", first + F.when(crowded, 1).otherwise(0))
     for a in "xyz":
         rows = rows.withColumn(f"c{a}", F.explode(F.sequence(*ends(a, F.col("level")))))
-    rows = rows.select(*CELL_KEYS, "model_id", "tid", F.col("priority").cast("int").alias("priority"), *PLANES).persist()
+    rows = rows.select(*CELL_KEYS, "model_id", "tid", F.col("priority").cast("int").alias("priority"), "n", *PLANES).persist()
     found = rows.groupBy("level", "vertical").count().collect()  # a handful of sizes
-    samples = own.select("model_id", "tid", *PLANES, *(f"q{n}" for n in range(4))).persist()
+    samples = own.withColumn("twin", F.col("tid"))
+    if alike.count() < own.count():
+        samples = own.withColumnRenamed("tid", "twin").join(alike.select(*same, "tid"), same)
+    samples = samples.select("model_id", "tid", "twin", *PLANES, *(f"q{n}" for n in range(4))).persist()
     n_tets = samples.count()
+    alike.unpersist()
     own.unpersist()
     return Index(rows, samples, models.select("model_id", "model_type", *(f"{n}{a}" for n in ("min", "max") for a in "xyz"), "profile"), sum(r["count"] for r in found), n_tets, n_models, sorted((r["level"], r["vertical"]) for r in found))
 
@@ -155,19 +167,19 @@ def tested(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFra
     return listed(points, index, models).filter(inside(F.col("x"), F.col("y"), F.col("_h"), of_index)).drop(*(f"_t_{c}" for c in PLANES))
 
 
-def with_samples(found: DataFrame, index: Index, kept: list[str]) -> DataFrame:
-    """The kept columns of tested rows with model_id, priority, tid, q, where the point is in the model's bounds."""
-    samples, catalog = index.payload()
+def with_samples(found: DataFrame, index: Index, kept: list[str], twins: bool = False) -> DataFrame:
+    """The kept columns of tested rows with model_id, priority, tid, q, where the point is in the model's bounds. twins: a row for each tetrahedron with the same planes."""
+    samples, catalog = index.payload(twins)
     # bounds hold the stored z range, which for depth models is the mesh's own
     found = bounded(found, catalog).filter(in_bounds(F.col("x"), F.col("y"), F.col("_h"), of_index))
     corners = samples.select(*(F.col(c).alias(f"_t_{c}") for c in samples.columns))
     found = sampled(found.join(corners, ["_t_model_id", "_t_tid"]))
-    return found.select(*kept, *(of_index(c).alias(c) for c in ("model_id", "priority", "tid")), "q")
+    return found.select(*kept, *(of_index(c).alias(k) for c, k in (("model_id", "model_id"), ("priority", "priority"), ("twin", "tid"))), "q")
 
 
 def hits(points: DataFrame, index: Index, models: ModelRange = ALL) -> DataFrame:
     """A row for each point and tetrahedron that holds it: point columns, model_id, priority, tid, q."""
-    return with_samples(tested(points, index, models), index, points.columns)
+    return with_samples(tested(points, index, models), index, points.columns, twins=True)
 
 
 def sampled(found: DataFrame) -> DataFrame:
@@ -253,18 +265,23 @@ def explain(points: DataFrame, index: Index) -> DataFrame:
 COUNTS = ("candidates", "tested", "held")
 
 
-def query_stats(points: DataFrame, index: Index, models: ModelRange = ALL, output: str | None = None) -> DataFrame:
+def query_stats(points: DataFrame, index: Index, models: ModelRange = ALL, output: str | None = None, counts: Sequence[str] = COUNTS) -> DataFrame:
     """points with candidates (tetrahedra listed under their cells), tested (of those, in bounds), held and hit_count (models that contribute).
 
     output: the name of a column for the composite, which is folded from the same rows: the cells are looked up once for both.
+    counts: which of the counts to make; where held is the only one, only hits leave the cells.
     """
     x, y, h = F.col("x"), F.col("y"), F.col("_h")
     samples, catalog = index.payload()
-    found = bounded(listed(places(points), index, models), catalog)
+    listing = tested if set(counts) <= {"held"} else listed
+    found = bounded(listing(places(points), index, models), catalog)
     near = F.coalesce(in_bounds(x, y, h, of_index), F.lit(False))
-    held = near & inside(x, y, h, of_index)
+    held = near if listing is tested else near & inside(x, y, h, of_index)
+    found = found.filter(held) if listing is tested else found
     keys = ["_place", *PLACE]
-    counts = dict(zip(COUNTS, (F.count(F.lit(1)), F.count(F.when(near, 1)), F.count(F.when(held, 1))), strict=True))
+    n = of_index("n")
+    every = dict(zip(COUNTS, (n, F.when(near, n), F.when(held, n)), strict=True))
+    counts = {c: F.coalesce(F.sum(every[c]), F.lit(0).cast("long")) for c in counts}
     # a row for each place and model, with the tetrahedron that stands for the model
     own = found.groupBy(*keys, "_h", "_t_model_id", "_t_priority").agg(F.min(F.when(held, of_index("tid"))).alias("_t_tid"), *(c.alias(n) for n, c in counts.items()))
     sums = [F.sum(n).alias(n) for n in counts] + [F.count("_t_tid").alias("hit_count")]

@@ -199,8 +199,8 @@ def locate_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     x, y, z = F.col("o_custkey") * 29 % 2048 / 2 + 0.25, F.col("o_orderkey") * 13 % 2048 / 2 + 0.125, F.col("o_orderkey") * 7 % 1024 / 4 + 0.0625
     points = o.select("o_orderkey", x.alias("x"), y.alias("y"), z.alias("z"), z.alias("depth"))
-    stats = locate.query_stats(points, index).select("o_orderkey", "held", "hit_count")
-    return locate.composite(points, index).select("o_orderkey", "x", "y", "z", F.round("q.rho", 6).alias("rho"), F.round("q.vs", 6).alias("vs"), F.round("q.alpha", 6).alias("alpha")).join(stats, "o_orderkey")
+    made = locate.query_stats(points, index, output="q", counts=("held",))
+    return made.select("o_orderkey", "x", "y", "z", F.round("q.rho", 6).alias("rho"), F.round("q.vs", 6).alias("vs"), F.round("q.alpha", 6).alias("alpha"), "held", "hit_count")
 
 
 _GL = [f"(p.{a} - t.{a}) / s" for a in "xyz"]  # weights of the corners along the axes
