@@ -43,3 +43,15 @@ def test_graded_mesh_of_repeated_parts(spark, tmp_path):
     again = part.set_column(part.schema.get_field_index("p_partkey"), "p_partkey", pc.add(part["p_partkey"], 11264))
     pq.write_table(pa.concat_tables([part, again]), tmp_path / "part.parquet")
     assert_same(QUERIES["locate_graded"](spark, str(tmp_path)), SQL["locate_graded"], str(tmp_path))
+
+
+def planned(df):
+    """The plan before anything ran: by Spark's sizes, which know of no exploded rows."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cull_mesh"])
+def test_exploded_cells_are_not_broadcast(spark, name):
+    made = QUERIES[name](spark, SF)
+    assert "BroadcastExchange" not in planned(made)
+    assert_same(made, SQL[name])

@@ -55,8 +55,12 @@ def grid_mesh(spark: SparkSession, model_id: int, origin: tuple, step: tuple, sh
 
 
 def gather(tets: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("x", "y", "z", *COMPONENTS)) -> DataFrame:
-    """tets with the structs c0 .. c3 of their corners: one join and one aggregation, not four joins."""
-    corners = tets.select("model_id", "tid", F.posexplode(F.array("v0", "v1", "v2", "v3")).alias("corner", "vid"))
+    """tets with the structs c0 .. c3 of their corners: one join and one aggregation, not four joins.
+
+    Both joins are merged: Spark's sizes don't see that cells and tetrahedra were exploded, and so it would gather millions of them in the driver to broadcast.
+    """
+    tets = tets.hint("merge")
+    corners = tets.select("model_id", "tid", F.posexplode(F.array("v0", "v1", "v2", "v3")).alias("corner", "vid")).hint("merge")
     joined = corners.join(vertices.select("model_id", "vid", F.struct(*columns).alias("c")), ["model_id", "vid"])
     sides = [F.max(F.when(F.col("corner") == n, F.col("c"))).alias(f"c{n}") for n in range(4)]
     return tets.join(joined.groupBy("model_id", "tid").agg(*sides), ["model_id", "tid"])

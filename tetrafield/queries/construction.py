@@ -20,7 +20,7 @@ def part_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     ni = -(-p.count() // (NJ * NK))
     own = p.select((F.col("p_partkey") - p.agg(F.min("p_partkey")).first()[0]).alias("vid"), (F.col("p_size") / 128).alias("dx"), (F.col("p_partkey") % 8 / 32).alias("dy"))
-    nodes = spark.range(ni * NJ * NK).select(F.col("id").alias("vid")).join(own, "vid", "left")
+    nodes = spark.range(ni * NJ * NK).select(F.col("id").alias("vid")).join(own.hint("merge"), "vid", "left")  # a part has few bytes on disk, more in a broadcast
     place = {"x": F.floor(F.col("vid") / (NJ * NK)) + F.coalesce("dx", F.lit(0.0)), "y": F.floor(F.col("vid") / NK) % NJ + F.coalesce("dy", F.lit(0.0)), "z": (F.col("vid") % NK).cast("double")}
     vertices = nodes.select(F.lit(0).alias("model_id"), "vid", *(v.alias(k) for k, v in place.items()), *(F.lit(1.0).alias(c) for c in COMPONENTS))
     tets = meshes.five_tets(meshes.grid_cells(spark, ni, NJ, NK), NJ, NK).select(F.lit(0).alias("model_id"), "tid", "v0", "v1", "v2", "v3")
