@@ -50,7 +50,7 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["cull_mesh", "mesh_catalog"])
+@pytest.mark.parametrize("name", ["cull_mesh", "mesh_catalog", "tet_volume"])
 def test_exploded_cells_are_not_broadcast(spark, name):
     made = QUERIES[name](spark, SF)
     assert "BroadcastExchange" not in planned(made)
