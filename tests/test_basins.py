@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tetrafield.operators import basins, coastline, grids, tin
+from tetrafield.operators import basins, coastline, grids, surfaces, tin
 
 
 def test_outlines_are_cleaned_turned_and_sifted(spark):
@@ -46,3 +46,27 @@ def test_far_points_have_their_distance_too(spark):
 def test_unknown_solver_is_refused():
     with pytest.raises(ValueError):
         grids.solver_coordinate("guessed")
+
+
+def test_samples_and_cells_of_a_large_raster_are_not_broadcast(spark):
+    """A raster of 1.2 million nodes, planned only: neither its samples nor its cells pass the driver, and each surface's nodes aren't put in order by themselves."""
+    nodes = spark.range(1_200_000).selectExpr("id % 40 AS ix", "id div 40 AS iy", "id * 1.0D AS a", "id * 2.0D AS b", "id * 3.0D AS c")
+    outlines = spark.createDataFrame([(0, n, *map(float, p)) for n, p in enumerate(((1, 1), (9, 1), (9, 9)))], "basin long, n int, x double, y double")
+    triangles = spark.createDataFrame([(0, 0, n, n, *map(float, p)) for n, p in enumerate(((1, 1), (9, 1), (9, 9)))], "basin long, tri long, corner int, vid long, x double, y double")
+    names = ["a", "b", "c"]
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (
+        basins.within(basins.lattice(nodes, names, (0.0, 0.0), (1.0, 1.0)), outlines, 1.0), basins.at_vertices(triangles, nodes, (40, 30_000), names),
+    )]
+    assert all("BroadcastExchange" not in p for p in plans)
+    assert all(sum("Window [lead" in line for line in p.splitlines()) <= 6 for p in plans)
+
+
+@pytest.mark.parametrize("bound", [0, 10**9])
+def test_several_surfaces_at_once_are_each_ones_own(spark, monkeypatch, bound):
+    monkeypatch.setattr(surfaces, "BROADCAST_VALUES", bound)
+    nodes = spark.range(30).selectExpr("id % 6 AS ix", "id div 6 AS iy", "id * id * 1.0D AS a", "IF(id % 11 = 3, double('NaN'), id * 2.0D) AS b", "IF(id % 7 = 1, NULL, id * 3.0D) AS c")
+    places = spark.range(400).selectExpr("id", "id % 20 / 3.0D - 0.5D AS x", "id div 20 / 4.0D - 0.25D AS y")
+    got = surfaces.bilinear_stack(places, nodes, (6, 5), ["a", "b", "c"], (0.5, 0.25), (1.0, 0.75)).orderBy("id").collect()
+    for name in "abc":
+        want = surfaces.bilinear(places, nodes, (6, 5), (0.5, 0.25), (1.0, 0.75), name="v", value=name).orderBy("id").collect()
+        assert [r[name] for r in got] == [r["v"] for r in want] and any(r["v"] is not None for r in want)

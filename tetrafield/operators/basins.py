@@ -44,17 +44,15 @@ def within(samples: DataFrame, outlines: DataFrame, band: float) -> DataFrame:
     lines = outline_segments(outlines)
     low, high = F.floor(F.least("ay", "by") / band), F.floor(F.greatest("ay", "by") / band)
     spread = lines.withColumn("_band", F.explode(F.sequence(low, high)))
-    met = samples.select("x", "y").distinct().withColumn("_band", F.floor(F.col("y") / band)).join(spread, "_band").filter(coastline.crosses(F.col("x"), F.col("y")))
+    # merged: the samples of a raster are more than its bytes on disk tell, and are not to be broadcast
+    met = samples.select("x", "y").distinct().withColumn("_band", F.floor(F.col("y") / band)).hint("merge").join(spread, "_band").filter(coastline.crosses(F.col("x"), F.col("y")))
     held = met.groupBy("basin", "x", "y").agg((F.count(F.lit(1)) % 2).alias("_odd")).filter("_odd = 1").drop("_odd")
-    return samples.join(held, ["x", "y"])
+    return samples.hint("merge").join(held, ["x", "y"])
 
 
 def lattice(nodes: DataFrame, values: Sequence[str], origin: tuple[float, float], spacing: tuple[float, float], per_cell: int = 2) -> DataFrame:
     """(x, y, values) of a raster (ix, iy, values), per_cell times finer than its nodes: bilinear between them."""
-    table = None
-    for v in values:
-        own = surfaces.cells(nodes, v).select("ix", "iy", F.struct("z00", "z10", "z01", "z11").alias(v))
-        table = own if table is None else table.join(own, ["ix", "iy"])
+    table = surfaces.stacked_cells(nodes, values)
     steps = [n / per_cell for n in range(per_cell)]
     place = F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(w).alias("w")) for u in steps for w in steps)))
     fine = table.withColumn("_p", place).select("*", "_p.u", "_p.w")
@@ -85,9 +83,7 @@ def triangulated(
     step = min(spacing) / per_cell
     names = list(metres)
     inner = within(lattice(nodes, names, origin, spacing, per_cell), outlines, max(spacing)).select("basin", "x", "y", *names)
-    rim = along(outlines, step)
-    for name in names:
-        rim = surfaces.bilinear(rim, nodes.withColumn("z", F.col(name)), shape, origin, spacing, name=name)
+    rim = surfaces.bilinear_stack(along(outlines, step), nodes, shape, names, origin, spacing)
     return tin.adaptive_tins(outlines, inner.unionByName(rim), names, metres=[metres[n] for n in names], max_edge=max_edge)
 
 
@@ -103,10 +99,7 @@ def at_vertices(
     triangles: DataFrame, nodes: DataFrame, shape: tuple[int, int], interfaces: Sequence[str], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0),
 ) -> DataFrame:
     """(basin, vid, x, y, interfaces) of the vertices of triangulated(): the raster's surfaces between its nodes."""
-    columns = triangles.select("basin", "vid", "x", "y").distinct()
-    for name in interfaces:
-        columns = surfaces.bilinear(columns, nodes.withColumn("z", F.col(name)), shape, origin, spacing, name=name)
-    return columns
+    return surfaces.bilinear_stack(triangles.select("basin", "vid", "x", "y").distinct(), nodes, shape, interfaces, origin, spacing)
 
 
 def between(triangles: DataFrame, columns: DataFrame, model: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -129,16 +122,15 @@ def layered(triangles: DataFrame, columns: DataFrame, interfaces: Sequence[str],
     n = len(interfaces) - 1
     if n < 1:
         raise ValueError("layers lie between two interfaces at least")
-    vertices, tets = None, None
-    for k, (top, bottom) in enumerate(zip(interfaces, interfaces[1:])):
-        own = meshes.repair_interfaces(columns.select("basin", "vid", "x", "y", F.col(top).alias("top"), F.col(bottom).alias("bottom")), strict=False)
-        if ends is not None:
-            own = own.withColumn("bottom", F.greatest(F.least(F.col("bottom"), F.lit(float(ends[k]))), F.col("top")))
-        if pad and k == 0:
-            own = own.withColumn("top", F.when(F.col("bottom") > F.col("top"), F.col("top") - pad).otherwise(F.col("top")))
-        v, t = between(triangles, own, F.col("basin") * n + k)
-        vertices, tets = (v, t) if vertices is None else (vertices.unionByName(v), tets.unionByName(t))
-    return vertices, tets
+    layer = [F.struct(F.lit(k).alias("_k"), *(F.col(c).cast("double").alias(e) for c, e in zip(interfaces[k:], ("top", "bottom"))), F.lit(None if ends is None else float(ends[k])).cast("double").alias("_end")) for k in range(n)]
+    own = columns.select("basin", "vid", "x", "y", F.inline(F.array(*layer)))
+    own = meshes.repair_interfaces(own, strict=False)
+    if ends is not None:
+        own = own.withColumn("bottom", F.greatest(F.least("bottom", "_end"), "top"))
+    if pad:
+        own = own.withColumn("top", F.when((F.col("_k") == 0) & (F.col("bottom") > F.col("top")), F.col("top") - pad).otherwise(F.col("top")))
+    each = triangles.withColumn("_k", F.explode(F.array(*map(F.lit, range(n)))))
+    return between(each, own, F.col("basin") * n + F.col("_k"))
 
 
 def depth_bounds(bounds: DataFrame, lowest: float, highest: float, pad: float = PAD) -> DataFrame:

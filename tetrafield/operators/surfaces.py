@@ -12,6 +12,7 @@ from ..functions import numeric
 
 OUTSIDE = 1e-9  # of a cell, by which a point may miss the raster and still be inside
 BROADCAST_NODES = 2_000_000
+BROADCAST_VALUES = 400_000  # nodes times surfaces of stacked cells, of about 40 bytes
 
 
 def cells(nodes: DataFrame, value: str = "z") -> DataFrame:
@@ -22,6 +23,34 @@ def cells(nodes: DataFrame, value: str = "z") -> DataFrame:
     return right.withColumns({"z01": F.lead("z00").over(below), "z11": F.lead("z10").over(below)})
 
 
+def stacked_cells(nodes: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(ix, iy, values): cells() of several surfaces, each a struct of z00, z10, z01, z11. The nodes are put in order once for all of them."""
+    own = nodes.select("ix", "iy", F.struct(*(numeric.not_nan(F.col(v).cast("double")).alias(v) for v in values)).alias("z00"))
+    right = own.withColumn("z10", F.lead("z00").over(Window.partitionBy("iy").orderBy("ix")))
+    below = Window.partitionBy("ix").orderBy("iy")
+    full = right.withColumns({"z01": F.lead("z00").over(below), "z11": F.lead("z10").over(below)})
+    return full.select("ix", "iy", *(F.struct(*(F.col(z)[v].alias(z) for z in ("z00", "z10", "z01", "z11"))).alias(v) for v in values))
+
+
+def bilinear_stack(points: DataFrame, nodes: DataFrame, shape: tuple[int, int], values: Sequence[str], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """points (x, y, ...) with the values of several surfaces of a raster (ix, iy, values), as bilinear() has each; outside NULL. One join for all of them."""
+    at = {f"_t{a}": (F.col(a) - float(first)) / float(step) for a, first, step in zip("xy", origin, spacing)}
+    lower = {f"_i{a}": F.greatest(F.least(F.floor(f"_t{a}"), F.lit(n - 2)), F.lit(0)) for a, n in zip("xy", shape)}
+    keyed = points.withColumns(at).withColumns(lower).withColumns({f"_t{a}": F.col(f"_t{a}") - F.col(f"_i{a}") for a in "xy"})
+    table = stacked_cells(nodes, values).select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *(F.col(v).alias(f"_v_{v}") for v in values))
+    small = shape[0] * shape[1] * len(values) <= BROADCAST_VALUES
+    table = F.broadcast(table) if small else table.hint("merge")  # a raster of small whole numbers has few bytes on disk
+    outside = (F.col("_tx") < -OUTSIDE) | (F.col("_tx") > 1 + OUTSIDE) | (F.col("_ty") < -OUTSIDE) | (F.col("_ty") > 1 + OUTSIDE)
+    u, v = numeric.clip(F.col("_tx"), 0, 1), numeric.clip(F.col("_ty"), 0, 1)
+    corners = (((1 - u) * (1 - v), "z00"), (u * (1 - v), "z10"), ((1 - u) * v, "z01"), (u * v, "z11"))
+
+    def between(name: str) -> Column:
+        parts = [F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_v_{name}")[z]) for w, z in corners]
+        return F.when(~outside, parts[0] + parts[1] + parts[2] + parts[3])
+
+    return keyed.join(table, ["_ix", "_iy"], "left").select(*points.columns, *(between(name).alias(name) for name in values))
+
+
 def bilinear(points: DataFrame, nodes: DataFrame, shape: tuple[int, int], origin: tuple[float, float] = (0.0, 0.0), spacing: tuple[float, float] = (1.0, 1.0), frame: Sequence[Sequence[float]] | None = None, extrapolate: bool = False, name: str = "surface", value: str = "z", axes: tuple[Sequence[float], Sequence[float]] | None = None, table: DataFrame | None = None) -> DataFrame:
     """points (x, y, ...) with the raster's value; outside NULL, or the edge's value with `extrapolate`.
 

@@ -322,7 +322,7 @@ def basin_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["roof", "shelf", "ledge", "floor"]
     sloping = nodes.select("ix", "iy", (4 + x / 8).alias("roof"), (6 + x / 8 + y / 4).alias("shelf"), (6 + x / 8 + y / 4 + 1).alias("ledge"), (10 + x / 4 + y / 2).alias("floor"))
     made = basins.triangulated(basins.cleaned(basin_outlines(spark, sf_dir)), sloping, shape, dict.fromkeys(names, 0.01), max_edge=0.75).persist()
-    columns = basins.at_vertices(made, sloping, shape, names)
+    columns = basins.at_vertices(made, sloping, shape, names).persist()
     vertices, tets = basins.layered(made, columns, names)
     vertices = vertices.persist()
     sizes = meshes.gather(tets, vertices, ("x", "y", "z")).groupBy("model_id").agg(F.sum(meshes.volume()).alias("v"))
